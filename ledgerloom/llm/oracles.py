@@ -29,4 +29,12 @@ SELECT d.doc_id, coalesce(len(a), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIG
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """.replace("lower(text)", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 
-ORACLES = {"op1_line_dedup": LINE_DEDUP, "op7_decontaminate": DECONTAMINATE}
+EXACT_TOP_K = """
+WITH v AS (SELECT vec_id, [x > 0 FOR x IN embedding] AS c FROM embeddings WHERE len(embedding) > 0),
+d AS (SELECT q.vec_id, v.vec_id AS neighbor_id, list_sum([(z[1] <> z[2])::BIGINT FOR z IN list_zip(q.c, v.c)]) AS distance
+      FROM v AS q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id AND len(q.c) = len(v.c)),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbor_id) AS rank FROM d)
+SELECT vec_id, rank, neighbor_id, distance::BIGINT AS distance FROM r WHERE rank <= 10
+"""
+
+ORACLES = {"op1_line_dedup": LINE_DEDUP, "op7_decontaminate": DECONTAMINATE, "op9_exact_top_k": EXACT_TOP_K}

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination
+from .hamming import exact_top_k
+from .licenses import license_scan
 from .line_dedup import line_dedup
+from .packing import best_fit_packing
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +20,25 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_documents(spark, sf_dir))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(_documents(spark, sf_dir))
+    n_base = F.size("base").cast("long")
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_base.alias("n_base"),
+        F.array_min(F.transform("base", lambda x: x["word"])).alias("first_word"),
+        F.array_max(F.transform("base", lambda x: x["word"])).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("base", lambda x: x["label"]))), ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(_documents(spark, sf_dir))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
@@ -30,4 +52,9 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op7_decontaminate)}
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return exact_top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op5_best_fit_packing, op7_decontaminate, op9_exact_top_k)}
