@@ -10,7 +10,7 @@ can need more), which two grouped steps with a salt collect.
 
 from __future__ import annotations
 
-from functools import lru_cache, partial
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -106,7 +106,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id",
     kind = dict(rows.dtypes)["__id"]
     index = index.withColumn("__ib", F.pmod(F.xxhash64("__code"), F.lit(n_i))).withColumn("__qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
     probes = asked.select("__code").distinct().withColumn("__qb", F.pmod(F.xxhash64("__code"), F.lit(n_q))).withColumn("__ib", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_i - 1).cast("long"))))
-    found = probes.groupBy("__qb", "__ib").cogroup(index.groupBy("__qb", "__ib")).applyInPandas(partial(_search, k=k), f"__code binary, __nid {kind}, distance long")
+    found = probes.groupBy("__qb", "__ib").cogroup(index.groupBy("__qb", "__ib")).applyInPandas(lambda q, i: _search(q, i, k), f"__code binary, __nid {kind}, distance long")
     near = found.groupBy("__code").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "__nid"))), 1, k + 1).alias("__near"))
     own = asked.join(near, "__code").select("__id", F.slice(F.filter("__near", lambda x: x["__nid"] != F.col("__id")), 1, k).alias("__near"))
     return own.select("__id", F.posexplode("__near").alias("__p", "__x")).select(F.col("__id").alias(id_col), (F.col("__p") + 1).cast("long").alias("rank"), F.col("__x")["__nid"].alias("neighbor_id"), F.col("__x")["distance"].alias("distance"))

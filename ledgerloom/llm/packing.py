@@ -11,7 +11,6 @@ larger residual until source and cluster both are new to the bin.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -140,5 +139,5 @@ def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = parts_for(docs.count(), group_rows)
     # Rows of one id are spread by piece, so that one endless text does not fill a group.
     pieces = pieces.withColumn("__group", F.pmod(F.xxhash64("__key", F.floor(F.col("piece") / 64)), F.lit(groups))).withColumn("__dup", F.lit(0))
-    packed = pieces.groupBy("__group").applyInPandas(partial(_pack, capacity=capacity), f"__id {kind}, __source string, __cluster string, piece long, start long, n_tokens long, __group long, bin long, bin_start long")
+    packed = pieces.groupBy("__group").applyInPandas(lambda group: _pack(group, capacity), f"__id {kind}, __source string, __cluster string, piece long, start long, n_tokens long, __group long, bin long, bin_start long")
     return packed.select(F.col("__id").alias(id_col), F.col("__source").alias("source"), F.col("__cluster").alias("cluster"), "piece", "start", "n_tokens", F.concat_ws("-", "__group", "bin").alias("bin_id"), "bin_start")

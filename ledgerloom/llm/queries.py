@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language, quality
 from .decontaminate import contamination
 from .hamming import exact_top_k
 from .licenses import license_scan
@@ -35,6 +36,14 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    out = language.held_out("doc_id", 4, 2)
+    learned = docs.where(~out & F.col("lang").isNotNull())
+    found = language.identify(docs, language.train(learned), calibration=language.calibration_rows(learned))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(_documents(spark, sf_dir))
 
@@ -57,4 +66,9 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(vectors, vectors.where("vec_id % 20 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op5_best_fit_packing, op7_decontaminate, op9_exact_top_k)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return quality.classify(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op4_language_id, op5_best_fit_packing, op7_decontaminate, op9_exact_top_k, op10_quality_classifier)}
