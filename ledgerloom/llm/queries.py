@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, quality
+from . import language, lm, quality
 from .decontaminate import contamination
 from .hamming import exact_top_k
 from .licenses import license_scan
@@ -61,6 +61,13 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    out = lm.held_out("doc_id", 7, 2)
+    found = lm.score(docs, lm.train(docs.where(~out)))
+    return found.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return exact_top_k(vectors, vectors.where("vec_id % 20 = 0"))
@@ -71,4 +78,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op4_language_id, op5_best_fit_packing, op7_decontaminate, op9_exact_top_k, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op4_language_id, op5_best_fit_packing, op7_decontaminate, op8_lm_scoring, op9_exact_top_k, op10_quality_classifier)}
