@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import language, lm, quality
 from .decontaminate import contamination
 from .hamming import exact_top_k
+from .jaccard import jaccard_groups
 from .licenses import license_scan
 from .line_dedup import line_dedup
 from .packing import best_fit_packing
@@ -48,6 +49,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(_documents(spark, sf_dir))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(_documents(spark, sf_dir))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
@@ -78,4 +83,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op4_language_id, op5_best_fit_packing, op7_decontaminate, op8_lm_scoring, op9_exact_top_k, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op4_language_id, op5_best_fit_packing, op6_jaccard_join, op7_decontaminate, op8_lm_scoring, op9_exact_top_k, op10_quality_classifier)}
