@@ -12,7 +12,6 @@ phrases travel, in blocks of a fixed number of words.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -255,10 +254,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return every.select(F.col("__id").alias(id_col), "n_words", merged.alias("spans"), "items", copies.alias("__copy")).drop("__copy")
 
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
-
-
 def _clean(batches: Iterator[pa.RecordBatch], phrases: list, text: str) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches, text, 16 << 20):
         texts = None

@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED_LOWER, Words, blocks, cut_words, hash_ranges, mixed, parts_for, shared_dir, window_hashes, written
+from .bits import bit_table, may_have
+from .common import SPACED_LOWER, Words, blocks, cut_words, mixed, parts_for, shared_dir, window_hashes, written
 from .components import components
 
 SHINGLE, PERCENT = 4, 85
@@ -112,16 +113,11 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, classe
         yield pa.RecordBatch.from_arrays([block.column("__id"), pa.array(n), pa.array(sig[0]), pa.array(sig[1]), pa.array(strict), keys], names=["__id", "n", "s1", "s2", "strict", "keys"])
 
 
-def _id_bits(ids: np.ndarray) -> np.ndarray:
-    return (mixed(ids.astype(np.int64).view(np.uint64)) % np.uint64(BITS)).astype(np.int64)
-
-
 def _sets(batches: Iterator[pa.RecordBatch], size: int, wanted) -> Iterator[pa.RecordBatch]:
-    """(id, set) of the documents whose bit is set."""
-    bits = np.unpackbits(wanted.value)
+    """(id, set) of the documents that may be wanted."""
     for batch in batches:
         ids = np.array(batch.column("__id").fill_null(-1))
-        batch = batch.filter(pa.array(bits[_id_bits(ids)].astype(bool)))
+        batch = batch.filter(pa.array(may_have(wanted, ids)))
         for block in blocks(iter([batch]), "__text"):
             h, rows = shingles(cut_words(block.column("__text"), SPACED_LOWER), size)
             data = h.view(np.uint8)
@@ -129,23 +125,6 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, wanted) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([block.column("__id"), cells], names=["__id", "set"])
 
 
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, bits): the task's ids as bits, in parts of 64 KiB, those alone that have one."""
-    bits = np.zeros(BITS, bool)
-    for batch in batches:
-        bits[_id_bits(np.array(batch.column(0)))] = True
-    packed = np.packbits(bits).reshape(-1, 1 << 16)
-    some = np.flatnonzero(packed.any(1))
-    yield pa.RecordBatch.from_pydict({"part": some.tolist(), "bits": [packed[i].tobytes() for i in some]}, schema=pa.schema([("part", pa.int64()), ("bits", pa.binary())]))
-
-
-def _or(parts: pd.DataFrame) -> pd.DataFrame:
-    out = np.zeros(1 << 16, np.uint8)
-    for x in parts["bits"]:
-        out |= np.frombuffer(x, np.uint8)
-    return pd.DataFrame({"part": parts["part"].iloc[:1], "bits": [out.tobytes()]})
-
-
 class Inverted:
     """Inverted lists of whole sets; a search finds the sets that reach the similarity."""
 
@@ -257,11 +236,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked1 = written(first.select("x", "y").distinct(), where, "asked-1")
 
     involved = live.select("rep").distinct()
-    marks = involved.mapInArrow(_mark, "part long, bits binary").groupBy("part").applyInPandas(_or, "part long, bits binary").collect()  # BITS at most
-    bits = np.zeros((BITS // 8 >> 16, 1 << 16), np.uint8)
-    for r in marks:
-        bits[r.part] = np.frombuffer(r.bits, np.uint8)
-    sets = base.mapInArrow(partial(_sets, size=size, wanted=spark.sparkContext.broadcast(bits.ravel())), "__id long, set binary")
+    sets = base.mapInArrow(partial(_sets, size=size, wanted=bit_table(involved, BITS)), "__id long, set binary")
     sets = written(sets.join(involved.withColumnRenamed("rep", "__id"), "__id").dropDuplicates(["__id", "set"]), where, "sets")
 
     own = asked1.select("x", F.col("x").alias("cx"), "y", F.col("y").alias("cy"))

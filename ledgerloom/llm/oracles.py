@@ -29,6 +29,19 @@ SELECT d.doc_id, coalesce(len(a), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIG
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """.replace("lower(text)", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 
+SUBSTRING_DEDUP = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS a FROM documents),
+w AS (SELECT doc_id, a, unnest(range(1, len(a) - 48)) AS p FROM d WHERE len(a) >= 50),
+k AS (SELECT doc_id, p, array_to_string(list_slice(a, p, p + 49), ' ') AS k FROM w),
+r AS (SELECT doc_id, p, doc_id > min(doc_id) OVER (PARTITION BY k) AS again FROM k),
+c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS q FROM r WHERE again),
+x AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS q, unnest(a) AS word FROM d),
+t AS (SELECT x.doc_id, count(c.q) AS n, string_agg(word, ' ' ORDER BY x.q) FILTER (WHERE c.q IS NULL) AS kept
+      FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.q = c.q GROUP BY x.doc_id)
+SELECT d.doc_id, len(a)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id
+"""
+
 EXACT_TOP_K = """
 WITH v AS (SELECT vec_id, [x > 0 FOR x IN embedding] AS c FROM embeddings WHERE len(embedding) > 0),
 d AS (SELECT q.vec_id, v.vec_id AS neighbor_id, list_sum([(z[1] <> z[2])::BIGINT FOR z IN list_zip(q.c, v.c)]) AS distance
@@ -37,4 +50,4 @@ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighb
 SELECT vec_id, rank, neighbor_id, distance::BIGINT AS distance FROM r WHERE rank <= 10
 """
 
-ORACLES = {"op1_line_dedup": LINE_DEDUP, "op7_decontaminate": DECONTAMINATE, "op9_exact_top_k": EXACT_TOP_K}
+ORACLES = {"op1_line_dedup": LINE_DEDUP, "op3_substring_dedup": SUBSTRING_DEDUP, "op7_decontaminate": DECONTAMINATE, "op9_exact_top_k": EXACT_TOP_K}

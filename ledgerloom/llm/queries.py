@@ -12,6 +12,7 @@ from .jaccard import jaccard_groups
 from .licenses import license_scan
 from .line_dedup import line_dedup
 from .packing import best_fit_packing
+from .substring_dedup import substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +38,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     out = language.held_out("doc_id", 4, 2)
@@ -83,4 +89,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op4_language_id, op5_best_fit_packing, op6_jaccard_join, op7_decontaminate, op8_lm_scoring, op9_exact_top_k, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_substring_dedup, op4_language_id, op5_best_fit_packing, op6_jaccard_join, op7_decontaminate, op8_lm_scoring, op9_exact_top_k, op10_quality_classifier)}
