@@ -54,3 +54,16 @@ def may_have(table: Broadcast, values: np.ndarray) -> np.ndarray:
     packed = table.value
     at = _bit(values.astype(np.int64), len(packed) * 8)
     return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _filter(batches: Iterator[pa.RecordBatch], table: Broadcast, column: str, inside: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column(column)
+        valid = np.asarray(ids.is_valid())
+        have = valid & may_have(table, np.asarray(ids.fill_null(0)))
+        yield batch.filter(pa.array(have if inside else ~have))
+
+
+def only(df: DataFrame, table: Broadcast, column: str, inside: bool) -> DataFrame:
+    """The rows whose integer `column` may be in the table, or (not inside) those where it cannot be; a null cannot."""
+    return df.mapInArrow(partial(_filter, table=table, column=column, inside=inside), df.schema)

@@ -30,22 +30,24 @@ def _flags(covered: Column, n: Column) -> Column:
     return F.rpad(F.array_join(runs, ""), n, "0")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
     """Remove every line covered by a later occurrence of a repeated window.
 
     Lines are the parts between newlines, compared as they are, blank ones too.
     Places are ordered by (id, position); of a window's places the first stays and
     all lines of the others go, windows that overlap being merged. Texts of fewer
     than `size` lines stay whole. The result has one row for each row of docs:
-    id, n_lines long, n_removed long, text (the kept lines, joined by newlines).
+    id, n_lines long, n_removed long, text (the kept lines, joined by newlines),
+    and the columns named in keep, as they are.
 
     Null text: no lines, text null. Empty text: one empty line. A null id is an id
     that comes first. Rows that repeat an id with the same text count as one
     document and all get its result; rows that repeat an id with other texts are
-    ordered by a hash of the text. Other columns of docs are not used; whatever
-    their names, they cannot clash.
+    ordered by a hash of the text. Other columns of docs are not used, and those
+    in keep not looked at; whatever their names, they cannot clash with inner ones.
     """
-    base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).withColumn("__th", F.xxhash64("__text"))
+    more = F.struct(*[F.col(c).alias(f"k{k}") for k, c in enumerate(keep)]) if keep else F.lit(0)
+    base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__th"), more.alias("__more"))
     windows = line_windows(base, size)
     place = F.struct("__id", "__th", "__pos")
     first = windows.groupBy("__h1", "__h2").agg(F.min(place).alias("__first"), F.max(place).alias("__last")).where("__first < __last")
@@ -61,4 +63,5 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.when(F.col("__text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.when(F.col("__c").isNull(), 0).otherwise(F.size("__c")).cast("long").alias("n_removed"),
         F.when(F.col("__c").isNull(), F.col("__text")).otherwise(F.array_join(kept, "\n")).alias(text_col),
+        *[F.col("__more").getField(f"k{k}").alias(c) for k, c in enumerate(keep)],
     )

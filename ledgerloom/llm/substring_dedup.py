@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bits import bit_table, may_have
+from .bits import bit_table, may_have, only
 from .common import SPACED, Words, blocks, cut_words, mixed, parts_for, shared_dir, window_hashes, written
 
 WINDOW, PHRASE = 50, 20
@@ -82,12 +82,6 @@ def _doc_phrases(batches: Iterator[pa.RecordBatch], known=None) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([_longs(m[at]), block.column("__id").take(pa.array(row[at]))], names=["m", "id"])
 
 
-def _only(batches: Iterator[pa.RecordBatch], ids, inside: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        have = may_have(ids, np.asarray(batch.column("__id").fill_null(0)))
-        yield batch.filter(pa.array(have & np.asarray(batch.column("__id").is_valid()) if inside else ~have | np.asarray(batch.column("__id").is_null())))
-
-
 def _pairs_in(of: np.ndarray, value: np.ndarray, pool_of: np.ndarray, pool_value: np.ndarray) -> np.ndarray:
     """Which (of, value) are among the pool's pairs."""
     mark = mixed(pool_value ^ mixed(pool_of.view(np.uint64) + np.uint64(1)))
@@ -267,7 +261,7 @@ def repeats(docs: DataFrame, where: str, id_col: str = "doc_id", text_col: str =
     known = bit_table(recurring, PHRASE_BITS)
     own = base.mapInArrow(partial(_doc_phrases, known=known), "m long, id long").join(recurring, "m").select(F.col("id").alias("pid"), F.col("m").alias("pm"))
     own = written(own.distinct(), where, "own")
-    some = base.mapInArrow(partial(_only, ids=bit_table(own.select("pid").distinct(), ID_BITS), inside=True), "__id long, __text string")
+    some = only(base, bit_table(own.select("pid").distinct(), ID_BITS), "__id", inside=True)
     some = some.select(block("__id").alias("qb"), F.col("__id").alias("id"), F.col("__text").alias("text"))
     own = own.select(block("pid").alias("pb"), "pid", "pm")
     segments = some.groupBy("qb").cogroup(own.groupBy("pb")).applyInArrow(_segments, "id long, start long, text binary")
@@ -301,8 +295,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = bit_table(spans.select("id").distinct(), ID_BITS)
     kind = dict(docs.select(id_col).dtypes)[id_col]
     base = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    ddl, out = "__id long, __text string", "__id long, n_words long, n_removed long, kept binary"
-    whole = base.mapInArrow(partial(_only, ids=ids, inside=False), ddl).mapInArrow(_kept, out)
+    out = "__id long, n_words long, n_removed long, kept binary"
+    whole = only(base, ids, "__id", inside=False).mapInArrow(_kept, out)
     listed = spans.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("__spans"))
-    cut = base.mapInArrow(partial(_only, ids=ids, inside=True), ddl).join(listed, F.col("__id") == F.col("id"), "left").select("__id", "__text", "__spans").mapInArrow(_kept, out)
+    cut = only(base, ids, "__id", inside=True).join(listed, F.col("__id") == F.col("id"), "left").select("__id", "__text", "__spans").mapInArrow(_kept, out)
     return whole.union(cut).select(F.col("__id").cast(kind).alias(id_col), "n_words", "n_removed", "kept")
