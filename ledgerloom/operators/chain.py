@@ -117,7 +117,7 @@ def confirm_groups(rows: DataFrame, by: list[str], order: list[str], most: int =
     open_ = F.filter("parts", lambda p: p["sign"].isNull())
     known = F.aggregate(F.filter("parts", lambda p: p["sign"].isNotNull()), F.lit(0).cast("decimal(28,2)"), lambda s, p: (s + p["amount"] * p["sign"]).cast("decimal(28,2)"))
     groups = groups.select(*by, "group_id", "before", "balance", known.alias("known"), open_.alias("open")).withColumn("need", F.col("balance") - F.col("before") - F.col("known"))
-    masks = F.sequence(F.lit(0), F.shiftleft(F.lit(1), F.least(F.size("open"), F.lit(most))) - 1)
+    masks = F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.least(F.size("open"), F.lit(most))) - 1)
     total = lambda m: F.aggregate(F.transform("open", lambda p, i: F.when(F.getbit(m, i) == 1, p["amount"]).otherwise(-p["amount"])), F.lit(0).cast("decimal(28,2)"), lambda s, a: (s + a).cast("decimal(28,2)"))
     ways = F.when(F.size("open") <= most, F.filter(masks, lambda m: total(m) == F.col("need"))).otherwise(F.array().cast("array<int>"))
     groups = groups.withColumn("ways", ways)
