@@ -23,6 +23,8 @@ from ledgerloom.llm.jaccard import jaccard_groups
 from ledgerloom.llm.line_dedup import line_dedup
 from ledgerloom.llm.packing import best_fit_packing
 
+#: Words of a shingle, and the least similarity in per cent, of near duplicates.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 SUSPECT_BITS = 1 << 23
 
 
@@ -46,7 +48,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of similar ones, that of the smallest id; null ids stay."""
     where = shared_dir(spark)
-    groups = written(jaccard_groups(docs).where("doc_id is not null"), where, "groups")
+    groups = written(jaccard_groups(docs, size=NEAR_SHINGLE, percent=NEAR_PERCENT).where("doc_id is not null"), where, "groups")
     per_id = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component_id"))
     doubtful = written(per_id.where("n > 1 or doc_id <> component_id"), where, "doubtful")
     bits = bit_table(doubtful.select(F.col("doc_id").cast("long")), SUSPECT_BITS)
