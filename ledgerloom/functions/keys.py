@@ -48,3 +48,18 @@ def with_row_keys(rows: DataFrame, order: list[str]) -> DataFrame:
     base = rows.withColumn("base_key", row_key(*fields, F.lit(0)))
     same = Window.partitionBy("base_key").orderBy(*order)
     return base.withColumn("occurrence", F.row_number().over(same) - 1).withColumn("row_key", row_key(*fields, c("occurrence"))).drop("base_key")
+
+
+def statement_id(source_file: Column) -> Column:
+    """The same statement under any name: the 12 hex digits of a stored file and its '(statement 2 of 3)'; other names as they are."""
+    head = F.regexp_extract(source_file, r"^([0-9a-f]{12})_", 1)
+    return F.when(head != "", F.concat(head, F.regexp_extract(source_file, r"(\(statement \d+ of \d+\))$", 1))).otherwise(source_file)
+
+
+def ledger_name(client: Column, account: Column, source_file: Column) -> Column:
+    """Where a row's ledger is kept: one for each account; without a number, one for each source, so that nothing is mixed."""
+    who = F.nullif(F.coalesce(F.nullif(client, F.lit("UNMAPPED_CLIENT")), F.lit("")), F.lit(""))
+    stem = F.regexp_replace(source_file, r"\.[^.]*$", "")
+    known = F.coalesce(F.concat(who, F.lit(" ("), account, F.lit(")")), F.concat(F.lit("Account "), account))
+    name = F.when(F.coalesce(account, F.lit("")) != "", known).otherwise(F.concat(F.coalesce(who, F.lit("Unknown account")), F.lit(" - "), stem))
+    return F.trim(F.regexp_replace(name, r'[<>:"/\\|?*]', "_"))

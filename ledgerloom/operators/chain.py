@@ -98,19 +98,21 @@ def opening_closing(rows: DataFrame, by: list[str], order: list[str]) -> DataFra
     return out.select(*by, (F.col("s") + F.col("e")).cast("decimal(18,2)").alias("opening"), "closing")
 
 
-def confirm_groups(rows: DataFrame, by: list[str], order: list[str], most: int = 10) -> DataFrame:
+def confirm_groups(rows: DataFrame, by: list[str], order: list[str], most: int = 10, opening: str | None = None) -> DataFrame:
     """Signs of amounts that a sheet doesn't say, by the next printed balance.
 
     rows: amount (0 or more), sign (1, -1 or null), balance. Rows without a balance
     wait for the next one; the group is confirmed together: of all ways to give the
     unknown signs, one alone must lead from the balance before to this one. Adds
     group_id, fits (how many ways do) and resolved_sign; more than `most` unknown
-    signs are a misfit (fits 0). The search is an expression over 2^unknown masks,
+    signs are a misfit (fits 0). Before the first printed balance stands that of
+    the column `opening`, if there is one. The search is an expression over 2^unknown masks,
     bounded by `most`.
     """
     w = Window.partitionBy(*by).orderBy(*order)
     rows = rows.withColumn("group_id", F.count("balance").over(_before(by, order)).cast("bigint"))
     before = F.last("balance", ignorenulls=True).over(_before(by, order))
+    before = F.coalesce(before, opening) if opening else before
     rows = rows.withColumn("__before", before).withColumn("__pos", F.row_number().over(w))
     parts = F.array_sort(F.collect_list(F.struct(F.col("__pos").alias("pos"), F.col("amount").cast("decimal(18,2)").alias("amount"), F.col("sign").cast("int").alias("sign"))))
     groups = rows.groupBy(*by, "group_id").agg(parts.alias("parts"), F.min_by("__before", "__pos").alias("before"), F.max("balance").alias("balance"))

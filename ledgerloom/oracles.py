@@ -388,6 +388,78 @@ SELECT account, 2 * row_number() OVER w AS seq, date::VARCHAR AS day, descriptio
 FROM r WINDOW w AS (PARTITION BY account ORDER BY date, seq)
 """
 
+#: Rows with a way and a balance of their own, as printed.
+_PRINTED = """
+r AS (SELECT * FROM ledger WHERE unassigned IS NULL AND balance IS NOT NULL AND seq % 101 <> 0),
+pr AS (SELECT account, row_number() OVER w AS line_no, date, month, description, debit, credit, category, vat, (sum(net) OVER w)::BIGINT AS b
+       FROM r WINDOW w AS (PARTITION BY account ORDER BY date, seq))
+"""
+UNKNOWN_LAYOUTS = f"""
+WITH {LEDGER}, {_PRINTED}
+SELECT account, 2 * line_no AS seq, date::VARCHAR AS day, description, debit, credit, NULL::BIGINT AS unassigned, b AS balance, true AS confirmed FROM pr
+"""
+STATEMENT_STYLES = f"""
+WITH {LEDGER}, {_PRINTED}, s AS (SELECT account, account::INT % 5 AS k, max(greatest(coalesce(debit, credit), abs(b))) AS most,
+  count(*) FILTER (day(date) > 12) AS days FROM pr GROUP BY account)
+SELECT account, CASE WHEN k = 1 THEN ',' ELSE '.' END AS decimal, k = 2 AND most >= 100000 AS spaced,
+       CASE k WHEN 1 THEN 'ymd' WHEN 2 THEN 'd_mon_y' WHEN 4 THEN 'mon_d_y' ELSE 'dmy' END AS kind, false AS month_first FROM s
+"""
+STATEMENT_LEDGER = f"""
+WITH {LEDGER}, {_PRINTED}, s AS (SELECT account, sum(debit) AS d FROM pr GROUP BY account)
+SELECT account AS statement_id, '62' || lpad(account, 9, '0') AS account, 2 * (line_no + 9) AS seq, date::VARCHAR AS day, month, description, debit, credit, NULL::BIGINT AS unassigned, b AS balance,
+       category, vat, CASE WHEN account::INT % 5 = 0 THEN 'REVIEW_REQUIRED' ELSE 'APPROVED' END AS status, CASE WHEN account::INT % 5 = 0 THEN 'statement_unreconciled' ELSE '' END AS reasons
+FROM pr
+"""
+SHEET_ROWS = f"""
+WITH {LEDGER},
+so AS (SELECT * FROM ledger WHERE unassigned IS NULL),
+p AS (SELECT account, seq, row_number() OVER w AS row_no, date, description, seq % 97 = 0 AS bad, seq % 89 = 0 AS blot, coalesce(credit, debit) AS size,
+             CASE WHEN seq % 4 = 0 THEN CASE WHEN credit IS NOT NULL THEN 1 ELSE -1 END END AS sign,
+             CASE WHEN seq % 89 <> 0 AND seq % 3 <> 0 THEN (sum(net) OVER w)::BIGINT END AS bal,
+             CASE WHEN account::INT % 6 <> 0 THEN 0 END AS opening
+      FROM so WINDOW w AS (PARTITION BY account ORDER BY date, seq)),
+g AS (SELECT *, sum(CASE WHEN bad OR blot THEN 1 ELSE 0 END) OVER (PARTITION BY account ORDER BY row_no) AS segment FROM p),
+h AS (SELECT *, count(bal) OVER b AS grp, coalesce(last_value(bal IGNORE NULLS) OVER b, CASE WHEN segment = 0 THEN opening END) AS before
+      FROM g WINDOW b AS (PARTITION BY account, segment ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+n AS (SELECT *, CASE WHEN bad THEN 0 ELSE size END AS amount, CASE WHEN bad THEN 1 ELSE sign END AS way,
+             row_number() OVER (PARTITION BY account, segment, grp, (CASE WHEN bad THEN 1 ELSE sign END) IS NULL ORDER BY row_no) - 1 AS bit FROM h),
+q AS (SELECT account, segment, grp, max(before) AS before, max(bal) AS until, max(bal) - max(before) - coalesce(sum(amount * way), 0) AS need, count(*) FILTER (way IS NULL) AS unknown FROM n GROUP BY account, segment, grp),
+m AS (SELECT account, segment, grp, need, unnest(range(0, 1 << unknown::INT)) AS mask FROM q WHERE unknown <= 10),
+t AS (SELECT m.account, m.segment, m.grp, mask, need, coalesce(sum(CASE WHEN (mask >> bit::INT) & 1 = 1 THEN amount ELSE -amount END), 0) AS total
+      FROM m LEFT JOIN n ON n.account = m.account AND n.segment = m.segment AND n.grp = m.grp AND n.way IS NULL GROUP BY m.account, m.segment, m.grp, mask, need),
+f AS (SELECT account, segment, grp, count(*) FILTER (total = need) AS fits, max(mask) FILTER (total = need) AS fit FROM t GROUP BY account, segment, grp),
+c AS (SELECT n.*, CASE WHEN bad THEN 'amount_unreadable' WHEN blot THEN 'balance_unreadable' WHEN fits = 1 THEN '' WHEN q.before IS NULL THEN 'no_earlier_balance'
+                       WHEN until IS NULL THEN 'no_later_balance' WHEN fits > 1 THEN 'ambiguous' ELSE 'does_not_follow' END AS "check", fit
+      FROM n JOIN q USING (account, segment, grp) LEFT JOIN f USING (account, segment, grp)),
+d AS (SELECT *, CASE WHEN bad THEN NULL ELSE size END AS shown,
+             CASE WHEN "check" = '' THEN coalesce(way, CASE WHEN (fit >> bit::INT) & 1 = 1 THEN 1 ELSE -1 END) ELSE sign END AS dir FROM c)
+SELECT account, row_no AS seq, date::VARCHAR AS day, description, CASE WHEN dir = -1 THEN shown END AS debit, CASE WHEN dir = 1 THEN shown END AS credit,
+       CASE WHEN dir IS NULL THEN shown END AS unassigned, bal AS balance, "check" FROM d
+"""
+WORD_LINES = """
+WITH p AS (SELECT p_partkey // 40 AS page, p_partkey % 40 AS line, p_name FROM part)
+SELECT page, row_number() OVER (PARTITION BY page ORDER BY line) AS line_no, p_name AS text FROM p
+"""
+PRINTED_FIGURES = """
+SELECT o_orderkey, 5::BIGINT AS n, 5 * round(o_totalprice * 100)::BIGINT AS total, '? -1 -1 -1 1' AS signs FROM orders
+"""
+LEDGER_NAMES = """
+WITH c AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN ' (statement 2 of 3)' ELSE '' END AS part, substr(sha256(c_name), 1, 12) AS h,
+                  CASE WHEN c_custkey % 5 <> 0 THEN c_custkey::VARCHAR END AS a, CASE WHEN c_custkey % 7 <> 0 THEN 'A_B ' || c_mktsegment END AS who FROM customer)
+SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN h || ltrim(part) ELSE c_name || '.pdf' END AS statement_id,
+       CASE WHEN a IS NOT NULL THEN coalesce(who || ' (' || a || ')', 'Account ' || a)
+            ELSE coalesce(who, 'Unknown account') || ' - ' || CASE WHEN c_custkey % 2 = 0 THEN h || '_' ELSE '' END || c_name END AS ledger FROM c
+"""
+SESSION_STATS = f"""
+WITH {LEDGER}
+SELECT (SELECT count(*) FROM (SELECT DISTINCT account, month FROM ledger)) AS statements, count(*) AS rows, count(DISTINCT account) AS accounts, count(*) FILTER (status = 'REVIEW_REQUIRED') AS to_review,
+       coalesce(sum(CASE WHEN vat = 'Yes' THEN {_vat("abs(signed)")} END), 0)::BIGINT AS vat FROM ledger
+"""
+DOMINANT_CATEGORY = f"""
+WITH {LEDGER}, n AS (SELECT account, category, count(*) AS n FROM ledger GROUP BY account, category)
+SELECT account, category FROM n QUALIFY row_number() OVER (PARTITION BY account ORDER BY n DESC, category) = 1
+"""
+
 ORACLES = {
     "monthly_summary": MONTHLY_SUMMARY,
     "monthly_total_rollup": MONTHLY_TOTAL_ROLLUP,
@@ -433,4 +505,13 @@ ORACLES = {
     "choose_reading": CHOOSE_READING,
     "compare_readings": COMPARE_READINGS,
     "read_lines": READ_LINES,
+    "unknown_layouts": UNKNOWN_LAYOUTS,
+    "statement_styles": STATEMENT_STYLES,
+    "statement_ledger": STATEMENT_LEDGER,
+    "sheet_rows": SHEET_ROWS,
+    "word_lines": WORD_LINES,
+    "printed_figures": PRINTED_FIGURES,
+    "ledger_names": LEDGER_NAMES,
+    "session_stats": SESSION_STATS,
+    "dominant_category": DOMINANT_CATEGORY,
 }

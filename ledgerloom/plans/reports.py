@@ -206,3 +206,32 @@ def review_lines(rows: DataFrame, statements: DataFrame, by: list[str]) -> DataF
     n = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("status") == REVIEW).alias("rows_to_review"))
     figures = ["opening", "total_credits", "total_debits", "computed_closing", "last_balance", "printed_closing_used", "status", "issues"]
     return statements.select(*by, *figures).join(n, by, "left")
+
+
+def session_stats(rows: DataFrame, statements: DataFrame) -> DataFrame:
+    """One row over everything: statements, rows, accounts, rows to review, and the VAT in what is marked Yes, without its sign."""
+    yes = F.when((F.col("vat") == "Yes") & F.col("type").isin(INCOME, EXPENSE), vat_of(F.abs(signed().cast(MONEY))))
+    sums = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("account").alias("accounts"), F.count_if(F.col("status") == REVIEW).alias("to_review"), F.coalesce(F.sum(yes), F.lit(0)).cast("decimal(28,10)").alias("vat"))
+    return sums.crossJoin(statements.agg(F.count(F.lit(1)).alias("statements")))  # two tables of one row
+
+
+def dominant(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """(by, column): the value that most rows of each group have; the first in order of equal ones."""
+    n = rows.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy(*by).agg(F.min_by(column, F.struct(-F.col("n"), F.col(column))).alias(column))
+
+
+def run_stats(files: DataFrame, registry: DataFrame, added: DataFrame) -> DataFrame:
+    """One row on an ingestion: files seen, new, known before, and rows added."""
+    keys = ["source_id", "content_hash"]
+    seen = files.select(*keys).join(registry.select(*keys, F.lit(1).alias("known")).distinct(), keys, "left")
+    counts = seen.agg(F.count(F.lit(1)).alias("files"), F.count("known").alias("skipped"))
+    return counts.withColumn("processed", F.col("files") - F.col("skipped")).crossJoin(added.agg(F.count(F.lit(1)).alias("rows_added")))  # two tables of one row
+
+
+def write_reports(reports: dict[str, DataFrame], folder: str, kind: str = "parquet") -> list[str]:
+    """Each report as a folder of files of its own; kind is any format of Spark's writers without nested columns."""
+    for name, df in reports.items():
+        out = df.write.mode("overwrite").format(kind)
+        (out.option("header", "true") if kind == "csv" else out).save(f"{folder.rstrip('/')}/{name}")
+    return sorted(reports)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import dates, money, text
+from .functions import dates, figures, keys, money, text
 from .functions.keys import with_row_keys
 from .functions.money import cents
-from .operators import assess, chain, ingest, learn, lifecycle, lines, rules
-from .plans import periods, reports
+from .operators import assess, chain, ingest, layout, learn, lifecycle, lines, rules, sheets
+from .plans import periods, reports, statements
 from .sources.demo import BY, CATEGORIES, ORDER, order_ledger
 
 
@@ -312,19 +312,156 @@ def compare_readings(spark, sf):
     return assess.compare_readings(rows, second, BY, ["date", "seq"], ["date", "debit", "credit"]).select("account", "seq", "agreed")
 
 
-def read_lines(spark, sf):
-    """Statements printed from orders and read back: rows, ways and balances as they were."""
+def _shown(c):
+    """A figure as statements print it, thousands by commas."""
+    return F.concat(F.when(c < 0, "-").otherwise(""), F.format_number(F.floor(F.abs(c)).cast("bigint"), 0), F.lit("."), F.lpad((cents(F.abs(c)) % 100).cast("string"), 2, "0"))
+
+
+def _printable(spark, sf):
+    """Rows with a way and a balance of their own, numbered, with the running balance b."""
     o = order_ledger(spark, sf).where("unassigned is null and balance is not null and seq % 101 <> 0")
     zero = F.lit(0).cast("decimal(18,2)")
     w = Window.partitionBy("account").orderBy(*ORDER)
     o = o.withColumn("b", F.sum(F.coalesce("credit", zero) - F.coalesce("debit", zero)).over(w).cast("decimal(18,2)"))
-    shown = lambda c: F.concat(F.when(c < 0, "-").otherwise(""), F.format_number(F.floor(F.abs(c)).cast("bigint"), 0), F.lit("."), F.lpad((cents(F.abs(c)) % 100).cast("string"), 2, "0"))
-    printed = o.select("account", (F.row_number().over(w)).alias("line_no"), F.concat_ws(" ", F.date_format("date", "dd/MM/yyyy"), "description", shown(F.coalesce("credit", "debit")), shown(F.col("b"))).alias("text"))
+    return o.withColumn("line_no", F.row_number().over(w))
+
+
+def read_lines(spark, sf):
+    """Statements printed from orders and read back: rows, ways and balances as they were."""
+    o = _printable(spark, sf)
+    printed = o.select("account", "line_no", F.concat_ws(" ", F.date_format("date", "dd/MM/yyyy"), "description", _shown(F.coalesce("credit", "debit")), _shown(F.col("b"))).alias("text"))
     head = o.select("account").distinct().select("account", F.lit(0).alias("line_no"), F.lit("Opening Balance: 0.00").alias("text"))
     rows, _ = lines.read_lines(printed.unionByName(head), lines.LineFormat(), BY)
     return rows.select("account", "seq", F.col("date").cast("string").alias("day"), "description", *_c("debit", "credit", "unassigned", "balance"))
 
 
+def _layouts(spark, sf):
+    """Statements in five layouts: points or commas, blanks in thousands, marks, fees, a column after the balance, dates in words or without a year."""
+    o = _printable(spark, sf).withColumn("k", F.col("account").cast("int") % 5).withColumn("a", F.coalesce("credit", "debit"))
+    plain = lambda c: _shown(F.abs(c))
+    comma = lambda c: F.translate(plain(c), ",.", ".,")
+    blank = lambda c: F.translate(plain(c), ",", " ")
+    minus = lambda c: F.concat(plain(c), F.when(c < 0, "-").otherwise(""))
+    bracket = lambda shown, c: F.when(c < 0, F.concat(F.lit("("), shown, F.lit(")"))).otherwise(shown)
+    marked = lambda c: F.concat(plain(c), F.when(c < 0, " Dr").otherwise(" Cr"))
+    b = F.col("b")
+    text_of = (
+        F.when(F.col("k") == 0, F.concat_ws(" ", F.date_format("date", "dd/MM/yyyy"), "description", plain(F.col("a")), minus(b)))
+        .when(F.col("k") == 1, F.concat_ws("  ", F.date_format("date", "yyyy-MM-dd"), "description", comma(F.col("a")), bracket(comma(b), b)))
+        .when(F.col("k") == 2, F.concat_ws("  ", F.date_format("date", "d MMM yyyy"), "description", F.concat(F.lit("R"), blank(F.col("a"))), bracket(blank(b), b)))
+        .when(F.col("k") == 3, F.concat_ws(" ", F.date_format("date", "dd.MM.yyyy"), "description", plain(F.col("a")), marked(b), F.lit("3.00")))
+        .otherwise(F.concat_ws(" ", F.date_format("date", "MMM d, yyyy"), "description", F.concat(plain(F.col("a")), F.when(F.col("credit").isNotNull(), "Cr").otherwise("")), marked(b)))
+    )
+    printed = o.select("account", F.col("line_no").cast("bigint").alias("line_no"), text_of.alias("text"))
+    k = F.col("account").cast("int") % 5
+    head = o.select("account").distinct().select("account", F.lit(0).cast("bigint").alias("line_no"), F.concat(F.lit("Opening Balance: "), F.when(k == 1, "0,00").otherwise("0.00")).alias("text"))
+    return printed.unionByName(head)
+
+
+def unknown_layouts(spark, sf):
+    """The statements of five layouts read back without being told them."""
+    rows, _ = layout.read_unknown(_layouts(spark, sf), BY)
+    return rows.select("account", "seq", F.col("date").cast("string").alias("day"), "description", *_c("debit", "credit", "unassigned", "balance"), "confirmed")
+
+
+def statement_styles(spark, sf):
+    """How each of those statements prints figures and dates."""
+    return layout.statement_styles(_layouts(spark, sf), BY)
+
+
+def statement_ledger(spark, sf):
+    """Whole statements, with what they print about themselves, as a checked ledger; every 5th prints a wrong total."""
+    o = _printable(spark, sf)
+    zero = F.lit(0).cast("decimal(18,2)")
+    w = Window.partitionBy("account")
+    n = F.count(F.lit(1)).over(w)
+    sums = o.select("account", "line_no", "date", "description", "debit", "credit", "b", n.alias("n"))
+    printed = sums.select("account", (F.col("line_no") + 9).cast("bigint").alias("line_no"), F.concat_ws(" ", F.date_format("date", "dd/MM/yyyy"), "description", _shown(F.coalesce("credit", "debit")), _shown(F.col("b"))).alias("text"))
+    s = sums.groupBy("account").agg(F.coalesce(F.sum("debit"), zero).alias("d"), F.coalesce(F.sum("credit"), zero).alias("c"), F.max_by("b", "line_no").alias("last"), F.min("date").alias("lo"), F.max("date").alias("hi"))
+    wrong = F.when(F.col("account").cast("int") % 5 == 0, 1).otherwise(0)
+    about = F.array(
+        F.concat(F.lit("Account Number: 62"), F.lpad("account", 9, "0")),
+        F.concat(F.lit("Statement Period: "), F.date_format("lo", "dd/MM/yyyy"), F.lit(" to "), F.date_format("hi", "dd/MM/yyyy")),
+        F.concat(F.lit("Total Debits: "), _shown(F.col("d") + wrong)),
+        F.concat(F.lit("Total Credits: "), _shown(F.col("c"))),
+        F.concat(F.lit("Closing Balance: "), _shown(F.col("last"))),
+        F.lit("Opening Balance: 0.00"),
+    )
+    head = s.select("account", F.posexplode(about).alias("line_no", "text")).withColumn("line_no", F.col("line_no").cast("bigint"))
+    every = printed.unionByName(head).withColumnRenamed("account", "statement")
+    ledger, _ = statements.process_statements(every, [lines.LineFormat()], CATEGORIES, ["statement"])
+    return ledger.select("statement_id", "account", "seq", F.col("date").cast("string").alias("day"), "month", "description", *_c("debit", "credit", "unassigned", "balance"), "category", "vat", "status", F.array_join("reasons", ";").alias("reasons"))
+
+
+def _sheet(spark, sf):
+    """Orders as text cells of sheets: signs unsaid in three of four, balances printed in two of three, some cells spoilt."""
+    o = order_ledger(spark, sf).where("unassigned is null")
+    zero = F.lit(0).cast("decimal(18,2)")
+    w = Window.partitionBy("account").orderBy(*ORDER)
+    o = o.withColumn("b", F.sum(F.coalesce("credit", zero) - F.coalesce("debit", zero)).over(w).cast("decimal(18,2)")).withColumn("row_no", F.row_number().over(w).cast("bigint"))
+    amount = F.coalesce("credit", "debit").cast("string")
+    none = F.lit(None).cast("string")
+    cells = o.select(
+        "account", "row_no", F.date_format("date", "yyyy-MM-dd").alias("date"), "description",
+        none.alias("debit"), none.alias("credit"),
+        F.when(F.col("seq") % 97 == 0, "illegible").otherwise(amount).alias("amount"),
+        F.when(F.col("seq") % 4 == 0, F.when(F.col("credit").isNotNull(), "Cr").otherwise("DR")).alias("type"),
+        F.when(F.col("seq") % 89 == 0, "?").when(F.col("seq") % 3 != 0, F.col("b").cast("string")).alias("balance"),
+    )
+    return cells
+
+
+def sheet_rows(spark, sf):
+    """Sheets read back: each group of rows up to a printed balance confirmed by it, or marked with why not."""
+    head = order_ledger(spark, sf).select("account").distinct().select("account", F.when(F.col("account").cast("int") % 6 != 0, F.lit(0)).cast("decimal(18,2)").alias("opening"))
+    out = sheets.sheet_transactions(_sheet(spark, sf), BY, opening=head)
+    return out.select("account", "seq", F.col("date").cast("string").alias("day"), "description", *_c("debit", "credit", "unassigned", "balance"), "check")
+
+
+def word_lines(spark, sf):
+    """Words with boxes, a part's name a line, put together again."""
+    p = _read(spark, sf, "part").select(F.floor(F.col("p_partkey") / 40).cast("bigint").alias("page"), (F.col("p_partkey") % 40).alias("line"), F.posexplode(F.split("p_name", " ")).alias("k", "text"))
+    y = F.col("line") * 14.0 + (F.col("k") % 3) * 0.5
+    words = p.select("page", (F.col("k") * 40.0).alias("x0"), y.alias("y0"), (F.col("k") * 40.0 + 30).alias("x1"), (y + 10).alias("y1"), "text")
+    return sheets.lines_from_words(words, ["page"])
+
+
+def printed_figures(spark, sf):
+    """The figures of a line in four styles: how many, their sum and their signs."""
+    o = _read(spark, sf, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("c"))
+    amount = money.from_cents(F.col("c"))
+    shown = _shown(amount)
+    k = F.col("o_orderkey") % 4
+    texts = (shown, F.translate(shown, ",.", ".,"), F.translate(shown, ",", " "), F.translate(shown, ",.", " ,"))
+    line = lambda t: F.concat(F.lit("12/03/2024 ref 12.345 at 10:15 paid "), t, F.lit(" ("), t, F.lit(") R"), t, F.lit("Dr 15.5% -"), t, F.lit(" end "), t, F.lit("Cr"))
+    found = None
+    for i, (t, (d, s)) in enumerate(zip(texts, figures.STYLES, strict=True)):
+        got = figures.figures(line(t), d, s)
+        found = F.when(k == i, got) if found is None else found.when(k == i, got)
+    out = o.withColumn("f", found)
+    total = F.aggregate("f", F.lit(0).cast("bigint"), lambda n, f: n + cents(f["value"]))
+    return out.select("o_orderkey", F.size("f").cast("bigint").alias("n"), total.alias("total"), F.array_join(F.transform("f", lambda f: F.coalesce(f["sign"].cast("string"), F.lit("?"))), " ").alias("signs"))
+
+
+def ledger_names(spark, sf):
+    """Ids of statements and names of ledgers from file names."""
+    c = _read(spark, sf, "customer")
+    part = F.when(F.col("c_custkey") % 3 == 0, " (statement 2 of 3)").otherwise("")
+    stored = F.concat(F.substring(F.sha2(F.col("c_name").cast("binary"), 256), 1, 12), F.lit("_"), "c_name", F.lit(".pdf"), part)
+    name = F.when(F.col("c_custkey") % 2 == 0, stored).otherwise(F.concat("c_name", F.lit(".pdf")))
+    c = c.select("c_custkey", name.alias("f"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_custkey").cast("string")).alias("a"), F.when(F.col("c_custkey") % 7 == 0, "UNMAPPED_CLIENT").otherwise(F.concat(F.lit("A/B "), "c_mktsegment")).alias("who"))
+    return c.select("c_custkey", keys.statement_id(F.col("f")).alias("statement_id"), keys.ledger_name(F.col("who"), F.col("a"), F.col("f")).alias("ledger"))
+
+
+def session_stats(spark, sf):
+    rows = order_ledger(spark, sf)
+    return reports.session_stats(rows, rows.select("account", "month").distinct()).select("statements", "rows", "accounts", "to_review", _exact("vat"))
+
+
+def dominant_category(spark, sf):
+    return reports.dominant(order_ledger(spark, sf), "category", BY)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -333,6 +470,7 @@ QUERIES = {
         vat_by_month, vat_return, vat_summary, vat_net_lineitem, month_vat_sheet, period_summary, vat_periods_ab, overview, money_chart,
         categorize_first_match, report_categories, row_key_dedup, file_registry, mixed_accounts, parse_amount_formats, parse_date_formats,
         fiscal_calendar, same_words, telling_words, garbled_figures, rand_format, learned_category, category_lifecycle, assess_rows,
-        assess_statements, choose_reading, compare_readings, read_lines,
+        assess_statements, choose_reading, compare_readings, read_lines, unknown_layouts, statement_styles, statement_ledger, sheet_rows, word_lines, printed_figures, ledger_names,
+        session_stats, dominant_category,
     )
 }
