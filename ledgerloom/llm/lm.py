@@ -43,10 +43,12 @@ def _sequences(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packed(shard: np.ndarray, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of the sorted keys, a row a shard."""
+    """Rows of the sorted keys, a row a shard; none without keys."""
+    if not len(shard):
+        return
     order = np.argsort(shard, kind="stable")
     shard, keys, n = shard[order], keys[order], n[order]
-    cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
     for a, b in zip(cut, [*cut[1:], len(shard)], strict=True):
         yield pa.RecordBatch.from_pydict({"shard": [int(shard[a])], "keys": [pack_sorted(keys[a:b])], "counts": [pack_counts(n[a:b])]}, schema=_ROWS)
 
@@ -145,7 +147,9 @@ class Model:
 
 
 def _runs(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else []
+    if not len(shard):
+        return
+    cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
     for a, b in zip(cut, [*cut[1:], len(shard)], strict=True):
         yield int(shard[a]), int(a), int(b)
 
