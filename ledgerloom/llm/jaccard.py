@@ -24,12 +24,12 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bits import bit_table, may_have
+from .bits import bit_table, only
 from .common import SPACED_LOWER, Words, blocks, cut_words, mixed, parts_for, shared_dir, window_hashes, written
 from .components import components
 
@@ -37,7 +37,7 @@ SHINGLE, PERCENT = 4, 85
 SLOTS = 1 << 22
 LOCAL = 3
 INDEX_ROWS, QUERY_ROWS = 1000, 2000
-BITS = 1 << 23
+BITS = 1 << 25
 _MU = 0.01
 
 
@@ -113,16 +113,12 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, classe
         yield pa.RecordBatch.from_arrays([block.column("__id"), pa.array(n), pa.array(sig[0]), pa.array(sig[1]), pa.array(strict), keys], names=["__id", "n", "s1", "s2", "strict", "keys"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int, wanted) -> Iterator[pa.RecordBatch]:
-    """(id, set) of the documents that may be wanted."""
-    for batch in batches:
-        ids = np.array(batch.column("__id").fill_null(-1))
-        batch = batch.filter(pa.array(may_have(wanted, ids)))
-        for block in blocks(iter([batch]), "__text"):
-            h, rows = shingles(cut_words(block.column("__text"), SPACED_LOWER), size)
-            data = h.view(np.uint8)
-            cells = pa.Array.from_buffers(pa.binary(), len(rows) - 1, [None, pa.py_buffer((rows * 8).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
-            yield pa.RecordBatch.from_arrays([block.column("__id"), cells], names=["__id", "set"])
+def _sets_of(texts: pa.ChunkedArray, size: int) -> Iterator[np.ndarray]:
+    """Each text's set."""
+    for block in blocks(iter(pa.table({"__text": texts}).combine_chunks().to_batches()), "__text"):
+        h, rows = shingles(cut_words(block.column("__text"), SPACED_LOWER), size)
+        for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
+            yield h[a:b]
 
 
 class Inverted:
@@ -169,32 +165,39 @@ class Inverted:
         return found
 
 
-def _verify(asked: pd.DataFrame, index: pd.DataFrame, percent: int) -> pd.DataFrame:
-    sets = [np.frombuffer(x, np.uint64) for x in index["iset"]]
-    lists, ids, comps = Inverted(sets, percent), index["x"].to_numpy(), index["cx"].to_numpy()
+def _verify(block: pa.Table, size: int, percent: int) -> pa.Table:
+    """(a, b) of the block's links; rows with `asked` are queries, the others its index."""
+    index, asked = (block.filter(c) for c in (pc.invert(block.column("asked")), block.column("asked")))
+    lists = Inverted([x.copy() for x in _sets_of(index.column("text"), size)], percent)
+    ids, comps = (np.asarray(index.column(c).combine_chunks()) for c in ("id", "c"))
     a, b = [], []
-    for y, cy, raw in zip(asked["y"], asked["cy"], asked["qset"], strict=True):
-        rows = lists.search(np.frombuffer(raw, np.uint64))
+    queries = zip(asked.column("id").to_pylist(), asked.column("c").to_pylist(), _sets_of(asked.column("text"), size), strict=True)
+    for y, cy, query in queries:
+        rows = lists.search(query)
         rows = rows[comps[rows] != cy]
         # One link to each other component is as good as all.
         rows = rows[np.unique(comps[rows], return_index=True)[1]]
         a += ids[rows].tolist()
         b += [y] * len(rows)
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
 
+def _links(pairs: DataFrame, base: DataFrame, size: int, percent: int) -> DataFrame:
+    """The links (a, b) among pairs (x, cx, y, cy): those asked for, or others that join the same components.
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links (a, b) among pairs (x, cx, y, cy): those asked for, or others that join the same components."""
+    Texts travel, not sets, which are three times as large; only those asked for do.
+    """
     n = pairs.select("x").distinct().count()
-    block = F.pmod(F.xxhash64("x"), F.lit(parts_for(n, INDEX_ROWS)))
-    pairs = pairs.withColumn("__b", block)
+    pairs = pairs.withColumn("__b", F.pmod(F.xxhash64("x"), F.lit(parts_for(n, INDEX_ROWS))))
     asked = pairs.select("__b", "y", "cy").distinct()
     salts = asked.groupBy("__b").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).alias("__n"))
-    index = pairs.select("__b", "x", "cx").distinct().join(sets.withColumnRenamed("__id", "x"), "x").join(salts, "__b").withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
-    asked = asked.join(sets.withColumnRenamed("__id", "y"), "y").join(salts, "__b").withColumn("__s", F.pmod(F.xxhash64("y"), F.col("__n")))
-    index = index.select(F.col("__b").alias("ib"), F.col("__s").alias("is"), F.col("x").alias("x"), F.col("cx").alias("cx"), F.col("set").alias("iset"))
-    asked = asked.select(F.col("__b").alias("qb"), F.col("__s").alias("qs"), F.col("y").alias("y"), F.col("cy").alias("cy"), F.col("set").alias("qset"))
-    return asked.groupBy("qb", "qs").cogroup(index.groupBy("ib", "is")).applyInPandas(lambda q, i: _verify(q, i, percent), "a long, b long")
+    index = pairs.select("__b", "x", "cx").distinct().join(salts, "__b")
+    index = index.select("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("__s"), F.lit(False).alias("asked"), F.col("x").alias("id"), F.col("cx").alias("c"))
+    asked = asked.join(salts, "__b").select("__b", F.pmod(F.xxhash64("y"), F.col("__n")).alias("__s"), F.lit(True).alias("asked"), F.col("y").alias("id"), F.col("cy").alias("c"))
+    both = pairs.select(F.col("x").alias("id")).union(pairs.select("y"))
+    texts = only(base, bit_table(both, BITS), "__id", inside=True).select(F.col("__id").alias("id"), F.col("__text").alias("text"))
+    sent = index.union(asked).join(texts, "id")
+    return sent.groupBy("__b", "__s").applyInArrow(lambda t: _verify(t, size, percent), "a long, b long")
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -235,12 +238,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = live.select(F.col("lead.rep").alias("x"), F.col("lead.p").alias("q"), F.col("rep").alias("y"), "p").where(F.col("x") != F.col("y")).where(fits("q", "p"))
     asked1 = written(first.select("x", "y").distinct(), where, "asked-1")
 
-    involved = live.select("rep").distinct()
-    sets = base.mapInArrow(partial(_sets, size=size, wanted=bit_table(involved, BITS)), "__id long, set binary")
-    sets = written(sets.join(involved.withColumnRenamed("rep", "__id"), "__id").dropDuplicates(["__id", "set"]), where, "sets")
-
     own = asked1.select("x", F.col("x").alias("cx"), "y", F.col("y").alias("cy"))
-    edges = written(_links(own, sets, percent), where, "links-1")
+    edges = written(_links(own, base, size, percent), where, "links-1")
     comp = written(components(edges, f"{where}/cc-1"), where, "comp-1")
 
     # Lists that still have several components.
@@ -256,7 +255,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pick = lambda a, b, name: F.when(swap, F.col(a)).otherwise(F.col(b)).alias(name)
     both = both.select(pick("y", "x", "x"), pick("cy", "cx", "cx"), pick("x", "y", "y"), pick("cx", "cy", "cy")).distinct()
     asked2 = written(both.join(asked1, ["x", "y"], "left_anti"), where, "asked-2")
-    edges = edges.union(_links(asked2, sets, percent))
+    edges = edges.union(_links(asked2, base, size, percent))
     # Rows that share an id: their classes are linked.
     rows = found.select("__id", "n", "s1", "s2").join(reps.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"])
     rows = written(rows.select("__id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("__id")).alias("rep")), where, "rows")
