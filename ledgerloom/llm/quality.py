@@ -193,8 +193,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     y = spark.createDataFrame(y.toArrow().to_pandas(), y.schema)  # bounded by labelled_rows
     share = min(1.0, pool_rows / max(1, docs.count()))
     pool = F.pmod(F.xxhash64(F.col(id_col), F.lit(10)), F.lit(1_000_000)) < int(share * 1_000_000)
-    rows = docs.join(F.broadcast(y), docs[id_col] == F.col("__id"), "left").where(F.col("__y").isNotNull() | pool)
-    rows = _view(rows, text_col, source_col, lang_col, chars_col, F.xxhash64(F.col(id_col), F.col(text_col)).alias("__key"), F.col("__y"))
+    rows = _view(docs, text_col, source_col, lang_col, chars_col, F.xxhash64(F.col(id_col), F.col(text_col)).alias("__key"), F.col(id_col).alias("__doc"), pool.alias("__pool"))
+    rows = rows.join(F.broadcast(y), F.col("__doc") == F.col("__id"), "left").where("__y is not null or __pool").drop("__doc", "__id", "__pool")
     got = rows.mapInArrow(_sample, "key long, y int, text binary, meta binary").toArrow().sort_by([("key", "ascending"), ("text", "ascending")])
     label = np.array([-1 if v is None else v for v in got["y"].to_pylist()], int)
     known = label >= 0
