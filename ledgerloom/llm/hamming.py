@@ -56,14 +56,16 @@ class MultiIndex:
 
 
 def _codes(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), ">u2").reshape(len(column), -1).astype(np.uint16)
+    """The codes' segments, without the size in front."""
+    return np.frombuffer(b"".join(x[4:] for x in column), ">u2").reshape(len(column), -1).astype(np.uint16)
 
 
 def _search(queries: pd.DataFrame, index: pd.DataFrame, k: int) -> pd.DataFrame:
     """The block's nearest k + 1 (distance, id) of each query code."""
     out: list[tuple] = []
-    for length, some in queries.groupby(queries["__code"].map(len)):
-        part = index[index["__code"].map(len) == length]
+    head, heads = queries["__code"].map(lambda x: x[:4]), index["__code"].map(lambda x: x[:4])
+    for size, some in queries.groupby(head):
+        part = index[heads == size]
         if len(part):
             mi, ids = MultiIndex(_codes(part["__code"])), part["__ids"].to_list()
             codes = _codes(some["__code"])
@@ -75,11 +77,11 @@ def _search(queries: pd.DataFrame, index: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def sign_code(vector: Column) -> Column:
-    """A bit for each value over 0, padded with zeros to whole segments, as bytes."""
+    """The vector's size in four bytes, and a bit for each value over 0, padded with zeros to whole segments."""
     bits = F.array_join(F.transform(vector, lambda x: F.when(x > 0, F.lit("1")).otherwise("0")), "")
     wide = F.rpad(bits, (F.ceil(F.size(vector) / SEGMENT) * SEGMENT).cast("int"), "0")
     parts = F.regexp_extract_all(wide, F.lit(f"[01]{{{SEGMENT}}}"), F.lit(0))
-    return F.unhex(F.array_join(F.transform(parts, lambda p: F.lpad(F.conv(p, 2, 16), SEGMENT // 4, "0")), ""))
+    return F.unhex(F.concat(F.lpad(F.hex(F.size(vector)), 8, "0"), F.array_join(F.transform(parts, lambda p: F.lpad(F.conv(p, 2, 16), SEGMENT // 4, "0")), "")))
 
 
 def exact_top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, index_rows: int = INDEX_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
@@ -88,7 +90,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id",
     Distances are Hamming distances between sign codes (a value over 0 gives 1;
     null, NaN-free zero and negative values 0). Ties go to the smaller id. A
     query's own id is no neighbour of it. Null or empty vectors have no code:
-    they find nothing and are not found. Only codes of equal length are compared.
+    they find nothing and are not found. Only vectors of equal length are compared.
     Rows that repeat an id with the same vector count once. With fewer than k
     other rows, there are fewer neighbours.
 
