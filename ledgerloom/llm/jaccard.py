@@ -187,8 +187,12 @@ def _links(pairs: DataFrame, base: DataFrame, size: int, percent: int) -> DataFr
 
     Texts travel, not sets, which are three times as large; only those asked for do.
     """
-    n = pairs.select("x").distinct().count()
-    pairs = pairs.withColumn("__b", F.pmod(F.xxhash64("x"), F.lit(parts_for(n, INDEX_ROWS))))
+    # What asks for the same goes together: a text is sent once as a query, and to few blocks as index.
+    pairs = pairs.join(pairs.groupBy(F.col("y").alias("__y")).agg(F.min("x").alias("__m")), F.col("y") == F.col("__y")).drop("__y")
+    n = pairs.select("__m").distinct().count()
+    pairs = pairs.withColumn("__h", F.pmod(F.xxhash64("__m"), F.lit(parts_for(n, INDEX_ROWS))))
+    parts = pairs.select("__h", "x").distinct().groupBy("__h").agg(F.ceil(F.count(F.lit(1)) / (4 * INDEX_ROWS)).alias("__k"))
+    pairs = pairs.join(parts, "__h").withColumn("__b", F.col("__h") * (1 << 24) + F.pmod(F.xxhash64("x"), F.col("__k")))
     asked = pairs.select("__b", "y", "cy").distinct()
     salts = asked.groupBy("__b").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).alias("__n"))
     index = pairs.select("__b", "x", "cx").distinct().join(salts, "__b")
@@ -248,12 +252,19 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kinds = post.groupBy("k", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("k").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("m", "c")).alias("most")).where("kinds > 1")
     opened = written(post.join(kinds.select("k", F.col("most.c").alias("major")), "k"), where, "open")
     few = opened.where("c <> major").select("k", F.col("rep").alias("x"), F.col("p").alias("q"), F.col("c").alias("cx"))
-    both = few.join(opened.select("k", F.col("rep").alias("y"), "p", F.col("c").alias("cy")), "k").where("cx <> cy").where(fits("q", "p"))
+    both = few.join(opened.select("k", F.col("rep").alias("y"), "p", F.col("c").alias("cy"), "major"), "k").where("cx <> cy").where(fits("q", "p"))
     strict = lambda a, b: (F.col(a).bitwiseAND(1) == 1) & (size_of(a) <= size_of(b))
-    both = both.where(strict("q", "p") | strict("p", "q"))
     swap = F.col("x") > F.col("y")
-    pick = lambda a, b, name: F.when(swap, F.col(a)).otherwise(F.col(b)).alias(name)
-    both = both.select(pick("y", "x", "x"), pick("cy", "cx", "cx"), pick("x", "y", "y"), pick("cx", "cy", "cy")).distinct()
+    pick = lambda a, b, name: F.when(swap, a).otherwise(b).alias(name)
+    c = F.col
+    # A pair comes from every list that it shares: once if one of it is of the list's largest component, else twice.
+    both = both.select(pick(c("y"), c("x"), "x"), pick(c("cy"), c("cx"), "cx"), pick(c("x"), c("y"), "y"), pick(c("cx"), c("cy"), "cy"), pick(size_of("p"), size_of("q"), "nx"), pick(size_of("q"), size_of("p"), "ny"),
+                       (strict("q", "p") | strict("p", "q")).alias("near"), F.when(c("cy") == c("major"), 2).otherwise(1).alias("w"))
+    both = both.groupBy("x", "cx", "y", "cy", "nx", "ny").agg(F.max("near").alias("near"), (F.sum("w") / 2).alias("shared"))
+    # Beyond the prefixes at most `rest` more can be common: the shared ones must make up for what is missing.
+    rest = F.ceil(F.greatest("nx", "ny") * percent / 100) - 1
+    need = F.ceil((c("nx") + c("ny")) * percent / (100 + percent))
+    both = both.where("near").where(c("shared") + rest >= need).select("x", "cx", "y", "cy").distinct()
     asked2 = written(both.join(asked1, ["x", "y"], "left_anti"), where, "asked-2")
     edges = edges.union(_links(asked2, base, size, percent))
     # Rows that share an id: their classes are linked.
