@@ -6,11 +6,11 @@ of arrays of structs, so a line costs no Python.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .let import let
+
 #: Fixed values: (decimal mark, separator of thousands) in the order they are preferred.
 STYLES = ((".", ","), (",", "."), (".", " "), (",", " "))
 #: Month names by their first three letters, in order.
@@ -54,11 +54,6 @@ def figure_count(text: Column, decimal: str) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(figure_pattern(decimal, other)), F.lit(0)))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once and named, not copied into every place of body."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def month_number(word: Column) -> Column:
     """1 to 12 of a month's name, short or long; null if it is none."""
     names = F.array(*[F.lit(m) for m in MONTHS])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .let import let
+
 MONEY = "decimal(18,2)"
 #: Fixed value: the VAT rate, in per cent.
 VAT_PERCENT = 15
@@ -41,11 +43,14 @@ def signed_token(token: Column, unmarked_is_debit: bool = True) -> Column:
 
 def sheet_money(cell: Column) -> Column:
     """(value, sign, unreadable) of a spreadsheet cell: sign is null where the cell does not say."""
-    value = parse_amount(cell)
-    low = F.lower(F.trim(cell))
-    sign = F.when(low.endswith("cr"), 1).when(value < 0, -1)
-    blank = cell.isNull() | (F.trim(cell) == "")
-    return F.struct(F.abs(value).alias("value"), sign.alias("sign"), F.when(value.isNull() & ~blank & ~low.isin("-", "--", "n/a", "na"), cell).alias("unreadable"))
+    low = F.lower(F.trim(F.coalesce(cell, F.lit(""))))
+    none = low.isin("", "-", "--", "n/a", "na")
+
+    def parts(v: Column) -> Column:
+        sign = F.when(low.endswith("cr"), 1).when(v < 0, -1)
+        return F.struct(F.abs(v).alias("value"), sign.alias("sign"), F.when(v.isNull() & ~none, cell).alias("unreadable"))
+
+    return let(parse_amount(cell), parts)
 
 
 def cents(amount: Column) -> Column:

@@ -28,8 +28,10 @@ def sheet_amounts(rows: DataFrame, by: list[str]) -> DataFrame:
     amount column counts with its own sign. A type column says the way only if
     all of the sheet's types do; otherwise it belongs to the description.
     """
-    says = F.max(F.when(F.trim(F.coalesce("type", F.lit(""))) != "", _direction(F.col("type")).isNull()).otherwise(F.lit(False))).over(Window.partitionBy(*by))
-    debit, credit, amount, balance = (sheet_money(F.col(c)) for c in ("debit", "credit", "amount", "balance"))
+    kinds = ("debit", "credit", "amount", "balance")
+    rows = rows.withColumns({f"__{c}": sheet_money(F.col(c)) for c in kinds} | {"__says": _direction(F.col("type"))})
+    debit, credit, amount, balance = (F.col(f"__{c}") for c in kinds)
+    says = F.max(F.when(F.trim(F.coalesce("type", F.lit(""))) != "", F.col("__says").isNull()).otherwise(F.lit(False))).over(Window.partitionBy(*by))
     out, in_ = F.coalesce(debit["value"] != 0, F.lit(False)), F.coalesce(credit["value"] != 0, F.lit(False))
     size = F.when(out, debit["value"]).when(in_, credit["value"]).when(amount["value"].isNotNull(), amount["value"]).when(debit["value"].isNotNull() | credit["value"].isNotNull(), F.lit(0).cast(MONEY))
     way = F.when(out, -1).when(in_, 1).otherwise(amount["sign"])
@@ -38,12 +40,12 @@ def sheet_amounts(rows: DataFrame, by: list[str]) -> DataFrame:
         "*",
         parse_date(F.col("date")).alias("day"),
         size.cast(MONEY).alias("size"),
-        F.coalesce(F.when(F.col("typed"), _direction(F.col("type"))), way).alias("sign"),
+        F.coalesce(F.when(F.col("typed"), F.col("__says")), way).alias("sign"),
         (balance["value"] * F.coalesce(balance["sign"], F.lit(1))).cast(MONEY).alias("bal"),
         F.concat_ws(" | ", F.nullif(F.trim("description"), F.lit("")), F.when(~F.col("typed"), F.nullif(F.trim("type"), F.lit("")))).alias("words"),
         F.when(size.isNull(), F.coalesce(amount["unreadable"], debit["unreadable"], credit["unreadable"])).alias("bad_amount"),
         balance["unreadable"].alias("bad_balance"),
-    )
+    ).drop("__says", *[f"__{c}" for c in kinds])
 
 
 def sheet_transactions(rows: DataFrame, by: list[str], order: str = "row_no", opening: DataFrame | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ SMALL = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 @pytest.fixture(scope="session")
 def spark():
     conf = {
-        "spark.sql.shuffle.partitions": "4",
+        "spark.sql.shuffle.partitions": "2",
         "spark.default.parallelism": "4",
         "spark.ui.enabled": "false",
         "spark.sql.session.timeZone": "UTC",
