@@ -36,7 +36,7 @@ from .components import components
 SHINGLE, PERCENT = 4, 85
 SLOTS = 1 << 22
 LOCAL = 3
-INDEX_ROWS, QUERY_ROWS = 1000, 2000
+INDEX_ROWS, QUERY_ROWS = 1000, 1000
 BITS = 1 << 25
 _MU = 0.01
 
@@ -191,7 +191,7 @@ def _links(pairs: DataFrame, base: DataFrame, size: int, percent: int) -> DataFr
     pairs = pairs.join(pairs.groupBy(F.col("y").alias("__y")).agg(F.min("x").alias("__m")), F.col("y") == F.col("__y")).drop("__y")
     n = pairs.select("__m").distinct().count()
     pairs = pairs.withColumn("__h", F.pmod(F.xxhash64("__m"), F.lit(parts_for(n, INDEX_ROWS))))
-    parts = pairs.select("__h", "x").distinct().groupBy("__h").agg(F.ceil(F.count(F.lit(1)) / (4 * INDEX_ROWS)).alias("__k"))
+    parts = pairs.select("__h", "x").distinct().groupBy("__h").agg(F.ceil(F.count(F.lit(1)) / INDEX_ROWS).alias("__k"))
     pairs = pairs.join(parts, "__h").withColumn("__b", F.col("__h") * (1 << 24) + F.pmod(F.xxhash64("x"), F.col("__k")))
     asked = pairs.select("__b", "y", "cy").distinct()
     salts = asked.groupBy("__b").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).alias("__n"))
