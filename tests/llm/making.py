@@ -32,9 +32,9 @@ def words(seed: int, n: int, vocabulary: int = 4000) -> list[str]:
     return [f"w{r.randrange(vocabulary)}" for _ in range(n)]
 
 
-def awkward() -> list[tuple]:
+def awkward(n_long: int = 60_000) -> list[tuple]:
     """Null and empty texts, blanks, null ids and columns, repeated rows, texts beyond ASCII, one very long text."""
-    long = " ".join(words(7, 60_000))
+    long = " ".join(words(7, n_long))
     return [
         (1, None), (2, ""), (3, "   \n\t "), (4, "one"), (5, "one"), (5, "one"), (None, "lone text without an id"), (None, None),
         (6, "Größe übt Zoë 漢字 \U0001f600 x"), (7, long), (8, long), (9, "a\nb\nc\nd"), (10, "x\ny\na\nb\nc\nz"), (11, "\n\n\n\n"),

@@ -21,7 +21,7 @@ def test_query(name, spark, sf_dir, duck):
 def _planted(tmp_path_factory, spark):
     where = str(tmp_path_factory.mktemp("planted"))
     shared = words(1, 130)
-    rows = [r for r in awkward() if r[0] is not None and r[1] is not None or r[0] == 1]
+    rows = [r for r in awkward(1500) if r[0] is not None and r[1] is not None or r[0] == 1]
     rows = list(dict.fromkeys(rows))
     rows += [(100 + k, " ".join([*words(k + 50, 40), *shared[k : k + 90], *words(k + 900, 30)])) for k in range(30)]
     rows += [(200 + k, "\n".join(["head", f"own {k}", "l1", "l2", "l3", "l4", f"tail {k % 3}", "end", "x"])) for k in range(40)]
