@@ -10,9 +10,9 @@
 3. Automata: a passage goes to the blocks of documents that share a phrase with it.
    Each block compiles Aho-Corasick automata of every 25th run of 25 words of its
    passages (any window of 50 holds one), in shards of bounded size, and streams
-   its segments through them. A hit is extended word by word against the passage;
-   50 equal words or more are a repeat, and they go if the passage's document has
-   the smaller id. So hashes only propose; words decide.
+   its segments through them. A hit is extended word by word (by numbers of word
+   hashes) against the passage; 50 equal words or more are a repeat, and they go
+   if the passage's document has the smaller id.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ WINDOW, PHRASE = 50, 20
 HOP = WINDOW // 2
 BLOCK_BYTES = 12 << 20
 #: Words of passages in one automaton.
-SHARD_WORDS = 400_000
+SHARD_WORDS = 1_200_000
 ID_BITS, PHRASE_BITS = 1 << 23, 1 << 25
 
 
@@ -148,19 +148,18 @@ def _segment_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 class Automaton:
-    """Runs of HOP words of some passages; a word is a character of the strings that are matched."""
+    """Runs of HOP words of some passages; a word's number is a character of the strings that are matched."""
 
-    def __init__(self, passages: list[tuple[int, list[bytes]]]):
-        self.ids: dict[bytes, int] = {}
-        code = self.ids
-        self.passages = []
+    #: Characters that stand for words; numbers beyond share them, and the comparison of numbers decides.
+    LETTERS = 1_100_000
+
+    def __init__(self, passages: list[tuple[int, np.ndarray]]):
+        self.passages = [p for _, p in passages]
         self.first = [f for f, _ in passages]
         self.machine = ahocorasick.Automaton()
-        for k, (_, words) in enumerate(passages):
-            at = np.array([code.setdefault(w, len(code) + 1) for w in words], np.int32)
-            self.passages.append(at)
-            text = self.string(at)
-            for o in range(0, len(words) - HOP + 1, HOP):
+        for k, p in enumerate(self.passages):
+            text = self.string(p)
+            for o in range(0, len(p) - HOP + 1, HOP):
                 key = text[o : o + HOP]
                 if key in self.machine:
                     self.machine.get(key).append((k, o))
@@ -168,49 +167,71 @@ class Automaton:
                     self.machine.add_word(key, [(k, o)])
         self.machine.make_automaton()
 
-    @staticmethod
-    def string(at: np.ndarray) -> str:
-        """Character numbers from 1 on, past the surrogates."""
+    @classmethod
+    def string(cls, ids: np.ndarray) -> str:
+        """A character from 1 on, past the surrogates, for each number; 0 for -1."""
+        at = np.where(ids < 0, 0, ids % cls.LETTERS + 1)
         return np.where(at < 0xD800, at, at + 0x800).astype(np.uint32).tobytes().decode("utf-32-le")
 
-    def repeats(self, words: list[bytes], doc: int) -> list[tuple[int, int]]:
+    def repeats(self, at: np.ndarray, text: str, doc: int) -> list[tuple[int, int]]:
         """Stretches (first, last + 1) of WINDOW words or more that a passage of a smaller document has."""
-        at = np.array([self.ids.get(w, 0) for w in words], np.int32)
         done: dict[tuple[int, int], int] = {}
         out = []
-        for end, hits in self.machine.iter(self.string(at)):
+        for end, hits in self.machine.iter(text):
             p = end - HOP + 1
             for k, o in hits:
                 if self.first[k] >= doc or done.get((k, p - o), -1) >= end:
                     continue
                 passage = self.passages[k]
-                n = min(p, o)
-                differ = np.flatnonzero(at[p - n : p] != passage[o - n : o])
-                left = n if not len(differ) else n - 1 - int(differ[-1])
-                n = min(len(at) - p - HOP, len(passage) - o - HOP)
-                differ = np.flatnonzero(at[p + HOP : p + HOP + n] != passage[o + HOP : o + HOP + n])
-                right = n if not len(differ) else int(differ[0])
-                done[k, p - o] = p + HOP + right - 1
-                if left + HOP + right >= WINDOW:
-                    out.append((p - left, p + HOP + right))
+                back = min(p, o)
+                whole = back + min(len(at) - p, len(passage) - o)
+                differ = np.flatnonzero(at[p - back : p - back + whole] != passage[o - back : o - back + whole])
+                # The equal stretch around the hit; empty if only the letters were equal.
+                i = int(np.searchsorted(differ, back))
+                left = int(differ[i - 1]) + 1 if i else 0
+                right = int(differ[i]) if i < len(differ) else whole
+                done[k, p - o] = max(end, p - back + right - 1)
+                if right - left >= WINDOW:
+                    out.append((p - back + left, p - back + right))
         return out
 
 
+def _numbers(texts: pa.ChunkedArray, vocab: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The words of each text as numbers of a vocabulary of word hashes: that given (-1: not in it), or their own."""
+    hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for block in blocks(iter(pa.table({"text": texts}).combine_chunks().to_batches()), "text"):
+        words = cut_words(block.column("text"), SPACED)
+        hashes.append(words.hashes())
+        counts.append(words.counts)
+    h = np.concatenate(hashes)
+    if vocab is None:
+        vocab, at = np.unique(h, return_inverse=True)
+    elif len(vocab):
+        at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
+        at = np.where(vocab[at] == h, at, -1)
+    else:
+        at = np.full(len(h), -1)
+    return vocab, np.split(at.astype(np.int32), np.cumsum(np.concatenate(counts))[:-1])
+
+
 def _locate(segments: pa.Table, passages: pa.Table) -> pa.Table:
     """(id, first, last) of the repeats in the block's segments; a shard of passages at a time."""
     spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    if passages.num_rows:
-        rows = [(int(f), p.split()) for f, p in zip(passages.column("first").to_pylist(), passages.column("passage").to_pylist(), strict=True)]
+    if passages.num_rows and segments.num_rows:
+        vocab, rows = _numbers(passages.column("passage"))
+        firsts = passages.column("first").to_pylist()
+        asked = _numbers(segments.column("text"), vocab)[1]
+        texts = [Automaton.string(x) for x in asked]
         ids, begins = segments.column("id").to_pylist(), segments.column("start").to_pylist()
-        shard: list[tuple[int, list[bytes]]] = []
+        shard: list[tuple[int, np.ndarray]] = []
         size = 0
         for k, row in enumerate(rows):
-            shard.append(row)
-            size += len(row[1])
+            shard.append((firsts[k], row))
+            size += len(row)
             if size >= SHARD_WORDS or k == len(rows) - 1:
                 machine = Automaton(shard)
-                for i, start, text in zip(ids, begins, segments.column("text"), strict=True):
-                    for a, b in machine.repeats(text.as_py().split(), i):
+                for i, start, at, text in zip(ids, begins, asked, texts, strict=True):
+                    for a, b in machine.repeats(at, text, i):
                         spans[i].append((start + a, start + b))
                 shard, size = [], 0
     out = []
