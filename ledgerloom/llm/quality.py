@@ -4,8 +4,10 @@ Two logistic models see different columns of the same labelled rows. In each rou
 both label the rows of an unlabelled pool that they are most sure of and hand them
 to the other one's training set. At the end both are calibrated on labelled rows
 that neither has seen, a third logistic model combines the two calibrated views,
-and all documents are scored in one pass. Labelled rows and pool are bounded
-samples, chosen by a hash of the id; the bounds are parameters.
+and all documents are scored in one pass. Toxic labels are a second target, learned
+in the same way; its text view holds the words that tell toxic labelled rows from
+others, counted in Spark. Labelled rows and pool are bounded samples, chosen by a
+hash of the id; the bounds are parameters.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ SURE = 0.95
 #: Share of the good calibration rows that the threshold may reject.
 LOST = 0.002
 BUCKETS, SOURCES = 128, 64
+#: Words of the toxic target's text view, at most; each is so many standard deviations from chance.
+TELLING_WORDS, TELLING_FAR = 256, 3.0
 
 
 def _classes() -> np.ndarray:
@@ -41,8 +45,8 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 
 
-def text_features(col: pa.Array) -> np.ndarray:
-    """Shares of character classes, word and line statistics, and hashed word frequencies of each row."""
+def text_features(col: pa.Array, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of character classes, word and line statistics, and hashed word frequencies of each row; and how often, up to 255 times, it has each word of vocab (sorted hashes)."""
     data, offs = text_buffer(col)
     n = np.maximum(np.diff(offs), 1).astype(float)
     cls = _CLASS[data]
@@ -73,7 +77,13 @@ def text_features(col: pa.Array) -> np.ndarray:
     out += [np.log1p(lines), np.log1p(n / lines), kinds / lines, np.bincount(line_row, closed, minlength=len(n)) / lines]
     bag = np.zeros(len(n) * BUCKETS)
     np.add.at(bag, row * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64), 1)
-    return np.column_stack([*out, np.sqrt(bag.reshape(len(n), BUCKETS) / count[:, None])]).astype(np.float32)
+    told = np.zeros(len(n) * len(vocab))
+    if len(vocab):
+        at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
+        hit = vocab[at] == h
+        np.add.at(told, row[hit] * len(vocab) + at[hit], 1)
+    told = np.minimum(told, 255).reshape(len(n), len(vocab)).astype(np.uint8)
+    return np.column_stack([*out, np.sqrt(bag.reshape(len(n), BUCKETS) / count[:, None])]).astype(np.float32), told
 
 
 def meta_features(source: list, lang: list, n_chars: list) -> np.ndarray:
@@ -87,8 +97,12 @@ def meta_features(source: list, lang: list, n_chars: list) -> np.ndarray:
     return out
 
 
-def _features(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return text_features(block.column("__text")), meta_features(*(block.column(c).to_pylist() for c in ("__source", "__lang", "__n")))
+def _features(block: pa.RecordBatch, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return *text_features(block.column("__text"), vocab), meta_features(*(block.column(c).to_pylist() for c in ("__source", "__lang", "__n")))
+
+
+def _toxic_view(text: np.ndarray, told: np.ndarray) -> np.ndarray:
+    return np.column_stack([text[:, :-BUCKETS], np.log1p(told, dtype=np.float32)])
 
 
 class Logistic:
@@ -141,8 +155,10 @@ class CoTrained:
             for k, m in enumerate(models):
                 p = m.proba(views[k][pool])
                 for good, sure, most in ((1.0, p, share), (0.0, 1 - p, 1 - share)):
+                    # By chance alone a row is of a common class: to be sure of that takes more.
+                    least = 1 - (1 - SURE) * min(1.0, 2 * (1 - most))
                     rank = np.argsort(-sure, kind="stable")[: max(1, int(per_round * most))]
-                    for i in pool[rank[sure[rank] >= SURE]].tolist():
+                    for i in pool[rank[sure[rank] >= least]].tolist():
                         if i not in labels[1 - k]:
                             labels[1 - k][i] = good
                             sets[1 - k].append(i)
@@ -164,59 +180,118 @@ class CoTrained:
         return views[0], views[1], self.joint.proba(np.column_stack(both))
 
 
-def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Classifier:
+    """What rejects bad rows and what rejects toxic ones; either may be missing."""
+
+    def __init__(self, good: CoTrained | None, safe: CoTrained | None, vocab: np.ndarray):
+        self.good, self.safe, self.vocab = good, safe, vocab
+        self.n_pseudo = (good or safe).n_pseudo
+
+    def score(self, text: np.ndarray, told: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, ...]:
+        """p_text, p_meta, p_good, p_safe, keep."""
+        ones = np.ones(len(text))
+        a, b, good = self.good.score(text, meta) if self.good else (ones, ones, ones)
+        safe = self.safe.score(_toxic_view(text, told), meta)[2] if self.safe else ones
+        keep = np.ones(len(text), bool)
+        for p, m in ((good, self.good), (safe, self.safe)):
+            if m:
+                keep &= p >= m.threshold
+        return a, b, good, safe, keep
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n, n_toxic) of the task's rows: in how many, and in how many toxic ones."""
+    kept = []
     for block in blocks(batches, "__text", 4 << 20):
-        text, meta = _features(block)
-        yield pa.RecordBatch.from_arrays([block.column("__key"), block.column("__y"), pa.array([x.tobytes() for x in text], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())], names=["key", "y", "text", "meta"])
+        words = cut_words(block.column("__text"), ALNUM_LOWER)
+        pair = np.unique(np.rec.fromarrays([words.row_of(), words.hashes()], names="row,word"))
+        word, at = np.unique(pair["word"], return_inverse=True)
+        toxic = np.array(block.column("__t").to_pylist(), float)[pair["row"].astype(np.int64)]
+        kept.append((word, np.bincount(at, minlength=len(word)), np.bincount(at, toxic, minlength=len(word))))
+    if kept:
+        word, at = np.unique(np.concatenate([w for w, _, _ in kept]), return_inverse=True)
+        n, t = (np.bincount(at, np.concatenate([x[k] for x in kept]), len(word)).astype(np.int64) for k in (1, 2))
+        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n), pa.array(t)], names=["word", "n", "n_toxic"])
+
+
+def telling_words(rows: DataFrame, most: int = TELLING_WORDS, least_far: float = TELLING_FAR) -> np.ndarray:
+    """Sorted hashes of the words of __text whose share among toxic rows (__t = 1) is farthest from chance, in standard deviations (of one row more in variance, so that rare words need more)."""
+    size, toxic = rows.agg(F.count(F.lit(1)), F.sum("__t")).first()
+    if not toxic or toxic == size:
+        return np.zeros(0, np.uint64)
+    share = toxic / size
+    found = rows.mapInArrow(_count_words, "word long, n long, n_toxic long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("t"))
+    far = F.abs(F.col("t") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)) + 1)
+    got = found.where(far >= least_far).orderBy(far.desc(), "word").limit(most).select("word").toArrow()
+    return np.sort(np.array(got["word"].to_pylist(), np.int64).view(np.uint64))
+
+
+def _sample(batches: Iterator[pa.RecordBatch], vocab: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for block in blocks(batches, "__text", 4 << 20):
+        views = [pa.array([x.tobytes() for x in v], pa.binary()) for v in _features(block, vocab)]
+        yield pa.RecordBatch.from_arrays([*(block.column(c) for c in ("__key", "__y", "__t")), *views], names=["key", "y", "t", "text", "told", "meta"])
 
 
 def _apply(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    m: CoTrained = model.value
+    m: Classifier = model.value
     for block in blocks(batches, "__text", 4 << 20):
-        a, b, p = m.score(*_features(block))
-        yield pa.RecordBatch.from_arrays([*(block.column(c) for c in block.schema.names if not c.startswith("__")), pa.array(a), pa.array(b), pa.array(p), pa.array(p >= m.threshold)], names=[*(c for c in block.schema.names if not c.startswith("__")), "__p_text", "__p_meta", "__p_good", "__keep"])
+        got = m.score(*_features(block, m.vocab))
+        yield pa.RecordBatch.from_arrays([*(block.column(c) for c in block.schema.names if not c.startswith("__")), *map(pa.array, got)], names=[*(c for c in block.schema.names if not c.startswith("__")), "__p_text", "__p_meta", "__p_good", "__p_safe", "__keep"])
 
 
 def _view(docs: DataFrame, text_col: str, source_col: str, lang_col: str, chars_col: str, *more):
     return docs.select(*more, F.col(text_col).alias("__text"), F.col(source_col).cast("string").alias("__source"), F.col(lang_col).cast("string").alias("__lang"), F.col(chars_col).cast("long").alias("__n"))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", label_col: str = "quality", labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> CoTrained | None:
-    """The classifier; None where the labelled rows do not have both classes.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", label_col: str = "quality", labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS, per_round: int = PER_ROUND, toxic_col: str = "toxic") -> Classifier | None:
+    """The classifier; None where the labelled rows have both classes of neither label.
 
-    A document labelled twice counts with its smaller label; null labels and
-    labels of unknown documents do not count.
+    A document labelled twice counts with its smaller label and as toxic if once
+    labelled so; null labels and labels of unknown documents do not count. Labels
+    without a column toxic_col teach nothing about toxic texts.
     """
     spark = docs.sparkSession
-    y = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(F.col(label_col).cast("int")).alias("__y"))
-    y = y.orderBy(F.xxhash64("__id"), "__id").limit(labelled_rows)
-    y = spark.createDataFrame(y.toArrow().to_pandas(), y.schema)  # bounded by labelled_rows
+    toxic = F.col(toxic_col).cast("int") if toxic_col in labels.columns else F.lit(None).cast("int")
+    y = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(F.col(label_col).cast("int")).alias("__y"), F.max(toxic).alias("__t"))
+    y = y.where("__y is not null or __t is not null").orderBy(F.xxhash64("__id"), "__id").limit(labelled_rows)
+    y = spark.createDataFrame(y.toArrow(), y.schema)  # bounded by labelled_rows
     share = min(1.0, pool_rows / max(1, docs.count()))
     pool = F.pmod(F.xxhash64(F.col(id_col), F.lit(10)), F.lit(1_000_000)) < int(share * 1_000_000)
     rows = _view(docs, text_col, source_col, lang_col, chars_col, F.xxhash64(F.col(id_col), F.col(text_col)).alias("__key"), F.col(id_col).alias("__doc"), pool.alias("__pool"))
-    rows = rows.join(F.broadcast(y), F.col("__doc") == F.col("__id"), "left").where("__y is not null or __pool").drop("__doc", "__id", "__pool")
-    got = rows.mapInArrow(_sample, "key long, y int, text binary, meta binary").toArrow().sort_by([("key", "ascending"), ("text", "ascending")])
-    label = np.array([-1 if v is None else v for v in got["y"].to_pylist()], int)
-    known = label >= 0
-    fold = np.asarray(got["key"].combine_chunks()).view(np.uint64) >> np.uint64(7) & np.uint64(3)
-    if any(not (known & (fold != 0) & (label == c)).any() for c in (0, 1)):
+    taught = F.shiftrightunsigned("__key", 7).bitwiseAND(F.lit(3)) != 0
+    vocab = telling_words(rows.join(F.broadcast(y), F.col("__doc") == F.col("__id")).where(F.col("__t").isNotNull() & taught).select("__text", "__t")) if toxic_col in labels.columns else np.zeros(0, np.uint64)
+    rows = rows.join(F.broadcast(y), F.col("__doc") == F.col("__id"), "left").where("__id is not null or __pool").drop("__doc", "__id", "__pool")
+    got = rows.mapInArrow(partial(_sample, vocab=vocab), "key long, y int, t int, text binary, told binary, meta binary").toArrow().sort_by([("key", "ascending"), ("text", "ascending")])
+    if not got.num_rows:
         return None
-    text, meta = (np.frombuffer(b"".join(got[c].to_pylist()), np.float32).reshape(got.num_rows, -1) for c in ("text", "meta"))
-    return CoTrained(text, meta, np.maximum(label, 0), known, fold, rounds, per_round)
+    fold = np.asarray(got["key"].combine_chunks()).view(np.uint64) >> np.uint64(7) & np.uint64(3)
+    text, told, meta = (np.frombuffer(b"".join(got[c].to_pylist()), kind).reshape(got.num_rows, -1) if len(vocab) or c != "told" else np.zeros((got.num_rows, 0), kind) for c, kind in (("text", np.float32), ("told", np.uint8), ("meta", np.float32)))
+
+    def learn(column: str, view: np.ndarray, good: int) -> CoTrained | None:
+        label = np.array([-1 if v is None else int(v == good) for v in got[column].to_pylist()], int)
+        known = label >= 0
+        if any(not (known & (fold != 0) & (label == c)).any() for c in (0, 1)):
+            return None
+        return CoTrained(view, meta, np.maximum(label, 0), known, fold, rounds, per_round)
+
+    good, safe = learn("y", text, 1), learn("t", _toxic_view(text, told), 0)
+    return Classifier(good, safe, vocab) if good or safe else None
+
 
+def classify(docs: DataFrame, model: Classifier | None, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", keep_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep_cols of each row of docs, with p_text, p_meta, p_good, p_safe and keep (p_good and p_safe reach their thresholds).
 
-def classify(docs: DataFrame, model: CoTrained | None, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", keep_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep_cols of each row of docs, with p_text, p_meta, p_good and keep (p_good reaches the threshold).
+    p_text, p_meta and p_good tell good quality, p_safe that the text is not toxic.
 
     Null and empty texts are scored as texts of no characters; null metadata are
     values of their own. Without a model all probabilities are 1 and all rows
-    kept. Repeated rows each get their own, equal, result.
+    kept; likewise for a label that could not be learned. Repeated rows each get their own, equal, result.
     """
     names = [F.col(c).alias(f"c{k}") for k, c in enumerate(keep_cols)]
     back = [F.col(f"c{k}").alias(c) for k, c in enumerate(keep_cols)]
     if model is None:
-        return docs.select(*keep_cols, F.lit(1.0).alias("p_text"), F.lit(1.0).alias("p_meta"), F.lit(1.0).alias("p_good"), F.lit(True).alias("keep"))
+        return docs.select(*keep_cols, F.lit(1.0).alias("p_text"), F.lit(1.0).alias("p_meta"), F.lit(1.0).alias("p_good"), F.lit(1.0).alias("p_safe"), F.lit(True).alias("keep"))
     base = _view(docs, text_col, source_col, lang_col, chars_col, *names)
-    ddl = ", ".join([*(f"c{k} {dict(docs.dtypes)[c]}" for k, c in enumerate(keep_cols)), "__p_text double, __p_meta double, __p_good double, __keep boolean"])
+    ddl = ", ".join([*(f"c{k} {dict(docs.dtypes)[c]}" for k, c in enumerate(keep_cols)), "__p_text double, __p_meta double, __p_good double, __p_safe double, __keep boolean"])
     scored = base.mapInArrow(partial(_apply, model=docs.sparkSession.sparkContext.broadcast(model)), ddl)
-    return scored.select(*back, F.col("__p_text").alias("p_text"), F.col("__p_meta").alias("p_meta"), F.col("__p_good").alias("p_good"), F.col("__keep").alias("keep"))
+    return scored.select(*back, F.col("__p_text").alias("p_text"), F.col("__p_meta").alias("p_meta"), F.col("__p_good").alias("p_good"), F.col("__p_safe").alias("p_safe"), F.col("__keep").alias("keep"))

@@ -41,3 +41,25 @@ def test_query_keeps_the_good(spark, sf_dir):
     assert len(got) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     good = [r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").collect()]
     assert sum(got[k] for k in good) >= 0.98 * len(good)
+
+
+def test_rejects_toxic_rows_of_good_quality(spark):
+    """Labelled good and toxic at once: such rows go, seen or not."""
+    docs = table(spark, [(k, " ".join([*words(k, 80), *(["idiot", "scum"] if k % 7 == 0 else [])]) + ".", "en", f"s{k % 5}") for k in range(700)])
+    labels = spark.createDataFrame([(k, 1, int(k % 7 == 0)) for k in range(700) if k % 3 == 0], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.keep for r in quality.classify(docs, quality.train(docs, labels)).collect()}
+    toxic, clean = [[k for k in got if k % 3 and (k % 7 == 0) == t] for t in (True, False)]
+    assert sum(not got[k] for k in toxic) >= 0.95 * len(toxic)
+    assert sum(got[k] for k in clean) >= 0.98 * len(clean)
+
+
+def test_held_out_labels(spark, sf_dir):
+    """Trained without a fifth of the real labels: of these, toxic and bad rows go, rows clean on both stay."""
+    sf = sf_dir.replace("sf0.001", "sf0.1")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r.keep for r in quality.classify(docs, quality.train(docs, labels.where("doc_id % 5 <> 2"))).collect()}
+    rest = [r for r in labels.where("doc_id % 5 = 2").collect()]
+    toxic, bad, clean = [r for r in rest if r.toxic], [r for r in rest if not r.quality], [r for r in rest if r.quality and not r.toxic]
+    assert sum(not got[r.doc_id] for r in toxic) >= 0.9 * len(toxic) > 0
+    assert sum(not got[r.doc_id] for r in bad) >= 0.9 * len(bad) > 0
+    assert sum(got[r.doc_id] for r in clean) >= 0.98 * len(clean)
