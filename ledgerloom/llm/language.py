@@ -22,10 +22,6 @@ from pyspark.sql import functions as F
 from .common import blocks, mixed, text_buffer
 
 ORDER = 4
-#: The model is collected and broadcast; it may have so many n-grams, else the order falls.
-MAX_NGRAMS = 4_000_000
-#: Training texts that calibrate the rejection, at most about so many.
-CALIBRATION_ROWS = 20_000
 UNKNOWN = "und"
 _BLANK, _OTHER = 32, 0xFFFF
 
@@ -172,7 +168,8 @@ def _sorted(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _score(batches: Iterator[pa.RecordBatch], model, limits: dict | None) -> Iterator[pa.RecordBatch]:
     m: Model = model.value
     names = np.array([*m.langs, UNKNOWN], object)
-    worst = np.array([(limits or {}).get(x, np.inf) for x in m.langs])
+    most = max((limits or {}).values(), default=np.inf)
+    worst = np.array([(limits or {}).get(x, most) for x in m.langs])
     for block in blocks(batches, "__text", 2 << 20):
         h, n = m.entropies(block.column("__text"))
         best = np.argmin(h, 1)
@@ -190,23 +187,22 @@ def held_out(id_col: str, parts: int, part: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == part
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_ngrams: int = MAX_NGRAMS) -> Model | None:
-    """The model of all rows with a text and a language; None where no such row has a letter."""
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    """The model of all rows with a text and a language, of the same order whatever their number; None where no such row has a letter.
+
+    The counts are collected and the model is built on the driver.
+    """
     rows = docs.select(F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang")).where("__text is not null and __lang is not null")
-    grams = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
-    try:
-        order, table = ORDER, grams
-        while order > 1 and table.count() > max_ngrams:
-            order -= 1
-            table = grams.groupBy("lang", F.col("gram").bitwiseAND((1 << 16 * order) - 1).alias("gram")).agg(F.sum("n").alias("n"))
-        got = table.toArrow()
-    finally:
-        grams.unpersist()
+    got = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     if not got.num_rows:
         return None
-    langs, at = np.unique(np.array(got["lang"].to_pylist(), object).astype(str), return_inverse=True)
+    lang = got["lang"].combine_chunks().dictionary_encode()
+    lang = lang.combine_chunks() if isinstance(lang, pa.ChunkedArray) else lang
+    names = np.array(lang.dictionary.to_pylist(), object).astype(str)
+    order = np.argsort(names)
+    at = np.argsort(order)[np.asarray(lang.indices)]
     gram = np.asarray(got["gram"].combine_chunks()).view(np.uint64)
-    return Model([str(x) for x in langs], at, gram, np.asarray(got["n"].combine_chunks()), order)
+    return Model([str(x) for x in names[order]], at, gram, np.asarray(got["n"].combine_chunks()), ORDER)
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", calibration: DataFrame | None = None) -> DataFrame:
@@ -216,7 +212,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     is every text where nothing was learned. Equal entropies go to the language
     first in the alphabet. rejected: the entropy lies over the 99.9 % point of the
     calibration rows predicted as that language by three standard deviations, as
-    texts not learned from have more (never, without calibration rows). Repeated rows each get their own result; other columns are not used.
+    texts not learned from have more (never, without calibration rows). A language
+    that no calibration row is predicted as has the highest such limit. Repeated rows each get their own result; other columns are not used.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
@@ -234,7 +231,9 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     return base.mapInArrow(partial(_score, model=shared, limits=limits), schema).withColumnRenamed("__id", id_col)
 
 
-def calibration_rows(docs: DataFrame, id_col: str = "doc_id", rows: int = CALIBRATION_ROWS) -> DataFrame:
-    """About `rows` rows of docs, chosen by a hash of the id."""
+def calibration_rows(docs: DataFrame, id_col: str = "doc_id", rows: int | None = None) -> DataFrame:
+    """All rows of docs; or about `rows` of them, chosen by a hash of the id."""
+    if rows is None:
+        return docs
     share = min(1.0, rows / max(1, docs.count()))
     return docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(4)), F.lit(1_000_000)) < int(share * 1_000_000))
