@@ -1,32 +1,37 @@
 """N-gram Jaccard join: T-occurrence search over inverted lists, and its components.
 
 1. Texts with equal shingle sets are one class; its smallest id represents it.
-2. A total order of shingles, rare ones first, gives each representative the few
-   shingles (its prefix) of which it must share one with whatever it links to. Which
-   shingles are frequent is counted over all documents; the order needs no exact
-   counts, so it fits a table of fixed size (SLOTS), the one thing broadcast here.
-3. An inverted list of a prefix shingle first asks each member against the list's
-   first one. Links make components; lists inside one component are done, whatever
-   their length. In the others, members outside the list's largest component meet
-   all members of other components. So no group's pairs are enumerated for being
-   equal or near, and no link between components is lost.
-4. Asked-for pairs are verified in blocks: the block's index side is an inverted
-   index of whole sets, and each query is a T-occurrence search over it. DivideSkip
-   sets the longest lists aside; the short ones are merged by counting (one numpy
-   count in the place of a heap of Python objects), and documents that got enough
-   are looked up in the long lists by binary search.
+2. Routing. For a band of set sizes, links differ in at most H shingles. Shingles are
+   dealt by hash into H + T parts; a part's content is a key. A difference spoils one
+   part, so what links shares T keys or more, less the parts that both have empty:
+   a T-occurrence problem over lists that are far more telling than a shingle's. No
+   frequencies are needed, and lists do not grow with the commonness of shingles. A
+   class with fewer keys in lists than it must share links with nothing.
+3. A list's leader is the member that most lists know. Each class is searched for
+   with the one leader of most of its lists. Links make components; lists inside one
+   component are done, whatever their length.
+4. In the other lists, DivideSkip sets aside the T - 1 longest of each class: it must
+   meet any partner in one of the rest. What still meets is searched in blocks of a
+   bounded number of shingles, block against block where a group needs more than one.
+5. A search in a block has inverted lists of whole sets. DivideSkip again sets the
+   longest aside; the short ones are merged by a heap (or as sorted runs, where they
+   are many), and documents that got enough are looked up in the long ones by binary
+   search.
+
+No pairs are made but in a block's lists: a class meets one leader, then blocks.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 from functools import partial
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bits import bit_table, only
@@ -34,11 +39,17 @@ from .common import SPACED_LOWER, Words, blocks, cut_words, mixed, parts_for, sh
 from .components import components
 
 SHINGLE, PERCENT = 4, 85
-SLOTS = 1 << 22
-LOCAL = 3
-INDEX_ROWS, QUERY_ROWS = 1000, 1000
+#: Shingles of a block's side; bytes of text that a task cuts at once.
+BLOCK_SHINGLES, TEXT_BYTES = 1 << 20, 4 << 20
 BITS = 1 << 25
+#: A band's upper size over its lower one; parts beyond those that differences can spoil, as a share of these.
+BAND, SPARE = 1.3, 0.25
+#: Rows without an id get one from here on; ids lie below.
+NAMELESS = 1 << 62
+#: Elements of short lists that a heap merges; more are merged as sorted runs.
+HEAPED = 512
 _MU = 0.01
+_PREFIX = 2
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,54 +82,83 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return value[new], np.searchsorted(at[new], np.arange(len(n) + 1))
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h & np.uint64(SLOTS - 1)).astype(np.int64)
-
-
-def _frequent(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """(slot, n) of the shingles that LOCAL or more of the task's documents have."""
-    held, total = [], 0
-
-    def out():
-        h, n = np.unique(np.concatenate(held), return_counts=True)
-        some = n >= LOCAL
-        return pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(n[some])], names=["h", "n"])
-
-    for block in blocks(batches, "__text"):
-        held.append(shingles(cut_words(block.column("__text"), SPACED_LOWER), size)[0])
-        total += len(held[-1])
-        if total > 8_000_000:
-            yield out()
-            held, total = [], 0
-    if held:
-        yield out()
-
-
-def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, classes) -> Iterator[pa.RecordBatch]:
-    """(id, n, two set signatures, prefix): prefix shingles rarest first; `strict` of them suffice in the smaller set of a pair."""
-    rank = classes.value
-    for block in blocks(batches, "__text"):
+def _signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(id, size of its set, two signatures of it)."""
+    for block in blocks(batches, "__text", TEXT_BYTES):
         h, rows = shingles(cut_words(block.column("__text"), SPACED_LOWER), size)
-        n = np.diff(rows)
+        sig = []
+        for seed in (0, 0x5851F42D4C957F2D):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h ^ np.uint64(seed)), dtype=np.uint64)])
+            sig.append(pa.array((sums[rows[1:]] - sums[rows[:-1]]).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([block.column("__id"), pa.array(np.diff(rows)), *sig], names=["__id", "n", "s1", "s2"])
+
+
+def bands(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The least size of each band; the most shingles by which links differ if the larger set is of the band; the parts."""
+    least = [1]
+    while least[-1] < 1 << 40:
+        least.append(max(least[-1] + 1, int(least[-1] * BAND)))
+    differ = np.array([2 * (up - 1) * (100 - percent) // (100 + percent) for up in least[1:]], np.int64)
+    parts = np.where(differ > 0, differ + 1 + (differ * SPARE).astype(np.int64), 0)  # sets that do not differ are one class
+    return np.array(least[:-1], np.int64), differ, parts
+
+
+def _postings(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """(k, id, p) of each document's keys; p holds the size, how many keys it must share, and the kind of key.
+
+    Kind 0: the parts of the own band; 1: those of the next band, for sets that may
+    link into it. Where so many parts are empty that two such sets may share only
+    empty ones, the least shingles by hash are keys too (_PREFIX), of which any two
+    sets that link share one.
+    """
+    least, differ, parts = bands(percent)
+    for block in blocks(batches, "__text", TEXT_BYTES):
+        h, rows = shingles(cut_words(block.column("__text"), SPACED_LOWER), size)
+        ids, n = np.asarray(block.column("__id")), np.diff(rows)
         row = np.repeat(np.arange(len(n)), n)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h), dtype=np.uint64)])
-        other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
-        order = np.argsort(row * 64 + rank[_slot(h)], kind="stable")
-        length = np.where(n > 0, n + (-percent * n // 100) + 1, 0)
-        strict = np.where(n > 0, n + (-2 * percent * n // (100 + percent)) + 1, 0)
-        place = np.arange(len(h)) - rows[:-1][row]
-        some = place < length[row]
-        keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(h[order][some].view(np.int64)))
-        sig = [(x[rows[1:]] - x[rows[:-1]]).view(np.int64) for x in (sums, other)]
-        yield pa.RecordBatch.from_arrays([block.column("__id"), pa.array(n), pa.array(sig[0]), pa.array(sig[1]), pa.array(strict), keys], names=["__id", "n", "s1", "s2", "strict", "keys"])
+        h = mixed(h)
+        high, value = (h >> np.uint64(33)).astype(np.int64), mixed(h ^ np.uint64(0xA0761D6478BD642F))
+        own = np.searchsorted(least, n, "right") - 1
+        keys, of, need, kinds = [], [], [], []
+        poor = np.zeros(len(n), bool)
+        for kind in (0, 1):
+            band = own + kind
+            use = (n > 0) & (parts[band] > 0)
+            if kind:
+                use &= n * 100 >= least[band] * percent
+            count = np.where(use, parts[band], 0)
+            begin = np.concatenate([[0], np.cumsum(count)])
+            some = np.flatnonzero(use[row])
+            part = high[some] * count[row[some]] >> 31
+            at = begin[row[some]] + part
+            sums = np.zeros(int(begin[-1]), np.uint64)
+            np.add.at(sums, at, value[some])
+            full = np.flatnonzero(np.bincount(at, minlength=len(sums)))
+            r = np.searchsorted(begin, full, "right") - 1
+            filled = np.bincount(r, minlength=len(n))
+            share = filled - differ[band]  # parts, less empty ones, less those that may be spoilt
+            poor |= use & (share < 1)
+            keys.append(mixed(sums[full] ^ mixed((full - begin[r]).astype(np.uint64) << np.uint64(8) ^ band[r].astype(np.uint64))))
+            of.append(r)
+            need.append(np.maximum(share, 1)[r])
+            kinds.append(np.full(len(r), kind))
+        for r in np.flatnonzero(poor).tolist():
+            got = np.sort(value[rows[r] : rows[r + 1]])[: n[r] - -(-percent * n[r] // 100) + 1]
+            keys.append(mixed(got))
+            of.append(np.full(len(got), r))
+            need.append(np.ones(len(got), np.int64))
+            kinds.append(np.full(len(got), _PREFIX))
+        r = np.concatenate(of)
+        p = n[r] << 32 | np.concatenate(need) << 2 | np.concatenate(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids[r]), pa.array(p)], names=["k", "id", "p"])
 
 
 def _sets_of(texts: pa.ChunkedArray, size: int) -> Iterator[np.ndarray]:
     """Each text's set."""
-    for block in blocks(iter(pa.table({"__text": texts}).combine_chunks().to_batches()), "__text"):
+    for block in blocks(iter(pa.table({"__text": texts}).combine_chunks().to_batches()), "__text", TEXT_BYTES):
         h, rows = shingles(cut_words(block.column("__text"), SPACED_LOWER), size)
         for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
-            yield h[a:b]
+            yield h[a:b].copy()
 
 
 class Inverted:
@@ -128,11 +168,26 @@ class Inverted:
         self.percent = percent
         self.sizes = np.array([len(s) for s in sets], np.int64)
         token = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        doc = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(token, kind="stable")
-        self.docs = doc[order]
-        self.tokens, begin = np.unique(token[order], return_index=True)
-        self.begin = np.append(begin, len(token))
+        self.docs = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[order]
+        token = token[order]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+        self.tokens, self.begin = token[first], np.append(first, len(token))
+
+    def _merged(self, short: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The documents that are in `least` of the lists or more, and in how many."""
+        n = self.begin[short + 1] - self.begin[short]
+        if n.sum() <= HEAPED:
+            runs = [self.docs[self.begin[i] : self.begin[i + 1]].tolist() for i in short.tolist()]
+            counted = [(doc, sum(1 for _ in same)) for doc, same in groupby(heapq.merge(*runs))]
+            got = np.array([x for x in counted if x[1] >= least], np.int64).reshape(-1, 2)
+            return got[:, 0], got[:, 1]
+        skip = np.cumsum(n) - n
+        every = np.sort(self.docs[np.repeat(self.begin[short] - skip, n) + np.arange(n.sum())], kind="stable")
+        at = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        count = np.diff(np.append(at, len(every)))
+        some = count >= least
+        return every[at[some]].astype(np.int64), count[some]
 
     def search(self, query: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.tokens, query)
@@ -143,65 +198,81 @@ class Inverted:
         length = self.begin[at + 1] - self.begin[at]
         order = np.argsort(length, kind="stable")
         n_long = min(int(t / (_MU * math.log2(length.max() + 1) + 1)), t - 1, len(at))
-        n_long = int(np.count_nonzero(length[order[len(at) - n_long :]] > 8)) if n_long else 0
         short, long = at[order[: len(at) - n_long]], at[order[len(at) - n_long :]]
-        n = self.begin[short + 1] - self.begin[short]
-        skip = np.concatenate([[0], np.cumsum(n)[:-1]])
-        hits = np.bincount(self.docs[np.repeat(self.begin[short] - skip, n) + np.arange(n.sum())], minlength=len(self.sizes))
-        found = np.flatnonzero(hits >= t - n_long)
-        if len(found):
-            overlap = hits[found]
-            for k, i in enumerate(long.tolist()):
-                part = self.docs[self.begin[i] : self.begin[i + 1]]
-                place = np.minimum(np.searchsorted(part, found), len(part) - 1)
-                overlap += part[place] == found
-                alive = overlap + (n_long - 1 - k) >= t
-                if not alive.all():
-                    found, overlap = found[alive], overlap[alive]
-                    if not len(found):
-                        break
-            union = self.sizes[found] + len(query) - overlap
-            found = found[100 * overlap >= self.percent * union]
-        return found
-
-
-def _verify(block: pa.Table, size: int, percent: int) -> pa.Table:
-    """(a, b) of the block's links; rows with `asked` are queries, the others its index."""
-    index, asked = (block.filter(c) for c in (pc.invert(block.column("asked")), block.column("asked")))
-    lists = Inverted([x.copy() for x in _sets_of(index.column("text"), size)], percent)
-    ids, comps = (np.asarray(index.column(c).combine_chunks()) for c in ("id", "c"))
+        found, overlap = self._merged(short, t - n_long)
+        for k, i in enumerate(long.tolist()):
+            if not len(found):
+                break
+            part = self.docs[self.begin[i] : self.begin[i + 1]]
+            place = np.minimum(np.searchsorted(part, found), len(part) - 1)
+            overlap = overlap + (part[place] == found)
+            alive = overlap + (n_long - 1 - k) >= t
+            if not alive.all():
+                found, overlap = found[alive], overlap[alive]
+        return found[100 * overlap >= self.percent * (self.sizes[found] + len(query) - overlap)]
+
+
+def _search(block: pa.Table, size: int, percent: int) -> pa.Table:
+    """(a, b) of the links between the block's queries and its index; one to each other component c is as good as all."""
+    sets = [*_sets_of(block.column("text"), size)]
+    ids, comps, asks, held = (np.asarray(block.column(c).combine_chunks()) for c in ("id", "c", "asks", "held"))
+    index = np.flatnonzero(held)
+    lists = Inverted([sets[i] for i in index.tolist()], percent)
+    ids_of, comps_of = ids[index], comps[index]
     a, b = [], []
-    queries = zip(asked.column("id").to_pylist(), asked.column("c").to_pylist(), _sets_of(asked.column("text"), size), strict=True)
-    for y, cy, query in queries:
-        rows = lists.search(query)
-        rows = rows[comps[rows] != cy]
-        # One link to each other component is as good as all.
-        rows = rows[np.unique(comps[rows], return_index=True)[1]]
-        a += ids[rows].tolist()
-        b += [y] * len(rows)
+    for q in np.flatnonzero(asks).tolist():
+        rows = lists.search(sets[q])
+        rows = rows[comps_of[rows] != comps[q]]
+        rows = rows[np.unique(comps_of[rows], return_index=True)[1]]
+        a += ids_of[rows].tolist()
+        b += [int(ids[q])] * len(rows)
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _links(pairs: DataFrame, base: DataFrame, size: int, percent: int) -> DataFrame:
-    """The links (a, b) among pairs (x, cx, y, cy): those asked for, or others that join the same components.
+def _links(routes: DataFrame, base: DataFrame, size: int, percent: int) -> DataFrame:
+    """The links (a, b) in the blocks of routes (g, h, id, c, asks, held): each row is a text that asks in block (g, h), or is held in it, or both.
 
-    Texts travel, not sets, which are three times as large; only those asked for do.
+    Texts travel, not sets, which are three times as large; only those in routes do.
     """
-    # What asks for the same goes together: a text is sent once as a query, and to few blocks as index.
-    pairs = pairs.join(pairs.groupBy(F.col("y").alias("__y")).agg(F.min("x").alias("__m")), F.col("y") == F.col("__y")).drop("__y")
-    n = pairs.select("__m").distinct().count()
-    pairs = pairs.withColumn("__h", F.pmod(F.xxhash64("__m"), F.lit(parts_for(n, INDEX_ROWS))))
-    parts = pairs.select("__h", "x").distinct().groupBy("__h").agg(F.ceil(F.count(F.lit(1)) / INDEX_ROWS).alias("__k"))
-    pairs = pairs.join(parts, "__h").withColumn("__b", F.col("__h") * (1 << 24) + F.pmod(F.xxhash64("x"), F.col("__k")))
-    asked = pairs.select("__b", "y", "cy").distinct()
-    salts = asked.groupBy("__b").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).alias("__n"))
-    index = pairs.select("__b", "x", "cx").distinct().join(salts, "__b")
-    index = index.select("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("__s"), F.lit(False).alias("asked"), F.col("x").alias("id"), F.col("cx").alias("c"))
-    asked = asked.join(salts, "__b").select("__b", F.pmod(F.xxhash64("y"), F.col("__n")).alias("__s"), F.lit(True).alias("asked"), F.col("y").alias("id"), F.col("cy").alias("c"))
-    both = pairs.select(F.col("x").alias("id")).union(pairs.select("y"))
-    texts = only(base, bit_table(both, BITS), "__id", inside=True).select(F.col("__id").alias("id"), F.col("__text").alias("text"))
-    sent = index.union(asked).join(texts, "id")
-    return sent.groupBy("__b", "__s").applyInArrow(lambda t: _verify(t, size, percent), "a long, b long")
+    texts = only(base, bit_table(routes.select("id"), BITS), "__id", inside=True).select(F.col("__id").alias("id"), F.col("__text").alias("text"))
+    return routes.join(texts, "id").groupBy("g", "h").applyInArrow(lambda t: _search(t, size, percent), "a long, b long")
+
+
+def _hashed(column: str, parts) -> F.Column:
+    return F.pmod(F.xxhash64(column), parts)
+
+
+def _leader_routes(asked: DataFrame, where: str) -> DataFrame:
+    """Blocks for (leader, id, n): a leader asks in blocks of those that it leads; small ones share blocks."""
+    led = asked.groupBy("leader").agg(F.sum("n").alias("all"))
+    total = led.agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0]
+    bins = F.lit(parts_for(2 * total, BLOCK_SHINGLES))
+    led = led.select("leader", F.when(F.col("all") * 2 > BLOCK_SHINGLES, F.col("leader")).otherwise(-1 - _hashed("leader", bins)).alias("g"), F.when(F.col("all") * 2 > BLOCK_SHINGLES, F.ceil(F.col("all") / BLOCK_SHINGLES)).otherwise(1).alias("parts"))
+    held = written(asked.join(led, "leader").select("g", _hashed("id", F.col("parts")).alias("h"), "leader", "id"), where, "led")
+    yes, no = F.lit(True), F.lit(False)
+    return held.select("g", "h", "id", F.col("id").alias("c"), no.alias("asks"), yes.alias("held")).union(held.select("g", "h", "leader", "leader", yes, no).distinct())
+
+
+def _group_routes(rows: DataFrame, where: str) -> DataFrame:
+    """Blocks for (id, n, c, group): all of a group that are of different components c meet in one.
+
+    Small groups share blocks. A large one is cut: those outside its largest
+    component ask among themselves and in the parts of that component.
+    """
+    by_comp = written(rows.groupBy("group", "c").agg(F.sum("n").alias("all")), where, "by-component")
+    groups = by_comp.groupBy("group").agg(F.sum("all").alias("all"), F.max(F.struct("all", "c")).alias("major"))
+    total = groups.agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0]
+    bins = F.lit(parts_for(2 * total, BLOCK_SHINGLES))
+    large = F.col("all") * 2 > BLOCK_SHINGLES
+    parts = lambda c: F.when(large, F.ceil(c / BLOCK_SHINGLES)).otherwise(F.lit(0))
+    groups = groups.select("group", F.when(large, F.col("group")).otherwise(-1 - _hashed("group", bins)).alias("g"), F.when(large, F.col("major.c")).alias("major"),
+                           F.greatest(F.lit(1), parts(F.col("all") - F.col("major.all"))).alias("minors"), parts(F.col("major.all")).alias("majors"))
+    own = rows.join(groups, "group").withColumn("is_major", F.coalesce(F.col("c") == F.col("major"), F.lit(False)))
+    own = own.withColumn("at", F.when(F.col("is_major"), F.col("minors") + _hashed("id", F.col("majors"))).otherwise(_hashed("id", F.col("minors"))))
+    last = F.when(F.col("is_major"), F.col("minors")).otherwise(F.col("minors") + F.col("majors")) - 1
+    met = own.select("g", "id", "c", "at", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("other"))
+    first, second = F.least("at", "other"), F.greatest("at", "other")
+    return met.select("g", (first * (1 << 31) + second).alias("h"), "id", "c", (first == F.col("at")).alias("asks"), (second == F.col("at")).alias("held"))
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -213,65 +284,58 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     100 * intersection >= percent * union; component_id is the smallest id that
     links reach, the own one included. Ties cannot occur: nothing is ranked. Rows
     that repeat an id count as linked. A null id is reached and reaches like any
-    other, but names no component; alone, its component is null. An empty table
-    gives an empty result; other columns are not used.
+    other, but names no component; where links reach no id, the component is null.
+    Ids are below 2^62. Very long texts are sets like any other. An empty table
+    gives an empty result; other columns are not used, whatever their names.
     """
     spark = docs.sparkSession
     where = shared_dir(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
     kind = dict(docs.select(id_col).dtypes)[id_col]
-
-    # The order: a class for each slot, 0 for all but the frequent ones.
-    counts = base.select("__text").mapInArrow(partial(_frequent, size=size), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    level = F.least(F.floor(F.log2("n")), F.lit(62)).cast("int")
-    slots = counts.groupBy(F.col("h").bitwiseAND(SLOTS - 1).cast("int").alias("slot")).agg(F.max(level).alias("level")).toArrow()  # SLOTS rows at most
-    rank = np.zeros(SLOTS, np.uint8)
-    rank[np.asarray(slots["slot"].combine_chunks())] = np.asarray(slots["level"].combine_chunks())
-    found = base.mapInArrow(partial(_prefixes, size=size, percent=percent, classes=spark.sparkContext.broadcast(rank)), "__id long, n long, s1 long, s2 long, strict long, keys array<long>")
+    nameless = F.xxhash64(F.col(text_col)).bitwiseAND(NAMELESS - 1) + NAMELESS
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), nameless).alias("__id"), F.col(text_col).alias("__text"))
 
     # Classes of equal sets.
-    reps = written(found.groupBy("s1", "s2", "n").agg(F.min("__id").alias("rep"), F.min("strict").alias("strict"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("rows")), where, "reps")
-    post = reps.where("n > 0 and rep is not null").select("rep", "n", "strict", F.posexplode("keys").alias("pos", "k"))
-    # n and whether the shingle counts in the smaller set, in one number.
-    post = post.select("k", "rep", (F.col("n") * 2 + (F.col("pos") < F.col("strict")).cast("long")).alias("p"))
-    lists = post.groupBy("k").agg(F.count(F.lit(1)).alias("__m"), F.min(F.struct("rep", "p")).alias("lead")).where("__m > 1").drop("__m")
-    live = written(post.join(lists, "k"), where, "live")
-
-    size_of = lambda c: F.shiftright(F.col(c), 1)
-    fits = lambda a, b: (F.least(size_of(a), size_of(b)) * 100 >= F.greatest(size_of(a), size_of(b)) * percent)
-    first = live.select(F.col("lead.rep").alias("x"), F.col("lead.p").alias("q"), F.col("rep").alias("y"), "p").where(F.col("x") != F.col("y")).where(fits("q", "p"))
-    asked1 = written(first.select("x", "y").distinct(), where, "asked-1")
-
-    own = asked1.select("x", F.col("x").alias("cx"), "y", F.col("y").alias("cy"))
-    edges = written(_links(own, base, size, percent), where, "links-1")
+    rows = written(base.mapInArrow(partial(_signatures, size=size), "__id long, n long, s1 long, s2 long"), where, "signatures")
+    same = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("__id").alias("rep"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+    rows = written(rows.join(same, ["s1", "s2", "n"], "left").select("__id", "n", F.coalesce("rep", "__id").alias("rep")), where, "rows")
+    others = bit_table(rows.where("rep <> __id").select("__id"), BITS)
+    maybe = only(base, others, "__id", inside=True).join(rows.where("rep = __id").select("__id"), "__id", "left_semi")
+    reps = only(base, others, "__id", inside=False).union(maybe)
+
+    # Lists of two or more, and of them those of classes that are in enough lists.
+    ddl = "k long, id long, p long"
+    post = reps.mapInArrow(partial(_postings, size=size, percent=percent), ddl)
+    post = post.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("k"))).where("m > 1")
+    post = written(post.select("k", "id", F.shiftright("p", 32).alias("n"), (F.shiftright("p", 2).bitwiseAND((1 << 30) - 1)).alias("t"), F.col("p").bitwiseAND(3).alias("kind")), where, "lists")
+    enough = post.groupBy("id", "kind").agg(F.count(F.lit(1)).alias("known"), F.min("t").alias("t")).where("known >= t")
+    live = written(post.drop("t").join(enough, ["id", "kind"]), where, "live")
+
+    lead = live.groupBy("k").agg(F.max(F.struct("known", (-F.col("id")).alias("less"))).alias("top"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    asked = live.join(lead.select("k", (-F.col("top.less")).alias("leader")), "k").where("id <> leader")
+    asked = asked.groupBy("id", "leader").agg(F.count(F.lit(1)).alias("lists"), F.max("n").alias("n"))
+    asked = asked.groupBy("id").agg(F.max(F.struct("lists", (-F.col("leader")).alias("less"), "n")).alias("top"))
+    asked = written(asked.select((-F.col("top.less")).alias("leader"), "id", "top.n"), where, "asked")
+    edges = written(_links(written(_leader_routes(asked, where), where, "routes-1"), base, size, percent), where, "links-1")
     comp = written(components(edges, f"{where}/cc-1"), where, "comp-1")
 
     # Lists that still have several components.
-    post = live.select("k", "rep", "p").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-    post = written(post, where, "post-2")
-    kinds = post.groupBy("k", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("k").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("m", "c")).alias("most")).where("kinds > 1")
-    opened = written(post.join(kinds.select("k", F.col("most.c").alias("major")), "k"), where, "open")
-    few = opened.where("c <> major").select("k", F.col("rep").alias("x"), F.col("p").alias("q"), F.col("c").alias("cx"))
-    both = few.join(opened.select("k", F.col("rep").alias("y"), "p", F.col("c").alias("cy"), "major"), "k").where("cx <> cy").where(fits("q", "p"))
-    strict = lambda a, b: (F.col(a).bitwiseAND(1) == 1) & (size_of(a) <= size_of(b))
-    swap = F.col("x") > F.col("y")
-    pick = lambda a, b, name: F.when(swap, a).otherwise(b).alias(name)
-    c = F.col
-    # A pair comes from every list that it shares: once if one of it is of the list's largest component, else twice.
-    both = both.select(pick(c("y"), c("x"), "x"), pick(c("cy"), c("cx"), "cx"), pick(c("x"), c("y"), "y"), pick(c("cx"), c("cy"), "cy"), pick(size_of("p"), size_of("q"), "nx"), pick(size_of("q"), size_of("p"), "ny"),
-                       (strict("q", "p") | strict("p", "q")).alias("near"), F.when(c("cy") == c("major"), 2).otherwise(1).alias("w"))
-    both = both.groupBy("x", "cx", "y", "cy", "nx", "ny").agg(F.max("near").alias("near"), (F.sum("w") / 2).alias("shared"))
-    # Beyond the prefixes at most `rest` more can be common: the shared ones must make up for what is missing.
-    rest = F.ceil(F.greatest("nx", "ny") * percent / 100) - 1
-    need = F.ceil((c("nx") + c("ny")) * percent / (100 + percent))
-    both = both.where("near").where(c("shared") + rest >= need).select("x", "cx", "y", "cy").distinct()
-    asked2 = written(both.join(asked1, ["x", "y"], "left_anti"), where, "asked-2")
-    edges = edges.union(_links(asked2, base, size, percent))
+    post = live.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    post = written(post, where, "live-2")
+    several = post.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
+    own = Window.partitionBy("id", "kind")
+    opened = post.join(several.select("k", "m"), "k").withColumn("open", F.count(F.lit(1)).over(own)).withColumn("place", F.row_number().over(own.orderBy("m", "k")))
+    opened = written(opened.where("place <= open - t + 1").select("k", "id", "n", "c"), where, "open")
+    several = opened.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("least")).where("lo <> hi")
+    opened = written(opened.join(several.select("k", "least"), "k").groupBy("id", "n", "c", "least").agg(F.count(F.lit(1)).alias("lists")), where, "meet")
+    groups = components(opened.select(F.col("id").alias("a"), F.col("least").alias("b")), f"{where}/cc-meet")
+    members = opened.select("id", "n", "c").distinct().join(groups.select(F.col("node").alias("id"), F.col("component").alias("group")), "id")
+    routes = written(_group_routes(written(members, where, "members"), where), where, "routes-2")
+    edges = edges.union(written(_links(routes, base, size, percent), where, "links-2"))
+
     # Rows that share an id: their classes are linked.
-    rows = found.select("__id", "n", "s1", "s2").join(reps.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"])
-    rows = written(rows.select("__id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("__id")).alias("rep")), where, "rows")
-    again = rows.where("__id is not null").groupBy("__id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
+    again = rows.groupBy("__id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
     again = rows.join(again.select("__id"), "__id").select(F.col("__id").alias("a"), F.col("rep").alias("b"))
     comp = components(edges.union(again), f"{where}/cc-2")
-    out = rows.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select(F.col("__id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").cast(kind).alias("component_id"))
+    out = rows.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = lambda c: F.when(F.col(c) < NAMELESS, F.col(c)).cast(kind)
+    return out.select(named("__id").alias(id_col), F.col("n").alias("n_shingles"), named("component").alias("component_id"))
