@@ -7,17 +7,17 @@
    out (segments); the windows in them are grouped by hash to the first document
    that has each, and of that document the runs of windows that others have too
    are its passages. Each repeated window is in a passage of its first document.
-3. Automata: a passage goes to the blocks of documents that share a phrase with it.
-   Each block compiles Aho-Corasick automata of every 25th run of 25 words of its
-   passages (any window of 50 holds one), in shards of bounded size, and streams
-   its segments through them. A hit is extended word by word (by numbers of word
-   hashes) against the passage; 50 equal words or more are a repeat, and they go
-   if the passage's document has the smaller id.
+3. Automata: passages are dealt by first document into shards of a bounded number of
+   words, and a shard's Aho-Corasick automaton holds every 25th run of 25 words of
+   them (any window of 50 holds one). A document's segments go to the shards that
+   have a passage of a smaller document with a phrase of theirs; where those of a
+   shard are many, several tasks build its automaton and share them. A hit is
+   extended word by word (by numbers of word hashes) against the passage; 50 equal
+   words or more are a repeat, and they go.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
 
@@ -27,14 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bits import bit_table, may_have, only
-from .common import SPACED, Words, blocks, cut_words, mixed, parts_for, shared_dir, window_hashes, written
+from .bits import bit_table, only
+from .common import SPACED, Words, blocks, cut_words, mixed, parts_for, remove, shared_dir, window_hashes, written
 
 WINDOW, PHRASE = 50, 20
 HOP = WINDOW // 2
-BLOCK_BYTES = 12 << 20
-#: Words of passages in one automaton.
-SHARD_WORDS = 1_200_000
+#: Bytes of text in a group of documents, in what is cut at once, and in the segments that an automaton reads.
+BLOCK_BYTES, TEXT_BYTES, READ_BYTES = 6 << 20, 2 << 20, 8 << 20
+#: Words of passages in one automaton, and in one passage; longer ones are cut, one window less a word overlapping.
+SHARD_WORDS, PASSAGE_WORDS = 300_000, 50_000
 ID_BITS, PHRASE_BITS = 1 << 23, 1 << 25
 
 
@@ -70,15 +71,13 @@ def _steps(key: np.ndarray, *more: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], new]))
 
 
-def _doc_phrases(batches: Iterator[pa.RecordBatch], known=None) -> Iterator[pa.RecordBatch]:
-    """(m, id) of each document's phrases; of those that may be known, if given."""
-    for block in blocks(batches, "__text"):
+def _doc_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(m, id) of each document's phrases."""
+    for block in blocks(batches, "__text", TEXT_BYTES):
         words = cut_words(block.column("__text"), SPACED)
         starts, m, _ = _phrases(words)
         row = words.row_of()[starts]
         at = _steps(m, row)
-        if known is not None:
-            at = at[may_have(known, m[at].view(np.int64))]
         yield pa.RecordBatch.from_arrays([_longs(m[at]), block.column("__id").take(pa.array(row[at]))], names=["m", "id"])
 
 
@@ -97,54 +96,53 @@ def _runs(starts: np.ndarray, rows: np.ndarray, join: int) -> Iterator[tuple[int
         yield int(rows[a]), int(starts[a]), int(starts[b - 1]) + WINDOW
 
 
+def _listed(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.Table:
+    return pa.table([pa.array([x[k] for x in rows], t) for k, t in enumerate(types)], names=names)
+
+
 def _segments(docs: pa.Table, phrases: pa.Table) -> pa.Table:
-    """(id, start, text) of the stretches of the block's documents around their recurring phrases."""
+    """(id, start, text, ms) of the stretches of the block's documents around their recurring phrases, and these phrases."""
     out: list[tuple] = []
     if phrases.num_rows:
         pool = [np.asarray(phrases.column(c).combine_chunks()) for c in (1, 2)]
-        for block in blocks(iter(docs.combine_chunks().to_batches()), "text"):
+        for block in blocks(iter(docs.combine_chunks().to_batches()), "text", TEXT_BYTES):
             words = cut_words(block.column("text"), SPACED)
             starts, m, _ = _phrases(words)
             ids = np.asarray(block.column("id"))
             row = words.row_of()[starts]
             ok = _pairs_in(ids[row], m, pool[0], pool[1].view(np.uint64))
-            for r, a, b in _runs(starts[ok], row[ok], WINDOW):
-                out.append((int(ids[r]), a - int(words.rows[r]), words.buf[words.starts[a] : words.ends[b - 1]].tobytes()))
-    return pa.table([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["id", "start", "text"])
+            starts, row, m = starts[ok], row[ok], m[ok]
+            for r, a, b in _runs(starts, row, WINDOW):
+                own = m[np.searchsorted(starts, a) : np.searchsorted(starts, b - WINDOW, "right")]
+                out.append((int(ids[r]), a - int(words.rows[r]), words.buf[words.starts[a] : words.ends[b - 1]].tobytes(), np.unique(own).view(np.int64).tolist()))
+    return _listed(out, ["id", "start", "text", "ms"], [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in blocks(batches, "text"):
+    for block in blocks(batches, "text", TEXT_BYTES):
         words = cut_words(block.column("text"), SPACED)
         starts, _, w = _phrases(words)
         yield pa.RecordBatch.from_arrays([_longs(w), block.column("id").take(pa.array(words.row_of()[starts]))], names=["w", "id"])
 
 
 def _passages(segments: pa.Table, repeated: pa.Table) -> pa.Table:
-    """(id, text, phrases) of the runs of windows that begin with this document."""
+    """(first, piece, n_words, passage, ms) of the runs of windows that begin with this document."""
     out: list[tuple] = []
     if repeated.num_rows:
         pool = [np.asarray(repeated.column(c).combine_chunks()) for c in (1, 2)]
-        for block in blocks(iter(segments.combine_chunks().to_batches()), "text"):
+        for block in blocks(iter(segments.combine_chunks().to_batches()), "text", TEXT_BYTES):
             words = cut_words(block.column("text"), SPACED)
             starts, m, w = _phrases(words)
             ids = np.asarray(block.column("id"))
             row = words.row_of()[starts]
             ok = _pairs_in(ids[row], w, pool[0], pool[1].view(np.uint64))
             starts, row, m = starts[ok], row[ok], m[ok]
-            for r, a, b in _runs(starts, row, 1):
-                own = m[np.searchsorted(starts, a) : np.searchsorted(starts, b - WINDOW, "right")]
-                out.append((int(ids[r]), words.buf[words.starts[a] : words.ends[b - 1]].tobytes(), np.unique(own).view(np.int64).tolist()))
-    types = (pa.int64(), pa.binary(), pa.list_(pa.int64()))
-    return pa.table([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names=["first", "passage", "ms"])
-
-
-def _segment_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in blocks(batches, "text"):
-        words = cut_words(block.column("text"), SPACED)
-        starts, m, _ = _phrases(words)
-        at = _steps(m, words.row_of()[starts])
-        yield pa.RecordBatch.from_arrays([_longs(m[at]), block.column("b").take(pa.array(words.row_of()[starts][at]))], names=["m", "b"])
+            for r, first, end in _runs(starts, row, 1):
+                for a in range(first, end - WINDOW + 1, PASSAGE_WORDS - WINDOW + 1):
+                    b = min(end, a + PASSAGE_WORDS)
+                    own = m[np.searchsorted(starts, a) : np.searchsorted(starts, b - WINDOW, "right")]
+                    out.append((int(ids[r]), (a - first) // PASSAGE_WORDS, b - a, words.buf[words.starts[a] : words.ends[b - 1]].tobytes(), np.unique(own).view(np.int64).tolist()))
+    return _listed(out, ["first", "piece", "n_words", "passage", "ms"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())])
 
 
 class Automaton:
@@ -153,18 +151,19 @@ class Automaton:
     #: Characters that stand for words; numbers beyond share them, and the comparison of numbers decides.
     LETTERS = 1_100_000
 
-    def __init__(self, passages: list[tuple[int, np.ndarray]]):
-        self.passages = [p for _, p in passages]
-        self.first = [f for f, _ in passages]
-        self.machine = ahocorasick.Automaton()
-        for k, p in enumerate(self.passages):
+    def __init__(self, first: list[int], passages: list[np.ndarray]):
+        self.first, self.passages = first, passages
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.places: list[list[tuple[int, int]]] = []
+        for k, p in enumerate(passages):
             text = self.string(p)
             for o in range(0, len(p) - HOP + 1, HOP):
-                key = text[o : o + HOP]
-                if key in self.machine:
-                    self.machine.get(key).append((k, o))
+                at = self.machine.get(text[o : o + HOP], -1)
+                if at < 0:
+                    self.machine.add_word(text[o : o + HOP], len(self.places))
+                    self.places.append([(k, o)])
                 else:
-                    self.machine.add_word(key, [(k, o)])
+                    self.places[at].append((k, o))
         self.machine.make_automaton()
 
     @classmethod
@@ -173,14 +172,17 @@ class Automaton:
         at = np.where(ids < 0, 0, ids % cls.LETTERS + 1)
         return np.where(at < 0xD800, at, at + 0x800).astype(np.uint32).tobytes().decode("utf-32-le")
 
-    def repeats(self, at: np.ndarray, text: str, doc: int) -> list[tuple[int, int]]:
-        """Stretches (first, last + 1) of WINDOW words or more that a passage of a smaller document has."""
-        done: dict[tuple[int, int], int] = {}
-        out = []
-        for end, hits in self.machine.iter(text):
+    def repeats(self, at: np.ndarray, doc: int) -> np.ndarray:
+        """Which words (numbers) are in a stretch of WINDOW or more that a passage of a smaller document has."""
+        covered = np.zeros(len(at), bool)
+        for end, key in self.machine.iter(self.string(at)):
             p = end - HOP + 1
-            for k, o in hits:
-                if self.first[k] >= doc or done.get((k, p - o), -1) >= end:
+            near = covered[max(p - HOP, 0) : end + HOP + 1]  # what windows that hold this hit can cover
+            done = near.all()
+            for k, o in self.places[key]:
+                if done:
+                    break
+                if self.first[k] >= doc:
                     continue
                 passage = self.passages[k]
                 back = min(p, o)
@@ -190,66 +192,43 @@ class Automaton:
                 i = int(np.searchsorted(differ, back))
                 left = int(differ[i - 1]) + 1 if i else 0
                 right = int(differ[i]) if i < len(differ) else whole
-                done[k, p - o] = max(end, p - back + right - 1)
                 if right - left >= WINDOW:
-                    out.append((p - back + left, p - back + right))
-        return out
+                    covered[p - back + left : p - back + right] = True
+                    done = near.all()
+        return covered
 
 
-def _numbers(texts: pa.ChunkedArray, vocab: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The words of each text as numbers of a vocabulary of word hashes: that given (-1: not in it), or their own."""
-    hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for block in blocks(iter(pa.table({"text": texts}).combine_chunks().to_batches()), "text"):
+def _word_hashes(texts: pa.ChunkedArray) -> Iterator[np.ndarray]:
+    """The hashes of each text's words."""
+    for block in blocks(iter(pa.table({"text": texts}).combine_chunks().to_batches()), "text", TEXT_BYTES):
         words = cut_words(block.column("text"), SPACED)
-        hashes.append(words.hashes())
-        counts.append(words.counts)
-    h = np.concatenate(hashes)
-    if vocab is None:
-        vocab, at = np.unique(h, return_inverse=True)
-    elif len(vocab):
-        at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
-        at = np.where(vocab[at] == h, at, -1)
-    else:
-        at = np.full(len(h), -1)
-    return vocab, np.split(at.astype(np.int32), np.cumsum(np.concatenate(counts))[:-1])
+        h = words.hashes()
+        for a, b in zip(words.rows[:-1].tolist(), words.rows[1:].tolist(), strict=True):
+            yield h[a:b]
 
 
 def _locate(segments: pa.Table, passages: pa.Table) -> pa.Table:
-    """(id, first, last) of the repeats in the block's segments; a shard of passages at a time."""
-    spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    """(id, a, b) of the repeats in the segments, which are read one by one."""
+    out: list[tuple] = []
     if passages.num_rows and segments.num_rows:
-        vocab, rows = _numbers(passages.column("passage"))
-        firsts = passages.column("first").to_pylist()
-        asked = _numbers(segments.column("text"), vocab)[1]
-        texts = [Automaton.string(x) for x in asked]
+        rows = [h.copy() for h in _word_hashes(passages.column("passage"))]
+        vocab, at = np.unique(np.concatenate(rows), return_inverse=True)
+        numbers = np.split(at.astype(np.int32), np.cumsum([len(x) for x in rows])[:-1])
+        del rows
+        machine = Automaton(passages.column("first").to_pylist(), numbers)
         ids, begins = segments.column("id").to_pylist(), segments.column("start").to_pylist()
-        shard: list[tuple[int, np.ndarray]] = []
-        size = 0
-        for k, row in enumerate(rows):
-            shard.append((firsts[k], row))
-            size += len(row)
-            if size >= SHARD_WORDS or k == len(rows) - 1:
-                machine = Automaton(shard)
-                for i, start, at, text in zip(ids, begins, asked, texts, strict=True):
-                    for a, b in machine.repeats(at, text, i):
-                        spans[i].append((start + a, start + b))
-                shard, size = [], 0
-    out = []
-    for i, some in spans.items():
-        some.sort()
-        a, b = some[0]
-        for x, y in some[1:]:
-            if x > b:
-                out.append((i, a, b))
-                a, b = x, y
-            b = max(b, y)
-        out.append((i, a, b))
-    return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["id", "a", "b"])
+        for doc, start, h in zip(ids, begins, _word_hashes(segments.column("text")), strict=True):
+            at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
+            covered = machine.repeats(np.where(vocab[at] == h, at, -1).astype(np.int32), doc)
+            if covered.any():
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8))).reshape(-1, 2)
+                out += [(doc, start + a, start + b) for a, b in edges.tolist()]
+    return _listed(out, ["id", "a", "b"], [pa.int64()] * 3)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, n_words, n_removed, kept text) with the spans cut."""
-    for block in blocks(batches, "__text"):
+    for block in blocks(batches, "__text", TEXT_BYTES):
         texts = block.column("__text").cast(pa.binary())
         n, cut, kept = [], [], []
         spans = block.column("__spans").to_pylist() if "__spans" in block.schema.names else [None] * block.num_rows
@@ -277,27 +256,35 @@ def repeats(docs: DataFrame, where: str, id_col: str = "doc_id", text_col: str =
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(n))
 
     two = [F.min("id").alias("first"), F.max("id").alias("last")]
-    recurring = base.mapInArrow(_doc_phrases, "m long, id long").groupBy("m").agg(*two).where("first < last").select("m")
-    recurring = written(recurring, where, "recurring")
-    known = bit_table(recurring, PHRASE_BITS)
-    own = base.mapInArrow(partial(_doc_phrases, known=known), "m long, id long").join(recurring, "m").select(F.col("id").alias("pid"), F.col("m").alias("pm"))
+    phrases = written(base.mapInArrow(_doc_phrases, "m long, id long"), where, "phrases")
+    recurring = written(phrases.groupBy("m").agg(*two).where("first < last").select("m"), where, "recurring")
+    own = only(phrases, bit_table(recurring, PHRASE_BITS), "m", inside=True).join(recurring, "m").select(F.col("id").alias("pid"), F.col("m").alias("pm"))
     own = written(own.distinct(), where, "own")
+    remove(spark, f"{where}/phrases")
     some = only(base, bit_table(own.select("pid").distinct(), ID_BITS), "__id", inside=True)
     some = some.select(block("__id").alias("qb"), F.col("__id").alias("id"), F.col("__text").alias("text"))
     own = own.select(block("pid").alias("pb"), "pid", "pm")
-    segments = some.groupBy("qb").cogroup(own.groupBy("pb")).applyInArrow(_segments, "id long, start long, text binary")
+    segments = some.groupBy("qb").cogroup(own.groupBy("pb")).applyInArrow(_segments, "id long, start long, text binary, ms array<long>")
     segments = written(segments, where, "segments")
 
-    repeated = segments.mapInArrow(_windows, "w long, id long").groupBy("w").agg(*two).where("first < last")
+    repeated = segments.select("text", "id").mapInArrow(_windows, "w long, id long").groupBy("w").agg(*two).where("first < last").select("first", "w")
+    repeated = written(repeated, where, "repeated")
+    holds = bit_table(repeated.select("first").distinct(), ID_BITS)
+    cut = only(segments.select("id", "text"), holds, "id", inside=True).select(block("id").alias("qb"), "id", "text")
     repeated = repeated.select(block("first").alias("pb"), F.col("first").alias("pid"), F.col("w").alias("pw"))
-    cut = segments.select(block("id").alias("qb"), "id", "start", "text")
-    passages = cut.groupBy("qb").cogroup(repeated.groupBy("pb")).applyInArrow(_passages, "first long, passage binary, ms array<long>")
-    passages = written(passages.select(F.sha2("passage", 256).alias("pid"), "first", "passage", "ms"), where, "passages")
-
-    at = segments.select(block("id").alias("b"), "text").mapInArrow(_segment_phrases, "m long, b long").distinct()
-    routes = passages.select("pid", "first", F.explode("ms").alias("m")).join(at, "m").select("b", F.col("pid").alias("rid"), F.col("first").alias("rfirst")).distinct()
-    sent = routes.join(passages.select("pid", "first", "passage"), (F.col("rid") == F.col("pid")) & (F.col("rfirst") == F.col("first"))).select(F.col("b").alias("pb"), "first", "passage")
-    return cut.groupBy("qb").cogroup(sent.groupBy("pb")).applyInArrow(_locate, "id long, a long, b long")
+    passages = cut.groupBy("qb").cogroup(repeated.groupBy("pb")).applyInArrow(_passages, "first long, piece long, n_words long, passage binary, ms array<long>")
+    passages = written(passages, where, "passages")
+    total = passages.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    passages = passages.withColumn("shard", F.pmod(F.xxhash64("first", "piece"), F.lit(parts_for(total, SHARD_WORDS))))
+
+    has = passages.select("shard", "first", F.explode("ms").alias("m")).groupBy("m", "shard").agg(F.min("first").alias("first"))
+    asks = segments.select("id", "start", F.octet_length("text").alias("size"), F.explode("ms").alias("m"))
+    routes = asks.join(has, "m").where("first < id").groupBy("id", "start", "shard").agg(F.max("size").alias("size"))
+    routes = written(routes, where, "routes")
+    tasks = written(routes.groupBy("shard").agg(F.ceil(F.sum("size") / READ_BYTES).alias("tasks")), where, "tasks")
+    asked = segments.select("id", "start", "text").join(routes.join(tasks, "shard"), ["id", "start"]).select("shard", F.pmod(F.xxhash64("id", "start"), F.col("tasks")).alias("task"), "id", "start", "text")
+    told = passages.join(tasks, "shard").select(F.col("shard").alias("s"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("t"), "first", "passage")
+    return asked.groupBy("shard", "task").cogroup(told.groupBy("s", "t")).applyInArrow(_locate, "id long, a long, b long")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
