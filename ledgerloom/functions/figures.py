@@ -1,11 +1,15 @@
 """Figures and dates inside lines of statement text, in whatever style a statement prints them.
 
-A style is a decimal mark and a separator of thousands. Everything is an expression
-of arrays of structs, so a line costs no Python.
+A style is a decimal mark and a separator of thousands. A date is read as the units
+that a line begins with (figures or words, and what stands between them); which kind
+of date they make is told by what each unit can be. Everything is an expression of
+structs, so a line costs no Python.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,27 +17,31 @@ from .let import let
 
 #: Fixed values: (decimal mark, separator of thousands) in the order they are preferred.
 STYLES = ((".", ","), (",", "."), (".", " "), (",", " "))
-#: Month names by their first three letters, in order.
+#: What stands before a figure for the currency, and after it for the side of the account.
+CURRENCIES, SIDES = ("R", "ZAR"), ("cr", "dr")
+#: Month names by their first three letters, in order; the names in full.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 LONG_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december", "sept")
-#: Kinds of dates that lines begin with, in the order of preference; (pattern, groups of day, month, year).
-DATE_KINDS = {
-    "dmy": (r"(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}|\d{2})(?![\d/.-])", (1, 2, 3)),
-    "ymd": (r"(\d{4})[/.-](\d{1,2})[/.-](\d{1,2})(?!\d)", (3, 2, 1)),
-    "d_mon_y": (r"(\d{1,2})[ -]?([A-Za-z]{3,9})\.?[ ,-]\s?(\d{4}|\d{2})(?![\d.,:])", (1, 2, 3)),
-    "mon_d_y": (r"([A-Za-z]{3,9})\.?\s(\d{1,2}),?\s(\d{4})(?!\d)", (2, 1, 3)),
-    "d_mon": (r"(\d{1,2})[ -]?([A-Za-z]{3,9})(?![A-Za-z])", (1, 2, 0)),
-    "mon_d": (r"([A-Za-z]{3,9})\.?\s(\d{1,2})(?![\d.,:])", (2, 1, 0)),
-    "dm": (r"(\d{1,2})/(\d{1,2})(?![/\d])", (1, 2, 0)),
-}
+#: Kinds of dates that lines begin with, in the order of preference, as their units: Day, Month in figures, month's Name, Year.
+DATE_KINDS = {"dmy": "DMY", "ymd": "YMD", "d_mon_y": "DNY", "mon_d_y": "NDY", "d_mon": "DN", "mon_d": "ND", "dm": "DM"}
+_UNIT, _BETWEEN = r"(\d{1,4}|[A-Za-z]{3,9})", r"([-/., ]{0,2})"
+_CUT = "\u0001"
+
+
+def _any(*choices: str) -> str:
+    return "(?:" + "|".join(choices) + ")"
 
 
 def figure_pattern(decimal: str = ".", thousands: str = ",") -> str:
-    """One figure: brackets, minus, currency, digits, and a mark after them; nothing that is part of a longer word or number."""
-    dec, sep = (rf"\{c}" if c in ".," else c for c in (decimal, thousands))
-    digits = rf"(?:\d{{1,3}}(?:{sep}\d{{3}})+|\d+){dec}\d{{2}}"
-    before = r"(?<![\w.,/:])" if thousands != " " else r"(?<![\w.,/:])(?<!\d )"
-    return before + rf"(?:\(|-\s?)?(?:(?:R|ZAR)\s?)?-?{digits}(?:\)|-(?!\d)|\s?(?:[Cc][Rr]|[Dd][Rr])(?![A-Za-z]))?\*?(?![\w.,/%])"
+    """One figure with two decimals and its marks, which is not part of a longer word or number."""
+    mark, gap = re.escape(decimal), re.escape(thousands)
+    in_threes = rf"\d{{1,3}}(?:{gap}\d{{3}})+"
+    number = _any(in_threes, r"\d+") + mark + r"\d\d"
+    before = _any(r"\(", r"-\s?") + "?" + _any(_any(*CURRENCIES) + r"\s?") + "?-?"
+    side = r"\s?(?i:" + "|".join(SIDES) + r")(?![A-Za-z])"
+    after = _any(r"\)", r"-(?!\d)", side) + r"?\*?"
+    alone = r"(?<![\w.,/:])" + (r"(?<!\d )" if thousands == " " else "")
+    return alone + before + number + after + r"(?![\w.,/%])"
 
 
 def figures(text: Column, decimal: str = ".", thousands: str = ",") -> Column:
@@ -55,31 +63,61 @@ def figure_count(text: Column, decimal: str) -> Column:
 
 
 def month_number(word: Column) -> Column:
-    """1 to 12 of a month's name, short or long; null if it is none."""
+    """1 to 12 of a month's name, short or long; 0 of three letters of which one was misread; null if it is none."""
     names = F.array(*[F.lit(m) for m in MONTHS])
-    known = lambda w: (F.length(w) <= 4) | w.isin(*LONG_MONTHS)
-    return let(F.lower(F.regexp_replace(word, r"\.$", "")), lambda w: F.when(known(w), let(F.array_position(names, F.substring(w, 1, 3)).cast("int"), lambda k: F.when(k > 0, k))))
 
+    def read(w: Column) -> Column:
+        place = F.array_position(names, F.substring(w, 1, 3)).cast("int")
+        wrong = lambda m: F.aggregate(F.sequence(F.lit(1), F.lit(3)), F.lit(0), lambda n, k: n + (F.substr(w, k, F.lit(1)) != F.substr(m, k, F.lit(1))).cast("int"))
+        named = (place > 0) & ((F.length(w) <= 4) | w.isin(*LONG_MONTHS))
+        return F.when(named, place).when((F.length(w) == 3) & F.exists(names, lambda m: wrong(m) <= 1), 0)
 
-def date_parts(text: Column, kind: str, month_first: Column | bool = False) -> Column:
-    """(raw, day, month, year) of a date of this kind at the beginning of a line; null without one.
+    return let(F.lower(word), read)
+
+
+def date_head(text: Column, units: int) -> Column:
+    """(raw, u, g) of the first two or three units of a line: the units and what stands between them; null where the line does not begin so."""
+    whole = r"^\W{0,3}" + _BETWEEN.join([_UNIT] * units) + r"(?=\s|$)"
+    cut = _CUT.join(f"${k}" for k in range(1, 2 * units))
+
+    def parts(raw: Column) -> Column:
+        return let(F.split(F.regexp_replace(raw, whole, cut), _CUT), lambda x: F.struct(F.trim(raw).alias("raw"), F.filter(x, lambda _, k: k % 2 == 0).alias("u"), F.filter(x, lambda _, k: k % 2 == 1).alias("g")))
 
-    day and month are null where a date is printed that no calendar has; year where none is.
+    return let(F.regexp_extract(text, whole, 0), lambda raw: F.when(raw != "", parts(raw)))
+
+
+def head_date(head: Column, kind: str, month_first: Column | bool = False) -> Column:
+    """(raw, day, month, year) if the head's units make a date of this kind; null if not.
+
+    day and month are null where a date is printed that no calendar has, or whose
+    month was misread; year where none is printed.
     """
-    pattern, (d, m, y) = DATE_KINDS[kind]
-    whole = rf"^\W{{0,3}}{pattern}(?=\s|$)"
-    number = lambda k: F.regexp_extract(text, whole, k).try_cast("int") if k else F.lit(None).cast("int")
-    month = month_number(F.regexp_extract(text, whole, m)) if "mon" in kind else number(m)
-    swaps = kind in ("dmy", "dm")
-    swap = F.lit(False) if not swaps else F.lit(month_first) if isinstance(month_first, bool) else month_first
-    read = F.struct(F.trim(F.regexp_extract(text, whole, 0)).alias("raw"), number(d).alias("a"), month.alias("b"), number(y).alias("y"), swap.alias("s"))
-
-    def ordered(x: Column) -> Column:
-        day, mon = (F.when(x["s"], x["b"]).otherwise(x["a"]), F.when(x["s"], x["a"]).otherwise(x["b"])) if swaps else (x["a"], x["b"])
-        return F.struct(x["raw"].alias("raw"), day.alias("day"), mon.alias("month"), F.when(x["y"] < 100, x["y"] + 2000).otherwise(x["y"]).alias("year"))
+    letters = DATE_KINDS[kind]
+    unit = lambda letter: F.get(head["u"], F.lit(letters.index(letter)))
+    fits = F.lit(True)
+    for k, letter in enumerate(letters):
+        u = F.get(head["u"], F.lit(k))
+        shape = {"D": r"^\d{1,2}$", "M": r"^\d{1,2}$", "N": r"^[A-Za-z]+$", "Y": r"^\d{4}$" if letters in ("YMD", "NDY") else r"^(\d{4}|\d{2})$"}[letter]
+        fits = fits & u.rlike(shape)
+        if k:
+            gap, by_name = F.get(head["g"], F.lit(k - 1)), "N" in letters[k - 1 : k + 1]
+            fits = fits & (~gap.contains("/") if by_name else gap.isin("/", ".", "-") if len(letters) == 3 and "N" not in letters else gap.rlike("^[-,. ]{1,2}$") if "N" in letters else gap == "/")
+    month = month_number(unit("N")) if "N" in letters else unit("M").try_cast("int")
+    swaps = letters in ("DMY", "DM")
+    swap = month_first if not isinstance(month_first, bool) else F.lit(month_first)
+    year = unit("Y").try_cast("int") if "Y" in letters else F.lit(None).cast("int")
+    year = F.when(year < 100, year + 2000).otherwise(year)
+    read = F.struct(unit("D").try_cast("int").alias("a"), month.alias("b"), year.alias("y"), (swap if swaps else F.lit(False)).alias("s"))
+    ordered = lambda x: F.struct(F.when(x["s"], x["b"]).otherwise(x["a"]).alias("d"), F.when(x["s"], x["a"]).otherwise(x["b"]).alias("m"), x["y"].alias("y"))
 
     def real(x: Column) -> Column:
-        there = F.try_to_date(F.concat_ws("-", F.coalesce(x["year"], F.lit(2000)).cast("string"), x["month"].cast("string"), x["day"].cast("string")), "yyyy-M-d").isNotNull()
-        return F.when(x["month"].isNotNull(), F.struct(x["raw"].alias("raw"), F.when(there, x["day"]).alias("day"), F.when(there, x["month"]).alias("month"), x["year"].alias("year")))
+        # 2000 is a leap year, so that the 29th of February stands without a year.
+        there = F.try_to_date(F.concat_ws("-", F.coalesce(x["y"], F.lit(2000)).cast("string"), x["m"].cast("string"), x["d"].cast("string")), "yyyy-M-d").isNotNull()
+        return F.when(x["m"].isNotNull(), F.struct(head["raw"].alias("raw"), F.when(there, x["d"]).alias("day"), F.when(there, x["m"]).alias("month"), x["y"].alias("year")))
 
-    return F.when(text.rlike(whole), let(let(read, ordered), real))
+    return F.when(fits, let(let(read, ordered), real))
+
+
+def date_parts(text: Column, kind: str, month_first: Column | bool = False) -> Column:
+    """head_date of a line."""
+    return let(date_head(text, len(DATE_KINDS[kind])), lambda head: head_date(head, kind, month_first))

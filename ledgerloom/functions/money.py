@@ -20,25 +20,33 @@ def parse_amount(raw: Column) -> Column:
     decimal mark; a comma alone is one if just two digits follow it, and groups
     thousands if not.
     """
-    text = F.regexp_replace(raw, r"^\s+|\s+$", "")
-    negative = (text.startswith("(") & text.endswith(")")) | F.lower(text).endswith("dr")
-    bare = F.regexp_replace(text, r"(?i)\s*(cr|dr)\s*$", "")
-    bare = F.replace(F.regexp_replace(F.translate(bare, "Rr", ""), r"^[ ()]+|[ ()]+$", ""), F.lit(" "), F.lit(""))
-    comma_last = F.instr(F.reverse(bare), ",") < F.instr(F.reverse(bare), ".")
-    comma, point = bare.contains(","), bare.contains(".")
-    comma_decimal = F.when(comma & point, comma_last).otherwise(bare.rlike(r"^-?\d+,\d{2}$"))
-    plain = F.when(comma & comma_decimal, F.translate(bare, ",.", ".")).when(comma, F.translate(bare, ",", "")).otherwise(bare)
-    value = F.when(plain.rlike(r"^[-+]?(\d+\.?\d*|\.\d+)$"), plain.try_cast("decimal(38,6)"))
-    value = F.when(negative, -F.abs(value)).otherwise(value)
-    return F.when(~F.lower(text).isin("", "-", "--", "n/a", "na"), value).try_cast(MONEY)
+    # Each step is named once: copies of it in the branches would not fit into generated code.
+    number = lambda p: F.when(p.rlike(r"^[-+]?(\d+\.?\d*|\.\d+)$"), p.try_cast("decimal(38,6)"))
+
+    def plain(bare: Column) -> Column:
+        comma, point = F.instr(F.reverse(bare), ","), F.instr(F.reverse(bare), ".")
+        decimal = F.when((comma > 0) & (point > 0), comma < point).otherwise(bare.rlike(r"^-?\d+,\d{2}$"))
+        return F.when(comma == 0, bare).when(decimal, F.translate(bare, ",.", ".")).otherwise(F.translate(bare, ",", ""))
+
+    def signed(text: Column) -> Column:
+        negative = (text.startswith("(") & text.endswith(")")) | F.lower(text).endswith("dr")
+        bare = F.translate(F.regexp_replace(F.translate(F.regexp_replace(text, r"(?i)\s*(cr|dr)\s*$", ""), "Rr", ""), r"^[ ()]+|[ ()]+$", ""), " ", "")
+        value = let(let(bare, plain), number)
+        return F.when(~F.lower(text).isin("", "-", "--", "n/a", "na"), let(value, lambda v: F.when(negative, -F.abs(v)).otherwise(v)))
+
+    return let(F.regexp_replace(raw, r"^\s+|\s+$", ""), signed).try_cast(MONEY)
 
 
 def signed_token(token: Column, unmarked_is_debit: bool = True) -> Column:
     """A figure with a Cr or Dr mark as a signed amount; an unmarked one goes out, if it's said so."""
-    amount = F.abs(parse_amount(token))
+    return let(parse_amount(token), lambda v: by_mark(v, token, unmarked_is_debit))
+
+
+def by_mark(amount: Column, token: Column, unmarked_is_debit: bool = True) -> Column:
+    """The amount of a token, with the sign that its Cr or Dr says."""
     marked = F.lower(F.trim(token))
     out = marked.endswith("dr") | (~marked.endswith("cr") & F.lit(unmarked_is_debit))
-    return F.when(out, -amount).otherwise(amount)
+    return F.when(out, -F.abs(amount)).otherwise(F.abs(amount))
 
 
 def sheet_money(cell: Column) -> Column:

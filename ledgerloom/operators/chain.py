@@ -9,7 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import missing_pages, page_numbers
+from ..functions.text import missing_pages, page_numbers, phrases_pattern
+
+#: Words of lines that are about the statement, and no part of a description.
+ALONE_WORDS = ("balance", "brought forward", "carried forward", "total", "totals", "page", "statement", "account", "date", "description", "amount", "debit", "credit", "vat", "continued")
+ALONE = phrases_pattern(ALONE_WORDS)
 
 
 def _zero(c: str) -> Column:
@@ -149,17 +153,22 @@ def page_segments(pages: DataFrame, by: list[str], order: list[str], period: str
     return pages.withColumn("__new", changed.cast("int")).withColumn("segment", F.sum("__new").over(w).cast("bigint")).drop("__new")
 
 
-def continuation_lines(lines: DataFrame, by: list[str], order: list[str], longest: int = 60, most: int = 1) -> DataFrame:
-    """Adds full_description: a transaction line's text with up to `most` following lines that are nothing of their own.
+def stands_alone(text: Column) -> Column:
+    """Whether a line is nothing that a description goes on in: blank, with money or a date, or about balances, totals or pages."""
+    return (F.trim(text) == "") | text.rlike(r"\d[.,]\d\d\b") | text.rlike(r"^\W{0,3}\d{1,4}[-/. ](?:\d|[A-Za-z]{3})") | text.rlike(ALONE)
+
+
+def continuation_lines(lines: DataFrame, by: list[str], order: list[str], longest: int = 60, most: int = 1, said: str = "description") -> DataFrame:
+    """Adds full_description: a transaction line's text (column `said`) with up to `most` following lines that are nothing of their own.
 
-    lines: description, is_row, is_blocked (holds money, a date or a keyword); a longer line is none either.
+    lines: is_row, is_blocked (as stands_alone says it); a line that is longer than `longest` is none either.
     """
     w = Window.partitionBy(*by).orderBy(*order)
-    parts, open_ = [F.col("description")], F.lit(True)
+    parts, open_ = [F.col(said)], F.lit(True)
     for k in range(1, most + 1):
-        nxt = F.lead(F.struct("description", "is_row", "is_blocked"), k).over(w)
-        open_ = open_ & F.coalesce(~nxt["is_row"] & ~nxt["is_blocked"] & (F.length(nxt["description"]) <= longest), F.lit(False))
-        parts.append(F.when(open_, nxt["description"]))
+        nxt = F.lead(F.struct(F.col(said).alias("said"), "is_row", "is_blocked"), k).over(w)
+        open_ = open_ & F.coalesce(~nxt["is_row"] & ~nxt["is_blocked"] & (F.length(nxt["said"]) <= longest), F.lit(False))
+        parts.append(F.when(open_, nxt["said"]))
     return lines.withColumn("full_description", F.when(F.col("is_row"), F.concat_ws(" ", *parts)))
 
 

@@ -13,17 +13,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_in_period
-from ..functions.figures import DATE_KINDS, date_parts, figure_count, figures
+from ..functions.figures import DATE_KINDS, date_head, figure_count, figures, head_date
+from ..functions.text import phrases_pattern
 
 MONEY = "decimal(18,2)"
 #: Layouts in the order of preference; places of amount, fee and balance from the end, 0 for none.
 LAYOUTS = ((2, 0, 1), (3, 0, 2), (3, 2, 1), (3, 0, 1), (4, 3, 2))
-#: Words of lines that open or close a balance, and of those that are no transactions.
-OPENING = r"(?i)opening balance|brought forward|balance b/?f\b|b/fwd|balance forward|previous balance|balance at start|start(?:ing)? balance"
-CLOSING = r"(?i)closing balance|carried forward|balance c/?f\b|c/fwd|balance at end|end(?:ing)? balance|new balance"
+#: Phrases of lines that open a balance, of those that close one, and of those that are no transactions.
+OPENING_PHRASES = ("opening balance", "brought forward", "balance b/f", "balance bf", "b/fwd", "balance forward", "previous balance", "balance at start", "start balance", "starting balance")
+CLOSING_PHRASES = ("closing balance", "carried forward", "balance c/f", "balance cf", "c/fwd", "balance at end", "end balance", "ending balance", "new balance")
+OTHER_PHRASES = ("total", "totals", "turnover", "summary", "available balance", "interest rate")
+OPENING, CLOSING, NO_ROW = (phrases_pattern(p) for p in (OPENING_PHRASES, CLOSING_PHRASES, OTHER_PHRASES))
 #: Kinds whose day and month may stand the other way round.
 _DAY_MONTH = ("dmy", "dm")
-NO_ROW = r"(?i)\b(?:totals?|turnover|summary|available balance|interest rate)\b"
 
 
 def statement_styles(lines: DataFrame, by: list[str]) -> DataFrame:
@@ -34,8 +36,10 @@ def statement_styles(lines: DataFrame, by: list[str]) -> DataFrame:
     of date; ties go to the kind named first. Months come first if more lines can
     only be read so than only the other way.
     """
-    p = lines.select(*by, "text", figure_count(F.col("text"), ".").alias("points"), figure_count(F.col("text"), ",").alias("commas"), *[date_parts(F.col("text"), k)["day"].alias(f"d_{k}") for k in DATE_KINDS],
-                     *[date_parts(F.col("text"), k, True)["day"].alias(f"s_{k}") for k in _DAY_MONTH], *[date_parts(F.col("text"), k).isNotNull().alias(f"h_{k}") for k in _DAY_MONTH])
+    heads = lines.select(*by, "text", figure_count(F.col("text"), ".").alias("points"), figure_count(F.col("text"), ",").alias("commas"), *[date_head(F.col("text"), n).alias(f"head{n}") for n in (2, 3)])
+    head = lambda k: F.col(f"head{len(DATE_KINDS[k])}")
+    read = heads.select(*by, "text", "points", "commas", *[head_date(head(k), k).alias(k) for k in DATE_KINDS], *[head_date(head(k), k, True)["day"].alias(f"s_{k}") for k in _DAY_MONTH])
+    p = read.select(*by, "text", "points", "commas", *[F.col(f"{k}.day").alias(f"d_{k}") for k in DATE_KINDS], *[f"s_{k}" for k in _DAY_MONTH], *[F.col(k).isNotNull().alias(f"h_{k}") for k in _DAY_MONTH])
     has = F.col("points") + F.col("commas") > 0
     some = lambda test: F.when(test, 1).otherwise(0)
     spaces = F.col("text").rlike(r"(?<![\w.,/:])\d{1,3}(?: \d{3})+[.,]\d{2}(?![\w.,/%])")
@@ -71,10 +75,10 @@ def _styled_figures() -> Column:
 
 
 def _styled_date() -> Column:
-    out = None
-    for k in DATE_KINDS:
-        parts = date_parts(F.col("text"), k, F.col("month_first"))
-        out = F.when(F.col("kind") == k, parts) if out is None else out.when(F.col("kind") == k, parts)
+    """The date that the line begins with, of its statement's kind; from head2 and head3."""
+    out = F.when(F.lit(False), F.lit(None))
+    for k, letters in DATE_KINDS.items():
+        out = out.when(F.col("kind") == k, head_date(F.col(f"head{len(letters)}"), k, F.col("month_first")))
     return out
 
 
@@ -95,7 +99,8 @@ def read_unknown(lines: DataFrame, by: list[str], order: str = "line_no", bounds
     A statement without dated lines of two figures has no rows.
     """
     styles = statement_styles(lines, by)
-    p = lines.join(styles, by).withColumn("fig", _styled_figures()).withColumn("at", _styled_date())
+    p = lines.join(styles, by).withColumn("fig", _styled_figures()).withColumns({f"head{n}": date_head(F.col("text"), n) for n in (2, 3)})
+    p = p.withColumn("at", _styled_date()).drop("head2", "head3")
     w = Window.partitionBy(*by).orderBy(order)
     dated = F.col("at").isNotNull()
     n = F.size("fig")

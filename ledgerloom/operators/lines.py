@@ -1,23 +1,29 @@
-"""Transactions from lines of statement text, by one pattern and the running balance.
+"""Transactions from lines of statement text: a date, words, then figures, and the running balance.
 
-Lines are rows (statement, line number, text); everything is native: the pattern's
-groups, the sign by the balance printed before, the fee as a row of its own.
+Lines are rows (statement, line number, text); everything is native. A line is cut
+once: the date that it begins with, the figures that it ends with, and the words
+between. Which figure is which is told by counting from the end; the sign comes from
+the balance printed before, and a fee is a row of its own.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date
-from ..functions.money import parse_amount, signed_token
-from .chain import skipped_lines
+from ..functions.let import let
+from ..functions.money import by_mark, parse_amount
+from .chain import continuation_lines, skipped_lines, stands_alone
 
-#: Dates with and without a year as lines begin with them.
-DATE = r"(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}-\d{2}-\d{2}|\d{1,2} [A-Za-z]{3,9} \d{2,4})"
-DATE_NO_YEAR = r"\d{1,2} [A-Za-z]{3}"
+#: The shapes of dates that lines begin with, with and without a year.
+DATES = ("9/9/9999", "9-9-9999", "9999-99-99", "9 Month 9999")
+DATES_WITHOUT_YEAR = ("9 Mon",)
+_SHAPES = {"9999-99-99": r"\d{4}-\d\d-\d\d", "9/9/9999": r"\d\d?/\d\d?/\d{2,4}", "9-9-9999": r"\d\d?-\d\d?-\d{2,4}", "9 Month 9999": r"\d\d? [A-Za-z]{3,9} \d{2,4}", "9 Mon": r"\d\d? [A-Za-z]{3}"}
+OPENING_PHRASE = "opening balance"
 
 
 @dataclass(frozen=True)
@@ -31,29 +37,50 @@ class LineFormat:
     unmarked_is_debit: bool = False
 
     @property
-    def amount(self) -> str:
-        sep = {",": ",", " ": " ", "": ""}[self.thousands]
-        grouped = rf"\d{{1,3}}(?:{sep}\d{{3}})*" if sep else r"\d+"
-        return rf"\(?-?{grouped}\.\d{{2}}\)?(?:\s?(?:Cr|Dr))?"
+    def figure(self) -> str:
+        """A figure of two decimals, in brackets or with a minus, Cr or Dr, if it has any."""
+        threes = rf"(?:{re.escape(self.thousands)}\d{{3}})*" if self.thousands else ""
+        whole = r"\d{1,3}" + threes if self.thousands else r"\d+"
+        return r"\(?-?" + whole + r"[.]\d\d\)?(?: ?(?:Cr|Dr))?"
 
     @property
     def date(self) -> str:
-        return DATE if self.year else DATE_NO_YEAR
-
-    @property
-    def row(self) -> str:
-        """Groups: date, description, amount, fee, balance."""
-        fee = rf"(?:\s+({self.amount})\*?)?" if self.fee_column else "()"
-        more = rf"(?:\s+{self.amount})?" if self.trailing_column else ""
-        return rf"^({self.date})\s+(?:(.+?)\s+)?({self.amount})\*?{fee}\s+({self.amount}){more}$"
-
-    @property
-    def like_row(self) -> str:
-        return rf"^(?:{self.date})\s.*(?<![\dRr.,]){self.amount}"
-
-    @property
-    def opening(self) -> str:
-        return rf"(?i)opening balance:?\s*-?R?\s?({self.amount})"
+        return "(?:" + "|".join(_SHAPES[d] for d in (DATES if self.year else DATES_WITHOUT_YEAR)) + ")"
+
+    def cut(self, text: Column) -> Column:
+        """(date_text, description, amount, fee, balance) as printed; null for a line that is no row.
+
+        Of the figures at the end two are an amount and a balance, more of them a fee
+        between or a column behind, if the format has these; what is left over is
+        part of the description.
+        """
+        most = 2 + self.fee_column + self.trailing_column
+        date = F.regexp_extract(text, rf"^{self.date}(?=\s)", 0)
+        tail = F.regexp_extract(text, rf"(?:\s+{self.figure}\*?)+$", 0)
+        found = F.regexp_extract_all(tail, F.lit(rf"\s+({self.figure})\*?(?=\s|$)"), F.lit(0))
+
+        def named(x: Column) -> Column:
+            used = F.slice(x["found"], -F.least(F.size(x["found"]), F.lit(most)), F.lit(most))
+            width = F.aggregate(used, F.lit(0), lambda n, f: n + F.length(f))
+            words = F.trim(F.substring(text, F.length(x["date"]) + 1, F.length(text) - F.length(x["date"]) - width))
+            plain = lambda f: F.regexp_replace(F.trim(f), r"\*$", "")
+            return let(used, lambda u: F.struct(
+                x["date"].alias("date_text"),
+                F.nullif(words, F.lit("")).alias("description"),
+                plain(u[0]).alias("amount"),
+                (F.when(F.size(u) > 2, plain(F.get(u, F.lit(1)))) if self.fee_column else F.lit(None).cast("string")).alias("fee"),
+                plain(F.get(u, F.size(u) - 1 - F.when(F.size(u) == most, int(self.trailing_column)).otherwise(0))).alias("balance"),
+            ))
+
+        return let(F.struct(date.alias("date"), found.alias("found")), lambda x: F.when((x["date"] != "") & (F.size(x["found"]) >= 2), named(x)))
+
+    def looks_like_row(self, text: Column) -> Column:
+        """It begins with a date and has a figure that is not the end of a longer one."""
+        return text.rlike(rf"^{self.date}\s") & text.rlike(rf"(?<![\dRr.,]){self.figure}")
+
+    def opening(self, text: Column) -> Column:
+        """The figure after the words opening balance, as printed; '' without one."""
+        return F.regexp_extract(text, rf"(?i){OPENING_PHRASE}[: ]*(?:-?R? ?)({self.figure})", 1)
 
 
 def read_lines(lines: DataFrame, fmt: LineFormat, by: list[str], order: str = "line_no") -> tuple[DataFrame, DataFrame]:
@@ -62,25 +89,26 @@ def read_lines(lines: DataFrame, fmt: LineFormat, by: list[str], order: str = "l
     A row whose amount leads from the balance before to its own goes that way; else
     a mark (minus, brackets, Cr, Dr) says the way; else it is unassigned. A fee on
     the row becomes a row after it, which alone has the printed balance. Rows of 0
-    without a fee are dropped. statements: by, opening, n_skipped, examples.
+    without a fee are dropped. A description that goes on in the next line (short,
+    without a date, figures or a phrase of its own) takes it along. statements: by,
+    opening, n_skipped, examples.
     """
     text = F.trim("text")
-    group = lambda k: F.nullif(F.regexp_extract(text, fmt.row, k), F.lit(""))
+    w = Window.partitionBy(*by).orderBy(order)
     # Unmarked amounts go out only on statements that mark some as Cr.
     unmarked = F.lit(fmt.unmarked_is_debit) & F.max(F.col("text").rlike(r"\d\s?Cr\b")).over(Window.partitionBy(*by))
-    sign = lambda t: F.when(F.col("__unmarked"), signed_token(t)).otherwise(parse_amount(t))
+    sign = lambda t: let(parse_amount(t), lambda v: F.when(F.col("__unmarked"), by_mark(v, t)).otherwise(v))
     p = lines.withColumn("__unmarked", F.coalesce(unmarked, F.lit(False)))
-    p = p.select(*by, order, "text", "__unmarked", *[group(k).alias(n) for k, n in enumerate(("date_text", "description", "__amount", "__fee", "__balance"), 1)], F.nullif(F.regexp_extract(text, fmt.opening, 1), F.lit("")).alias("__opening"))
-    p = p.withColumn("amount", sign(F.col("__amount"))).withColumn("balance", sign(F.col("__balance"))).withColumn("fee", F.abs(parse_amount(F.col("__fee"))))
-    p = p.withColumn("is_row", F.col("amount").isNotNull() & ((F.col("amount") != 0) | F.col("fee").isNotNull()))
-    w = Window.partitionBy(*by).orderBy(order)
+    p = p.select(*by, order, "text", "__unmarked", fmt.cut(text).alias("cut"), F.nullif(fmt.opening(text), F.lit("")).alias("__opening"), fmt.looks_like_row(text).alias("looks_like_row"))
+    p = p.select(*by, order, "text", "__unmarked", "__opening", "looks_like_row", "cut.date_text", "cut.description", F.col("cut.amount").alias("__amount"), sign(F.col("cut.amount")).alias("amount"), sign(F.col("cut.balance")).alias("balance"), F.abs(parse_amount(F.col("cut.fee"))).alias("fee"))
+    p = p.withColumn("is_row", F.coalesce(F.col("amount").isNotNull() & ((F.col("amount") != 0) | F.col("fee").isNotNull()), F.lit(False)))
     past = w.rowsBetween(Window.unboundedPreceding, -1)
     started = F.coalesce(F.max("is_row").over(past), F.lit(False))
     p = p.withColumn("__open", F.when(~started & F.col("__opening").isNotNull(), parse_amount(F.col("__opening"))))
     heads = p.groupBy(*by).agg(F.min_by("__open", F.when(F.col("__open").isNotNull(), F.col(order))).alias("opening"))
-    looks = lines.withColumn("looks_like_row", F.trim("text").rlike(fmt.like_row)).withColumn("is_row", F.regexp_extract(F.trim("text"), fmt.row, 1) != "")
-    heads = heads.join(skipped_lines(looks, by, [order]), by, "left").withColumn("n_skipped", F.coalesce("n_skipped", F.lit(0).cast("bigint")))
-    rows = p.where("is_row").join(heads.select(*by, "opening"), by)
+    heads = heads.join(skipped_lines(p.withColumn("is_row", F.col("__amount").isNotNull()), by, [order]), by, "left").withColumn("n_skipped", F.coalesce("n_skipped", F.lit(0).cast("bigint")))
+    told = continuation_lines(p.select("*", F.coalesce("description", F.when(~F.col("is_row"), text)).alias("__said"), (F.col("is_row") | stands_alone(text)).alias("is_blocked")), by, [order], said="__said")
+    rows = told.where("is_row").withColumn("description", F.nullif("full_description", F.lit(""))).join(heads.select(*by, "opening"), by)
     nxt = rows.withColumn("__b", F.coalesce(F.lag("balance").over(w), "opening"))
     after = F.col("balance") + F.coalesce("fee", F.lit(0).cast("decimal(18,2)"))
     size = F.abs("amount")

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date
 from ..functions.money import MONEY, sheet_money
-from ..functions.text import heading
+from ..functions.text import heading, phrases_pattern
 from .chain import confirm_groups
 
 #: Words of a Type column, and the way that money goes.
 DIRECTIONS = {"cr": 1, "credit": 1, "c": 1, "+": 1, "dr": -1, "debit": -1, "d": -1, "-": -1}
-OPENING = r"(?i)opening balance|balance brought forward|brought forward|balance b/?f\b|previous balance"
+#: Phrases of rows that carry a balance over.
+OPENING_PHRASES = ("opening balance", "balance brought forward", "brought forward", "balance b/f", "balance bf", "previous balance")
+OPENING = phrases_pattern(OPENING_PHRASES)
 
 
 def _direction(cell: Column) -> Column:
