@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from .common import ALNUM_LOWER, SPACED, blocks, cut_words, hash_ranges, row_sums, text_buffer
 
@@ -292,6 +293,6 @@ def classify(docs: DataFrame, model: Classifier | None, text_col: str = "text",
     if model is None:
         return docs.select(*keep_cols, F.lit(1.0).alias("p_text"), F.lit(1.0).alias("p_meta"), F.lit(1.0).alias("p_good"), F.lit(1.0).alias("p_safe"), F.lit(True).alias("keep"))
     base = _view(docs, text_col, source_col, lang_col, chars_col, *names)
-    ddl = ", ".join([*(f"c{k} {dict(docs.dtypes)[c]}" for k, c in enumerate(keep_cols)), "__p_text double, __p_meta double, __p_good double, __p_safe double, __keep boolean"])
+    ddl = StructType([*base.schema.fields[: len(names)], *(StructField(f"__{c}", DoubleType()) for c in ("p_text", "p_meta", "p_good", "p_safe")), StructField("__keep", BooleanType())])
     scored = base.mapInArrow(partial(_apply, model=docs.sparkSession.sparkContext.broadcast(model)), ddl)
     return scored.select(*back, F.col("__p_text").alias("p_text"), F.col("__p_meta").alias("p_meta"), F.col("__p_good").alias("p_good"), F.col("__p_safe").alias("p_safe"), F.col("__keep").alias("keep"))

@@ -6,9 +6,11 @@ from collections import defaultdict
 
 import pytest
 from making import ALNUM, LOWER, SPACED
+from pyspark.sql import functions as F
 from test_brute import _components
 
 import corpus_pipeline
+from making import awkward, clashing, table
 
 
 @pytest.fixture(scope="module")
@@ -84,3 +86,27 @@ def test_packing(stages):
 
 def test_run(spark, sf_dir, stages):
     assert sorted(map(str, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(str, stages[5].collect()))
+
+
+MORE = ("p_good", "Keep", "n_lines", "n_removed", "__n", "__more", "component", "c0", "odd name")
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stage_edges(spark, sf_dir, k):
+    """Nulls, empties, repeats, a text longer than a block, other columns with names used inside; and no rows at all."""
+    name, stage = corpus_pipeline.STAGES[k]
+    rows = awkward(1500) + [(20, "long " * 900_000)]
+    docs = clashing(table(spark, rows)).select("*", *[F.col("doc_id").alias(c) for c in MORE])
+    got = stage(spark, docs, sf_dir)
+    out = got.collect()
+    if name == "packed_sequences":
+        assert {r.doc_id for r in out} == {r[0] for r in rows} and sum(r.n_tokens for r in out if r.doc_id == 20) == 900_000
+    else:
+        assert got.columns == docs.columns
+        assert all(r[c] == r.doc_id for r in out for c in MORE)
+        if name in ("repeated_lines", "benchmark_passages"):
+            assert len(out) == len(rows)
+        if name == "near_duplicates":  # 8 is as 7; 5 is as 4; of rows that repeat an id one stays
+            assert sorted(r.doc_id for r in out if r.doc_id is not None) == [1, 2, 3, 4, 6, 7, 9, 10, 11, 12, 13, 14, 15, 20]
+            assert sum(r.doc_id is None for r in out) == 2
+    assert not stage(spark, docs.where("false"), sf_dir).count()
