@@ -1,13 +1,14 @@
 """Quality classifier by co-training of a text view and a metadata view.
 
 Two logistic models see different columns of the same labelled rows. In each round
-both label the rows of an unlabelled pool that they are most sure of and hand them
-to the other one's training set. At the end both are calibrated on labelled rows
-that neither has seen, a third logistic model combines the two calibrated views,
-and all documents are scored in one pass. Toxic labels are a second target, learned
-in the same way; its text view holds the words that tell toxic labelled rows from
-others, counted in Spark. Labelled rows and pool are bounded samples, chosen by a
-hash of the id; the bounds are parameters.
+all unlabelled rows are scored in Spark, and each view hands the rows that it is most
+sure of, of each class, to the other one's training set. At the end both are
+calibrated on labelled rows that neither has seen, a third logistic model combines
+the two calibrated views, and all documents are scored in one pass. Toxic labels are
+a second target, learned in the same way and the same passes; its text view holds the
+words that tell toxic labelled rows from others, counted in Spark. Features are
+computed once and stored in the shared folder for the rounds. The labelled rows are
+a bounded sample, chosen by a hash of the id; the bound is a parameter.
 """
 
 from __future__ import annotations
@@ -18,13 +19,14 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from .common import ALNUM_LOWER, SPACED, blocks, cut_words, hash_ranges, row_sums, text_buffer
+from .common import ALNUM_LOWER, SPACED, blocks, cut_words, hash_ranges, remove, row_sums, shared_dir, text_buffer, written
 
-LABELLED_ROWS, POOL_ROWS, ROUNDS, PER_ROUND = 20_000, 20_000, 5, 500
+#: Labelled rows at most; rounds of co-training, and rows that a view hands over in each.
+LABELLED_ROWS, ROUNDS, PER_ROUND = 20_000, 5, 500
 SURE = 0.95
 #: Share of the good calibration rows that the threshold may reject.
 LOST = 0.002
@@ -138,41 +140,41 @@ class Logistic:
 class CoTrained:
     """Two views, calibrated and combined; threshold is the least probability that is kept."""
 
-    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, labelled: np.ndarray, fold: np.ndarray, rounds: int, per_round: int):
-        known = np.flatnonzero(labelled & (fold != 0))
-        held = np.flatnonzero(labelled & (fold == 0))
-        views = (text, meta)
-        label = y.astype(float).copy()
-        sets = [list(known), list(known)]
-        labels = [dict(zip(known, label[known], strict=True)) for _ in views]
-        free = set(np.flatnonzero(~labelled).tolist())
-        self.n_pseudo = [0, 0]
-        share = float(label[known].mean())
-        for r in range(rounds + 1):
-            models = [Logistic(v[s], np.array([g[i] for i in s])) for v, s, g in zip(views, sets, labels, strict=True)]
-            if r == rounds or not free:
-                break
-            pool = np.array(sorted(free))
-            for k, m in enumerate(models):
-                p = m.proba(views[k][pool])
-                for good, sure, most in ((1.0, p, share), (0.0, 1 - p, 1 - share)):
-                    # By chance alone a row is of a common class: to be sure of that takes more.
-                    least = 1 - (1 - SURE) * min(1.0, 2 * (1 - most))
-                    rank = np.argsort(-sure, kind="stable")[: max(1, int(per_round * most))]
-                    for i in pool[rank[sure[rank] >= least]].tolist():
-                        if i not in labels[1 - k]:
-                            labels[1 - k][i] = good
-                            sets[1 - k].append(i)
-                            self.n_pseudo[1 - k] += 1
-                            free.discard(i)
-        self.models = models
-        use = held if len(set(y[held].tolist())) == 2 else known
-        raw = np.column_stack([m.logit(v[use]) for m, v in zip(models, views, strict=True)])
-        self.platt = [Logistic(raw[:, [k]], y[use], l2=0.1) for k in range(2)]
+    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, fold: np.ndarray, per_round: int):
+        """Labelled rows; those of fold 0 are kept for calibration."""
+        self.views, self.y, self.known, self.held, self.per_round = (text, meta), y.astype(float), fold != 0, fold == 0, per_round
+        self.handed: list[list[tuple[np.ndarray, float]]] = [[], []]
+        self.share = float(self.y[self.known].mean())
+        self.fit()
+
+    @property
+    def n_pseudo(self) -> list[int]:
+        return [len(x) for x in self.handed]
+
+    def fit(self) -> None:
+        more = [(np.array([x for x, _ in h], np.float32).reshape(len(h), v.shape[1]), [g for _, g in h]) for h, v in zip(self.handed, self.views, strict=True)]
+        self.models = [Logistic(np.concatenate([v[self.known], x]), np.concatenate([self.y[self.known], g])) for v, (x, g) in zip(self.views, more, strict=True)]
+
+    def wanted(self) -> list[tuple[int, float, float, int]]:
+        """(view, class, how sure at least, how many rows at most) of what is handed over in a round."""
+        out = []
+        for k in (0, 1):
+            for good, most in ((1.0, self.share), (0.0, 1 - self.share)):
+                # By chance alone a row is of a common class: to be sure of that takes more.
+                out.append((k, good, 1 - (1 - SURE) * min(1.0, 2 * (1 - most)), max(1, int(self.per_round * most))))
+        return out
+
+    def calibrate(self) -> None:
+        use = self.held if len(set(self.y[self.held].tolist())) == 2 else self.known
+        y = self.y[use]
+        raw = np.column_stack([m.logit(v[use]) for m, v in zip(self.models, self.views, strict=True)])
+        self.platt = [Logistic(raw[:, [k]], y, l2=0.1) for k in range(2)]
         both = np.column_stack([p.logit(raw[:, [k]]) for k, p in enumerate(self.platt)])
-        self.joint = Logistic(both, y[use], l2=0.1)
-        good = np.sort(self.joint.proba(both)[y[use] == 1])
+        self.joint = Logistic(both, y, l2=0.1)
+        good = np.sort(self.joint.proba(both)[y == 1])
         self.threshold = float(min(0.5, good[int(len(good) * LOST)]))
+        self.n_handed = self.n_pseudo
+        self.views, self.handed = (), [[], []]  # what is sent to the tasks holds no rows
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raw = [m.logit(v)[:, None] for m, v in zip(self.models, (text, meta), strict=True)]
@@ -186,7 +188,7 @@ class Classifier:
 
     def __init__(self, good: CoTrained | None, safe: CoTrained | None, vocab: np.ndarray):
         self.good, self.safe, self.vocab = good, safe, vocab
-        self.n_pseudo = (good or safe).n_pseudo
+        self.n_pseudo = (good or safe).n_handed
 
     def score(self, text: np.ndarray, told: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, ...]:
         """p_text, p_meta, p_good, p_safe, keep."""
@@ -227,10 +229,50 @@ def telling_words(rows: DataFrame, most: int = TELLING_WORDS, least_far: float =
     return np.sort(np.array(got["word"].to_pylist(), np.int64).view(np.uint64))
 
 
-def _sample(batches: Iterator[pa.RecordBatch], vocab: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for block in blocks(batches, "__text", 4 << 20):
+_FEATURES = "doc long, key long, y int, t int, text binary, told binary, meta binary"
+
+
+def _stored_features(batches: Iterator[pa.RecordBatch], vocab: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for block in blocks(batches, "__text", 2 << 20):
         views = [pa.array([x.tobytes() for x in v], pa.binary()) for v in _features(block, vocab)]
-        yield pa.RecordBatch.from_arrays([*(block.column(c) for c in ("__key", "__y", "__t")), *views], names=["key", "y", "t", "text", "told", "meta"])
+        yield pa.RecordBatch.from_arrays([*(block.column(c) for c in ("__row", "__key", "__y", "__t")), *views], names=["doc", "key", "y", "t", "text", "told", "meta"])
+
+
+def _matrices(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = rows.num_rows
+    return tuple(np.frombuffer(b"".join(rows.column(c).to_pylist()), kind).reshape(n, -1) if n and len(rows.column(c)[0].as_py()) else np.zeros((n, 0), kind) for c, kind in (("text", np.float32), ("told", np.uint8), ("meta", np.float32)))
+
+
+def _surest(batches: Iterator[pa.RecordBatch], trained, used) -> Iterator[pa.RecordBatch]:
+    """(g, sure, and the row) of the task's unlabelled rows that a view of a target is most sure of, as many as a round takes; one of each text."""
+    best: dict[int, tuple[np.ndarray, np.ndarray, pa.Table]] = {}
+    for batch in batches:
+        keys = np.asarray(batch.column("key"))
+        text, told, meta = _matrices(batch)
+        for target, (model, column, done) in enumerate(zip(trained.value, ("y", "t"), used, strict=True)):
+            if model is None:
+                continue
+            free = np.flatnonzero(np.asarray(batch.column(column).is_null()) & ~np.isin(keys, done))
+            free = free[np.unique(keys[free], return_index=True)[1]]
+            views = (text if target == 0 else _toxic_view(text, told), meta)
+            for k, good, least, n in model.wanted():
+                p = model.models[k].proba(views[k][free])
+                sure = p if good else 1 - p
+                some = np.flatnonzero(sure >= least)
+                some = some[np.lexsort((keys[free[some]], -sure[some]))[:n]]
+                g = target * 4 + k * 2 + int(good)
+                rows = pa.Table.from_batches([batch.take(pa.array(free[some]))]).select(["key", "text", "told", "meta"])
+                if g in best:
+                    rows = pa.concat_tables([best[g][2], rows])
+                    sure_all, key_all = np.concatenate([best[g][0], sure[some]]), np.concatenate([best[g][1], keys[free[some]]])
+                else:
+                    sure_all, key_all = sure[some], keys[free[some]]
+                order = np.lexsort((key_all, -sure_all))
+                order = order[np.sort(np.unique(key_all[order], return_index=True)[1])][:n]
+                best[g] = (sure_all[order], key_all[order], rows.take(pa.array(order)).combine_chunks())
+    for g, (sure, _, rows) in best.items():
+        for part in rows.to_batches():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sure), g, np.int32)), pa.array(sure), *part.columns], names=["g", "sure", "key", "text", "told", "meta"])
 
 
 def _apply(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
@@ -244,39 +286,64 @@ def _view(docs: DataFrame, text_col: str, source_col: str, lang_col: str, chars_
     return docs.select(*more, F.col(text_col).alias("__text"), F.col(source_col).cast("string").alias("__source"), F.col(lang_col).cast("string").alias("__lang"), F.col(chars_col).cast("long").alias("__n"))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", label_col: str = "quality", labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS, per_round: int = PER_ROUND, toxic_col: str = "toxic") -> Classifier | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", label_col: str = "quality", labelled_rows: int = LABELLED_ROWS, rounds: int = ROUNDS, per_round: int = PER_ROUND, toxic_col: str = "toxic") -> Classifier | None:
     """The classifier; None where the labelled rows have both classes of neither label.
 
     A document labelled twice counts with its smaller label and as toxic if once
     labelled so; null labels and labels of unknown documents do not count. Labels
-    without a column toxic_col teach nothing about toxic texts.
+    without a column toxic_col teach nothing about toxic texts. An unlabelled text
+    that repeats is handed over once; of rows that a view is equally sure of, those
+    of the smaller text hash. Texts of any length are whole; an empty table teaches
+    nothing, and other columns are not used.
     """
     spark = docs.sparkSession
     toxic = F.col(toxic_col).cast("int") if toxic_col in labels.columns else F.lit(None).cast("int")
     y = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(F.col(label_col).cast("int")).alias("__y"), F.max(toxic).alias("__t"))
     y = y.where("__y is not null or __t is not null").orderBy(F.xxhash64("__id"), "__id").limit(labelled_rows)
     y = spark.createDataFrame(y.toArrow(), y.schema)  # bounded by labelled_rows
-    share = min(1.0, pool_rows / max(1, docs.count()))
-    pool = F.pmod(F.xxhash64(F.col(id_col), F.lit(10)), F.lit(1_000_000)) < int(share * 1_000_000)
-    rows = _view(docs, text_col, source_col, lang_col, chars_col, F.xxhash64(F.col(id_col), F.col(text_col)).alias("__key"), F.col(id_col).alias("__doc"), pool.alias("__pool"))
-    taught = F.shiftrightunsigned("__key", 7).bitwiseAND(F.lit(3)) != 0
-    vocab = telling_words(rows.join(F.broadcast(y), F.col("__doc") == F.col("__id")).where(F.col("__t").isNotNull() & taught).select("__text", "__t")) if toxic_col in labels.columns else np.zeros(0, np.uint64)
-    rows = rows.join(F.broadcast(y), F.col("__doc") == F.col("__id"), "left").where("__id is not null or __pool").drop("__doc", "__id", "__pool")
-    got = rows.mapInArrow(partial(_sample, vocab=vocab), "key long, y int, t int, text binary, told binary, meta binary").toArrow().sort_by([("key", "ascending"), ("text", "ascending")])
-    if not got.num_rows:
-        return None
-    fold = np.asarray(got["key"].combine_chunks()).view(np.uint64) >> np.uint64(7) & np.uint64(3)
-    text, told, meta = (np.frombuffer(b"".join(got[c].to_pylist()), kind).reshape(got.num_rows, -1) if len(vocab) or c != "told" else np.zeros((got.num_rows, 0), kind) for c, kind in (("text", np.float32), ("told", np.uint8), ("meta", np.float32)))
-
-    def learn(column: str, view: np.ndarray, good: int) -> CoTrained | None:
+    rows = _view(docs, text_col, source_col, lang_col, chars_col, F.xxhash64(F.col(id_col), F.col(text_col)).alias("__row"), F.xxhash64(text_col).alias("__key"), F.col(id_col).alias("__doc"))
+    taught = F.shiftrightunsigned("__row", 7).bitwiseAND(F.lit(3)) != 0
+    told = rows.join(F.broadcast(y), F.col("__doc") == F.col("__id"))
+    vocab = telling_words(told.where(F.col("__t").isNotNull() & taught).select("__text", "__t")) if toxic_col in labels.columns else np.zeros(0, np.uint64)
+    rows = rows.join(F.broadcast(y), F.col("__doc") == F.col("__id"), "left").drop("__doc", "__id")
+    where = shared_dir(spark)
+    features = written(rows.mapInArrow(partial(_stored_features, vocab=vocab), _FEATURES), where, "features")
+    got = features.where("y is not null or t is not null").dropDuplicates(["doc"]).orderBy("doc").limit(2 * labelled_rows).toArrow().sort_by([("doc", "ascending"), ("text", "ascending")])  # bounded by labelled_rows
+    fold = np.asarray(got["doc"].combine_chunks()).view(np.uint64) >> np.uint64(7) & np.uint64(3)
+    text, told, meta = _matrices(got)
+
+    def begin(column: str, view: np.ndarray, good: int) -> CoTrained | None:
         label = np.array([-1 if v is None else int(v == good) for v in got[column].to_pylist()], int)
         known = label >= 0
         if any(not (known & (fold != 0) & (label == c)).any() for c in (0, 1)):
             return None
-        return CoTrained(view, meta, np.maximum(label, 0), known, fold, rounds, per_round)
-
-    good, safe = learn("y", text, 1), learn("t", _toxic_view(text, told), 0)
-    return Classifier(good, safe, vocab) if good or safe else None
+        return CoTrained(view[known], meta[known], label[known], fold[known], per_round)
+
+    trained = [begin("y", text, 1), begin("t", _toxic_view(text, told), 0)] if got.num_rows else [None, None]
+    used: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+    ddl = "g int, sure double, key long, text binary, told binary, meta binary"
+    for _ in range(rounds if any(trained) else 0):
+        best = features.mapInArrow(partial(_surest, trained=spark.sparkContext.broadcast(trained), used=used), ddl)
+        place = Window.partitionBy("g").orderBy(F.col("sure").desc(), "key")
+        best = best.dropDuplicates(["g", "key"]).withColumn("place", F.row_number().over(place)).where(F.col("place") <= per_round).toArrow()  # eight groups of per_round rows at most
+        best = best.sort_by([("g", "ascending"), ("place", "ascending")])
+        group, keys, place = (np.asarray(best[c].combine_chunks()) for c in ("g", "key", "place"))
+        text, told, meta = _matrices(best)
+        for target, model in enumerate(trained):
+            if model is None:
+                continue
+            for k, good, _, n in model.wanted():
+                other = meta if k == 0 else text if target == 0 else _toxic_view(text, told)
+                rows_of = np.flatnonzero((group == target * 4 + k * 2 + int(good)) & (place <= n))
+                rows_of = rows_of[~np.isin(keys[rows_of], used[target])]
+                model.handed[1 - k] += [(other[i], good) for i in rows_of.tolist()]
+                used[target] = np.concatenate([used[target], keys[rows_of]])
+            model.fit()
+    remove(spark, where)
+    for model in trained:
+        if model is not None:
+            model.calibrate()
+    return Classifier(*trained, vocab) if any(trained) else None
 
 
 def classify(docs: DataFrame, model: Classifier | None, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", keep_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
