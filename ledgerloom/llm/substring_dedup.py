@@ -146,55 +146,58 @@ def _passages(segments: pa.Table, repeated: pa.Table) -> pa.Table:
 
 
 class Automaton:
-    """Runs of HOP words of some passages; a word's number is a character of the strings that are matched."""
+    """Runs of HOP words of some passages; a word's number is a character of the strings that are matched.
+
+    A window that holds such a run reaches HOP words to either side of it at most, so
+    for each place of a run these words are kept, with gaps (-2) beyond the passage.
+    """
 
     #: Characters that stand for words; numbers beyond share them, and the comparison of numbers decides.
     LETTERS = 1_100_000
 
-    def __init__(self, first: list[int], passages: list[np.ndarray]):
-        self.first, self.passages = first, passages
+    def __init__(self, first: np.ndarray, passages: list[np.ndarray]):
+        gap = np.full(2 * HOP, -2, np.int32)
+        flat = np.concatenate([gap, *(x for p in passages for x in (p, gap))])
+        begin = 2 * HOP + np.concatenate([[0], np.cumsum([len(p) + 2 * HOP for p in passages])[:-1]])
+        runs = [np.arange(0, len(p) - HOP + 1, HOP) for p in passages]
+        at = np.concatenate([b + r for b, r in zip(begin, runs, strict=True)])
+        around = np.lib.stride_tricks.sliding_window_view(flat, 3 * HOP)[at - HOP]
+        text, kinds = self.string(flat), {}
+        kind = np.array([kinds.setdefault(text[i : i + HOP], len(kinds)) for i in at.tolist()])
+        order = np.argsort(kind, kind="stable")
+        self.begin = np.searchsorted(kind[order], np.arange(len(kinds) + 1))
+        self.around, self.first = around[order], np.repeat(first, [len(r) for r in runs])[order]
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        self.places: list[list[tuple[int, int]]] = []
-        for k, p in enumerate(passages):
-            text = self.string(p)
-            for o in range(0, len(p) - HOP + 1, HOP):
-                at = self.machine.get(text[o : o + HOP], -1)
-                if at < 0:
-                    self.machine.add_word(text[o : o + HOP], len(self.places))
-                    self.places.append([(k, o)])
-                else:
-                    self.places[at].append((k, o))
+        for key, k in kinds.items():
+            self.machine.add_word(key, k)
         self.machine.make_automaton()
 
     @classmethod
     def string(cls, ids: np.ndarray) -> str:
-        """A character from 1 on, past the surrogates, for each number; 0 for -1."""
+        """A character from 1 on, past the surrogates, for each number; 0 for those below 0."""
         at = np.where(ids < 0, 0, ids % cls.LETTERS + 1)
         return np.where(at < 0xD800, at, at + 0x800).astype(np.uint32).tobytes().decode("utf-32-le")
 
     def repeats(self, at: np.ndarray, doc: int) -> np.ndarray:
-        """Which words (numbers) are in a stretch of WINDOW or more that a passage of a smaller document has."""
+        """Which words (numbers) are in a window that a passage of a smaller document has."""
         covered = np.zeros(len(at), bool)
+        gap = np.full(HOP, -3, np.int32)
+        padded = np.concatenate([gap, at, gap])
         for end, key in self.machine.iter(self.string(at)):
             p = end - HOP + 1
-            near = covered[max(p - HOP, 0) : end + HOP + 1]  # what windows that hold this hit can cover
-            done = near.all()
-            for k, o in self.places[key]:
-                if done:
-                    break
-                if self.first[k] >= doc:
-                    continue
-                passage = self.passages[k]
-                back = min(p, o)
-                whole = back + min(len(at) - p, len(passage) - o)
-                differ = np.flatnonzero(at[p - back : p - back + whole] != passage[o - back : o - back + whole])
-                # The equal stretch around the hit; empty if only the letters were equal.
-                i = int(np.searchsorted(differ, back))
-                left = int(differ[i - 1]) + 1 if i else 0
-                right = int(differ[i]) if i < len(differ) else whole
-                if right - left >= WINDOW:
-                    covered[p - back + left : p - back + right] = True
-                    done = near.all()
+            if covered[max(p - HOP, 0) : end + HOP + 1].all():
+                continue  # all that windows with this hit could cover
+            some = slice(self.begin[key], self.begin[key + 1])
+            same = self.around[some][self.first[some] < doc] == padded[p : p + 3 * HOP]
+            if not len(same):
+                continue
+            # The run itself must be equal (its letters are), then the words next to it one by one.
+            same = same[same[:, HOP : 2 * HOP].all(1)]
+            left = np.logical_and.accumulate(same[:, HOP - 1 :: -1], 1).sum(1)
+            right = np.logical_and.accumulate(same[:, 2 * HOP :], 1).sum(1)
+            for x, y in set(zip(left.tolist(), right.tolist(), strict=True)):
+                if x + y >= WINDOW - HOP:
+                    covered[p - x : end + 1 + y] = True
         return covered
 
 
@@ -215,7 +218,7 @@ def _locate(segments: pa.Table, passages: pa.Table) -> pa.Table:
         vocab, at = np.unique(np.concatenate(rows), return_inverse=True)
         numbers = np.split(at.astype(np.int32), np.cumsum([len(x) for x in rows])[:-1])
         del rows
-        machine = Automaton(passages.column("first").to_pylist(), numbers)
+        machine = Automaton(np.asarray(passages.column("first").combine_chunks()), numbers)
         ids, begins = segments.column("id").to_pylist(), segments.column("start").to_pylist()
         for doc, start, h in zip(ids, begins, _word_hashes(segments.column("text")), strict=True):
             at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
@@ -274,8 +277,15 @@ def repeats(docs: DataFrame, where: str, id_col: str = "doc_id", text_col: str =
     repeated = repeated.select(block("first").alias("pb"), F.col("first").alias("pid"), F.col("w").alias("pw"))
     passages = cut.groupBy("qb").cogroup(repeated.groupBy("pb")).applyInArrow(_passages, "first long, piece long, n_words long, passage binary, ms array<long>")
     passages = written(passages, where, "passages")
+
+    # Passages that share phrases go to one shard, as far as its size allows: they are asked for by the same segments.
+    known = passages.select("first", "piece", F.explode("ms").alias("m"))
+    anchors = known.join(known.groupBy("m").agg(F.min("first").alias("anchor")), "m").groupBy("first", "piece").agg(F.min("anchor").alias("anchor"))
+    passages = written(passages.join(anchors, ["first", "piece"]), where, "anchored")
     total = passages.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    passages = passages.withColumn("shard", F.pmod(F.xxhash64("first", "piece"), F.lit(parts_for(total, SHARD_WORDS))))
+    spread = passages.groupBy("anchor").agg(F.ceil(F.sum("n_words") / SHARD_WORDS).alias("spread"))
+    part = F.pmod(F.xxhash64("first", "piece"), F.col("spread"))
+    passages = passages.join(spread, "anchor").withColumn("shard", F.pmod(F.xxhash64("anchor", part), F.lit(parts_for(total, SHARD_WORDS))))
 
     has = passages.select("shard", "first", F.explode("ms").alias("m")).groupBy("m", "shard").agg(F.min("first").alias("first"))
     asks = segments.select("id", "start", F.octet_length("text").alias("size"), F.explode("ms").alias("m"))
