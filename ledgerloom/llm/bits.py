@@ -56,7 +56,8 @@ def may_have(table: Broadcast, values: np.ndarray) -> np.ndarray:
     return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _filter(batches: Iterator[pa.RecordBatch], table: Broadcast, column: str, inside: bool) -> Iterator[pa.RecordBatch]:
+def filtered(batches: Iterator[pa.RecordBatch], table: Broadcast, column: str, inside: bool) -> Iterator[pa.RecordBatch]:
+    """What `only` keeps of each batch, for functions of batches that go on with it."""
     for batch in batches:
         ids = batch.column(column)
         valid = np.asarray(ids.is_valid())
@@ -66,4 +67,4 @@ def _filter(batches: Iterator[pa.RecordBatch], table: Broadcast, column: str, in
 
 def only(df: DataFrame, table: Broadcast, column: str, inside: bool) -> DataFrame:
     """The rows whose integer `column` may be in the table, or (not inside) those where it cannot be; a null cannot."""
-    return df.mapInArrow(partial(_filter, table=table, column=column, inside=inside), df.schema)
+    return df.mapInArrow(partial(filtered, table=table, column=column, inside=inside), df.schema)

@@ -8,6 +8,7 @@ A text that is null has no words.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -53,7 +54,14 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def hand_back() -> None:
+    """Free memory goes back to the system; else a worker that waits for its next task keeps the most that it ever had."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def blocks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about max_bytes of text, so that memory doesn't follow the batch."""
     for batch in batches:
         if not batch.num_rows:
@@ -65,6 +73,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 8 << 2
             end = min(end, batch.num_rows)
             yield batch.slice(at, end - at)
             at = end
+    hand_back()
 
 
 @dataclass
@@ -204,3 +213,12 @@ def remove(spark: SparkSession, path: str) -> None:
 def parts_for(rows: int, each: int) -> int:
     """How many groups hold `rows` rows at about `each` a group."""
     return max(1, -(-rows // each))
+
+
+def spread(df: DataFrame, groups: int, *columns: str) -> DataFrame:
+    """df dealt by the columns over as many partitions as it has groups, or as the cluster keeps busy a few times over.
+
+    Few bytes may be much work: what is dealt so is not put together again for being small.
+    """
+    context = df.sparkSession.sparkContext
+    return df.repartition(max(1, min(groups, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * context.defaultParallelism))), *columns)

@@ -6,26 +6,29 @@ between gaps that is shorter than the shortest phrase holds no occurrence and is
 left out, which loses nothing). Over that sequence the shard builds a suffix
 array, its BWT as a wavelet matrix, and samples of the suffix positions; all
 phrases are searched backwards at once, their rows located by walking to a
-sampled row, and the occurrences merged into spans. Nothing is shuffled; only the
-phrases travel, in blocks of a fixed number of words.
+sampled row, and the occurrences merged into spans. Texts are not shuffled. The
+phrases are built by tasks, in blocks of a fixed number of words, and written to the
+shared folder, from where a worker opens one block at a time.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_LOWER, blocks, cut_words, row_sums, text_buffer
+from .common import ALNUM_LOWER, blocks, cut_words, inside_rows, mixed, parts_for, row_sums, shared_dir, text_buffer
+from .files import mapped, write_array
 
 WINDOW = 10
 SAMPLE = 8
-#: Phrases are broadcast in blocks of at most about so many words.
-BLOCK_WORDS = 2_000_000
+#: Words of a block of phrases, about; bytes of text of a shard.
+BLOCK_WORDS, SHARD_BYTES = 500_000, 4 << 20
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -121,23 +124,31 @@ class Phrases:
 
     def __init__(self, items: list[tuple], size: int):
         words = cut_words(pa.array([t for _, t in items], pa.string()), ALNUM_LOWER)
-        h = words.hashes()
-        self.vocab = np.unique(h)
-        ids = np.searchsorted(self.vocab, h) + 2
-        found: dict[tuple, set[int]] = {}
         self.items = [i for i, _ in items]
-        for k, (a, b) in enumerate(zip(words.rows[:-1], words.rows[1:], strict=True)):
-            for at in range(a, max(b - size, a) + 1 if b > a else a):
-                found.setdefault(tuple(ids[at : min(at + size, b)].tolist()), set()).add(k)
+        self.vocab, ids = np.unique(words.hashes(), return_inverse=True)
+        ids = (ids + 2).astype(np.int32)
         self.by_size = []
-        for n in sorted({len(w) for w in found}):
-            some = [w for w in found if len(w) == n]
-            of = [np.array(sorted(found[w]), np.int64) for w in some]
-            bounds = np.concatenate([[0], np.cumsum([len(x) for x in of])])
-            self.by_size.append((n, np.array(some, np.int64), bounds, np.concatenate(of)))
+        for n in range(1, size + 1):
+            # Whole items of fewer words; all windows of the others.
+            starts = inside_rows(words.rows, size) if n == size else words.rows[:-1][words.counts == n]
+            if not len(starts):
+                continue
+            windows = ids[starts[:, None] + np.arange(n)]
+            h = np.zeros(len(starts), np.uint64)
+            for k in range(n):
+                h = mixed(h ^ windows[:, k].astype(np.uint64))
+            _, first, which = np.unique(h, return_index=True, return_inverse=True)
+            pair = np.unique(which * len(items) + words.row_of()[starts])
+            bounds = np.searchsorted(pair // len(items), np.arange(len(first) + 1))
+            self.by_size.append((n, windows[first].astype(np.int64), bounds, pair % len(items)))
         self.least = min((x[0] for x in self.by_size), default=0)
 
 
+@lru_cache(maxsize=1)
+def _opened(uri: str) -> Phrases:
+    return pickle.loads(mapped(uri, "u1").tobytes())
+
+
 def shard_hits(h: np.ndarray, rows: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which words of the shard are hit; and (row, item index) of the items that occur, once each."""
     n = len(h)
@@ -187,15 +198,16 @@ def shard_hits(h: np.ndarray, rows: np.ndarray, phrases: Phrases) -> tuple[np.nd
     return np.cumsum(cover[:n]) > 0, pairs // len(phrases.items), pairs % len(phrases.items)
 
 
-def _search(batches: Iterator[pa.RecordBatch], phrases) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], phrases: str) -> Iterator[pa.RecordBatch]:
     """(id, n_words, spans of hit words, items) of each text."""
-    p: Phrases = phrases.value
-    for block in blocks(batches, "__text", 16 << 20):
+    p = _opened(phrases)
+    for block in blocks(batches, "__text", SHARD_BYTES):
         words = cut_words(block.column("__text"), ALNUM_LOWER)
         hit, row, item = shard_hits(words.hashes(), words.rows, p)
         names: list[list[str]] = [[] for _ in range(block.num_rows)]
         for r, k in zip(row.tolist(), item.tolist(), strict=True):
-            names[r].append(str(p.items[k]))
+            if p.items[k] is not None:
+                names[r].append(str(p.items[k]))
         spans: list[list[dict]] = [[] for _ in range(block.num_rows)]
         if hit.any():
             edge = np.zeros(len(hit), bool)
@@ -209,19 +221,32 @@ def _search(batches: Iterator[pa.RecordBatch], phrases) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays(out, names=["__id", "__th", "n_words", "spans", "items"])
 
 
+def _words_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _search, without a phrase."""
+    for block in blocks(batches, "__text", SHARD_BYTES):
+        nothing = [[] for _ in range(block.num_rows)]
+        out = [block.column("__id"), block.column("__th"), pa.array(cut_words(block.column("__text"), ALNUM_LOWER).counts), pa.array(nothing, _SPANS), pa.array(nothing, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays(out, names=["__id", "__th", "n_words", "spans", "items"])
+
+
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
-def phrase_blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, block_words: int) -> list:
-    """The items as Phrases, each of about block_words words at most (or one item), read a block at a time."""
-    out, now, n = [], [], 0
-    for item, text in benchmark.select(id_col, text_col).where(F.col(text_col).isNotNull()).distinct().toLocalIterator():
-        if now and n + len(text) > 6 * block_words:
-            out.append(Phrases(now, size))
-            now, n = [], 0
-        now.append((item, text))
-        n += len(text)
-    return [*out, Phrases(now, size)]
+def phrase_blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, block_words: int) -> list[str]:
+    """Where the blocks of Phrases are; tasks build and write them, and the driver gets their numbers alone."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).where("text is not null").distinct()
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    folder = f"{shared_dir(spark)}/phrases"
+
+    def build(key: tuple, block: pa.Table) -> pa.Table:
+        made = Phrases([*zip(block.column("item").to_pylist(), block.column("text").to_pylist(), strict=True)], size)
+        write_array(f"{folder}/{key[0].as_py()}.bin", np.frombuffer(pickle.dumps(made), np.uint8))
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64())})
+
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(parts_for(total, 6 * block_words))))
+    made = dealt.groupBy("block").applyInArrow(build, "block long").collect()
+    return [f"{folder}/{r.block}.bin" for r in sorted(made)]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -230,14 +255,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A phrase is `size` consecutive words of an item, or the whole of an item of
     fewer words. Null and empty texts have no words, no spans and no items; so
     does every text where the benchmark is empty. Repeated rows each get their
-    own result. An item id that repeats with other texts has the windows of all.
-    Other columns are not used. A text of any length is one row of a shard.
+    own result. An item id that repeats with other texts has the windows of all;
+    an item without an id hits words, and is not listed. Other columns are not
+    used. A text of any length is one row of a shard; an empty table gives an
+    empty result.
     """
-    spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__th"), F.col(text_col).alias("__text"))
     kind = dict(base.dtypes)["__id"]
     schema = f"__id {kind}, __th long, n_words long, spans array<struct<first:long,last:long>>, items array<string>"
-    found = [base.mapInArrow(partial(_search, phrases=spark.sparkContext.broadcast(p)), schema) for p in phrase_blocks(benchmark, item_id, item_text, size, block_words)]
+    found = [base.mapInArrow(partial(_search, phrases=p), schema) for p in phrase_blocks(benchmark, item_id, item_text, size, block_words)]
+    if not found:
+        found = [base.mapInArrow(_words_alone, schema)]
     if len(found) == 1:
         return found[0].select(F.col("__id").alias(id_col), "n_words", "spans", F.array_sort(F.array_distinct("items")).alias("items"))
     # Spans of the blocks are merged: sorted by first word, a span opens where none before reaches it.
@@ -255,7 +283,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def _clean(batches: Iterator[pa.RecordBatch], phrases: list, text: str) -> Iterator[pa.RecordBatch]:
-    for block in blocks(batches, text, 16 << 20):
+    for block in blocks(batches, text, SHARD_BYTES):
         texts = None
         todo = np.arange(block.num_rows)
         while len(todo):
@@ -264,7 +292,7 @@ def _clean(batches: Iterator[pa.RecordBatch], phrases: list, text: str) -> Itera
             h = words.hashes()
             hit = np.zeros(len(h), bool)
             for p in phrases:
-                hit |= shard_hits(h, words.rows, p.value)[0]
+                hit |= shard_hits(h, words.rows, _opened(p))[0]
             offs, again = text_buffer(col)[1], []
             for r in np.flatnonzero(row_sums(hit.astype(np.int64), words.rows)).tolist():
                 if texts is None:
@@ -292,7 +320,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """docs with every merged span cut out of the text, from its first word's first byte to its last word's last.
 
     What a cut brings together is searched again until the text has no phrase
-    left. Rows, columns and clean texts stay as they are; nulls stay null.
+    left. Rows, columns and clean texts stay as they are; nulls stay null, rows
+    that repeat are cut each. An empty benchmark cuts nothing.
     """
-    phrases = [docs.sparkSession.sparkContext.broadcast(p) for p in phrase_blocks(benchmark, item_id, item_text, size, block_words)]
+    phrases = phrase_blocks(benchmark, item_id, item_text, size, block_words)
     return docs.mapInArrow(partial(_clean, phrases=phrases, text=text_col), docs.schema)

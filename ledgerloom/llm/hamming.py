@@ -18,10 +18,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts_for
+from .common import parts_for, spread
 
 K, SEGMENT = 10, 16
-INDEX_ROWS, QUERY_ROWS = 200_000, 20_000
+#: Rows of a block of the index and of queries, at most; queries that are worth a block.
+INDEX_ROWS, QUERY_ROWS, FEW_QUERIES = 200_000, 20_000, 50
 
 
 @lru_cache
@@ -87,15 +88,17 @@ def sign_code(vector: Column) -> Column:
 def exact_top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, index_rows: int = INDEX_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """A row (id, rank, neighbor_id, distance) for each of the k nearest rows of each query.
 
-    Distances are Hamming distances between sign codes (a value over 0 gives 1;
-    null, NaN-free zero and negative values 0). Ties go to the smaller id. A
+    Distances are Hamming distances between sign codes (a value over 0 gives 1, as
+    does NaN, which is over all numbers; null, zero and negative values give 0). Ties go to the smaller id. A
     query's own id is no neighbour of it. Null or empty vectors have no code:
     they find nothing and are not found. Only vectors of equal length are compared.
     Rows that repeat an id with the same vector count once. With fewer than k
-    other rows, there are fewer neighbours.
+    other rows, there are fewer neighbours; empty tables find none and give none.
+    Vectors of any length are codes of as many segments. Other columns are not used.
 
-    Queries and distinct codes meet in blocks of fixed size; each pair of blocks
-    is a task of its own.
+    Queries and distinct codes meet in blocks of bounded size, of which each pair
+    is a group of its own; there are at least as many blocks of queries as keep the
+    cluster busy, and an index block goes to each of them.
     """
     coded = lambda df: df.select(F.col(id_col).alias("__id"), F.col(vector_col).alias("__v")).where("__id is not null and size(__v) > 0").select("__id", sign_code(F.col("__v")).alias("__code"))
     rows, asked = coded(vectors), coded(queries).distinct()
@@ -104,10 +107,12 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id",
     few = salted.distinct().withColumn("__n", F.row_number().over(few)).where(F.col("__n") <= k + 1)
     index = few.groupBy("__code").agg(F.slice(F.array_sort(F.collect_list("__id")), 1, k + 1).alias("__ids"))
     n_rows, n_asked = vectors.count(), queries.count()
-    n_i, n_q = parts_for(n_rows, index_rows), parts_for(n_asked, query_rows)
+    busy = min(2 * vectors.sparkSession.sparkContext.defaultParallelism, parts_for(n_asked, FEW_QUERIES))
+    n_i, n_q = parts_for(n_rows, index_rows), max(parts_for(n_asked, query_rows), busy)
     kind = dict(rows.dtypes)["__id"]
     index = index.withColumn("__ib", F.pmod(F.xxhash64("__code"), F.lit(n_i))).withColumn("__qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
     probes = asked.select("__code").distinct().withColumn("__qb", F.pmod(F.xxhash64("__code"), F.lit(n_q))).withColumn("__ib", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_i - 1).cast("long"))))
+    probes, index = (spread(x, n_q * n_i, "__qb", "__ib") for x in (probes, index))
     found = probes.groupBy("__qb", "__ib").cogroup(index.groupBy("__qb", "__ib")).applyInPandas(lambda q, i: _search(q, i, k), f"__code binary, __nid {kind}, distance long")
     near = found.groupBy("__code").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "__nid"))), 1, k + 1).alias("__near"))
     own = asked.join(near, "__code").select("__id", F.slice(F.filter("__near", lambda x: x["__nid"] != F.col("__id")), 1, k).alias("__near"))

@@ -34,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bits import bit_table, only
-from .common import SPACED_LOWER, Words, blocks, cut_words, mixed, parts_for, shared_dir, window_hashes, written
+from .bits import bit_table, filtered, only
+from .common import SPACED_LOWER, Words, blocks, cut_words, mixed, parts_for, shared_dir, spread, window_hashes, written
 from .components import components
 
 SHINGLE, PERCENT = 4, 85
 #: Shingles of a block's side; bytes of text that a task cuts at once.
-BLOCK_SHINGLES, TEXT_BYTES = 1 << 20, 4 << 20
+BLOCK_SHINGLES, TEXT_BYTES = 1 << 20, 2 << 20
 BITS = 1 << 25
 #: A band's upper size over its lower one; parts beyond those that differences can spoil, as a share of these.
 BAND, SPARE = 1.3, 0.25
@@ -235,7 +235,8 @@ def _links(routes: DataFrame, base: DataFrame, size: int, percent: int) -> DataF
     Texts travel, not sets, which are three times as large; only those in routes do.
     """
     texts = only(base, bit_table(routes.select("id"), BITS), "__id", inside=True).select(F.col("__id").alias("id"), F.col("__text").alias("text"))
-    return routes.join(texts, "id").groupBy("g", "h").applyInArrow(lambda t: _search(t, size, percent), "a long, b long")
+    n = routes.select("g", "h").distinct().count()
+    return spread(routes.join(texts, "id"), n, "g", "h").groupBy("g", "h").applyInArrow(lambda t: _search(t, size, percent), "a long, b long")
 
 
 def _hashed(column: str, parts) -> F.Column:
@@ -300,11 +301,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = written(rows.join(same, ["s1", "s2", "n"], "left").select("__id", "n", F.coalesce("rep", "__id").alias("rep")), where, "rows")
     others = bit_table(rows.where("rep <> __id").select("__id"), BITS)
     maybe = only(base, others, "__id", inside=True).join(rows.where("rep = __id").select("__id"), "__id", "left_semi")
-    reps = only(base, others, "__id", inside=False).union(maybe)
 
     # Lists of two or more, and of them those of classes that are in enough lists.
     ddl = "k long, id long, p long"
-    post = reps.mapInArrow(partial(_postings, size=size, percent=percent), ddl)
+    post = base.mapInArrow(lambda batches: _postings(filtered(batches, others, "__id", inside=False), size, percent), ddl)
+    post = post.union(maybe.mapInArrow(partial(_postings, size=size, percent=percent), ddl))
     post = post.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("k"))).where("m > 1")
     post = written(post.select("k", "id", F.shiftright("p", 32).alias("n"), (F.shiftright("p", 2).bitwiseAND((1 << 30) - 1)).alias("t"), F.col("p").bitwiseAND(3).alias("kind")), where, "lists")
     enough = post.groupBy("id", "kind").agg(F.count(F.lit(1)).alias("known"), F.min("t").alias("t")).where("known >= t")

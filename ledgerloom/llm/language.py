@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import blocks, mixed, text_buffer
 
 ORDER = 4
+#: Bytes of text that a task looks at at once.
+TEXT_BYTES = 1 << 20
 UNKNOWN = "und"
 _BLANK, _OTHER = 32, 0xFFFF
 
@@ -83,7 +85,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(gram.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    for block in blocks(batches, "__text", 4 << 20):
+    for block in blocks(batches, "__text", TEXT_BYTES):
         code, rows = ngrams(*symbols(block.column("__text")))
         langs = np.array(block.column("__lang").to_pylist(), object)
         of = np.repeat(langs, np.diff(rows))
@@ -170,7 +172,7 @@ def _score(batches: Iterator[pa.RecordBatch], model, limits: dict | None) -> Ite
     names = np.array([*m.langs, UNKNOWN], object)
     most = max((limits or {}).values(), default=np.inf)
     worst = np.array([(limits or {}).get(x, most) for x in m.langs])
-    for block in blocks(batches, "__text", 2 << 20):
+    for block in blocks(batches, "__text", TEXT_BYTES):
         h, n = m.entropies(block.column("__text"))
         best = np.argmin(h, 1)
         low = h[np.arange(len(h)), best]

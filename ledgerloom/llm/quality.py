@@ -31,6 +31,8 @@ SURE = 0.95
 #: Share of the good calibration rows that the threshold may reject.
 LOST = 0.002
 BUCKETS, SOURCES = 128, 64
+#: Bytes of text that a task looks at at once.
+TEXT_BYTES = 1 << 20
 #: Words of the toxic target's text view, at most; each is so many standard deviations from chance.
 TELLING_WORDS, TELLING_FAR = 256, 3.0
 
@@ -205,7 +207,7 @@ class Classifier:
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n, n_toxic) of the task's rows: in how many, and in how many toxic ones."""
     kept = []
-    for block in blocks(batches, "__text", 4 << 20):
+    for block in blocks(batches, "__text", TEXT_BYTES):
         words = cut_words(block.column("__text"), ALNUM_LOWER)
         pair = np.unique(np.rec.fromarrays([words.row_of(), words.hashes()], names="row,word"))
         word, at = np.unique(pair["word"], return_inverse=True)
@@ -233,7 +235,7 @@ _FEATURES = "doc long, key long, y int, t int, text binary, told binary, meta bi
 
 
 def _stored_features(batches: Iterator[pa.RecordBatch], vocab: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for block in blocks(batches, "__text", 2 << 20):
+    for block in blocks(batches, "__text", TEXT_BYTES):
         views = [pa.array([x.tobytes() for x in v], pa.binary()) for v in _features(block, vocab)]
         yield pa.RecordBatch.from_arrays([*(block.column(c) for c in ("__row", "__key", "__y", "__t")), *views], names=["doc", "key", "y", "t", "text", "told", "meta"])
 
@@ -277,7 +279,7 @@ def _surest(batches: Iterator[pa.RecordBatch], trained, used) -> Iterator[pa.Rec
 
 def _apply(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     m: Classifier = model.value
-    for block in blocks(batches, "__text", 4 << 20):
+    for block in blocks(batches, "__text", TEXT_BYTES):
         got = m.score(*_features(block, m.vocab))
         yield pa.RecordBatch.from_arrays([*(block.column(c) for c in block.schema.names if not c.startswith("__")), *map(pa.array, got)], names=[*(c for c in block.schema.names if not c.startswith("__")), "__p_text", "__p_meta", "__p_good", "__p_safe", "__keep"])
 

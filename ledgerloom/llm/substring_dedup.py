@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bits import bit_table, only
+from .bits import bit_table, filtered, only
 from .common import SPACED, Words, blocks, cut_words, mixed, parts_for, remove, shared_dir, window_hashes, written
 
 WINDOW, PHRASE = 50, 20
@@ -314,7 +314,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = dict(docs.select(id_col).dtypes)[id_col]
     base = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
     out = "__id long, n_words long, n_removed long, kept binary"
-    whole = only(base, ids, "__id", inside=False).mapInArrow(_kept, out)
+    whole = base.mapInArrow(lambda batches: _kept(filtered(batches, ids, "__id", inside=False)), out)
     listed = spans.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("__spans"))
     cut = only(base, ids, "__id", inside=True).join(listed, F.col("__id") == F.col("id"), "left").select("__id", "__text", "__spans").mapInArrow(_kept, out)
     return whole.union(cut).select(F.col("__id").cast(kind).alias(id_col), "n_words", "n_removed", "kept")
