@@ -101,6 +101,25 @@ def compare_readings(first: DataFrame, second: DataFrame, by: list[str], order:
     return mark(number(first)).join(have, keys, "left").withColumn("agreed", F.coalesce("agreed", F.lit(False))).drop("__k", *[f"__{f}" for f in figures])
 
 
+def confirm_by_second(rows: DataFrame, statements: DataFrame, second: DataFrame | None, by: list[str], order: list[str], figures: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, statements) with what a second, independent reading does not confirm added to reasons and problems.
+
+    A row that the second reading has not with the same figures: second_reading_differs.
+    Of a statement without a second reading no row is confirmed: no_second_reading.
+    Rows that only the second reading has: second_reading_has_more.
+    """
+    if second is None:
+        second = rows.where("false")
+    counted = second.groupBy(*by).agg(F.count(F.lit(1)).alias("__second"))
+    rows = compare_readings(rows, second, by, order, figures).join(counted, by, "left")
+    reason = F.when(F.col("__second").isNull(), "no_second_reading").when(~F.col("agreed"), "second_reading_differs")
+    met = rows.groupBy(*by).agg(F.count_if("agreed").alias("__met"))
+    rows = rows.withColumn("reasons", F.concat("reasons", F.array_compact(F.array(reason)))).drop("agreed", "__second")
+    s = statements.join(counted, by, "left").join(met, by, "left")
+    problem = F.when(F.col("__second").isNull(), "no_second_reading").when(F.col("__second") > F.col("__met"), "second_reading_has_more")
+    return rows, s.withColumn("problems", F.concat("problems", F.array_compact(F.array(problem)))).drop("__second", "__met")
+
+
 def choose_reading(readings: DataFrame, by: list[str]) -> DataFrame:
     """One reading of each statement: fewest problems, then fewest flagged rows, then most rows, then the first."""
     best = F.struct("n_problems", "n_flagged", (-F.col("n_rows")).alias("r"), "reading")

@@ -28,8 +28,10 @@ def sheet_amounts(rows: DataFrame, by: list[str]) -> DataFrame:
 
     A debit other than 0 goes out, else a credit other than 0 comes in, else the
     amount column counts with its own sign. A type column says the way only if
-    all of the sheet's types do; otherwise it belongs to the description.
+    all of the sheet's types do; otherwise it belongs to the description. A column
+    balance_type, if there is one, makes the balances that it calls debits negative.
     """
+    side = _direction(F.col("balance_type")) if "balance_type" in rows.columns else F.lit(None).cast("int")
     kinds = ("debit", "credit", "amount", "balance")
     rows = rows.withColumns({f"__{c}": sheet_money(F.col(c)) for c in kinds} | {"__says": _direction(F.col("type"))})
     debit, credit, amount, balance = (F.col(f"__{c}") for c in kinds)
@@ -43,7 +45,7 @@ def sheet_amounts(rows: DataFrame, by: list[str]) -> DataFrame:
         parse_date(F.col("date")).alias("day"),
         size.cast(MONEY).alias("size"),
         F.coalesce(F.when(F.col("typed"), F.col("__says")), way).alias("sign"),
-        (balance["value"] * F.coalesce(balance["sign"], F.lit(1))).cast(MONEY).alias("bal"),
+        (balance["value"] * F.coalesce(F.when(side == -1, -1), balance["sign"], F.lit(1))).cast(MONEY).alias("bal"),
         F.concat_ws(" | ", F.nullif(F.trim("description"), F.lit("")), F.when(~F.col("typed"), F.nullif(F.trim("type"), F.lit("")))).alias("words"),
         F.when(size.isNull(), F.coalesce(amount["unreadable"], debit["unreadable"], credit["unreadable"])).alias("bad_amount"),
         balance["unreadable"].alias("bad_balance"),

@@ -410,6 +410,59 @@ SELECT account AS statement_id, '62' || lpad(account, 9, '0') AS account, 2 * (l
        category, vat, CASE WHEN account::INT % 5 = 0 THEN 'REVIEW_REQUIRED' ELSE 'APPROVED' END AS status, CASE WHEN account::INT % 5 = 0 THEN 'statement_unreconciled' ELSE '' END AS reasons
 FROM pr
 """
+SECOND_READING = f"""
+WITH {LEDGER}, {_PRINTED},
+x AS (SELECT *, CASE WHEN account::INT % 9 = 0 THEN 'no_second_reading' WHEN line_no % 17 = 0 THEN 'second_reading_differs' ELSE '' END AS reasons FROM pr)
+SELECT account AS statement_id, 2 * (line_no + 9) AS seq, debit, credit, NULL::BIGINT AS unassigned, b AS balance,
+       CASE WHEN reasons = '' THEN 'APPROVED' ELSE 'REVIEW_REQUIRED' END AS status, reasons FROM x
+"""
+LINE_FORMATS = f"""
+WITH {LEDGER}, {_PRINTED},
+f AS (SELECT *, account::INT % 5 AS k, coalesce(credit, debit) AS a, CASE WHEN account::INT % 5 = 2 AND line_no % 11 = 0 THEN 500 ELSE 0 END AS fee FROM pr),
+g AS (SELECT *, (b - sum(fee) OVER (PARTITION BY account ORDER BY line_no))::BIGINT AS bb, k = 0 AND line_no % 13 = 1 AND line_no > 1 AS lost,
+             CASE WHEN k = 1 THEN strftime(date, '%d %b') ELSE strftime(date, '%d/%m/%Y') END AS date_text FROM f)
+SELECT account, 4 * line_no AS seq, date_text, description || CASE WHEN k = 1 THEN ' no' WHEN k = 0 AND line_no % 7 = 0 THEN ' ref X' || line_no ELSE '' END AS description,
+       CASE WHEN NOT lost THEN debit END AS debit, CASE WHEN NOT lost THEN credit END AS credit, CASE WHEN lost THEN a END AS unassigned, CASE WHEN fee = 0 THEN bb END AS balance
+FROM g WHERE NOT (k = 0 AND line_no % 13 = 0)
+UNION ALL
+SELECT account, 4 * line_no + 1, date_text, 'Fee: ' || description, fee, NULL, NULL, bb FROM g WHERE fee > 0
+"""
+PRINTED_TOTALS = """
+WITH o AS (SELECT o_custkey AS account, CASE WHEN o_orderkey % 7 < 2 THEN round(o_totalprice * 100)::BIGINT END AS c FROM orders),
+g AS (SELECT account, count(c) AS n, max(c) AS most, sum(c)::BIGINT AS all_, CASE WHEN account % 2 = 0 THEN max(c) END AS read FROM o GROUP BY account)
+SELECT account, CASE WHEN n <= 1 THEN most WHEN most = read THEN most ELSE all_ END AS total FROM g
+"""
+VAT_RETURN_TOTAL = f"""
+WITH {LEDGER}, {_vat_months("month")}, x AS (SELECT unnest(['1', '2 / 3', '4', '13', '15', '19', '20']) AS field,
+       unnest([iv * 10000, (income - iv) * 10000, vi, vi, ve, ve, vi - ve]) AS amount FROM vm)
+SELECT field, sum(amount)::BIGINT AS amount FROM x GROUP BY field
+"""
+VAT_SUMMARY_TOTAL = f"""
+WITH {LEDGER}, {_vat_months("month")}, t AS (SELECT sum(income)::BIGINT AS income, sum(expenses)::BIGINT AS expenses, sum(iv)::BIGINT AS iv, sum(ev)::BIGINT AS ev FROM vm),
+x AS (SELECT *, {_vat("iv")} AS vi, {_vat("ev")} AS ve FROM t)
+SELECT income, expenses, income - expenses AS difference, vi AS vat_on_income, ve AS vat_on_expenses, income * 10000 - vi AS income_excl, expenses * 10000 - ve AS expenses_excl,
+       (income - expenses) * 10000 - vi + ve AS difference_excl FROM x
+"""
+CATEGORY_BREAKDOWN_MONTH = f"""
+WITH {LEDGER}, m AS (SELECT * FROM ledger WHERE month = '1995-03'), t AS (SELECT account, sum(signed)::BIGINT AS t FROM m WHERE type = 'expense' GROUP BY account),
+c AS (SELECT account, type, category, count(*) AS transactions, coalesce(sum(credit), 0)::BIGINT AS money_in, coalesce(sum(debit), 0)::BIGINT AS money_out, sum(net)::BIGINT AS net
+      FROM m GROUP BY account, type, category)
+SELECT c.*, CASE WHEN type = 'expense' AND t <> 0 THEN (-net * 20000 + t) // (2 * t) END AS share_bp FROM c LEFT JOIN t USING (account)
+"""
+ENTRY_LINES = """
+WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN ts::DATE END AS d, event_id % 4 AS n FROM events WHERE event_id % 11 <> 0),
+l AS (SELECT *, lag(d) OVER w AS before, lag(n) OVER w AS n_before FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, event_id, coalesce(d, CASE WHEN n >= 2 AND n_before <= 1 THEN before END)::VARCHAR AS entry_date FROM l
+"""
+LISTED_LINES = """
+WITH e AS (SELECT user_id, event_id, event_id % 5 IN (1, 2) AS single, CASE WHEN event_id % 7 <> 3 AND event_id % 5 NOT IN (1, 2) THEN event_id % 5 = 0 END AS head FROM events),
+l AS (SELECT *, last_value(head IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS under FROM e)
+SELECT user_id, event_id FROM l WHERE single AND under
+"""
+RUN_STATS = """
+SELECT (SELECT count(*) FROM customer) AS files, (SELECT count(*) FROM customer WHERE c_custkey % 2 = 0) AS skipped,
+       (SELECT count(*) FROM customer WHERE c_custkey % 2 <> 0) AS processed, (SELECT count(*) FROM orders WHERE o_custkey % 2 = 1) AS rows_added
+"""
 SHEET_ROWS = f"""
 WITH {LEDGER},
 so AS (SELECT * FROM ledger WHERE unassigned IS NULL),
@@ -509,6 +562,15 @@ ORACLES = {
     "statement_styles": STATEMENT_STYLES,
     "statement_ledger": STATEMENT_LEDGER,
     "sheet_rows": SHEET_ROWS,
+    "second_reading": SECOND_READING,
+    "line_formats": LINE_FORMATS,
+    "printed_totals": PRINTED_TOTALS,
+    "vat_return_total": VAT_RETURN_TOTAL,
+    "vat_summary_total": VAT_SUMMARY_TOTAL,
+    "category_breakdown_month": CATEGORY_BREAKDOWN_MONTH,
+    "entry_lines": ENTRY_LINES,
+    "listed_lines": LISTED_LINES,
+    "run_stats": RUN_STATS,
     "word_lines": WORD_LINES,
     "printed_figures": PRINTED_FIGURES,
     "ledger_names": LEDGER_NAMES,

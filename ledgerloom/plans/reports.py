@@ -98,9 +98,11 @@ def cash_flow_total(flow: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("closing_calculated", (F.col("opening") + F.col("change")).cast(MONEY))
 
 
-def category_breakdown(ledger: DataFrame, by: list[str]) -> DataFrame:
-    """By category: count, in, out, net, and of expenses the share of all expenses (in basis points, half up)."""
+def category_breakdown(ledger: DataFrame, by: list[str], month: str | None = None) -> DataFrame:
+    """By category: count, in, out, net, and of expenses the share of all expenses (in basis points, half up); of one month, if it is named."""
     rows = ledger.where("category is not null")
+    if month is not None:
+        rows = rows.where(F.col("month") == month)
     out = rows.groupBy(*by, "type", "category").agg(F.count(F.lit(1)).alias("transactions"), _sum(F.col("credit")).alias("money_in"), _sum(F.col("debit")).alias("money_out"), _sum(net()).alias("net"))
     total = rows.where(F.col("type") == EXPENSE).groupBy(*by).agg(_sum(-net()).alias("__t"))
     out = out.join(total, by, "left") if by else out.crossJoin(F.broadcast(total))
@@ -146,6 +148,11 @@ def vat_return(ledger: DataFrame, by: list[str]) -> DataFrame:
     return m.select(*by, "month", F.explode(F.array(*cells)).alias("x")).select(*by, "month", "x.*")
 
 
+def vat_return_total(fields: DataFrame, by: list[str]) -> DataFrame:
+    """(by, field, amount): each field of vat_return over all months."""
+    return fields.groupBy(*by, "field").agg(F.sum("amount").cast("decimal(28,10)").alias("amount"))
+
+
 def vat_return_by_period(ledger: DataFrame, by: list[str], bridge: DataFrame) -> DataFrame:
     """The return summed over VAT periods, rounded to cents for showing; bridge as vat_periods gives it."""
     out = vat_return(ledger, by).join(F.broadcast(bridge), "month").groupBy(*by, "label", "end_month", "field").agg(F.sum("amount").alias("a"))
@@ -159,6 +166,14 @@ def vat_summary(ledger: DataFrame, by: list[str]) -> DataFrame:
     return m.withColumn("difference", F.col("income") - F.col("expenses")).withColumn("difference_excl", F.col("income_excl") - F.col("expenses_excl"))
 
 
+def vat_summary_total(months: DataFrame, by: list[str]) -> DataFrame:
+    """The total row of vat_summary; its VAT is that of the summed amounts, so that months' roundings do not add up."""
+    sums = months.groupBy(*by).agg(*[_sum(F.col(c)).alias(c) for c in ("income", "expenses", "income_with_vat", "expenses_with_vat", "difference")])
+    m = sums.withColumn("vat_on_income", vat_of(F.col("income_with_vat"))).withColumn("vat_on_expenses", vat_of(F.col("expenses_with_vat")))
+    m = m.withColumn("income_excl", F.col("income") - F.col("vat_on_income")).withColumn("expenses_excl", F.col("expenses") - F.col("vat_on_expenses"))
+    return m.withColumn("difference_excl", F.col("income_excl") - F.col("expenses_excl"))
+
+
 def month_vat_sheet(ledger: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Each month's income and expense rows with running references (JUL26R01), amounts with and without VAT."""
     rows = ledger.where(F.col("month").isNotNull() & F.col("type").isin(INCOME, EXPENSE)).withColumn("amount", signed().cast(MONEY))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import month_key, period_range
 from ..functions.money import MONEY, parse_amount
 from ..functions.text import garbled_figures
-from ..operators.assess import assess, choose_reading, finalize
+from ..operators.assess import assess, choose_reading, confirm_by_second, finalize, printed_total
 from ..operators.chain import pages_missing
 from ..operators.layout import read_unknown
 from ..operators.lines import LineFormat, read_lines
@@ -42,16 +42,31 @@ def _first(patterns: tuple[str, ...], order: str) -> Column:
     return F.min(F.coalesce(*found))["v"]
 
 
+def _every(patterns: tuple[str, ...]) -> Column:
+    """What the first pattern that any line has captures in all lines, as amounts."""
+    found = [F.when(F.col("text").rlike(p), F.struct(F.lit(k).alias("k"), parse_amount(F.regexp_extract("text", p, 1)).alias("v"))) for k, p in enumerate(patterns)]
+    all_ = F.array_compact(F.collect_list(F.coalesce(*found)))
+    first = F.array_min(F.transform(F.filter(all_, lambda x: x["v"].isNotNull()), lambda x: x["k"]))
+    return F.transform(F.filter(all_, lambda x: (x["k"] == first) & x["v"].isNotNull()), lambda x: F.abs(x["v"]))
+
+
+def with_totals(statements: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
+    """statements with printed_debits, printed_credits and printed_fees out of all that is printed; a grand total counts if it is what was read."""
+    read = rows.groupBy(*by).agg(*[F.sum(c).cast(MONEY).alias(f"__{c}") for c in ("debit", "credit")])
+    s = statements.join(read, by, "left")
+    none = F.lit(None).cast(MONEY)
+    return s.select("*", *[printed_total(F.col(f"all_{n}"), of).alias(f"printed_{n}") for n, of in (("debits", F.col("__debit")), ("credits", F.col("__credit")), ("fees", none))]).drop("__debit", "__credit", "all_debits", "all_credits", "all_fees")
+
+
 def statement_facts(lines: DataFrame, by: list[str], order: str = "line_no", patterns: Patterns = Patterns()) -> DataFrame:
-    """(by, account_number, period_start, period_end, printed figures, closings, missing_pages, bank, client), one aggregation over the lines."""
-    money = lambda c: parse_amount(F.col(c))
+    """(by, account_number, period_start, period_end, all printed totals, closings, missing_pages, bank, client), one aggregation over the lines."""
     closing = [F.when(F.col("text").rlike(p), parse_amount(F.regexp_extract("text", p, 1))) for p in patterns.closing]
     hit = lambda rules, of: F.min(F.coalesce(*[F.when(of == name, F.struct(F.lit(k).alias("k"), F.lit(name).alias("v"))) for k, (name, _) in enumerate(rules)], F.lit(None)))["v"]
     nothing = F.first(F.lit(None).cast("string"))
     got = lines.groupBy(*by).agg(
         F.nullif(F.regexp_replace(_first(patterns.account, order), r"\D", ""), F.lit("")).alias("account_number"),
         _first(patterns.period, order).alias("statement_period"),
-        *[_first(getattr(patterns, n), order).alias(f"__{n}") for n in ("debits", "credits", "fees")],
+        *[_every(getattr(patterns, n)).alias(f"all_{n}") for n in ("debits", "credits", "fees")],
         F.array_compact(F.collect_list(F.coalesce(*closing))).alias("closings"),
         (hit(patterns.banks, detect_bank(F.col("text"), list(patterns.banks))) if patterns.banks else nothing).alias("bank"),
         (hit(patterns.clients, match_client([F.col("text")], list(patterns.clients))) if patterns.clients else nothing).alias("__client"),
@@ -59,7 +74,7 @@ def statement_facts(lines: DataFrame, by: list[str], order: str = "line_no", pat
     span = period_range(F.col("statement_period"))
     got = got.select(
         *by, "account_number", "statement_period", span["start"].alias("period_start"), span["end"].alias("period_end"),
-        F.abs(money("__debits")).alias("printed_debits"), F.abs(money("__credits")).alias("printed_credits"), F.abs(money("__fees")).alias("printed_fees"),
+        "all_debits", "all_credits", "all_fees",
         F.lit(None).cast(MONEY).alias("printed_closing"), "closings", "bank", F.coalesce("__client", F.lit(UNMAPPED)).alias("client"),
     )
     return got.join(pages_missing(lines, by), by).withColumnRenamed("missing", "missing_pages")
@@ -79,9 +94,13 @@ def all_readings(lines: DataFrame, formats: list[LineFormat], by: list[str], ord
     return reduce(DataFrame.unionByName, rows), reduce(DataFrame.unionByName, heads)
 
 
-def process_statements(lines: DataFrame, formats: list[LineFormat], categories: list[Category], by: list[str], order: str = "line_no", patterns: Patterns = Patterns()) -> tuple[DataFrame, DataFrame]:
+def process_statements(lines: DataFrame, formats: list[LineFormat], categories: list[Category], by: list[str], order: str = "line_no", patterns: Patterns = Patterns(), second: DataFrame | None = None, one_reading: bool = False) -> tuple[DataFrame, DataFrame]:
     """(ledger, statements): the lines of any number of statements as a checked and categorised ledger.
 
+    second: the lines as another extraction of the same statements has them, read on
+    its own and compared row by row. Without a second reading nothing is approved,
+    but where the source has no other (one_reading: text that was never extracted).
+
     by: the columns that name a statement; the first goes to statement_id and
     source_file. Each reading is assessed on its own and the one with the fewest
     problems, then the fewest flagged rows, then the most rows is kept. Nothing is
@@ -92,11 +111,16 @@ def process_statements(lines: DataFrame, formats: list[LineFormat], categories:
     keys = [*by, "reading"]
     # The checks read the rows several times, and the choice reads the checked rows again.
     rows = stored(rows.withColumn("garbled", garbled_figures(F.col("evidence"))).withColumn("ocr", F.lit(False)))
-    rows, s = (stored(x) for x in assess(rows, stored(heads.join(facts, by)), keys, ["seq"]))
+    rows, s = (stored(x) for x in assess(rows, stored(with_totals(heads.join(facts, by), rows, keys)), keys, ["seq"]))
     flagged = rows.groupBy(*keys).agg(F.count_if(F.size("reasons") > 0).alias("n_flagged"), F.count(F.lit(1)).alias("n"))
     graded = s.join(flagged, keys).select(*keys, F.size("problems").alias("n_problems"), "n_flagged", F.col("n").alias("n_rows"))
     best = choose_reading(graded, by).select(*keys)
-    rows, s = finalize(rows.join(best, keys), s.join(best, keys), keys)
+    rows, s = rows.join(best, keys), s.join(best, keys)
+    if not one_reading:
+        figures = ["date", "debit", "credit", "unassigned", "balance"]
+        other = None if second is None else stored(all_readings(second, formats, by, order, facts)[0].join(best, keys).select(*by, "seq", *figures))
+        rows, s = confirm_by_second(rows, s, other, by, ["seq"], figures)
+    rows, s = finalize(rows, s, keys)
     ledger = rows.join(s.select(*by, "account_number", "statement_period", "bank", "client"), by)
     ledger = ledger.withColumn("statement_id", F.col(by[0]).cast("string")).withColumn("source_file", F.col("statement_id"))
     ledger = ledger.withColumn("account", F.coalesce("account_number", F.lit(""))).withColumn("month", month_key(F.col("date")))

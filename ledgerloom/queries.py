@@ -413,16 +413,11 @@ def statement_styles(spark, sf):
     return layout.statement_styles(_layouts(spark, sf), BY)
 
 
-def statement_ledger(spark, sf):
-    """Whole statements, with what they print about themselves, as a checked ledger; every 5th prints a wrong total."""
-    o = _printable(spark, sf)
+def _statement_lines(o, wrong=0):
+    """Whole statements as text; wrong is added to the total of debits that they print."""
     zero = F.lit(0).cast("decimal(18,2)")
-    w = Window.partitionBy("account")
-    n = F.count(F.lit(1)).over(w)
-    sums = o.select("account", "line_no", "date", "description", "debit", "credit", "b", n.alias("n"))
-    printed = sums.select("account", (F.col("line_no") + 9).cast("bigint").alias("line_no"), F.concat_ws(" ", F.date_format("date", "dd/MM/yyyy"), "description", _shown(F.coalesce("credit", "debit")), _shown(F.col("b"))).alias("text"))
-    s = sums.groupBy("account").agg(F.coalesce(F.sum("debit"), zero).alias("d"), F.coalesce(F.sum("credit"), zero).alias("c"), F.max_by("b", "line_no").alias("last"), F.min("date").alias("lo"), F.max("date").alias("hi"))
-    wrong = F.when(F.col("account").cast("int") % 5 == 0, 1).otherwise(0)
+    printed = o.select("account", (F.col("line_no") + 9).cast("bigint").alias("line_no"), F.concat_ws(" ", F.date_format("date", "dd/MM/yyyy"), "description", _shown(F.coalesce("credit", "debit")), _shown(F.col("b"))).alias("text"))
+    s = o.groupBy("account").agg(F.coalesce(F.sum("debit"), zero).alias("d"), F.coalesce(F.sum("credit"), zero).alias("c"), F.max_by("b", "line_no").alias("last"), F.min("date").alias("lo"), F.max("date").alias("hi"))
     about = F.array(
         F.concat(F.lit("Account Number: 62"), F.lpad("account", 9, "0")),
         F.concat(F.lit("Statement Period: "), F.date_format("lo", "dd/MM/yyyy"), F.lit(" to "), F.date_format("hi", "dd/MM/yyyy")),
@@ -432,11 +427,99 @@ def statement_ledger(spark, sf):
         F.lit("Opening Balance: 0.00"),
     )
     head = s.select("account", F.posexplode(about).alias("line_no", "text")).withColumn("line_no", F.col("line_no").cast("bigint"))
-    every = printed.unionByName(head).withColumnRenamed("account", "statement")
-    ledger, _ = statements.process_statements(every, [lines.LineFormat()], CATEGORIES, ["statement"])
+    return printed.unionByName(head).withColumnRenamed("account", "statement")
+
+
+def statement_ledger(spark, sf):
+    """Whole statements, with what they print about themselves, as a checked ledger; every 5th prints a wrong total."""
+    every = _statement_lines(_printable(spark, sf), F.when(F.col("account").cast("int") % 5 == 0, 1).otherwise(0))
+    ledger, _ = statements.process_statements(every, [lines.LineFormat()], CATEGORIES, ["statement"], one_reading=True)
     return ledger.select("statement_id", "account", "seq", F.col("date").cast("string").alias("day"), "month", "description", *_c("debit", "credit", "unassigned", "balance"), "category", "vat", "status", F.array_join("reasons", ";").alias("reasons"))
 
 
+def second_reading(spark, sf):
+    """The same statements extracted twice: every 17th line reads differently the second time, every 9th statement was extracted once."""
+    o = _printable(spark, sf)
+    other = o.where("cast(account as int) % 9 <> 0")
+    more = F.when(F.col("line_no") % 17 == 0, 1).otherwise(0)
+    other = other.withColumn("debit", (F.col("debit") + more).cast("decimal(18,2)")).withColumn("credit", (F.col("credit") + more).cast("decimal(18,2)"))
+    ledger, _ = statements.process_statements(_statement_lines(o), [lines.LineFormat()], CATEGORIES, ["statement"], second=_statement_lines(other))
+    return ledger.select("statement_id", "seq", *_c("debit", "credit", "unassigned", "balance"), "status", F.array_join("reasons", ";").alias("reasons"))
+
+
+#: What the statements of line_formats look like, by account % 5.
+FORMATS = (lines.LineFormat(), lines.LineFormat(thousands=" ", year=False), lines.LineFormat(fee_column=True), lines.LineFormat(trailing_column=True), lines.LineFormat(unmarked_is_debit=True))
+
+
+def line_formats(spark, sf):
+    """Statements in five formats read back: blanks in thousands and no years, fees, a column behind, Cr and Dr marks; in the first, descriptions that go on, and every 13th line without a balance."""
+    o = _printable(spark, sf).withColumn("k", F.col("account").cast("int") % 5).withColumn("a", F.coalesce("credit", "debit"))
+    o = o.withColumn("fee", F.when((F.col("k") == 2) & (F.col("line_no") % 11 == 0), 5).otherwise(0).cast("decimal(18,2)"))
+    o = o.withColumn("b", (F.col("b") - F.sum("fee").over(Window.partitionBy("account").orderBy("line_no"))).cast("decimal(18,2)"))
+    day, b = F.date_format("date", "dd/MM/yyyy"), _shown(F.col("b"))
+    amount, none = _shown(F.col("a")), F.lit(None).cast("string")
+    marked = lambda x, is_in: F.concat(x, F.when(is_in, " Cr").otherwise(" Dr"))
+    text_of = (
+        F.when(F.col("k") == 0, F.concat_ws(" ", day, "description", amount, F.when(F.col("line_no") % 13 != 0, b)))
+        .when(F.col("k") == 1, F.concat_ws(" ", F.date_format("date", "dd MMM"), "description", F.lit("no"), F.translate(amount, ",", " "), F.translate(b, ",", " ")))
+        .when(F.col("k") == 2, F.concat_ws(" ", day, "description", amount, F.when(F.col("fee") > 0, F.concat(_shown(F.col("fee")), F.lit("*"))), b))
+        .when(F.col("k") == 3, F.concat_ws(" ", day, "description", amount, b, F.lit("0.00")))
+        .otherwise(F.concat_ws(" ", day, "description", F.when(F.col("credit").isNotNull(), F.concat(amount, F.lit("Cr"))).otherwise(amount), marked(_shown(F.abs("b")), F.col("b") >= 0)))
+    )
+    wrapped = F.when((F.col("k") == 0) & (F.col("line_no") % 7 == 0) & (F.col("line_no") % 13 != 0), F.concat(F.lit("ref X"), F.col("line_no").cast("string"))).otherwise(none)
+    printed = o.select("account", "k", (F.col("line_no") * 2).cast("bigint").alias("line_no"), F.array_compact(F.array(text_of, wrapped)).alias("t"))
+    printed = printed.select("account", "k", "line_no", F.posexplode("t").alias("more", "text")).select("account", "k", (F.col("line_no") + F.col("more")).alias("line_no"), "text")
+    head = o.select("account", "k").distinct().select("account", "k", F.lit(0).cast("bigint").alias("line_no"), F.lit("Opening Balance: 0.00").alias("text"))
+    every, out = printed.unionByName(head), None
+    for k, fmt in enumerate(FORMATS):
+        rows = lines.read_lines(every.where(F.col("k") == k).drop("k"), fmt, BY)[0]
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("account", "seq", "date_text", "description", *_c("debit", "credit", "unassigned", "balance"))
+
+
+def printed_totals(spark, sf):
+    """The total that counts where months print theirs and perhaps a grand one."""
+    o = _read(spark, sf, "orders").select(F.col("o_custkey").alias("account"), "o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("c"))
+    some = F.col("o_orderkey") % 7 < 2
+    g = o.groupBy("account").agg(F.collect_list(F.when(some, money.from_cents(F.col("c")))).alias("found"), F.when(F.col("account") % 2 == 0, money.from_cents(F.max(F.when(some, F.col("c"))))).alias("read"))
+    return g.select("account", cents(assess.printed_total(F.col("found"), F.col("read"))).alias("total"))
+
+
+def vat_return_total(spark, sf):
+    out = reports.vat_return(order_ledger(spark, sf).withColumn("account", F.lit("all")), BY)
+    return reports.vat_return_total(out, BY).select("field", _exact("amount"))
+
+
+def vat_summary_total(spark, sf):
+    out = reports.vat_summary_total(reports.vat_summary(order_ledger(spark, sf).withColumn("account", F.lit("all")), BY), BY)
+    return out.select(*_c("income", "expenses", "difference"), *[_exact(c) for c in ("vat_on_income", "vat_on_expenses", "income_excl", "expenses_excl", "difference_excl")])
+
+
+def category_breakdown_month(spark, sf):
+    """One month's categories, with the share that each has of the account's expenses."""
+    out = reports.category_breakdown(order_ledger(spark, sf), BY, month="1995-03")
+    return out.select("account", "type", "category", "transactions", *_c("money_in", "money_out", "net"), "share_bp")
+
+
+def entry_lines(spark, sf):
+    """Lines of figures that belong to the dated line before."""
+    e = _read(spark, sf, "events").select("user_id", "event_id", F.when(F.col("event_id") % 3 == 0, F.to_date("ts")).alias("line_date"), (F.col("event_id") % 4).alias("n_figures"), F.when(F.col("event_id") % 11 != 0, "line").alias("text"))
+    return chain.link_entry_lines(e, ["user_id"], ["event_id"]).select("user_id", "event_id", F.col("entry_date").cast("string").alias("entry_date"))
+
+
+def listed_lines(spark, sf):
+    """Lines that stand in a list under a heading, and are no transactions."""
+    n = F.col("event_id") % 5
+    e = _read(spark, sf, "events").select("user_id", "event_id", n.isin(1, 2).alias("single"), (n == 0).alias("is_heading"), (F.col("event_id") % 7 == 3).alias("is_blank"))
+    return chain.listed_lines(e, ["user_id"], ["event_id"]).where("listed").select("user_id", "event_id")
+
+
+def run_stats(spark, sf):
+    """Files seen, known and new, and the rows that they added."""
+    c = _read(spark, sf, "customer").select(F.col("c_name").alias("source_id"), F.sha2(F.col("c_mktsegment").cast("binary"), 256).alias("content_hash"), "c_custkey")
+    return reports.run_stats(c, c.where("c_custkey % 2 = 0"), _read(spark, sf, "orders").where("o_custkey % 2 = 1")).select("files", "skipped", "processed", "rows_added")
+
+
 def _sheet(spark, sf):
     """Orders as text cells of sheets: signs unsaid in three of four, balances printed in two of three, some cells spoilt."""
     o = order_ledger(spark, sf).where("unassigned is null")
@@ -516,6 +599,7 @@ QUERIES = {
         fiscal_calendar, same_words, telling_words, garbled_figures, rand_format, learned_category, category_lifecycle, assess_rows,
         assess_statements, choose_reading, compare_readings, read_lines, unknown_layouts, statement_styles, statement_ledger, sheet_rows, word_lines, printed_figures, ledger_names,
         session_stats, dominant_category, monthly_total_rollup_whole, month_vat_sheet_whole, mixed_accounts_whole, learned_category_whole,
-        assess_rows_whole, assess_statements_whole,
+        assess_rows_whole, assess_statements_whole, second_reading, line_formats, printed_totals, vat_return_total, vat_summary_total,
+        category_breakdown_month, entry_lines, listed_lines, run_stats,
     )
 }

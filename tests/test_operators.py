@@ -138,3 +138,70 @@ def test_reports_as_files(spark, sf_dir, tmp_path):
     ledger = order_ledger(spark, sf_dir)
     names = reports.write_reports({"spend": reports.spend_by_category(ledger, BY)}, str(tmp_path), "csv")
     assert names == ["spend"] and spark.read.option("header", "true").csv(f"{tmp_path}/spend").count() == reports.spend_by_category(ledger, BY).count()
+
+
+def _full_workbook(path):
+    """Two sheets whose parts are numbered the other way round, dates as numbers in three formats, shared strings, a truth value and an error."""
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    doc = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    sheet = lambda cells: f"<worksheet {main}><sheetData>{cells}</sheetData></worksheet>"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} {doc}><sheets><sheet name="Main" sheetId="2" r:id="b"/><sheet name="Notes" sheetId="1" r:id="a"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="a" Target="worksheets/sheet1.xml"/><Relationship Id="b" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet {main}><numFmts><numFmt numFmtId="164" formatCode="dd\\-mmm&quot;x&quot;"/><numFmt numFmtId="165" formatCode="&quot;day&quot;0.00"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><r><t>Pay</t></r><r><t>ment</t></r></si><si><t>Date</t></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", sheet('<row r="1"><c r="A1" t="inlineStr"><is><t>note</t></is></c></row>'))
+        z.writestr("xl/worksheets/sheet2.xml", sheet('<row r="1"><c r="A1" t="s"><v>1</v></c><c r="B1" t="s"><v>0</v></c></row><row r="2"><c r="A2" s="1"><v>46082</v></c><c r="B2" s="2"><v>46083.5</v></c><c r="C2" s="3"><v>46082</v></c><c r="D2" t="b"><v>1</v></c><c r="AA2" t="e"><v>#N/A</v></c></row>'))
+
+
+def test_workbook_readers(spark, tmp_path):
+    _full_workbook(tmp_path / "w.xlsx")
+    (tmp_path / "c.csv").write_text('a;"x ""y"" ;z";1\r\n;"two\nlines";\n')
+    files_ = files.scan_folder(spark, str(tmp_path))
+    first, second = files.read_cells(files_), files.read_cells(files_, second=True)
+    got = {(r.path.rpartition("/")[2], r.sheet, r.row_no, r.col_no): r.value for r in first.collect()}
+    assert got["w.xlsx", "Main", 2, 1] == "2026-03-01" and got["w.xlsx", "Main", 2, 2] == "2026-03-02 12:00"
+    assert [got["w.xlsx", "Main", 2, k] for k in (3, 4, 27)] == ["46082", "True", "#N/A"]
+    assert got["w.xlsx", "Main", 1, 2] == "Payment" and got["w.xlsx", "Notes", 1, 1] == "note"
+    assert got["c.csv", "", 1, 2] == 'x "y" ;z' and got["c.csv", "", 2, 2] == "two\nlines"
+    assert not files.differing_cells(first, second).count()
+    other = second.withColumn("value", F.when(F.col("value") == "Payment", "Paymont").otherwise(F.col("value")))
+    assert [(r.row_no, r.col_no, r.first, r.second) for r in files.differing_cells(first, other).collect()] == [(1, 2, "Payment", "Paymont")]
+
+
+def test_header_by_alias(spark):
+    cells = lambda path, *rows: [(path, "", r, c, v) for r, row in enumerate(rows, 1) for c, v in enumerate(row, 1)]
+    made = cells("a", ["Bank", "of it"], ["Posting  Date", "Description of entry", "Debit (R)", "Credit (R)", "Balance"]) + cells("b", ["Date", "Description", "Debit Credit", "Balance"])
+    got = files.find_header(spark.createDataFrame(made, files.CELLS), {"date": ("date",), "description": ("description",), "debit": ("debit",), "credit": ("credit",), "amount": (), "balance": ("balance",)}).collect()
+    assert [(r.path, r.header_row, r["columns"]) for r in got] == [("a", 2, {"date": 1, "description": 2, "debit": 3, "credit": 4, "balance": 5})]
+
+
+def test_balance_type(spark):
+    row = ("s", 1, "2026-03-01", "x", None, None, "5.00", None, "20.00", "Dr")
+    rows = spark.createDataFrame([row], "f string, row_no int, date string, description string, debit string, credit string, amount string, type string, balance string, balance_type string")
+    assert sheets.sheet_amounts(rows, ["f"]).first().bal == Decimal("-20.00")
+
+
+def test_months_that_were_misread(spark):
+    from ledgerloom.functions import figures
+
+    cases = {"10 Der 2026 x": (None, None), "10 Dec 2026 x": (10, 12), "41 Mar 2026 x": (None, None), "10 Xyz 2026 x": None, "31/02/2026 x": (None, None), "1 Shop 20 x": None, "12Mar26 x": (12, 3)}
+    kind = lambda t: "dmy" if "/" in t else "d_mon_y"
+    for t, want in cases.items():
+        r = spark.range(1).select(figures.date_parts(F.lit(t), kind(t)).alias("x")).first().x
+        assert (None if r is None else (r.day, r.month)) == want, t
+
+
+def test_nothing_is_approved_on_one_reading(spark):
+    from ledgerloom.operators.lines import LineFormat
+    from ledgerloom.plans import statements
+    from ledgerloom.sources.demo import CATEGORIES
+
+    text = ["Account Number: 62000111222", "Statement Period: 01/03/2026 to 31/03/2026", "Opening Balance: 100.00", "02/03/2026 shop 30.00 70.00", "05/03/2026 pay 50.00 120.00", "Total Debits: 30.00", "Total Credits: 50.00", "Closing Balance: 120.00"]
+    rows = lambda t: spark.createDataFrame([("s", k, x) for k, x in enumerate(t)], "statement string, line_no long, text string")
+    read = lambda **more: statements.process_statements(rows(text), [LineFormat()], CATEGORIES, ["statement"], **more)
+    status = lambda out: [r.status for r in out[0].orderBy("seq").collect()] + [r.status for r in out[1].collect()]
+    assert status(read()) == ["REVIEW_REQUIRED"] * 3
+    assert status(read(second=rows(text))) == ["APPROVED"] * 3
+    other = [x.replace("shop 30.00", "shop 80.00") for x in text]
+    assert status(read(second=rows(other))) == ["REVIEW_REQUIRED", "APPROVED", "REVIEW_REQUIRED"]
