@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from .common import ALNUM_LOWER, SPACED, blocks, cut_words, hash_ranges, remove, row_sums, shared_dir, text_buffer, written
+from .common import ALNUM_LOWER, SPACED, blocks, cut_words, hand_back, hash_ranges, remove, row_sums, shared_dir, text_buffer, written
 
 #: Labelled rows at most; rounds of co-training, and rows that a view hands over in each.
 LABELLED_ROWS, ROUNDS, PER_ROUND = 20_000, 5, 500
@@ -123,7 +123,10 @@ class Logistic:
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
             g = z.T @ (weight * (p - y)) + ridge * self.w
-            hess = (z * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + np.diag(ridge)
+            curve = weight * np.maximum(p * (1 - p), 1e-6)
+            hess = np.diag(ridge)
+            for a in range(0, len(z), 2048):  # no second copy of the rows
+                hess += (z[a : a + 2048] * curve[a : a + 2048, None]).T @ z[a : a + 2048]
             step = np.linalg.solve(hess, g)
             self.w -= step
             if np.abs(step).max() < 1e-6:
@@ -254,11 +257,12 @@ def _surest(batches: Iterator[pa.RecordBatch], trained, used) -> Iterator[pa.Rec
         for target, (model, column, done) in enumerate(zip(trained.value, ("y", "t"), used, strict=True)):
             if model is None:
                 continue
+            models, wanted = model
             free = np.flatnonzero(np.asarray(batch.column(column).is_null()) & ~np.isin(keys, done))
             free = free[np.unique(keys[free], return_index=True)[1]]
             views = (text if target == 0 else _toxic_view(text, told), meta)
-            for k, good, least, n in model.wanted():
-                p = model.models[k].proba(views[k][free])
+            for k, good, least, n in wanted:
+                p = models[k].proba(views[k][free])
                 sure = p if good else 1 - p
                 some = np.flatnonzero(sure >= least)
                 some = some[np.lexsort((keys[free[some]], -sure[some]))[:n]]
@@ -325,7 +329,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     used: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
     ddl = "g int, sure double, key long, text binary, told binary, meta binary"
     for _ in range(rounds if any(trained) else 0):
-        best = features.mapInArrow(partial(_surest, trained=spark.sparkContext.broadcast(trained), used=used), ddl)
+        light = spark.sparkContext.broadcast([m and (m.models, m.wanted()) for m in trained])  # without the labelled rows
+        best = features.mapInArrow(partial(_surest, trained=light, used=used), ddl)
         place = Window.partitionBy("g").orderBy(F.col("sure").desc(), "key")
         best = best.dropDuplicates(["g", "key"]).withColumn("place", F.row_number().over(place)).where(F.col("place") <= per_round).toArrow()  # eight groups of per_round rows at most
         best = best.sort_by([("g", "ascending"), ("place", "ascending")])
@@ -341,10 +346,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 model.handed[1 - k] += [(other[i], good) for i in rows_of.tolist()]
                 used[target] = np.concatenate([used[target], keys[rows_of]])
             model.fit()
+        light.destroy()
+        hand_back()
     remove(spark, where)
     for model in trained:
         if model is not None:
             model.calibrate()
+    hand_back()
     return Classifier(*trained, vocab) if any(trained) else None
 
 
