@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.keys import with_row_keys
 
 VERSIONS_KEPT = 30
+#: Folders of a ledger that are put together into one when there are more.
+MOST_FOLDERS = 200
 
 
 class MixedAccountsError(ValueError):
@@ -54,38 +56,71 @@ def newest(items: DataFrame, n: int = VERSIONS_KEPT, time: str = "modified") ->
 
 
 class VersionedTable:
-    """A table whose every save is a new folder and one small pointer; a save that breaks off leaves the old one."""
+    """A table of folders of rows; a version is a small file that lists its folders, so that adding rows writes these alone.
+
+    A version appears whole, by a rename, or not at all: a save that breaks off
+    leaves the old one. Folders that no kept version lists are removed.
+    """
 
     def __init__(self, spark: SparkSession, path: str, partition_by: tuple[str, ...] = ()):
         self.spark, self.path, self.partition_by = spark, path.rstrip("/"), partition_by
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def versions(self) -> list[str]:
+    def _names(self, start: str) -> list[str]:
         if not self._fs.exists(self._path(self.path)):
             return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path)) if s.isDirectory()]
-        return sorted(n for n in names if n.startswith("v-") and self._fs.exists(self._path(f"{self.path}/{n}/_SUCCESS")))
+        return sorted(n for s in self._fs.listStatus(self._path(self.path)) if (n := s.getPath().getName()).startswith(start))
 
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self.versions()[-1]}")
+    def versions(self) -> list[str]:
+        return self._names("v-")
 
-    def save(self, df: DataFrame, keep: int = VERSIONS_KEPT) -> str:
+    def folders(self, version: str | None = None) -> list[str]:
+        """The folders of a version, the newest by default, the oldest rows first."""
+        source = self._fs.open(self._path(f"{self.path}/{version or self.versions()[-1]}"))
+        try:
+            return bytes(source.readAllBytes()).decode().split()
+        finally:
+            source.close()
+
+    def read(self, version: str | None = None) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/{f}" for f in self.folders(version)])
+
+    def _publish(self, df: DataFrame, before: list[str], keep: int) -> str:
         last = int(v[-1].split("-")[1]) if (v := self.versions()) else 0
-        name = f"v-{last + 1:012d}-{uuid.uuid4().hex[:8]}"
-        df.write.partitionBy(*self.partition_by).parquet(f"{self.path}/{name}")
+        mark = f"{last + 1:012d}-{uuid.uuid4().hex[:8]}"
+        df.write.partitionBy(*self.partition_by).parquet(f"{self.path}/rows-{mark}")
+        out = self._fs.create(self._path(f"{self.path}/_new-{mark}"))
+        out.write(bytearray("\n".join([*before, f"rows-{mark}"]).encode()))
+        out.close()
+        self._fs.rename(self._path(f"{self.path}/_new-{mark}"), self._path(f"{self.path}/v-{mark}"))
         for old in self.versions()[:-keep]:
+            self._fs.delete(self._path(f"{self.path}/{old}"), False)
+        held = {f for v in self.versions() for f in self.folders(v)}
+        for old in set(self._names("rows-")) - held:
             self._fs.delete(self._path(f"{self.path}/{old}"), True)
-        return name
+        return f"v-{mark}"
+
+    def save(self, df: DataFrame, keep: int = VERSIONS_KEPT) -> str:
+        """A version of these rows alone; of its own rows, it puts many folders into one."""
+        return self._publish(df, [], keep)
+
+    def add(self, df: DataFrame, keep: int = VERSIONS_KEPT) -> str:
+        """A version with these rows besides those there are."""
+        return self._publish(df, self.folders() if self.versions() else [], keep)
 
 
 def ingest(table: VersionedTable, batch: DataFrame, order: list[str], one_account: bool = False) -> DataFrame:
     """Append a batch and save; the table as it is now. With one_account, rows of another account are refused whole."""
+    keyed = with_row_keys(batch, order).drop("occurrence")
     if not table.versions():
-        table.save(with_row_keys(batch, order).drop("occurrence"))
+        table.add(keyed)
         return table.read()
     ledger = table.read()
     if one_account and (bad := mixed_accounts(ledger, batch).limit(5).collect()):
         raise MixedAccountsError(f"refused: {', '.join(f'{r.account or '(unknown)'} in {r.source_file}' for r in bad)}")
-    table.save(append(ledger, batch, order))
+    # The ledger gives its keys alone, and only new rows are written.
+    table.add(keyed.join(ledger.select("row_key"), "row_key", "left_anti").select(*ledger.columns))
+    if len(table.folders()) > MOST_FOLDERS:
+        table.save(table.read())
     return table.read()
