@@ -186,6 +186,7 @@ def _score(batches: Iterator[pa.RecordBatch], model, limits: dict | None) -> Ite
 
 
 def held_out(id_col: str, parts: int, part: int) -> Column:
+    """Whether crc32 of the id as text leaves this remainder; null for a null id, which is then not learned from."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == part
 
 
@@ -215,7 +216,10 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     first in the alphabet. rejected: the entropy lies over the 99.9 % point of the
     calibration rows predicted as that language by three standard deviations, as
     texts not learned from have more (never, without calibration rows). A language
-    that no calibration row is predicted as has the highest such limit. Repeated rows each get their own result; other columns are not used.
+    that no calibration row is predicted as has the highest such limit. Calibration
+    rows should not be those learned from. Repeated rows each get their own result;
+    texts of any length are whole, an empty table gives an empty result, and other
+    columns are not used.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
