@@ -121,19 +121,22 @@ class Logistic:
         ridge = np.full(z.shape[1], l2)
         ridge[-1] = 1e-3
         for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
-            g = z.T @ (weight * (p - y)) + ridge * self.w
-            curve = weight * np.maximum(p * (1 - p), 1e-6)
-            hess = np.diag(ridge)
-            for a in range(0, len(z), 2048):  # no second copy of the rows
-                hess += (z[a : a + 2048] * curve[a : a + 2048, None]).T @ z[a : a + 2048]
+            g, hess = ridge * self.w, np.diag(ridge)
+            for a in range(0, len(z), 2048):  # wide numbers for a part of the rows at a time
+                part, own = z[a : a + 2048].astype(np.float64), weight[a : a + 2048]
+                p = 1 / (1 + np.exp(-np.clip(part @ self.w, -30, 30)))
+                g += part.T @ (own * (p - y[a : a + 2048]))
+                hess += (part * (own * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ part
             step = np.linalg.solve(hess, g)
             self.w -= step
             if np.abs(step).max() < 1e-6:
                 break
 
     def _z(self, x: np.ndarray) -> np.ndarray:
-        return np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))]).astype(np.float64)
+        z = np.ones((len(x), x.shape[1] + 1), x.dtype)
+        np.subtract(x, self.mean, out=z[:, :-1])
+        z[:, :-1] /= self.scale
+        return z
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         return np.clip(self._z(x) @ self.w, -30, 30)
@@ -326,6 +329,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return CoTrained(view[known], meta[known], label[known], fold[known], per_round)
 
     trained = [begin("y", text, 1), begin("t", _toxic_view(text, told), 0)] if got.num_rows else [None, None]
+    del got, text, told, meta
+    hand_back()
     used: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
     ddl = "g int, sure double, key long, text binary, told binary, meta binary"
     for _ in range(rounds if any(trained) else 0):
