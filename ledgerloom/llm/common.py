@@ -210,6 +210,14 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def clear(spark: SparkSession, where: str, keep: tuple[str, ...]) -> None:
+    """Delete the tables of a shared_dir that what is left to run will not read."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(where)
+    for found in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder):
+        if (name := found.getPath().getName()) not in keep:
+            remove(spark, f"{where}/{name}")
+
+
 def parts_for(rows: int, each: int) -> int:
     """How many groups hold `rows` rows at about `each` a group."""
     return max(1, -(-rows // each))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bits import bit_table, filtered, only
-from .common import SPACED_LOWER, Words, blocks, cut_words, mixed, parts_for, shared_dir, spread, window_hashes, written
+from .common import SPACED_LOWER, Words, blocks, clear, cut_words, mixed, parts_for, shared_dir, spread, window_hashes, written
 from .components import components
 
 SHINGLE, PERCENT = 4, 85
@@ -337,6 +337,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = rows.groupBy("__id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
     again = rows.join(again.select("__id"), "__id").select(F.col("__id").alias("a"), F.col("rep").alias("b"))
     comp = components(edges.union(again), f"{where}/cc-2")
+    clear(spark, where, keep=("rows", "links-1", "links-2", "cc-2"))
     out = rows.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     named = lambda c: F.when(F.col(c) < NAMELESS, F.col(c)).cast(kind)
     return out.select(named("__id").alias(id_col), F.col("n").alias("n_shingles"), named("component").alias("component_id"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bits import bit_table, filtered, only
-from .common import SPACED, Words, blocks, cut_words, mixed, parts_for, remove, shared_dir, window_hashes, written
+from .common import SPACED, Words, blocks, clear, cut_words, mixed, parts_for, remove, shared_dir, window_hashes, written
 
 WINDOW, PHRASE = 50, 20
 HOP = WINDOW // 2
@@ -310,6 +310,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     where = shared_dir(docs.sparkSession)
     spans = written(repeats(docs, where, id_col, text_col), where, "spans")
+    clear(docs.sparkSession, where, keep=("spans",))
     ids = bit_table(spans.select("id").distinct(), ID_BITS)
     kind = dict(docs.select(id_col).dtypes)[id_col]
     base = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
