@@ -32,10 +32,6 @@ def monthly_summary(spark, sf):
 
 
 def monthly_total_rollup(spark, sf):
-    return reports.monthly_totals(order_ledger(spark, sf).where("month < '1996-01'"), BY).select("account", "month", *_c("money_in", "money_out", "net"), "transactions", "to_review")
-
-
-def monthly_total_rollup_whole(spark, sf):
     return reports.monthly_totals(order_ledger(spark, sf), BY).select("account", "month", *_c("money_in", "money_out", "net"), "transactions", "to_review")
 
 
@@ -148,13 +144,7 @@ def vat_net_lineitem(spark, sf):
 
 
 def month_vat_sheet(spark, sf):
-    rows = order_ledger(spark, sf).where("month >= '1998-01'").withColumn("account", F.lit("all"))
-    out = reports.month_vat_sheet(rows, BY, ORDER)
-    return out.select("seq", "reference", "vat", *_c("amount"), _exact("vat_amount"), _exact("amount_excl"))
-
-
-def month_vat_sheet_whole(spark, sf):
-    """Every month; references run within the account, so no window holds a month of the whole table."""
+    """References run within the account, so no window holds a month of the whole table."""
     out = reports.month_vat_sheet(order_ledger(spark, sf), BY, ORDER)
     return out.select("account", "seq", "reference", "vat", *_c("amount"), _exact("vat_amount"), _exact("amount_excl"))
 
@@ -206,19 +196,12 @@ def file_registry(spark, sf):
     return done.select("source_id", "content_hash", "processed_at")
 
 
-def _mixed_accounts(spark, sf, batch):
-    rows = order_ledger(spark, sf).select("account", F.concat(F.lit("f"), F.col("month")).alias("source_file"), "seq")
-    held = rows.where("cast(account as int) % 5 = 0").select(F.when(F.col("seq") % 2 == 0, F.col("account")).alias("account"), "source_file")
-    return ingest.mixed_accounts(held, rows.where(batch).select(F.when(F.col("seq") % 2 == 0, F.col("account")).alias("account"), "source_file"))
-
-
 def mixed_accounts(spark, sf):
-    return _mixed_accounts(spark, sf, "seq % 11 = 0")
-
-
-def mixed_accounts_whole(spark, sf):
     """All rows that the ledger does not hold are the batch."""
-    return _mixed_accounts(spark, sf, "cast(account as int) % 5 <> 0")
+    rows = order_ledger(spark, sf).select("account", F.concat(F.lit("f"), F.col("month")).alias("source_file"), "seq")
+    named = lambda df: df.select(F.when(F.col("seq") % 2 == 0, F.col("account")).alias("account"), "source_file")
+    held = F.col("account").cast("int") % 5 == 0
+    return ingest.mixed_accounts(named(rows.where(held)), named(rows.where(~held)))
 
 
 def parse_amount_formats(spark, sf):
@@ -272,19 +255,11 @@ def rand_format(spark, sf):
     return o.select("o_orderkey", money.rand(F.when(F.col("o_orderkey") % 2 == 0, F.col("a")).otherwise(-F.col("a"))).alias("shown"))
 
 
-def _learned_category(spark, sf, asked):
+def learned_category(spark, sf):
+    """A fifth of the rows is taught; every other row is asked for."""
     p = _read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", F.translate("p_brand", "#0123456789", "_abcdefghij")).alias("description"), (F.col("p_size") > 25).alias("money_in"), F.concat(F.lit("C"), (F.col("p_size") % 3).cast("string")).alias("category"))
     taught = p.where("id % 5 = 0")
-    return learn.suggest_categories(p.where(asked), taught, p.where("id % 5 > 1").select("description")).select("id", "category", "n_alike", "example_id", F.round(F.col("similarity") * 1_000_000).cast("bigint").alias("similarity"))
-
-
-def learned_category(spark, sf):
-    return _learned_category(spark, sf, "id % 5 = 1")
-
-
-def learned_category_whole(spark, sf):
-    """Every row that is not taught is asked for."""
-    return _learned_category(spark, sf, "id % 5 <> 0")
+    return learn.suggest_categories(p.where("id % 5 <> 0"), taught, p.where("id % 5 > 1").select("description")).select("id", "category", "n_alike", "example_id", F.round(F.col("similarity") * 1_000_000).cast("bigint").alias("similarity"))
 
 
 def category_lifecycle(spark, sf):
@@ -295,8 +270,8 @@ def category_lifecycle(spark, sf):
     return out.select("seq", "category", "category_source", "vat")
 
 
-def _statements(spark, sf, accounts="cast(account as int) % 10 = 1"):
-    rows = order_ledger(spark, sf).where(accounts)
+def _statements(spark, sf):
+    rows = order_ledger(spark, sf)
     rows = rows.withColumn("date_text", F.col("date").cast("string")).withColumn("evidence", F.concat_ws(" ", "date_text", "description", "seq")).withColumn("garbled", F.when(F.col("seq") % 31 == 0, F.array(F.lit("1O.00"))).otherwise(F.array().cast("array<string>"))).withColumn("ocr", F.col("seq") % 2 == 0)
     zero = F.lit(0).cast("decimal(18,2)")
     n = F.col("account").cast("int")
@@ -327,11 +302,6 @@ def assess_rows(spark, sf):
     return _assessed_rows(_statements(spark, sf)[0])
 
 
-def assess_rows_whole(spark, sf):
-    """The rows of all accounts."""
-    return _assessed_rows(_statements(spark, sf, "true")[0])
-
-
 def _assessed_statements(s):
     return s.select("account", F.array_join("problems", ";").alias("problems"), *_c("computed_closing", "last_balance", "printed_closing_used"), "n_flagged", "status")
 
@@ -340,11 +310,6 @@ def assess_statements(spark, sf):
     return _assessed_statements(_statements(spark, sf)[1])
 
 
-def assess_statements_whole(spark, sf):
-    """The statements of all accounts."""
-    return _assessed_statements(_statements(spark, sf, "true")[1])
-
-
 def choose_reading(spark, sf):
     li = _read(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.sum(F.col("l_partkey") % 3)).alias("n_problems"), F.sum(F.col("l_suppkey") % 4).alias("n_flagged"), F.count(F.lit(1)).alias("n_rows"))
     return assess.choose_reading(li.withColumnRenamed("l_linenumber", "reading"), ["l_orderkey"]).withColumn("reading", F.col("reading").cast("bigint"))
@@ -598,8 +563,7 @@ QUERIES = {
         categorize_first_match, report_categories, row_key_dedup, file_registry, mixed_accounts, parse_amount_formats, parse_date_formats,
         fiscal_calendar, same_words, telling_words, garbled_figures, rand_format, learned_category, category_lifecycle, assess_rows,
         assess_statements, choose_reading, compare_readings, read_lines, unknown_layouts, statement_styles, statement_ledger, sheet_rows, word_lines, printed_figures, ledger_names,
-        session_stats, dominant_category, monthly_total_rollup_whole, month_vat_sheet_whole, mixed_accounts_whole, learned_category_whole,
-        assess_rows_whole, assess_statements_whole, second_reading, line_formats, printed_totals, vat_return_total, vat_summary_total,
+        session_stats, dominant_category, second_reading, line_formats, printed_totals, vat_return_total, vat_summary_total,
         category_breakdown_month, entry_lines, listed_lines, run_stats,
     )
 }
