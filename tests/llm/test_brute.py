@@ -117,6 +117,31 @@ def test_jaccard_groups(spark, sf_dir, size, percent):
         assert got == _components(some, size, percent)
 
 
+def test_jaccard_through_a_null_id(spark):
+    """A text without an id links two that do not link with each other; one that links with none has no component."""
+    base = words(5, 200)
+    ends = [" ".join([*(f"x{k}" for k in range(8)), *base[8:]]), " ".join([*base[:-8], *(f"y{k}" for k in range(8))])]
+    rows = [(9, ends[0]), (None, " ".join(base)), (5, ends[1]), (None, "alone in here"), (None, None), (7, " ".join(words(6, 90)))]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_groups(table(spark, rows)).collect()}
+    assert got == {(9, 197, 5), (None, 197, 5), (5, 197, 5), (None, 1, None), (None, 0, None), (7, 87, 7)}
+
+
+def test_jaccard_in_many_blocks(spark, monkeypatch):
+    """Blocks far smaller than the groups, so that leaders and what stays open are searched block against block."""
+    from ledgerloom.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 300)
+    base = words(11, 150)
+    rows = []
+    for k in range(90):
+        w = list(base)
+        for j in range(k % 9):
+            w[(j * 29 + k * 7) % 150] = f"n{k}-{j}"
+        rows.append(((k * 37) % 97, " ".join(w)))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_groups(table(spark, rows)).collect())
+    assert got == _components(rows, 4, 85) and len({c for *_, c in got}) > 3
+
+
 def test_jaccard_query(spark, sf_dir):
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in queries.op6_jaccard_join(spark, sf_dir).collect())
     assert got == _components([(r.doc_id, r.text) for r in _documents(spark, sf_dir)], 4, 85)
@@ -254,6 +279,22 @@ def test_packing_is_best_fit(spark):
     assert all(sum(x for _, x in v) == n[k] and sorted(s for s, _ in v) == [200 * j for j in range(len(v))] for k, v in whole.items()) and len(whole) == 300
 
 
+def test_packing_in_groups(spark):
+    """Each group is best fit on its own, and holds what its hash says; a text of many pieces is over several groups."""
+    rows = [(k, " ".join(words(k % 90, (k * 37) % 260)), "en", f"s{k * k % 11}") for k in range(300)] + [(1000, "w " * 60_000, "en", "long")]
+    got = best_fit_packing(table(spark, rows).repartition(4), capacity=200, group_rows=60).collect()
+    key = {r["doc_id"]: r["k"] for r in table(spark, rows).select("doc_id", F.xxhash64("doc_id", F.xxhash64("text")).alias("k")).collect()}
+    groups = defaultdict(list)
+    for r in got:
+        groups[r.bin_id.split("-")[0]].append(r)
+    assert len(groups) == 6 and len({r.bin_id.split("-")[0] for r in got if r.doc_id == 1000}) > 1
+    for some in groups.values():
+        pieces = sorted(((-r.n_tokens, key[r.doc_id], r.piece, r) for r in some), key=lambda x: x[:3])
+        want = _naive_packing([((r.doc_id, r.piece), r.n_tokens, r.source, r.cluster) for *_, r in pieces], 200)
+        assert {(r.doc_id, r.piece): (int(r.bin_id.split("-")[1]), r.bin_start) for r in some} == want
+    assert sum(r.n_tokens for r in got) == sum(len(t.split()) for _, t, *_ in rows)
+
+
 def test_packing_keeps_bins_apart(spark, sf_dir):
     rows = queries.op5_best_fit_packing(spark, sf_dir).collect()
     bins = defaultdict(list)
