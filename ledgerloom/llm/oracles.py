@@ -50,4 +50,53 @@ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighb
 SELECT vec_id, rank, neighbor_id, distance::BIGINT AS distance FROM r WHERE rank <= 10
 """
 
-ORACLES = {"op1_line_dedup": LINE_DEDUP, "op3_substring_dedup": SUBSTRING_DEDUP, "op7_decontaminate": DECONTAMINATE, "op9_exact_top_k": EXACT_TOP_K}
+EXACT_DEDUP = """
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(k) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY k)
+"""
+
+RANKED_SEARCH = r"""
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+i AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+q AS (SELECT item_id, t, count(*) AS q FROM i GROUP BY ALL),
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+a AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM n),
+p AS (SELECT doc_id, t, count(*) AS tf FROM d WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, a GROUP BY t),
+m AS (SELECT doc_id, 100 - 25 + (25 * n * docs) // words AS m FROM n, a),
+s AS (SELECT item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM q JOIN w USING (t) JOIN p USING (t) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY rank <= 20
+"""
+
+
+def _vector_codes(rounds: int = 6, parts: int = 8, entries: int = 16) -> str:
+    """A table expression for each round: entries, then who is nearest to which; the width of a part follows the vectors."""
+    nearest = """a{k} AS MATERIALIZED (SELECT vec_id, p, any_value(x) AS x, arg_min(e, d * 1000 + e) AS e, min(d) AS d
+    FROM (SELECT vec_id, v.p, v.x, c.e, list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(v.x, c.x)])::BIGINT AS d FROM v JOIN c{k} AS c USING (p)) GROUP BY vec_id, p)"""
+    means = """c{n} AS MATERIALIZED (SELECT p, e, coalesce(m.x, c.x) AS x FROM c{k} AS c LEFT JOIN
+    (SELECT p, e, list(s ORDER BY j) AS x FROM (SELECT p, e, j, floor(sum(x[j])::DOUBLE / count(*))::BIGINT AS s FROM a{k}, (SELECT unnest(range(1, width + 1)) AS j FROM size) GROUP BY p, e, j) GROUP BY p, e) AS m USING (p, e))"""
+    steps = [nearest.format(k=0)]
+    for k in range(rounds):
+        steps += [means.format(k=k, n=k + 1), nearest.format(k=k + 1)]
+    between = ",\n".join(steps)
+    return f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, label, [floor(4096 * x::DOUBLE)::BIGINT FOR x IN embedding] AS y FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+size AS (SELECT greatest(1, ceil(max(len(y)) / {parts}))::BIGINT AS width FROM kept),
+v AS MATERIALIZED (SELECT vec_id, p, list_resize(y, {parts} * width, 0)[p * width + 1 : (p + 1) * width] AS x FROM kept, size, (SELECT unnest(range({parts})) AS p)),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < {entries}),
+c0 AS MATERIALIZED (SELECT p, e, x FROM v JOIN f USING (vec_id)),
+{between},
+s AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds}),
+r AS (SELECT vec_id, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM r JOIN kept USING (vec_id), s
+"""
+
+
+VECTOR_CODES = _vector_codes()
+
+ORACLES = {"op1_line_dedup": LINE_DEDUP, "op3_substring_dedup": SUBSTRING_DEDUP, "op7_decontaminate": DECONTAMINATE, "op9_exact_top_k": EXACT_TOP_K, "op11_vector_codes": VECTOR_CODES, "op12_exact_dedup": EXACT_DEDUP, "op13_ranked_search": RANKED_SEARCH}

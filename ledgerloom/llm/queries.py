@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from . import language, lm, quality
 from .decontaminate import contamination
+from .exact_dedup import exact_dedup
 from .hamming import exact_top_k
 from .jaccard import jaccard_groups
 from .licenses import license_scan
 from .line_dedup import line_dedup
 from .packing import best_fit_packing
+from .ranked import ranked_search
 from .substring_dedup import substring_dedup
+from .vector_codes import vector_codes
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,4 +93,16 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_substring_dedup, op4_language_id, op5_best_fit_packing, op6_jaccard_join, op7_decontaminate, op8_lm_scoring, op9_exact_top_k, op10_quality_classifier)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(_documents(spark, sf_dir)).drop("n_chunks")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_substring_dedup, op4_language_id, op5_best_fit_packing, op6_jaccard_join, op7_decontaminate, op8_lm_scoring, op9_exact_top_k, op10_quality_classifier, op11_vector_codes, op12_exact_dedup, op13_ranked_search)}

@@ -31,7 +31,9 @@ def _planted(tmp_path_factory, spark):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
     vectors = [(k, [float((k * j) % 5 - 2) for j in range(1, 33)] if k % 7 else None) for k in range(120)]
     vectors += [(200, []), (220, [1.0] * 40), (221, [1.0] * 40)] + [(300 + k, [1.0, -1.0] * 16) for k in range(30)]
-    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{where}/embeddings.parquet")
+    vectors += [(400, [float("nan")] * 32), (402, [float("-inf")] * 32)]
+    labelled = [(k, v, k % 3 if k % 4 else None) for k, v in vectors]
+    spark.createDataFrame(labelled, "vec_id long, embedding array<float>, label int").write.parquet(f"{where}/embeddings.parquet")
     return where
 
 
