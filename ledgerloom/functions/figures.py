@@ -2,14 +2,13 @@
 
 A style is a decimal mark and a separator of thousands. A date is read as the units
 that a line begins with (figures or words, and what stands between them); which kind
-of date they make is told by what each unit can be. Everything is an expression of
+of date they make is told by what each unit can be. A figure is read word by word: marks go off both ends,
+and what is left must be digits around one mark. Everything is an expression of
 structs, so a line costs no Python.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,38 +27,124 @@ _UNIT, _BETWEEN = r"(\d{1,4}|[A-Za-z]{3,9})", r"([-/., ]{0,2})"
 _CUT = "\u0001"
 
 
-def _any(*choices: str) -> str:
-    return "(?:" + "|".join(choices) + ")"
+DIGITS = "0123456789"
 
 
-def figure_pattern(decimal: str = ".", thousands: str = ",") -> str:
-    """One figure with two decimals and its marks, which is not part of a longer word or number."""
-    mark, gap = re.escape(decimal), re.escape(thousands)
-    in_threes = rf"\d{{1,3}}(?:{gap}\d{{3}})+"
-    number = _any(in_threes, r"\d+") + mark + r"\d\d"
-    before = _any(r"\(", r"-\s?") + "?" + _any(_any(*CURRENCIES) + r"\s?") + "?-?"
-    side = r"\s?(?i:" + "|".join(SIDES) + r")(?![A-Za-z])"
-    after = _any(r"\)", r"-(?!\d)", side) + r"?\*?"
-    alone = r"(?<![\w.,/:])" + (r"(?<!\d )" if thousands == " " else "")
-    return alone + before + number + after + r"(?![\w.,/%])"
+def bare_word(w: Column) -> Column:
+    """A word without its marks: what stood before and after, its core, and the core's shape with a 9 for each digit."""
+    front = F.ltrim(F.regexp_replace(F.ltrim(w, F.lit("(-")), "^(" + "|".join(reversed(CURRENCIES)) + ")", ""), F.lit("-"))
+    back = lambda f: F.rtrim(F.regexp_replace(F.rtrim(f, F.lit("*")), "(?i)(" + "|".join(SIDES) + ")$", ""), F.lit(")-"))
 
+    def parts(x: Column) -> Column:
+        f, c = x["f"], x["c"]
+        return F.struct(
+            F.substr(w, F.lit(1), F.length(w) - F.length(f)).alias("before"),
+            F.lower(F.substr(f, F.length(c) + 1)).alias("after"),
+            c.alias("core"),
+            F.translate(c, DIGITS, "9" * 10).alias("shape"),
+        )
 
-def figures(text: Column, decimal: str = ".", thousands: str = ",") -> Column:
-    """[(value, sign, raw)]: sizes, with the sign where brackets, a minus, Cr or Dr say it."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(figure_pattern(decimal, thousands)), F.lit(0))
+    return let(let(front, lambda f: F.struct(f.alias("f"), back(f).alias("c"))), parts)
+
+
+def _whole(shape: Column, mark: str, other: str) -> Column:
+    """For a shape that ends in this decimal mark and two digits: false without groups of thousands, true with; null if it is no figure."""
+    groups = F.split(F.substr(shape, F.lit(1), F.length(shape) - 3), "[" + other + "]")
+    nines = lambda g: (g != "") & (F.translate(g, "9", "") == "")
+    in_threes = (F.length(groups[0]) <= 3) & F.forall(F.slice(groups, 2, 99), lambda g: g == "999")
+    return F.when(shape.endswith(mark + "99") & nines(groups[0]) & ((F.size(groups) == 1) | in_threes), F.size(groups) > 1)
+
+
+def words_of(text: Column) -> Column:
+    """The words of a line, cut at blanks, with their marks apart and what each can be.
+
+    (word, before, after, core, shape, mark, grouped): mark is the decimal mark of a
+    word that is a figure of two decimals, grouped says that the other one sets its thousands apart.
+    """
+
+    def one(w: Column) -> Column:
+        def told(x: Column) -> Column:
+            point, comma = _whole(x["shape"], ".", ","), _whole(x["shape"], ",", ".")
+            mark = F.when(point.isNotNull(), ".").when(comma.isNotNull(), ",")
+            return F.struct(w.alias("word"), x["before"].alias("before"), x["after"].alias("after"), x["core"].alias("core"), x["shape"].alias("shape"), mark.alias("mark"), F.coalesce(point, comma).alias("grouped"))
 
-    def one(raw: Column) -> Column:
-        out = raw.rlike(r"(?i)[()-]|dr")
-        value = F.try_divide(F.regexp_replace(raw, r"[^0-9]", "").try_cast("decimal(18,0)"), F.lit(100)).cast("decimal(18,2)")
-        return F.struct(value.alias("value"), F.when(out, -1).when(raw.rlike("(?i)cr"), 1).alias("sign"), F.trim(raw).alias("raw"))
+        return let(bare_word(w), told)
 
-    return F.filter(F.transform(found, one), lambda f: f["value"].isNotNull())
+    return F.transform(F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+"), one)
 
 
-def figure_count(text: Column, decimal: str) -> Column:
-    """How many figures have this decimal mark, whatever groups their thousands."""
-    other = "," if decimal == "." else "."
-    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(figure_pattern(decimal, other)), F.lit(0)))
+def lattice(words: Column) -> Column:
+    """The figures of a line in order, with their places and each of their readings.
+
+    words: as words_of gives them. (first, last, mark, grouped, out, marked_in, value, joined): first and last are
+    places of words from 0. joined is (first, value, out) of the second reading of a figure of
+    three digits before the mark, where words of digits stand right before: as thousands set
+    apart by blanks; null without. out and marked_in: a bracket, minus or Dr, and a Cr. A currency, minus or side may be a
+    word of its own.
+    """
+    none = F.lit(None)
+
+    def all_(w: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            at = lambda k: F.when(i >= k, F.get(w, i - k))
+            lone = lambda y: (y["core"] == "") & (y["before"] != "") & ~y["before"].contains("(") & (y["after"] == "")
+            digits = lambda y: y["shape"].isin("9", "99", "999") & (y["after"] == "")
+            longer = lambda y: (y["shape"] == "999") & (y["before"] == "")
+            side = F.when(x["after"] == "", F.lower(F.rtrim(F.get(w, i + 1)["word"], F.lit("*"))))
+            side = F.when(side.isin(*SIDES), side).otherwise("")
+            joins = (x["shape"].like("999_99")) & (x["before"] == "")
+            n = F.when(~(joins & F.coalesce(digits(at(1)), F.lit(False))), 0).when(~(longer(at(1)) & F.coalesce(digits(at(2)), F.lit(False))), 1).when(~(longer(at(2)) & F.coalesce(digits(at(3)), F.lit(False))), 2).otherwise(3)
+            return F.struct(x.alias("x"), i.alias("i"), side.alias("side"), n.alias("n"), F.coalesce(lone(at(1)), F.lit(False)).alias("apart"))
+
+        def token(t: Column) -> Column:
+            x, i = t["x"], t["i"]
+            value = lambda d: F.try_divide(d.try_cast("decimal(18,0)"), F.lit(100)).cast("decimal(18,2)")
+            digits = lambda c: F.translate(c, ".,", "")
+            ends_out = x["after"].rlike("[)-]|dr") | (t["side"] == "dr")
+            starts_out = lambda y: y["before"].rlike("[(-]")
+            before = lambda k: F.coalesce(F.when(i >= k, F.get(w, i - k)["core"] == "") & F.when(i >= k, F.get(w, i - k)["before"].rlike("^-?(ZAR|R)?$") & (F.get(w, i - k)["before"] != "")), F.lit(False))
+            parts = F.array_join(F.transform(F.slice(w, F.greatest(i - t["n"], F.lit(0)) + 1, t["n"] + 1), lambda y: digits(y["core"])), "")
+            start = lambda k: F.when(before(k + 1), i - k - 1).otherwise(i - k)
+            minus = lambda k: F.coalesce(before(k + 1) & F.get(w, i - k - 1)["before"].contains("-"), F.lit(False))
+            joined = F.struct(start(t["n"]).alias("first"), value(parts).alias("value"), (ends_out | starts_out(F.get(w, i - t["n"])) | minus(t["n"])).alias("out"))
+            return F.struct(
+                F.when(t["apart"], start(F.lit(0))).otherwise(i).alias("first"),
+                (i + (t["side"] != "").cast("int")).alias("last"),
+                x["mark"].alias("mark"),
+                x["grouped"].alias("grouped"),
+                (ends_out | starts_out(x) | minus(F.lit(0))).alias("out"),
+                (x["after"].contains("cr") | (t["side"] == "cr")).alias("marked_in"),
+                value(digits(x["core"])).alias("value"),
+                F.when(t["n"] > 0, joined).otherwise(none).alias("joined"),
+            )
+
+        some = F.filter(F.transform(w, one), lambda t: t["x"]["mark"].isNotNull())
+        return F.filter(F.transform(some, token), lambda t: t["value"].isNotNull())
+
+    return let(words, all_)
+
+
+def token_sign(t: Column) -> Column:
+    """-1 where a bracket, a minus or Dr says it, 1 where Cr does, else null."""
+    return F.when(t["out"], -1).when(t["marked_in"], 1)
+
+
+def read_as(tokens: Column, decimal: Column | str, blanks: Column | bool) -> Column:
+    """[(first, last, value, sign)]: the figures with this decimal mark; with blanks, those of digits set apart are one."""
+    joins = blanks if isinstance(blanks, Column) else F.lit(blanks)
+
+    def one(t: Column) -> Column:
+        j = t["joined"]
+        apart = F.struct(j["first"].alias("first"), t["last"].alias("last"), j["value"].alias("value"), F.when(j["out"], -1).when(t["marked_in"], 1).alias("sign"))
+        plain = F.struct(t["first"].alias("first"), t["last"].alias("last"), t["value"].alias("value"), token_sign(t).alias("sign"))
+        return F.when(joins & j.isNotNull(), apart).otherwise(plain)
+
+    return F.transform(F.filter(tokens, lambda t: t["mark"] == decimal), one)
+
+
+def figures(text: Column, decimal: str = ".", thousands: str = ",") -> Column:
+    """[(first, last, value, sign)]: sizes, with the sign where brackets, a minus, Cr or Dr say it."""
+    return read_as(lattice(words_of(text)), decimal, thousands == " ")
 
 
 def month_number(word: Column) -> Column:
@@ -111,7 +196,6 @@ def head_date(head: Column, kind: str, month_first: Column | bool = False) -> Co
     ordered = lambda x: F.struct(F.when(x["s"], x["b"]).otherwise(x["a"]).alias("d"), F.when(x["s"], x["a"]).otherwise(x["b"]).alias("m"), x["y"].alias("y"))
 
     def real(x: Column) -> Column:
-        # 2000 is a leap year, so that the 29th of February stands without a year.
         there = F.try_to_date(F.concat_ws("-", F.coalesce(x["y"], F.lit(2000)).cast("string"), x["m"].cast("string"), x["d"].cast("string")), "yyyy-M-d").isNotNull()
         return F.when(x["m"].isNotNull(), F.struct(head["raw"].alias("raw"), F.when(there, x["d"]).alias("day"), F.when(there, x["m"]).alias("month"), x["y"].alias("year")))
 

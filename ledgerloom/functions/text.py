@@ -7,15 +7,16 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .money import parse_amount
+from .figures import DIGITS, bare_word
+from .let import let
 
 #: Month names, which say nothing about what a transaction is for.
 MONTH_WORDS = (
     "jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "sept", "oct", "nov", "dec",
     "january", "february", "march", "april", "june", "july", "august", "september", "october", "november", "december",
 )
-#: Letters that scans show for digits, and the marks that may follow a figure.
-LOOKALIKES, SIDES = "OIlSB", ("Cr", "Dr", "CR", "DR")
+#: Letters that scans show for digits, and words for a page.
+LOOKALIKES, PAGE_WORDS = "OIlSB", ("page", "pg")
 
 
 def same_words(description: Column) -> Column:
@@ -30,19 +31,28 @@ def telling_words(description: Column) -> Column:
 
 
 def garbled_figures(text: Column) -> Column:
-    """Figures that mix digits and letters that look like digits: words of such characters around one point, without an R before or a side after."""
-    words = F.split(F.coalesce(text, F.lit("")), r"[^A-Za-z0-9.,]+")
-    bare = F.transform(words, lambda w: F.regexp_replace(F.regexp_replace(w, "^R", ""), "(" + "|".join(SIDES) + ")$", ""))
-    digit = f"[0-9{LOOKALIKES}]"
-    return F.filter(bare, lambda w: w.rlike(f"^{digit}({digit}|,)*[.]{digit}{digit}$") & w.rlike("[0-9]") & w.rlike("[A-Za-z]"))
+    """Figures of which a scan has made letters: words with one point and two places after it whose characters are digits, commas and letters that look like digits, some of each."""
+    bare = F.transform(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: bare_word(w)["core"])
+    shape = lambda w: F.translate(w, DIGITS + LOOKALIKES, "9" * len(DIGITS) + "a" * len(LOOKALIKES))
+
+    def mixed(s: Column) -> Column:
+        rest = F.translate(F.translate(s, "a", "9"), ",", "")
+        return s.contains("9") & s.contains("a") & (F.translate(rest, "9", "") == ".") & (F.instr(rest, ".") > 1) & (F.instr(rest, ".") == F.length(rest) - 2) & ~s.startswith(",")
+
+    return F.filter(bare, lambda w: let(shape(w), mixed))
 
 
 def page_numbers(text: Column) -> Column:
-    """(page, of) of each 'page 2 of 4' whose numbers make sense."""
-    said = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\bp(?:a)?g(?:e)?\b\.?\s*(\d+\s*(?:of|/)\s*\d+)\b"), F.lit(1))
-    both = F.transform(said, lambda x: F.transform(F.split(x, r"\s*(?:of|/)\s*"), lambda n: n.try_cast("int")))
-    pages = F.transform(both, lambda n: F.struct(n[0].alias("page"), n[1].alias("of")))
-    return F.filter(pages, lambda p: (p["page"] > 0) & (p["page"] <= p["of"]) & (p["of"] < 1000))
+    """(page, of) of each 'page 2 of 4' or 'pg 2/4' whose numbers make sense: a word for page, a number, of, a number."""
+    apart = F.regexp_replace(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("/"), F.lit(" of ")), "(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])", " ")
+
+    def all_(words: Column) -> Column:
+        number = lambda i: F.get(words, i).try_cast("int")
+        at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).isin(*PAGE_WORDS) & (F.get(words, i + 2) == "of"))
+        pages = F.transform(at, lambda i: F.struct(number(i + 1).alias("page"), number(i + 3).alias("of")))
+        return F.filter(pages, lambda p: (p["page"] > 0) & (p["page"] <= p["of"]) & (p["of"] < 1000))
+
+    return let(F.split(apart, "[^a-z0-9]+"), all_)
 
 
 def missing_pages(pages: Column) -> Column:
@@ -93,11 +103,6 @@ def account_number(text: Column, patterns: list[str]) -> Column:
     return F.nullif(F.regexp_replace(first_match(text, patterns), r"\D", ""), F.lit(""))
 
 
-def all_amounts(text: Column, pattern: str) -> Column:
-    """Every figure that the pattern's first group captures, parsed."""
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), parse_amount)
-
-
 def safe_file_name(name: Column) -> Column:
     return F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "_")
 

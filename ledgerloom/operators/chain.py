@@ -133,16 +133,18 @@ def confirm_groups(rows: DataFrame, by: list[str], order: list[str], most: int =
     return out.withColumn("resolved_sign", F.coalesce(F.col("sign").cast("int"), F.try_element_at("__signs", F.col("__pos")))).drop("__before", "__pos", "__signs")
 
 
-def link_entry_lines(lines: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+def link_entry_lines(lines: DataFrame, by: list[str], order: list[str], said: str | None = None) -> DataFrame:
     """Adds entry_date: an undated line of two figures or more takes the date of the dated line of one at most before it.
 
-    lines: text, line_date, n_figures; blank lines don't count as lines between.
+    lines: text, line_date, n_figures; blank lines don't count as lines between. said: a
+    column that such a line takes from the line before as well, as entry_said.
     """
     full = lines.where(F.trim(F.coalesce("text", F.lit(""))) != "")
     w = Window.partitionBy(*by).orderBy(*order)
-    before = F.lag(F.struct("line_date", "n_figures")).over(w)
-    linked = F.when((F.col("n_figures") >= 2) & (before["n_figures"] <= 1), before["line_date"])
-    return full.withColumn("entry_date", F.coalesce("line_date", linked))
+    before = F.lag(F.struct("line_date", "n_figures", *([said] if said else []))).over(w)
+    follows = (F.col("n_figures") >= 2) & (before["n_figures"] <= 1)
+    out = full.withColumn("entry_date", F.coalesce("line_date", F.when(follows, before["line_date"])))
+    return out.withColumn("entry_said", F.when(follows & F.col("line_date").isNull() & before["line_date"].isNotNull(), before[said])) if said else out
 
 
 def page_segments(pages: DataFrame, by: list[str], order: list[str], period: str = "period") -> DataFrame:

@@ -1,10 +1,9 @@
 """Statements of unknown layout: styles by counting, columns by what makes the running balance add up.
 
-A statement's decimal mark and kind of date are what most of its lines use. Which
-figure is the amount, which the fee and which the balance is not guessed line by
-line: a few layouts are tried on the whole statement, each a column of the same
-rows, and the one under which most rows lead from the balance before to their own is
-taken. All windows and aggregations are by statement, so there is one shuffle.
+A line is cut once into words, its figures with all their readings, and the dates that
+it can begin with. A statement's decimal mark and kind of date are what most of its
+lines use. Which figure is the amount, which the fee and which the balance is found along
+the balance, line after line, statement by statement (see beam).
 """
 
 from __future__ import annotations
@@ -13,22 +12,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_in_period
-from ..functions.figures import DATE_KINDS, date_head, figure_count, figures, head_date
+from ..functions.figures import DATE_KINDS, date_head, head_date, lattice, token_sign, words_of
+from ..functions.money import from_cents
 from ..functions.text import phrases_pattern
+from ..sources.stored import stored
+from .beam import read_statement
+from .chain import continuation_lines, link_entry_lines, listed_lines, stands_alone
 
 MONEY = "decimal(18,2)"
-#: Layouts in the order of preference; places of amount, fee and balance from the end, 0 for none.
-LAYOUTS = ((2, 0, 1), (3, 0, 2), (3, 2, 1), (3, 0, 1), (4, 3, 2))
-#: Phrases of lines that open a balance, of those that close one, and of those that are no transactions.
+#: Phrases of lines that open a balance, of those that close one, of those that are no transactions, and of headings of lists.
 OPENING_PHRASES = ("opening balance", "brought forward", "balance b/f", "balance bf", "b/fwd", "balance forward", "previous balance", "balance at start", "start balance", "starting balance")
 CLOSING_PHRASES = ("closing balance", "carried forward", "balance c/f", "balance cf", "c/fwd", "balance at end", "end balance", "ending balance", "new balance")
 OTHER_PHRASES = ("total", "totals", "turnover", "summary", "available balance", "interest rate")
-OPENING, CLOSING, NO_ROW = (phrases_pattern(p) for p in (OPENING_PHRASES, CLOSING_PHRASES, OTHER_PHRASES))
+LIST_PHRASES = ("pending", "scheduled", "upcoming", "future", "subscription", "subscriptions", "debit orders", "standing orders", "recurring", "not yet processed", "not yet cleared", "authorised", "authorisations")
+OPENING, CLOSING, NO_ROW, LIST_HEADING = (phrases_pattern(p) for p in (OPENING_PHRASES, CLOSING_PHRASES, OTHER_PHRASES, LIST_PHRASES))
 #: Kinds whose day and month may stand the other way round.
 _DAY_MONTH = ("dmy", "dm")
+#: A description goes on over so many lines, none longer than this.
+MORE_LINES, LONGEST = 2, 70
 
 
-def statement_styles(lines: DataFrame, by: list[str]) -> DataFrame:
+def parsed_lines(lines: DataFrame, by: list[str], order: str) -> DataFrame:
+    """(by, order, text, words, tokens, d_<kind>, s_<kind>): each line cut once; s_ are the kinds with the month in front."""
+    p = lines.select(*by, order, "text", words_of(F.col("text")).alias("words"), *[date_head(F.col("text"), n).alias(f"head{n}") for n in (2, 3)])
+    head = lambda k: F.col(f"head{len(DATE_KINDS[k])}")
+    return p.select(
+        *by, order, "text", F.transform("words", lambda w: w["word"]).alias("words"), lattice(F.col("words")).alias("tokens"),
+        *[head_date(head(k), k).alias(f"d_{k}") for k in DATE_KINDS], *[head_date(head(k), k, True).alias(f"s_{k}") for k in _DAY_MONTH],
+    )
+
+
+def statement_styles(lines: DataFrame, by: list[str], order: str = "line_no") -> DataFrame:
     """(by, decimal, spaced, kind, month_first): how each statement prints figures and dates.
 
     A decimal comma needs more figures than the point has; spaced says that
@@ -36,128 +50,121 @@ def statement_styles(lines: DataFrame, by: list[str]) -> DataFrame:
     of date; ties go to the kind named first. Months come first if more lines can
     only be read so than only the other way.
     """
-    heads = lines.select(*by, "text", figure_count(F.col("text"), ".").alias("points"), figure_count(F.col("text"), ",").alias("commas"), *[date_head(F.col("text"), n).alias(f"head{n}") for n in (2, 3)])
-    head = lambda k: F.col(f"head{len(DATE_KINDS[k])}")
-    read = heads.select(*by, "text", "points", "commas", *[head_date(head(k), k).alias(k) for k in DATE_KINDS], *[head_date(head(k), k, True)["day"].alias(f"s_{k}") for k in _DAY_MONTH])
-    p = read.select(*by, "text", "points", "commas", *[F.col(f"{k}.day").alias(f"d_{k}") for k in DATE_KINDS], *[f"s_{k}" for k in _DAY_MONTH], *[F.col(k).isNotNull().alias(f"h_{k}") for k in _DAY_MONTH])
-    has = F.col("points") + F.col("commas") > 0
+    return styles_of(parsed_lines(lines, by, order), by).drop("grouped")
+
+
+def styles_of(parsed: DataFrame, by: list[str]) -> DataFrame:
+    """statement_styles of parsed lines, and whether a statement groups thousands by a mark."""
+    with_mark = lambda m: F.size(F.filter("tokens", lambda t: t["mark"] == m))
+    has = F.size("tokens") > 0
     some = lambda test: F.when(test, 1).otherwise(0)
-    spaces = F.col("text").rlike(r"(?<![\w.,/:])\d{1,3}(?: \d{3})+[.,]\d{2}(?![\w.,/%])")
-    grouped = F.col("text").rlike(r"(?<![\w.,/:])\d{1,3}(?:,\d{3})+\.\d{2}|(?<![\w.,/:])\d{1,3}(?:\.\d{3})+,\d{2}")
-    counts = p.groupBy(*by).agg(
-        F.sum("points").alias("points"),
-        F.sum("commas").alias("commas"),
-        F.count_if(spaces).alias("spaces"),
-        F.count_if(grouped).alias("grouped"),
-        *[F.count_if(has & (F.col(f"h_{k}") if k in _DAY_MONTH else F.col(f"d_{k}").isNotNull())).alias(f"n_{k}") for k in DATE_KINDS],
-        F.sum(sum((some(has & F.col(f"h_{k}") & F.col(f"d_{k}").isNull() & F.col(f"s_{k}").isNotNull()) for k in _DAY_MONTH), F.lit(0))).alias("months"),
-        F.sum(sum((some(has & (F.col(f"d_{k}") > 12)) for k in _DAY_MONTH), F.lit(0))).alias("days"),
+    day = lambda k: F.col(f"{k}.day")
+    counts = parsed.groupBy(*by).agg(
+        F.sum(with_mark(".")).alias("points"),
+        F.sum(with_mark(",")).alias("commas"),
+        F.count_if(F.exists("tokens", lambda t: t["joined"].isNotNull())).alias("spaces"),
+        F.count_if(F.exists("tokens", lambda t: t["grouped"])).alias("n_grouped"),
+        *[F.count_if(has & (F.col(f"d_{k}").isNotNull() if k in _DAY_MONTH else day(f"d_{k}").isNotNull())).alias(f"n_{k}") for k in DATE_KINDS],
+        F.sum(sum((some(has & day(f"d_{k}").isNull() & day(f"s_{k}").isNotNull()) for k in _DAY_MONTH), F.lit(0))).alias("months"),
+        F.sum(sum((some(has & (day(f"d_{k}") > 12)) for k in _DAY_MONTH), F.lit(0))).alias("days"),
     )
     best = F.array_max(F.array(*[F.struct(F.col(f"n_{k}").alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("kind")) for i, k in enumerate(DATE_KINDS)]))
     return counts.select(
         *by,
         F.when(F.col("commas") > F.col("points"), ",").otherwise(".").alias("decimal"),
-        ((F.col("spaces") > 0) & (F.col("grouped") == 0)).alias("spaced"),
+        ((F.col("spaces") > 0) & (F.col("n_grouped") == 0)).alias("spaced"),
         F.when(best["n"] > 0, best["kind"]).alias("kind"),
         (F.col("months") > F.col("days")).alias("month_first"),
+        (F.col("n_grouped") > 0).alias("grouped"),
     )
 
 
-def _styled_figures() -> Column:
-    """The line's figures in its statement's style."""
-    style = lambda d, s: (F.col("decimal") == d) & (F.col("spaced") == F.lit(s))
-    return (
-        F.when(style(".", False), figures(F.col("text"), ".", ","))
-        .when(style(",", False), figures(F.col("text"), ",", "."))
-        .when(style(".", True), figures(F.col("text"), ".", " "))
-        .otherwise(figures(F.col("text"), ",", " "))
-    )
-
-
-def _styled_date() -> Column:
-    """The date that the line begins with, of its statement's kind; from head2 and head3."""
-    out = F.when(F.lit(False), F.lit(None))
-    for k, letters in DATE_KINDS.items():
-        out = out.when(F.col("kind") == k, head_date(F.col(f"head{len(letters)}"), k, F.col("month_first")))
-    return out
+def _styled(parsed: DataFrame, styles: DataFrame, by: list[str], order: str) -> DataFrame:
+    """(by, order, text, words, at, after, tokens): the date of the statement's kind that a line begins with, the first word after it, and the figures behind with what the statement allows."""
+    at = F.when(F.lit(False), F.lit(None))
+    for k in DATE_KINDS:
+        at = at.when(F.col("kind") == k, F.when(F.col("month_first"), F.col(f"s_{k}")).otherwise(F.col(f"d_{k}")) if k in _DAY_MONTH else F.col(f"d_{k}"))
+    p = parsed.join(styles.select(*by, "decimal", "kind", "month_first", "grouped"), by).withColumn("at", at)
+    p = p.withColumn("after", F.coalesce(F.size(F.split("at.raw", r"\s+")), F.lit(0)))
+    behind = lambda x: x["first"] >= F.col("after")
+    of_style = F.filter("tokens", lambda t: (t["mark"] == F.col("decimal")) & behind(t))
+    joined = lambda t: F.when(~F.col("grouped") & behind(t["joined"]), t["joined"])
+    return p.select(*by, order, "text", "words", "at", "after", F.transform(of_style, lambda t: t.withField("joined", joined(t))).alias("tokens"))
 
 
-def _signed(figure: Column) -> Column:
-    return (figure["value"] * F.coalesce(figure["sign"], F.lit(1))).cast(MONEY)
+def _values(tokens: Column) -> Column:
+    """Both readings of the line's last figure, with the sign that it has."""
+    t = F.try_element_at(tokens, F.lit(-1))
+    value = lambda v, out: F.when(out, -v).otherwise(v).cast(MONEY)
+    return F.array_compact(F.array(value(t["joined"]["value"], t["joined"]["out"]), value(t["value"], t["out"])))
 
 
 def read_unknown(lines: DataFrame, by: list[str], order: str = "line_no", bounds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, statements) of lines (by, order, text) in a layout that nobody has named.
 
     bounds: by, period_start, period_end, for dates without a year. rows: by, seq,
-    date, description, debit, credit, unassigned, balance, evidence, confirmed. A
-    row whose amount (and fee) leads from the balance before to its own is
-    confirmed and goes that way; any other is kept as printed: by its mark, or by
-    the statement's own convention (only credits marked: unmarked is out; only
-    debits marked: unmarked is in), else unassigned. A fee becomes a row after it.
-    statements: by, decimal, kind, layout, n_rows, n_confirmed, opening, closings.
-    A statement without dated lines of two figures has no rows.
+    date, date_text, description, debit, credit, unassigned, balance, evidence,
+    confirmed, ambiguous. A row is confirmed and goes the way in which it leads, with
+    the amounts without a balance before it, from the balance before to its own, if
+    there is one way only (ambiguous: more do). Any other is kept as printed: by
+    its mark, or by the statement's own convention (only credits marked: unmarked is out;
+    only debits marked: unmarked is in), else unassigned. A fee becomes a row after its own.
+    An undated line with figures under a dated one without belongs to that; dated lines
+    of a list under a heading are rows only where the balance needs them; a description goes on over two lines.
+    statements: by, decimal, kind, n_rows, n_confirmed, opening, closings. A
+    statement without dated lines of figures has no rows.
     """
-    styles = statement_styles(lines, by)
-    p = lines.join(styles, by).withColumn("fig", _styled_figures()).withColumns({f"head{n}": date_head(F.col("text"), n) for n in (2, 3)})
-    p = p.withColumn("at", _styled_date()).drop("head2", "head3")
+    parsed = stored(parsed_lines(lines, by, order))
+    styles = styles_of(parsed, by)
+    n = F.size("tokens")
+    p = _styled(parsed, styles, by, order)
+    p = link_entry_lines(p.withColumn("line_date", F.col("at")).withColumn("n_figures", n), by, [order], said="words").drop("line_date", "n_figures")
+    is_head, is_close = F.col("text").rlike(OPENING), F.col("text").rlike(CLOSING)
+    dated = F.col("entry_date").isNotNull()
+    row = (n > 0) & ~is_head & ~is_close & ~F.col("text").rlike(NO_ROW)
+    p = p.withColumn("row", row).withColumn("dated", dated).withColumn("single", row & dated & (n == 1)).withColumn("is_heading", F.col("text").rlike(LIST_HEADING)).withColumn("is_blank", F.lit(False))
+    p = listed_lines(p, by, [order])
+    p = continuation_lines(p.withColumn("said", F.when(F.col("row") & dated, "").otherwise(F.col("text"))).withColumn("is_row", F.col("row") & dated).withColumn("is_blocked", stands_alone(F.col("text")) | F.col("is_heading")), by, [order], LONGEST, MORE_LINES, "said")
     w = Window.partitionBy(*by).orderBy(order)
-    dated = F.col("at").isNotNull()
-    n = F.size("fig")
-    is_head = F.col("text").rlike(OPENING)
-    row = dated & (n >= 2) & ~is_head & ~F.col("text").rlike(CLOSING) & ~F.col("text").rlike(NO_ROW)
-    p = p.withColumn("row", row).withColumn("seen", F.count_if(row).over(w))
-    first = F.try_element_at("fig", F.lit(1))
+    p = p.withColumn("seen", F.count_if(F.col("row") & dated).over(w))
+    sign = token_sign(F.try_element_at("tokens", F.lit(1)))
+    marks = lambda c: F.exists("tokens", lambda t: t[c])
+    on_row = F.col("row") & dated
     heads = p.groupBy(*by).agg(
-        F.min_by(_signed(F.try_element_at("fig", F.lit(-1))), F.when(is_head & (n > 0) & (F.col("seen") == 0), F.col(order))).alias("opening"),
-        F.collect_set(F.when(F.col("text").rlike(CLOSING) & (n > 0), _signed(F.try_element_at("fig", F.lit(-1))))).alias("closings"),
-        F.count_if(F.col("row") & (first["sign"] == 1)).alias("n_cr"),
-        F.count_if(F.col("row") & (first["sign"] == -1)).alias("n_dr"),
+        F.coalesce(F.min_by(_values(F.col("tokens")), F.when(is_head & (n > 0) & (F.col("seen") == 0), F.col(order))), F.array().cast(f"array<{MONEY}>")).alias("openings"),
+        F.array_distinct(F.flatten(F.collect_list(F.when(is_close & (n > 0), _values(F.col("tokens")))))).alias("closings"),
+        F.count_if(on_row & (sign == 1)).alias("n_cr"),
+        F.count_if(on_row & (sign == -1)).alias("n_dr"),
+        (F.max(F.when(on_row, marks("marked_in"))) & ~F.max(F.when(on_row, marks("out")))).alias("flips"),
     )
-    rows = p.where("row").join(heads.select(*by, "opening", "n_cr", "n_dr"), by)
-
-    def under(k: int) -> Column:
-        amount, fee, balance = LAYOUTS[k]
-        at = lambda place: F.try_element_at("fig", F.lit(-place))
-        return F.struct(at(amount).alias("amount"), (at(fee)["value"] if fee else F.lit(None).cast(MONEY)).alias("fee"), _signed(at(balance)).alias("balance"))
-
-    zero = F.lit(0).cast(MONEY)
-    rows = rows.select(*by, order, "text", "at", "opening", "n_cr", "n_dr", *[under(k).alias(f"l{k}") for k in range(len(LAYOUTS))])
-    # The balance before is that of the row before under the same layout.
-    for k in range(len(LAYOUTS)):
-        rows = rows.withColumn(f"b{k}", F.coalesce(F.lag(f"l{k}.balance").over(w), "opening"))
-    step = lambda k: (F.col(f"l{k}.balance") - F.col(f"b{k}") + F.coalesce(F.col(f"l{k}.fee"), zero)).cast(MONEY)
-    ok = lambda k: F.coalesce(F.abs(step(k)) == F.col(f"l{k}.amount.value"), F.lit(False))
-    best = F.array_max(F.array(*[F.struct(F.count_if(ok(k)).over(Window.partitionBy(*by)).alias("n"), F.lit(-k).alias("k")) for k in range(len(LAYOUTS))]))
-    rows = rows.withColumn("best", best)
-    pick = None
-    for k in range(len(LAYOUTS)):
-        cell = F.struct(F.col(f"l{k}").alias("cells"), F.when(ok(k), F.signum(step(k)).cast("int")).alias("way"))
-        pick = F.when(F.col("best.k") == -k, cell) if pick is None else pick.when(F.col("best.k") == -k, cell)
-    rows = rows.withColumn("p", pick).drop(*[f"{c}{k}" for c in "lb" for k in range(len(LAYOUTS))])
-    amount = F.col("p.cells.amount")
     convention = F.when((F.col("n_cr") > 0) & (F.col("n_dr") == 0), -1).when((F.col("n_dr") > 0) & (F.col("n_cr") == 0), 1)
-    rows = rows.withColumn("way", F.coalesce("p.way", amount["sign"], convention)).withColumn("confirmed", F.col("p.way").isNotNull())
+    heads = heads.select(*by, "openings", "closings", convention.alias("unmarked"), F.coalesce("flips", F.lit(False)).alias("flips"))
+    keep = [*by, order, "text", "words", "entry_date", "after", "entry_said", "full_description"]
+    p = p.where("row").select(*keep, "dated", "listed", "tokens").join(heads, by)
+    kinds = dict(p.dtypes)
+    added = "amount long, first_word int, fee long, balance long, way int, confirmed boolean, ambiguous boolean, start long"
+    rows = p.groupBy(*by).applyInArrow(lambda t: read_statement(t, order, keep), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", " + added)
     if bounds is not None:
         rows = rows.join(bounds.select(*by, "period_start", "period_end"), by, "left")
-        guess = date_in_period(F.col("at.day"), F.col("at.month"), F.col("period_start"), F.col("period_end"))
+        guess = date_in_period(F.col("entry_date.day"), F.col("entry_date.month"), F.col("period_start"), F.col("period_end"))
     else:
         guess = F.lit(None).cast("date")
-    made = F.try_to_date(F.concat_ws("-", F.col("at.year").cast("string"), F.col("at.month").cast("string"), F.col("at.day").cast("string")), "yyyy-M-d")
-    day = F.when(F.col("at.day").isNotNull(), F.when(F.col("at.year").isNotNull(), made).otherwise(guess))
-    # The description is what stands between the date and the first of the row's figures.
-    rest = F.substring(F.ltrim("text"), F.length(F.col("at.raw")) + 1, F.lit(1 << 20))
-    said = F.trim(F.call_function("substring_index", rest, amount["raw"], F.lit(1)))
-    rows = rows.withColumn("date", day).withColumn("description", F.coalesce(F.nullif(said, F.lit("")), F.lit("(no description)")))
-    size, none = amount["value"], F.lit(None).cast(MONEY)
+    made = F.try_to_date(F.concat_ws("-", F.col("entry_date.year").cast("string"), F.col("entry_date.month").cast("string"), F.col("entry_date.day").cast("string")), "yyyy-M-d")
+    day = F.when(F.col("entry_date.day").isNotNull(), F.when(F.col("entry_date.year").isNotNull(), made).otherwise(guess))
+    own = F.array_join(F.slice("words", F.col("after") + 1, F.greatest(F.col("first_word") - F.col("after"), F.lit(0))), " ")
+    entry = F.array_join(F.slice("entry_said", F.size(F.split("entry_date.raw", r"\s+")) + 1, 1 << 20), " ")
+    said = F.concat_ws(" ", *[F.nullif(F.trim(x), F.lit("")) for x in (F.when(F.col("entry_said").isNotNull() & (own == ""), entry), own, F.col("full_description"))])
+    money = lambda c: from_cents(F.col(c))
+    rows = rows.select(*by, order, "text", "confirmed", "ambiguous", "way", "start", day.alias("date"), F.col("entry_date.raw").alias("date_text"), F.coalesce(F.nullif(said, F.lit("")), F.lit("(no description)")).alias("description"), *[money(c).alias(c) for c in ("amount", "fee", "balance")])
+    size, none = F.col("amount"), F.lit(None).cast(MONEY)
     part = lambda k, text, debit, credit, left, balance: F.struct(F.lit(k).alias("sub"), text.alias("description"), debit.alias("debit"), credit.alias("credit"), left.alias("unassigned"), balance.alias("balance"))
-    fee = F.col("p.cells.fee")
-    has_fee = F.coalesce(fee != 0, F.lit(False))
-    main = part(0, F.col("description"), F.when(F.col("way") == -1, size), F.when(F.col("way") == 1, size), F.when(F.col("way").isNull(), size), F.when(~has_fee, F.col("p.cells.balance")))
-    extra = part(1, F.concat(F.lit("Fee: "), "description"), fee, none, none, F.col("p.cells.balance"))
-    kept = rows.where(size.isNotNull() & ((size != 0) | has_fee))
-    out = kept.select(*by, order, "date", F.col("at.raw").alias("date_text"), F.col("text").alias("evidence"), "confirmed", F.explode(F.when(has_fee, F.array(main, extra)).otherwise(F.array(main))).alias("r"))
-    out = out.select(*by, (F.col(order) * 2 + F.col("r.sub")).cast("bigint").alias("seq"), "date", "date_text", "r.description", "r.debit", "r.credit", "r.unassigned", "r.balance", "evidence", "confirmed")
-    found = rows.groupBy(*by).agg(F.max(-F.col("best.k")).alias("layout"), F.count(F.lit(1)).alias("n_rows"), F.count_if("confirmed").alias("n_confirmed"))
-    statements = styles.select(*by, "decimal", "kind").join(heads.select(*by, "opening", "closings"), by).join(found, by, "left")
-    return out, statements.withColumn("n_rows", F.coalesce("n_rows", F.lit(0).cast("bigint"))).withColumn("n_confirmed", F.coalesce("n_confirmed", F.lit(0).cast("bigint")))
+    has_fee = F.col("fee") != 0
+    main = F.when(size != 0, part(0, F.col("description"), F.when(F.col("way") == -1, size), F.when(F.col("way") == 1, size), F.when(F.col("way").isNull(), size), F.when(~has_fee, F.col("balance"))))
+    extra = F.when(has_fee, part(1, F.concat(F.lit("Fee: "), "description"), F.when(F.col("fee") > 0, F.col("fee")), F.when(F.col("fee") < 0, -F.col("fee")), none, F.col("balance")))
+    out = rows.select(*by, order, "date", "date_text", F.col("text").alias("evidence"), "confirmed", "ambiguous", "start", F.explode(F.array_compact(F.array(main, extra))).alias("r"))
+    out = out.select(*by, (F.col(order) * 2 + F.col("r.sub")).cast("bigint").alias("seq"), "date", "date_text", "r.description", "r.debit", "r.credit", "r.unassigned", "r.balance", "evidence", "confirmed", "ambiguous", "start")
+    out = stored(out)
+    found = out.groupBy(*by).agg(F.max(money("start")).alias("start"), F.count(F.lit(1)).alias("n_rows"), F.count_if("confirmed").alias("n_confirmed"))
+    statements = styles.select(*by, "decimal", "kind").join(heads.select(*by, F.get("openings", F.lit(-1) + F.size("openings")).alias("printed"), "closings"), by).join(found, by, "left")
+    zero = F.lit(0).cast("bigint")
+    return out.drop("start"), statements.select(*by, "decimal", "kind", F.coalesce("start", "printed").alias("opening"), "closings", F.coalesce("n_rows", zero).alias("n_rows"), F.coalesce("n_confirmed", zero).alias("n_confirmed"))

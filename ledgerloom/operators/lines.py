@@ -8,15 +8,14 @@ the balance printed before, and a fee is a row of its own.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date
+from ..functions.figures import lattice, read_as, words_of
 from ..functions.let import let
-from ..functions.money import by_mark, parse_amount
 from .chain import continuation_lines, skipped_lines, stands_alone
 
 #: The shapes of dates that lines begin with, with and without a year.
@@ -36,51 +35,38 @@ class LineFormat:
     trailing_column: bool = False
     unmarked_is_debit: bool = False
 
-    @property
-    def figure(self) -> str:
-        """A figure of two decimals, in brackets or with a minus, Cr or Dr, if it has any."""
-        threes = rf"(?:{re.escape(self.thousands)}\d{{3}})*" if self.thousands else ""
-        whole = r"\d{1,3}" + threes if self.thousands else r"\d+"
-        return r"\(?-?" + whole + r"[.]\d\d\)?(?: ?(?:Cr|Dr))?"
-
     @property
     def date(self) -> str:
         return "(?:" + "|".join(_SHAPES[d] for d in (DATES if self.year else DATES_WITHOUT_YEAR)) + ")"
 
-    def cut(self, text: Column) -> Column:
-        """(date_text, description, amount, fee, balance) as printed; null for a line that is no row.
+    def figures(self, tokens: Column) -> Column:
+        """The line's figures as this format groups thousands; those grouped in another way are none."""
+        fits = F.filter(tokens, lambda t: ~t["grouped"]) if self.thousands != "," else tokens
+        return read_as(fits, ".", self.thousands == " ")
+
+    def cut(self, words: Column, date: Column, figures: Column) -> Column:
+        """(description, amount, fee, balance) of a line's words, figures and the date that it begins with; null for a line that is no row.
 
-        Of the figures at the end two are an amount and a balance, more of them a fee
-        between or a column behind, if the format has these; what is left over is
-        part of the description.
+        Of the figures that the line ends with two are an amount and a balance, more
+        of them a fee between or a column behind, if the format has these; what is
+        left over is part of the description.
         """
         most = 2 + self.fee_column + self.trailing_column
-        date = F.regexp_extract(text, rf"^{self.date}(?=\s)", 0)
-        tail = F.regexp_extract(text, rf"(?:\s+{self.figure}\*?)+$", 0)
-        found = F.regexp_extract_all(tail, F.lit(rf"\s+({self.figure})\*?(?=\s|$)"), F.lit(0))
-
-        def named(x: Column) -> Column:
-            used = F.slice(x["found"], -F.least(F.size(x["found"]), F.lit(most)), F.lit(most))
-            width = F.aggregate(used, F.lit(0), lambda n, f: n + F.length(f))
-            words = F.trim(F.substring(text, F.length(x["date"]) + 1, F.length(text) - F.length(x["date"]) - width))
-            plain = lambda f: F.regexp_replace(F.trim(f), r"\*$", "")
-            return let(used, lambda u: F.struct(
-                x["date"].alias("date_text"),
-                F.nullif(words, F.lit("")).alias("description"),
-                plain(u[0]).alias("amount"),
-                (F.when(F.size(u) > 2, plain(F.get(u, F.lit(1)))) if self.fee_column else F.lit(None).cast("string")).alias("fee"),
-                plain(F.get(u, F.size(u) - 1 - F.when(F.size(u) == most, int(self.trailing_column)).otherwise(0))).alias("balance"),
-            ))
-
-        return let(F.struct(date.alias("date"), found.alias("found")), lambda x: F.when((x["date"] != "") & (F.size(x["found"]) >= 2), named(x)))
-
-    def looks_like_row(self, text: Column) -> Column:
-        """It begins with a date and has a figure that is not the end of a longer one."""
-        return text.rlike(rf"^{self.date}\s") & text.rlike(rf"(?<![\dRr.,]){self.figure}")
-
-    def opening(self, text: Column) -> Column:
-        """The figure after the words opening balance, as printed; '' without one."""
-        return F.regexp_extract(text, rf"(?i){OPENING_PHRASE}[: ]*(?:-?R? ?)({self.figure})", 1)
+        # From the end: a figure is part of the tail while it ends where the tail begins.
+        tail = F.aggregate(F.reverse(figures), F.struct(F.size(words).alias("at"), F.lit(0).alias("n")), lambda s, f: F.when(f["last"] + 1 == s["at"], F.struct(f["first"].alias("at"), (s["n"] + 1).alias("n"))).otherwise(s))["n"]
+
+        def named(n: Column) -> Column:
+            used = F.slice(figures, -F.least(n, F.lit(most)), F.lit(most))
+            begin = F.size(F.split(date, " "))
+            signed = lambda f: F.when(f["sign"] == -1, -f["value"]).otherwise(f["value"])
+            balance = lambda u: F.get(u, F.size(u) - 1 - F.when(F.size(u) == most, int(self.trailing_column)).otherwise(0))
+            said = lambda u: F.array_join(F.transform(F.slice(words, begin + 1, F.greatest(u[0]["first"] - begin, F.lit(0))), lambda w: w["word"]), " ")
+            cells = lambda u: F.struct(F.nullif(said(u), F.lit("")).alias("description"), signed(u[0]).alias("amount"), u[0]["sign"].alias("sign"), (F.get(u, F.lit(1))["value"] if self.fee_column else F.lit(None).cast("decimal(18,2)")).alias("fee"), signed(balance(u)).alias("balance"), balance(u)["sign"].alias("balance_sign"))
+            # With two figures the second one is the balance.
+            whole = lambda x: x.withField("fee", F.when(n > 2, x["fee"]))
+            return let(let(used, cells), whole)
+
+        return let(tail, lambda n: F.when((date != "") & (n >= 2), named(n)))
 
 
 def read_lines(lines: DataFrame, fmt: LineFormat, by: list[str], order: str = "line_no") -> tuple[DataFrame, DataFrame]:
@@ -95,16 +81,21 @@ def read_lines(lines: DataFrame, fmt: LineFormat, by: list[str], order: str = "l
     """
     text = F.trim("text")
     w = Window.partitionBy(*by).orderBy(order)
+    p = lines.select(*by, order, "text", F.regexp_extract(text, rf"^{fmt.date}(?=\s)", 0).alias("date_text"), words_of(text).alias("words"))
+    p = p.select("*", lattice(F.col("words")).alias("tokens")).select("*", fmt.figures(F.col("tokens")).alias("figures"))
     # Unmarked amounts go out only on statements that mark some as Cr.
-    unmarked = F.lit(fmt.unmarked_is_debit) & F.max(F.col("text").rlike(r"\d\s?Cr\b")).over(Window.partitionBy(*by))
-    sign = lambda t: let(parse_amount(t), lambda v: F.when(F.col("__unmarked"), by_mark(v, t)).otherwise(v))
-    p = lines.withColumn("__unmarked", F.coalesce(unmarked, F.lit(False)))
-    p = p.select(*by, order, "text", "__unmarked", fmt.cut(text).alias("cut"), F.nullif(fmt.opening(text), F.lit("")).alias("__opening"), fmt.looks_like_row(text).alias("looks_like_row"))
-    p = p.select(*by, order, "text", "__unmarked", "__opening", "looks_like_row", "cut.date_text", "cut.description", F.col("cut.amount").alias("__amount"), sign(F.col("cut.amount")).alias("amount"), sign(F.col("cut.balance")).alias("balance"), F.abs(parse_amount(F.col("cut.fee"))).alias("fee"))
+    unmarked = F.lit(fmt.unmarked_is_debit) & F.max(F.exists("tokens", lambda t: t["marked_in"])).over(Window.partitionBy(*by))
+    p = p.withColumn("__unmarked", F.coalesce(unmarked, F.lit(False)))
+    sign = lambda v, s: F.when(F.col("__unmarked") & s.isNull(), -v).otherwise(v)
+    # The figure right after the words opening balance.
+    place = F.size(F.split(F.regexp_replace(F.lower(text), rf"^(.*?{OPENING_PHRASE}):?(?= |$).*$|^.*$", "$1"), r"\s+"))
+    after = F.when(F.lower(text).rlike(rf"{OPENING_PHRASE}:?( |$)"), F.get(F.filter("figures", lambda f: f["first"] == place), F.lit(0)))
+    p = p.select("*", fmt.cut(F.col("words"), F.col("date_text"), F.col("figures")).alias("cut"), F.when(after["sign"] == -1, -after["value"]).otherwise(after["value"]).alias("__opening"), ((F.col("date_text") != "") & (F.size("figures") > 0)).alias("looks_like_row"))
+    p = p.select(*by, order, "text", "__unmarked", "__opening", "looks_like_row", F.when(F.col("cut").isNotNull(), F.col("date_text")).alias("date_text"), "cut.description", F.col("cut.amount").alias("__amount"), F.col("cut.sign").alias("__sign"), sign(F.col("cut.amount"), F.col("cut.sign")).alias("amount"), sign(F.col("cut.balance"), F.col("cut.balance_sign")).alias("balance"), "cut.fee")
     p = p.withColumn("is_row", F.coalesce(F.col("amount").isNotNull() & ((F.col("amount") != 0) | F.col("fee").isNotNull()), F.lit(False)))
     past = w.rowsBetween(Window.unboundedPreceding, -1)
     started = F.coalesce(F.max("is_row").over(past), F.lit(False))
-    p = p.withColumn("__open", F.when(~started & F.col("__opening").isNotNull(), parse_amount(F.col("__opening"))))
+    p = p.withColumn("__open", F.when(~started, F.col("__opening")))
     heads = p.groupBy(*by).agg(F.min_by("__open", F.when(F.col("__open").isNotNull(), F.col(order))).alias("opening"))
     heads = heads.join(skipped_lines(p.withColumn("is_row", F.col("__amount").isNotNull()), by, [order]), by, "left").withColumn("n_skipped", F.coalesce("n_skipped", F.lit(0).cast("bigint")))
     told = continuation_lines(p.select("*", F.coalesce("description", F.when(~F.col("is_row"), text)).alias("__said"), (F.col("is_row") | stands_alone(text)).alias("is_blocked")), by, [order], said="__said")
@@ -113,7 +104,7 @@ def read_lines(lines: DataFrame, fmt: LineFormat, by: list[str], order: str = "l
     after = F.col("balance") + F.coalesce("fee", F.lit(0).cast("decimal(18,2)"))
     size = F.abs("amount")
     goes_out, goes_in = F.col("__b") - size == after, F.col("__b") + size == after
-    marked = F.col("__unmarked") | F.col("__amount").rlike(r"(?i)[-()]|cr\b|dr\b")
+    marked = F.col("__unmarked") | F.col("__sign").isNotNull()
     way = F.when(goes_out, -1).when(goes_in, 1).when(marked, F.when(F.col("amount") < 0, -1).otherwise(1))
     nxt = nxt.withColumn("way", way).withColumn("description", F.coalesce("description", F.lit("(no description)")))
     part = lambda k, desc, debit, credit, unassigned, balance: F.struct(F.lit(k).alias("sub"), desc.alias("description"), debit.alias("debit"), credit.alias("credit"), unassigned.alias("unassigned"), balance.alias("balance"))
@@ -124,11 +115,3 @@ def read_lines(lines: DataFrame, fmt: LineFormat, by: list[str], order: str = "l
     out = both.select(*by, (F.col(order) * 2 + F.col("r.sub")).cast("bigint").alias("seq"), "date_text", parse_date(F.col("date_text")).alias("date"), "r.description", "r.debit", "r.credit", "r.unassigned", "r.balance", "evidence")
     return out, heads
 
-
-def read_any(lines: DataFrame, formats: list[LineFormat], by: list[str], order: str = "line_no") -> DataFrame:
-    """Rows of all formats, with reading (the format's place): candidates for choose_reading."""
-    out = None
-    for k, fmt in enumerate(formats):
-        rows = read_lines(lines, fmt, by, order)[0].withColumn("reading", F.lit(k))
-        out = rows if out is None else out.unionByName(rows)
-    return out
