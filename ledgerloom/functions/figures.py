@@ -171,37 +171,58 @@ def date_head(text: Column, units: int) -> Column:
     return let(F.regexp_extract(text, whole, 0), lambda raw: F.when(raw != "", parts(raw)))
 
 
-def head_date(head: Column, kind: str, month_first: Column | bool = False) -> Column:
-    """(raw, day, month, year) if the head's units make a date of this kind; null if not.
+def dates_of(text: Column) -> Column:
+    """What a line's head makes as each kind of date, in the order of DATE_KINDS: (day_first, month_first), each (raw, day, month, year) or null.
 
     day and month are null where a date is printed that no calendar has, or whose
-    month was misread; year where none is printed.
+    month was misread; year where none is printed. The two differ only for kinds
+    of which day and month may stand the other way round.
     """
-    letters = DATE_KINDS[kind]
-    unit = lambda letter: F.get(head["u"], F.lit(letters.index(letter)))
-    fits = F.lit(True)
-    for k, letter in enumerate(letters):
-        u = F.get(head["u"], F.lit(k))
-        shape = {"D": r"^\d{1,2}$", "M": r"^\d{1,2}$", "N": r"^[A-Za-z]+$", "Y": r"^\d{4}$" if letters in ("YMD", "NDY") else r"^(\d{4}|\d{2})$"}[letter]
-        fits = fits & u.rlike(shape)
-        if k:
-            gap, by_name = F.get(head["g"], F.lit(k - 1)), "N" in letters[k - 1 : k + 1]
-            fits = fits & (~gap.contains("/") if by_name else gap.isin("/", ".", "-") if len(letters) == 3 and "N" not in letters else gap.rlike("^[-,. ]{1,2}$") if "N" in letters else gap == "/")
-    month = month_number(unit("N")) if "N" in letters else unit("M").try_cast("int")
-    swaps = letters in ("DMY", "DM")
-    swap = month_first if not isinstance(month_first, bool) else F.lit(month_first)
-    year = unit("Y").try_cast("int") if "Y" in letters else F.lit(None).cast("int")
-    year = F.when(year < 100, year + 2000).otherwise(year)
-    read = F.struct(unit("D").try_cast("int").alias("a"), month.alias("b"), year.alias("y"), (swap if swaps else F.lit(False)).alias("s"))
-    ordered = lambda x: F.struct(F.when(x["s"], x["b"]).otherwise(x["a"]).alias("d"), F.when(x["s"], x["a"]).otherwise(x["b"]).alias("m"), x["y"].alias("y"))
-
-    def real(x: Column) -> Column:
-        there = F.try_to_date(F.concat_ws("-", F.coalesce(x["y"], F.lit(2000)).cast("string"), x["m"].cast("string"), x["d"].cast("string")), "yyyy-M-d").isNotNull()
-        return F.when(x["m"].isNotNull(), F.struct(head["raw"].alias("raw"), F.when(there, x["d"]).alias("day"), F.when(there, x["m"]).alias("month"), x["y"].alias("year")))
-
-    return F.when(fits, let(let(read, ordered), real))
-
-
-def date_parts(text: Column, kind: str, month_first: Column | bool = False) -> Column:
-    """head_date of a line."""
-    return let(date_head(text, len(DATE_KINDS[kind])), lambda head: head_date(head, kind, month_first))
+    unit = lambda t: F.struct(t.try_cast("int").alias("n"), F.length(t).alias("size"), F.when(t.rlike("^[A-Za-z]"), month_number(t)).alias("name"))
+    head = lambda k: let(date_head(text, k), lambda h: F.struct(h["raw"].alias("raw"), F.transform(h["u"], unit).alias("u"), h["g"].alias("g")))
+
+    def parted(rule: Column, gap: Column) -> Column:
+        return F.when(rule == "no slash", ~gap.contains("/")).when(rule == "one mark", gap.isin("/", ".", "-")).when(rule == "marks", gap.rlike("^[-,. ]{1,2}$")).otherwise(gap == "/")
+
+    def real(d: Column, m: Column, y: Column, raw: Column) -> Column:
+        # Without a year the 29th of February is a day.
+        there = F.try_to_date(F.concat_ws("-", F.coalesce(y, F.lit(2000)).cast("string"), m.cast("string"), d.cast("string")), "yyyy-M-d").isNotNull()
+        return F.struct(raw.alias("raw"), F.when(there, d).alias("day"), F.when(there, m).alias("month"), y.alias("year"))
+
+    def as_kind(heads: Column, k: Column) -> Column:
+        def read(h: Column) -> Column:
+            at = lambda place: F.get(h["u"], k[place])
+            month = F.when(k["named"], at("m")["name"]).when(at("m")["size"] <= 2, at("m")["n"])
+            year = F.when(at("y")["name"].isNull() & ((at("y")["size"] == 4) | ((at("y")["size"] == 2) & ~k["full"])), F.when(at("y")["n"] < 100, at("y")["n"] + 2000).otherwise(at("y")["n"]))
+            gaps = parted(k["g1"], h["g"][0]) & ((k["size"] == 2) | parted(k["g2"], F.get(h["g"], F.lit(1))))
+            fits = gaps & (at("d")["size"] <= 2) & at("d")["n"].isNotNull() & month.isNotNull() & ((k["y"] < 0) | year.isNotNull())
+            return F.struct(fits.alias("fits"), at("d")["n"].alias("d"), month.alias("m"), F.when(k["y"] >= 0, year).alias("y"), h["raw"].alias("raw"))
+
+        def both(x: Column) -> Column:
+            plain = real(x["d"], x["m"], x["y"], x["raw"])
+            return F.when(x["fits"], F.struct(plain.alias("day_first"), F.when(k["swaps"], real(x["m"], x["d"], x["y"], x["raw"])).otherwise(plain).alias("month_first")))
+
+        return let(let(F.element_at(heads, k["size"] - 1), read), both)
+
+    kinds = F.array(*[_kind(letters) for letters in DATE_KINDS.values()])
+    return let(F.array(head(2), head(3)), lambda heads: F.transform(kinds, lambda k: as_kind(heads, k)))
+
+
+def _kind(letters: str) -> Column:
+    """Where a kind has its units, and what may stand between them."""
+    named = "N" in letters
+
+    def gap(pair: str) -> str:
+        if "N" in pair:
+            return "no slash"
+        return "marks" if named else "one mark" if len(letters) == 3 else "slash"
+
+    place = {"d": letters.index("D"), "m": letters.index("N" if named else "M"), "y": letters.find("Y"), "size": len(letters)}
+    gaps = {"g1": gap(letters[:2]), "g2": gap(letters[1:])}
+    flags = {"named": named, "full": letters in ("YMD", "NDY"), "swaps": letters in ("DMY", "DM")}
+    return F.struct(*[F.lit(v).alias(k) for k, v in (place | gaps | flags).items()])
+
+
+def date_parts(text: Column, kind: str, month_first: bool = False) -> Column:
+    """The date that a line begins with, if it is of this kind."""
+    return F.get(dates_of(text), F.lit(list(DATE_KINDS).index(kind)))["month_first" if month_first else "day_first"]

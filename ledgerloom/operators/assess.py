@@ -6,9 +6,14 @@ order of the codes is the order of the checks.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
 from .chain import balance_chain, flag_date_order, flag_duplicates
 
 APPROVED, REVIEW = "APPROVED", "REVIEW_REQUIRED"
@@ -86,38 +91,110 @@ def assess(rows: DataFrame, statements: DataFrame, by: list[str], order: list[st
     return rows.withColumn("reasons", reasons).drop(*inner), s
 
 
-def compare_readings(first: DataFrame, second: DataFrame, by: list[str], order: list[str], figures: list[str]) -> DataFrame:
-    """Adds agreed: the second reading has the row's figures as well, repeats counted.
-
-    Rows are matched by figures and the number of the repeat, which needs one join
-    on them instead of an alignment of whole statements; a row that the second
-    reading has in another place agrees.
+def _rising(places: list[int]) -> list[int]:
+    """Which of the places are a longest rising run; of several the one that ends lowest."""
+    ends: list[int] = []
+    last: list[int] = []
+    before: list[int] = []
+    for k, p in enumerate(places):
+        n = bisect_left(ends, p)
+        before.append(last[n - 1] if n else -1)
+        ends[n:] = [p, *ends[n + 1 :]] if n < len(ends) else [p]
+        last[n:] = [k, *last[n + 1 :]] if n < len(last) else [k]
+    out, k = [], last[-1] if last else -1
+    while k >= 0:
+        out.append(k)
+        k = before[k]
+    return out[::-1]
+
+
+def aligned(first: list[str], second: list[str]) -> list[tuple[int, int]]:
+    """Pairs of places of equal rows that both have in the same order.
+
+    Rows that are there just once on both sides are anchors, of which a longest
+    rising run counts; the gaps between are aligned by the same rule, equal rows at their
+    beginning first. A gap without anchors has its repeats numbered, which makes them such.
+    """
+    pairs, gaps = [], [(0, len(first), 0, len(second))]
+    while gaps:
+        a, a_end, b, b_end = gaps.pop()
+        while a < a_end and b < b_end and first[a] == second[b]:
+            pairs.append((a, b))
+            a, b = a + 1, b + 1
+        if a == a_end or b == b_end:
+            continue
+        mine, theirs = Counter(first[a:a_end]), Counter(second[b:b_end])
+        once = {k for k, n in mine.items() if n == 1 == theirs[k]}
+        seen_a, seen_b = Counter(), Counter()
+        there: dict[tuple[str, int], int] = {}
+        for k in range(b, b_end):
+            seen_b[second[k]] += 1
+            there[second[k], seen_b[second[k]]] = k
+        anchors = []
+        for k in range(a, a_end):
+            seen_a[first[k]] += 1
+            key = first[k], seen_a[first[k]]
+            if key in there and (first[k] in once or not once):
+                anchors.append((k, there[key]))
+        run = [anchors[k] for k in _rising([p for _, p in anchors])]
+        pairs += run
+        edges = [(a - 1, b - 1), *run, (a_end, b_end)]
+        if run:
+            gaps += [(x + 1, y, u + 1, v) for (x, u), (y, v) in zip(edges, edges[1:], strict=False) if x + 1 < y and u + 1 < v]
+    return sorted(pairs)
+
+
+def _align(first: pa.Table, second: pa.Table, order: list[str]) -> pa.Table:
+    """Both sides' rows with side, equal ones once, as first has them."""
+    by_order = [(c, "ascending") for c in order]
+    first, second = (t.sort_by(by_order) if t.num_rows else t for t in (first, second))
+    pairs = aligned(first.column("__key").to_pylist(), second.column("__key").to_pylist())
+    both = {a for a, _ in pairs}
+    more = sorted(set(range(second.num_rows)) - {b for _, b in pairs})
+    out = first.append_column("side", pa.array(["both" if k in both else "first" for k in range(first.num_rows)], pa.string()))
+    extra = second.take(pa.array(more, pa.int64())).append_column("side", pa.array(["second"] * len(more), pa.string()))
+    return pa.concat_tables([out, extra.cast(out.schema)]).drop_columns(["__key"])
+
+
+def align_readings(first: DataFrame, second: DataFrame, by: list[str], order: list[str], figures: list[str]) -> DataFrame:
+    """(by, order, figures, side): first's rows with side 'both' or 'first', and those that only second has, 'second'.
+
+    Rows are equal if all figures are, nulls too; a row that the second reading has
+    in another place is not the same one (it is on both sides then). order names a row of
+    its statement. One shuffle of each side by statement, of these columns alone.
     """
-    number = lambda df: df.withColumn("__k", F.row_number().over(Window.partitionBy(*by, *figures).orderBy(*order)))
     # Nulls must meet nulls: every figure is compared as text with a mark for null.
-    mark = lambda df: df.select("*", *[F.coalesce(F.col(f).cast("string"), F.lit("\0")).alias(f"__{f}") for f in figures])
-    keys = [*by, "__k", *[f"__{f}" for f in figures]]
-    have = mark(number(second)).select(*keys, F.lit(True).alias("agreed"))
-    return mark(number(first)).join(have, keys, "left").withColumn("agreed", F.coalesce("agreed", F.lit(False))).drop("__k", *[f"__{f}" for f in figures])
+    key = F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("\0")) for f in figures]).alias("__key")
+    columns = [*by, *order, *figures]
+    kinds = dict(first.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", side string"
+    a, b = (df.select(*[F.col(c).cast(kinds[c]).alias(c) for c in columns], key) for df in (first, second))
+    return a.groupBy(*by).cogroup(b.groupBy(*by)).applyInArrow(lambda x, y: _align(x, y, order), schema)
+
+
+def compare_readings(first: DataFrame, second: DataFrame, by: list[str], order: list[str], figures: list[str]) -> DataFrame:
+    """Adds agreed: the second reading has the row's figures as well, in the same place among the others."""
+    sides = align_readings(first, second, by, order, figures).where("side <> 'second'").select(*by, *order, (F.col("side") == "both").alias("agreed"))
+    return first.join(sides, [*by, *order])
 
 
 def confirm_by_second(rows: DataFrame, statements: DataFrame, second: DataFrame | None, by: list[str], order: list[str], figures: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows, statements) with what a second, independent reading does not confirm added to reasons and problems.
 
-    A row that the second reading has not with the same figures: second_reading_differs.
+    A row that the second reading has not with the same figures in the same place: second_reading_differs.
     Of a statement without a second reading no row is confirmed: no_second_reading.
     Rows that only the second reading has: second_reading_has_more.
     """
     if second is None:
         second = rows.where("false")
-    counted = second.groupBy(*by).agg(F.count(F.lit(1)).alias("__second"))
-    rows = compare_readings(rows, second, by, order, figures).join(counted, by, "left")
-    reason = F.when(F.col("__second").isNull(), "no_second_reading").when(~F.col("agreed"), "second_reading_differs")
-    met = rows.groupBy(*by).agg(F.count_if("agreed").alias("__met"))
-    rows = rows.withColumn("reasons", F.concat("reasons", F.array_compact(F.array(reason)))).drop("agreed", "__second")
-    s = statements.join(counted, by, "left").join(met, by, "left")
-    problem = F.when(F.col("__second").isNull(), "no_second_reading").when(F.col("__second") > F.col("__met"), "second_reading_has_more")
-    return rows, s.withColumn("problems", F.concat("problems", F.array_compact(F.array(problem)))).drop("__second", "__met")
+    sides = stored(align_readings(rows, second, by, order, figures).select(*by, *order, "side"))
+    told = sides.groupBy(*by).agg(F.count_if(F.col("side") != "first").alias("__second"), F.count_if(F.col("side") == "second").alias("__more"))
+    rows = rows.join(sides.where("side <> 'second'"), [*by, *order]).join(told, by)
+    reason = F.when(F.col("__second") == 0, "no_second_reading").when(F.col("side") == "first", "second_reading_differs")
+    rows = rows.withColumn("reasons", F.concat("reasons", F.array_compact(F.array(reason)))).drop("side", "__second", "__more")
+    s = statements.join(told, by, "left")
+    problem = F.when(F.coalesce("__second", F.lit(0)) == 0, "no_second_reading").when(F.col("__more") > 0, "second_reading_has_more")
+    return rows, s.withColumn("problems", F.concat("problems", F.array_compact(F.array(problem)))).drop("__second", "__more")
 
 
 def choose_reading(readings: DataFrame, by: list[str]) -> DataFrame:

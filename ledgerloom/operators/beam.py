@@ -27,9 +27,12 @@ class Figure(NamedTuple):
 
 
 class Reading(NamedTuple):
+    """behind: whether a column stands behind the balance."""
+
     amount: Figure
     fee: int
     balances: tuple[int, ...]
+    behind: int
     cost: int
 
 
@@ -64,14 +67,17 @@ class Style:
 
 
 class Waiting(NamedTuple):
+    """printed is a balance that the row prints, but that doesn't follow."""
+
     line: int
     amount: Figure
     listed: bool
+    printed: int | None = None
 
 
 @dataclass(frozen=True)
 class State:
-    """rows: a chain of (rows before, Row). sums: what the waiting amounts can move, with the ways that do it, two of them at most."""
+    """rows: a chain of (rows before, Row). behind: of the row before, if there is one. sums: what the waiting amounts can move, with the ways that do it, two of them at most."""
 
     balance: int | None
     start: int | None = None
@@ -79,6 +85,7 @@ class State:
     waiting: tuple[Waiting, ...] = ()
     sums: tuple[tuple[int, tuple[tuple[int, ...], ...]], ...] = ((0, ((),)),)
     rows: tuple | None = None
+    behind: int | None = None
 
     def wait(self, w: Waiting, style: Style, cost: int = 0) -> State:
         options = (*style.ways(w.amount), *((0,) if w.listed else ()))
@@ -90,21 +97,22 @@ class State:
         # With too many sums nothing fits any more, and what waits is kept as printed.
         return replace(self, waiting=(*self.waiting, w), sums=tuple(sums.items()) if len(sums) <= MOST_SUMS else (), cost=self.cost + cost)
 
-    def with_rows(self, rows: list[Row], balance: int | None, cost: int) -> State:
+    def with_rows(self, rows: list[Row], balance: int | None, cost: int, behind: int | None = None) -> State:
+        """Columns seldom change from row to row: another column behind than before costs one."""
         chain = self.rows
         for r in rows:
             chain = (chain, r)
-        return State(balance, self.start, self.cost + cost, rows=chain)
+        return State(balance, self.start, self.cost + cost + (None not in (behind, self.behind) and behind != self.behind), rows=chain, behind=behind)
 
     def settled(self, ways: tuple[tuple[int, ...], ...]) -> list[Row]:
         """The waiting amounts, each going the one way that leads to the balance; if there are more, none is taken."""
         if len(ways) > 1:
-            return [Row(w.line, w.amount, 0, None, w.amount.sign, False, True) for w in self.waiting]
-        return [Row(w.line, w.amount, 0, None, way, True) for w, way in zip(self.waiting, ways[0], strict=True) if way]
+            return [Row(w.line, w.amount, 0, w.printed, w.amount.sign, False, True) for w in self.waiting]
+        return [Row(w.line, w.amount, 0, w.printed, way, w.printed is None) for w, way in zip(self.waiting, ways[0], strict=True) if way]
 
     def unsettled(self, style: Style) -> list[Row]:
         """Waiting amounts that no balance confirms, as printed; those of a list are no transactions."""
-        return [Row(w.line, w.amount, 0, None, style.way(w.amount), False) for w in self.waiting if not w.listed]
+        return [Row(w.line, w.amount, 0, w.printed, style.way(w.amount), False) for w in self.waiting if not w.listed]
 
 
 def readings(options: list[list[tuple[Figure, int]]], style: Style) -> list[Reading]:
@@ -131,7 +139,7 @@ def readings(options: list[list[tuple[Figure, int]]], style: Style) -> list[Read
                     amount = amount._replace(first=f.first)
                 key = (amount.value, amount.sign, fee, seq[-1].value, seq[-1].sign)
                 if key not in found or cost < found[key].cost:
-                    found[key] = Reading(amount, fee, style.balances(seq[-1]), cost)
+                    found[key] = Reading(amount, fee, style.balances(seq[-1]), behind, cost)
     return sorted(found.values(), key=lambda r: r.cost)
 
 
@@ -144,24 +152,26 @@ def _fitting(state: State, line: int, all_: list[Reading], style: Style) -> Iter
                 for total, ways in state.sums:
                     if total == need:
                         row = Row(line, r.amount, r.fee, balance, way, True)
-                        yield state.with_rows([*state.settled(ways), row], balance, r.cost + 5 * (len(ways) > 1))
+                        yield state.with_rows([*state.settled(ways), row], balance, r.cost + 5 * (len(ways) > 1), r.behind)
 
 
 def _not_fitting(state: State, line: int, all_: list[Reading], style: Style, listed: bool) -> Iterator[State]:
-    """The row as printed, its balance being the next one's start; or its amount alone, waiting."""
-    r = all_[0]
+    """The row as printed, its balance being the next one's start; or, its balance being the odd one, its amount waiting for the next."""
     kept = state.unsettled(style)
-    for balance in r.balances if state.balance is None else r.balances[:1]:
-        row = Row(line, r.amount, r.fee, balance, style.way(r.amount), False)
-        yield state.with_rows([*kept, row], balance, 10 * (1 + len(kept)) + r.cost)
-    if state.balance is not None:
-        yield state.wait(Waiting(line, r.amount, listed), style, 11)
+    for r in all_:
+        if r.cost > all_[0].cost:
+            break
+        for balance in r.balances if state.balance is None else r.balances[:1]:
+            row = Row(line, r.amount, r.fee, balance, style.way(r.amount), False)
+            yield state.with_rows([*kept, row], balance, 10 * (1 + len(kept)) + r.cost, r.behind)
+        if state.balance is not None:
+            yield replace(state, behind=r.behind).wait(Waiting(line, r.amount, listed, r.balances[0]), style, 11 + (state.behind not in (None, r.behind)))
 
 
 def _pruned(states: list[State]) -> list[State]:
     best: dict[tuple, State] = {}
     for s in states:
-        key = (s.balance, tuple(w.line for w in s.waiting))
+        key = (s.balance, s.waiting)
         if key not in best or s.cost < best[key].cost:
             best[key] = s
     return sorted(best.values(), key=lambda s: s.cost)[:WIDTH]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_in_period
-from ..functions.figures import DATE_KINDS, date_head, head_date, lattice, token_sign, words_of
+from ..functions.figures import DATE_KINDS, dates_of, lattice, token_sign, words_of
 from ..functions.money import from_cents
 from ..functions.text import phrases_pattern
 from ..sources.stored import stored
@@ -33,13 +33,9 @@ MORE_LINES, LONGEST = 2, 70
 
 
 def parsed_lines(lines: DataFrame, by: list[str], order: str) -> DataFrame:
-    """(by, order, text, words, tokens, d_<kind>, s_<kind>): each line cut once; s_ are the kinds with the month in front."""
-    p = lines.select(*by, order, "text", words_of(F.col("text")).alias("words"), *[date_head(F.col("text"), n).alias(f"head{n}") for n in (2, 3)])
-    head = lambda k: F.col(f"head{len(DATE_KINDS[k])}")
-    return p.select(
-        *by, order, "text", F.transform("words", lambda w: w["word"]).alias("words"), lattice(F.col("words")).alias("tokens"),
-        *[head_date(head(k), k).alias(f"d_{k}") for k in DATE_KINDS], *[head_date(head(k), k, True).alias(f"s_{k}") for k in _DAY_MONTH],
-    )
+    """(by, order, text, words, tokens, dates): each line cut once."""
+    p = lines.select(*by, order, "text", words_of(F.col("text")).alias("words"))
+    return p.select(*by, order, "text", F.transform("words", lambda w: w["word"]).alias("words"), lattice(F.col("words")).alias("tokens"), dates_of(F.col("text")).alias("dates"))
 
 
 def statement_styles(lines: DataFrame, by: list[str], order: str = "line_no") -> DataFrame:
@@ -58,15 +54,16 @@ def styles_of(parsed: DataFrame, by: list[str]) -> DataFrame:
     with_mark = lambda m: F.size(F.filter("tokens", lambda t: t["mark"] == m))
     has = F.size("tokens") > 0
     some = lambda test: F.when(test, 1).otherwise(0)
-    day = lambda k: F.col(f"{k}.day")
+    as_kind = lambda k: F.col("dates")[list(DATE_KINDS).index(k)]
+    first, second = (lambda k: as_kind(k)["day_first"]["day"]), (lambda k: as_kind(k)["month_first"]["day"])
     counts = parsed.groupBy(*by).agg(
         F.sum(with_mark(".")).alias("points"),
         F.sum(with_mark(",")).alias("commas"),
         F.count_if(F.exists("tokens", lambda t: t["joined"].isNotNull())).alias("spaces"),
         F.count_if(F.exists("tokens", lambda t: t["grouped"])).alias("n_grouped"),
-        *[F.count_if(has & (F.col(f"d_{k}").isNotNull() if k in _DAY_MONTH else day(f"d_{k}").isNotNull())).alias(f"n_{k}") for k in DATE_KINDS],
-        F.sum(sum((some(has & day(f"d_{k}").isNull() & day(f"s_{k}").isNotNull()) for k in _DAY_MONTH), F.lit(0))).alias("months"),
-        F.sum(sum((some(has & (day(f"d_{k}") > 12)) for k in _DAY_MONTH), F.lit(0))).alias("days"),
+        *[F.count_if(has & (as_kind(k).isNotNull() if k in _DAY_MONTH else first(k).isNotNull())).alias(f"n_{k}") for k in DATE_KINDS],
+        F.sum(sum((some(has & first(k).isNull() & second(k).isNotNull()) for k in _DAY_MONTH), F.lit(0))).alias("months"),
+        F.sum(sum((some(has & (first(k) > 12)) for k in _DAY_MONTH), F.lit(0))).alias("days"),
     )
     best = F.array_max(F.array(*[F.struct(F.col(f"n_{k}").alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("kind")) for i, k in enumerate(DATE_KINDS)]))
     return counts.select(
@@ -81,10 +78,10 @@ def styles_of(parsed: DataFrame, by: list[str]) -> DataFrame:
 
 def _styled(parsed: DataFrame, styles: DataFrame, by: list[str], order: str) -> DataFrame:
     """(by, order, text, words, at, after, tokens): the date of the statement's kind that a line begins with, the first word after it, and the figures behind with what the statement allows."""
-    at = F.when(F.lit(False), F.lit(None))
-    for k in DATE_KINDS:
-        at = at.when(F.col("kind") == k, F.when(F.col("month_first"), F.col(f"s_{k}")).otherwise(F.col(f"d_{k}")) if k in _DAY_MONTH else F.col(f"d_{k}"))
-    p = parsed.join(styles.select(*by, "decimal", "kind", "month_first", "grouped"), by).withColumn("at", at)
+    kinds = F.array(*[F.lit(k) for k in DATE_KINDS])
+    p = parsed.join(styles.select(*by, "decimal", "kind", "month_first", "grouped"), by)
+    p = p.withColumn("at", F.get("dates", F.array_position(kinds, F.col("kind")).cast("int") - 1))
+    p = p.withColumn("at", F.when(F.col("month_first"), F.col("at.month_first")).otherwise(F.col("at.day_first")))
     p = p.withColumn("after", F.coalesce(F.size(F.split("at.raw", r"\s+")), F.lit(0)))
     behind = lambda x: x["first"] >= F.col("after")
     of_style = F.filter("tokens", lambda t: (t["mark"] == F.col("decimal")) & behind(t))
@@ -165,6 +162,6 @@ def read_unknown(lines: DataFrame, by: list[str], order: str = "line_no", bounds
     out = out.select(*by, (F.col(order) * 2 + F.col("r.sub")).cast("bigint").alias("seq"), "date", "date_text", "r.description", "r.debit", "r.credit", "r.unassigned", "r.balance", "evidence", "confirmed", "ambiguous", "start")
     out = stored(out)
     found = out.groupBy(*by).agg(F.max(money("start")).alias("start"), F.count(F.lit(1)).alias("n_rows"), F.count_if("confirmed").alias("n_confirmed"))
-    statements = styles.select(*by, "decimal", "kind").join(heads.select(*by, F.get("openings", F.lit(-1) + F.size("openings")).alias("printed"), "closings"), by).join(found, by, "left")
+    statements = styles.select(*by, "decimal", "kind").join(heads.select(*by, F.get("openings", F.lit(-1) + F.size("openings")).alias("printed"), "closings"), by, "left").join(found, by, "left")
     zero = F.lit(0).cast("bigint")
-    return out.drop("start"), statements.select(*by, "decimal", "kind", F.coalesce("start", "printed").alias("opening"), "closings", F.coalesce("n_rows", zero).alias("n_rows"), F.coalesce("n_confirmed", zero).alias("n_confirmed"))
+    return out.drop("start"), statements.select(*by, "decimal", "kind", F.coalesce("start", "printed").alias("opening"), F.coalesce("closings", F.array().cast(f"array<{MONEY}>")).alias("closings"), F.coalesce("n_rows", zero).alias("n_rows"), F.coalesce("n_confirmed", zero).alias("n_confirmed"))
