@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_in_period
-from ..functions.figures import DATE_KINDS, dates_of, lattice, token_sign, words_of
+from ..functions.figures import DATE_KINDS, token_sign
 from ..functions.money import from_cents
 from ..functions.text import phrases_pattern
 from ..sources.stored import stored
 from .beam import read_statement
 from .chain import continuation_lines, link_entry_lines, listed_lines, stands_alone
+from .lines import cut_lines
 
 MONEY = "decimal(18,2)"
 #: Phrases of lines that open a balance, of those that close one, of those that are no transactions, and of headings of lists.
@@ -32,12 +33,6 @@ _DAY_MONTH = ("dmy", "dm")
 MORE_LINES, LONGEST = 2, 70
 
 
-def parsed_lines(lines: DataFrame, by: list[str], order: str) -> DataFrame:
-    """(by, order, text, words, tokens, dates): each line cut once."""
-    p = lines.select(*by, order, "text", words_of(F.col("text")).alias("words"))
-    return p.select(*by, order, "text", F.transform("words", lambda w: w["word"]).alias("words"), lattice(F.col("words")).alias("tokens"), dates_of(F.col("text")).alias("dates"))
-
-
 def statement_styles(lines: DataFrame, by: list[str], order: str = "line_no") -> DataFrame:
     """(by, decimal, spaced, kind, month_first): how each statement prints figures and dates.
 
@@ -46,7 +41,7 @@ def statement_styles(lines: DataFrame, by: list[str], order: str = "line_no") ->
     of date; ties go to the kind named first. Months come first if more lines can
     only be read so than only the other way.
     """
-    return styles_of(parsed_lines(lines, by, order), by).drop("grouped")
+    return styles_of(cut_lines(lines, by, order), by).drop("grouped")
 
 
 def styles_of(parsed: DataFrame, by: list[str]) -> DataFrame:
@@ -97,7 +92,7 @@ def _values(tokens: Column) -> Column:
 
 
 def read_unknown(lines: DataFrame, by: list[str], order: str = "line_no", bounds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, statements) of lines (by, order, text) in a layout that nobody has named.
+    """(rows, statements) of lines (by, order, text; or as cut_lines gives them) in a layout that nobody has named.
 
     bounds: by, period_start, period_end, for dates without a year. rows: by, seq,
     date, date_text, description, debit, credit, unassigned, balance, evidence,
@@ -111,7 +106,7 @@ def read_unknown(lines: DataFrame, by: list[str], order: str = "line_no", bounds
     statements: by, decimal, kind, n_rows, n_confirmed, opening, closings. A
     statement without dated lines of figures has no rows.
     """
-    parsed = stored(parsed_lines(lines, by, order))
+    parsed = lines if "tokens" in lines.columns else stored(cut_lines(lines, by, order))
     styles = styles_of(parsed, by)
     n = F.size("tokens")
     p = _styled(parsed, styles, by, order)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date
-from ..functions.figures import lattice, read_as, words_of
+from ..functions.figures import dates_of, lattice, read_as, words_of
 from ..functions.let import let
 from .chain import continuation_lines, skipped_lines, stands_alone
 
@@ -60,7 +60,7 @@ class LineFormat:
             begin = F.size(F.split(date, " "))
             signed = lambda f: F.when(f["sign"] == -1, -f["value"]).otherwise(f["value"])
             balance = lambda u: F.get(u, F.size(u) - 1 - F.when(F.size(u) == most, int(self.trailing_column)).otherwise(0))
-            said = lambda u: F.array_join(F.transform(F.slice(words, begin + 1, F.greatest(u[0]["first"] - begin, F.lit(0))), lambda w: w["word"]), " ")
+            said = lambda u: F.array_join(F.slice(words, begin + 1, F.greatest(u[0]["first"] - begin, F.lit(0))), " ")
             cells = lambda u: F.struct(F.nullif(said(u), F.lit("")).alias("description"), signed(u[0]).alias("amount"), u[0]["sign"].alias("sign"), (F.get(u, F.lit(1))["value"] if self.fee_column else F.lit(None).cast("decimal(18,2)")).alias("fee"), signed(balance(u)).alias("balance"), balance(u)["sign"].alias("balance_sign"))
             # With two figures the second one is the balance.
             whole = lambda x: x.withField("fee", F.when(n > 2, x["fee"]))
@@ -69,6 +69,14 @@ class LineFormat:
         return let(tail, lambda n: F.when((date != "") & (n >= 2), named(n)))
 
 
+def cut_lines(lines: DataFrame, by: list[str], order: str = "line_no") -> DataFrame:
+    """(by, order, text, words, tokens, dates): each line cut once, for every reader; lines that are so already stay as they are."""
+    if {"words", "tokens", "dates"} <= set(lines.columns):
+        return lines
+    p = lines.select(*by, order, "text", words_of(F.col("text")).alias("words"))
+    return p.select(*by, order, "text", F.transform("words", lambda w: w["word"]).alias("words"), lattice(F.col("words")).alias("tokens"), dates_of(F.col("text")).alias("dates"))
+
+
 def read_lines(lines: DataFrame, fmt: LineFormat, by: list[str], order: str = "line_no") -> tuple[DataFrame, DataFrame]:
     """(rows, statements) of the lines that the format reads.
 
@@ -81,8 +89,7 @@ def read_lines(lines: DataFrame, fmt: LineFormat, by: list[str], order: str = "l
     """
     text = F.trim("text")
     w = Window.partitionBy(*by).orderBy(order)
-    p = lines.select(*by, order, "text", F.regexp_extract(text, rf"^{fmt.date}(?=\s)", 0).alias("date_text"), words_of(text).alias("words"))
-    p = p.select("*", lattice(F.col("words")).alias("tokens")).select("*", fmt.figures(F.col("tokens")).alias("figures"))
+    p = cut_lines(lines, by, order).select(*by, order, "text", "words", "tokens", F.regexp_extract(text, rf"^{fmt.date}(?=\s)", 0).alias("date_text"), fmt.figures(F.col("tokens")).alias("figures"))
     # Unmarked amounts go out only on statements that mark some as Cr.
     unmarked = F.lit(fmt.unmarked_is_debit) & F.max(F.exists("tokens", lambda t: t["marked_in"])).over(Window.partitionBy(*by))
     p = p.withColumn("__unmarked", F.coalesce(unmarked, F.lit(False)))

@@ -499,6 +499,12 @@ d AS (SELECT *, CASE WHEN bad THEN NULL ELSE size END AS shown,
 SELECT account, row_no AS seq, date::VARCHAR AS day, description, CASE WHEN dir = -1 THEN shown END AS debit, CASE WHEN dir = 1 THEN shown END AS credit,
        CASE WHEN dir IS NULL THEN shown END AS unassigned, bal AS balance, "check" FROM d
 """
+DELIMITED_CELLS = f"""
+WITH {LEDGER}, n AS (SELECT account, seq, description, coalesce(debit, credit, unassigned) AS a, row_number() OVER (PARTITION BY account ORDER BY seq) AS row_no, [',', ';', chr(9), '|'][account::INT % 4 + 1] AS mark FROM ledger),
+c AS (SELECT account, row_no, unnest([1, 2, 3, 4]) AS col_no,
+      unnest([seq::VARCHAR, CASE WHEN seq % 3 = 0 THEN description || mark || ' "x"' || chr(10) || seq ELSE description END, {_text("a")}, '']) AS value FROM n)
+SELECT account AS path, row_no, col_no::BIGINT AS col_no, value FROM c
+"""
 WORD_LINES = """
 WITH p AS (SELECT p_partkey // 40 AS page, p_partkey % 40 AS line, p_name FROM part)
 SELECT page, row_number() OVER (PARTITION BY page ORDER BY line) AS line_no, p_name AS text FROM p
@@ -583,6 +589,7 @@ ORACLES = {
     "entry_lines": ENTRY_LINES,
     "listed_lines": LISTED_LINES,
     "run_stats": RUN_STATS,
+    "delimited_cells": DELIMITED_CELLS,
     "word_lines": WORD_LINES,
     "printed_figures": PRINTED_FIGURES,
     "ledger_names": LEDGER_NAMES,

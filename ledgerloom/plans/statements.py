@@ -14,7 +14,7 @@ from ..functions.text import garbled_figures
 from ..operators.assess import assess, choose_reading, confirm_by_second, finalize, printed_total
 from ..operators.chain import pages_missing
 from ..operators.layout import read_unknown
-from ..operators.lines import LineFormat, read_lines
+from ..operators.lines import LineFormat, cut_lines, read_lines
 from ..operators.rules import UNMAPPED, Category, categorize, detect_bank, match_client, vat_default
 from ..schema import as_ledger
 from ..sources.stored import stored
@@ -82,6 +82,7 @@ def statement_facts(lines: DataFrame, by: list[str], order: str = "line_no", pat
 
 def all_readings(lines: DataFrame, formats: list[LineFormat], by: list[str], order: str = "line_no", bounds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, heads) of each format and of the reader of unknown layouts, told apart by `reading`."""
+    lines = stored(cut_lines(lines, by, order))
     rows, heads = [], []
     columns = [*by, "seq", "date", "date_text", "description", "debit", "credit", "unassigned", "balance", "evidence"]
     for k, fmt in enumerate(formats):

@@ -10,6 +10,7 @@ from .functions.keys import with_row_keys
 from .functions.money import cents
 from .operators import assess, chain, ingest, layout, learn, lifecycle, lines, rules, sheets
 from .plans import periods, reports, statements
+from .sources import files
 from .sources.demo import BY, CATEGORIES, ORDER, order_ledger
 
 
@@ -525,6 +526,18 @@ def sheet_rows(spark, sf):
     return out.select("account", "seq", F.col("date").cast("string").alias("day"), "description", *_c("debit", "credit", "unassigned", "balance"), "check")
 
 
+def delimited_cells(spark, sf):
+    """Accounts as delimited files with another mark each, quoted fields that hold marks, quotes and line breaks, read back as cells."""
+    o = order_ledger(spark, sf).select("account", "seq", "description", F.coalesce("debit", "credit", "unassigned").cast("string").alias("a"))
+    k = (F.col("account").cast("int") % 4).cast("int")
+    mark = F.get(F.array(*map(F.lit, files.DELIMITERS)), k)
+    said = F.when(F.col("seq") % 3 == 0, F.concat(F.lit('"'), "description", mark, F.lit(' ""x""\n'), "seq", F.lit('"'))).otherwise(F.col("description"))
+    record = F.concat("seq", mark, said, mark, "a", mark)
+    whole = o.withColumn("record", record).groupBy("account").agg(F.array_sort(F.collect_list(F.struct("seq", "record"))).alias("r"))
+    texts = whole.select(F.col("account").alias("path"), F.concat(F.array_join(F.transform("r", lambda x: x["record"]), "\r\n"), F.lit("\r\n")).alias("text"))
+    return files.delimited_cells(texts).select("path", "row_no", "col_no", "value")
+
+
 def word_lines(spark, sf):
     """Words with boxes, a part's name a line, put together again."""
     p = _read(spark, sf, "part").select(F.floor(F.col("p_partkey") / 40).cast("bigint").alias("page"), (F.col("p_partkey") % 40).alias("line"), F.posexplode(F.split("p_name", " ")).alias("k", "text"))
@@ -574,7 +587,7 @@ QUERIES = {
         vat_by_month, vat_return, vat_summary, vat_net_lineitem, month_vat_sheet, period_summary, vat_periods_ab, overview, money_chart,
         categorize_first_match, report_categories, row_key_dedup, file_registry, mixed_accounts, parse_amount_formats, parse_date_formats,
         fiscal_calendar, same_words, telling_words, garbled_figures, rand_format, learned_category, category_lifecycle, assess_rows,
-        assess_statements, choose_reading, compare_readings, read_lines, unknown_layouts, statement_styles, statement_ledger, sheet_rows, word_lines, printed_figures, ledger_names,
+        assess_statements, choose_reading, compare_readings, read_lines, unknown_layouts, statement_styles, statement_ledger, sheet_rows, delimited_cells, word_lines, printed_figures, ledger_names,
         session_stats, dominant_category, second_reading, line_formats, printed_totals, vat_return_total, vat_summary_total,
         category_breakdown_month, entry_lines, listed_lines, run_stats,
     )

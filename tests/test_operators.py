@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import zipfile
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 from decimal import Decimal
 
@@ -70,6 +70,84 @@ def test_second_ingestion_adds_nothing(spark, tmp_path):
     assert len(table.versions()) == 2
 
 
+def test_two_writers_lose_nothing(spark, tmp_path):
+    """Both have seen the same version; one of them was first. A folder that another writer still fills stays."""
+    table = ingest.VersionedTable(spark, f"file://{tmp_path}/ledger")
+    rows = lambda k: spark.createDataFrame([_row(10 * k + n, f"r{k}-{n}", n + 1) for n in range(3)], ROW)
+    (tmp_path / "ledger" / "__rows=unfinished").mkdir(parents=True)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: ingest.VersionedTable(spark, table.path).add(rows(k), keep=3), range(8)))
+    assert table.read().count() == 24 and len(table.versions()) == 3
+    assert (tmp_path / "ledger" / "__rows=unfinished").exists()
+    # The loser of a number compares its keys with what the winner added.
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda k: ingest.ingest(ingest.VersionedTable(spark, f"file://{tmp_path}/keyed"), rows(k // 2), ["seq"]), range(6)))
+    assert ingest.VersionedTable(spark, f"file://{tmp_path}/keyed").read().count() == 9
+
+
+def test_second_writer_tries_the_next_number(spark, tmp_path):
+    table = ingest.VersionedTable(spark, f"file://{tmp_path}/ledger")
+    rows = lambda k: spark.createDataFrame([_row(k, f"r{k}", 1)], ROW)
+    table.add(rows(0))
+    seen = []
+
+    def make(version):
+        if not seen:  # another writer commits between our look and our commit
+            ingest.VersionedTable(spark, table.path).add(rows(1))
+        seen.append(version)
+        return table.folders(version), [table._write(rows(2))]
+
+    table.commit(make)
+    assert len(seen) == 1 and table.read().count() == 3 and table.versions()[-1] == "v-000000000003"
+
+
+def test_reviews_are_replaced_by_marks(spark, tmp_path):
+    table = ingest.VersionedTable(spark, f"file://{tmp_path}/reviews")
+    line = lambda f, n: spark.createDataFrame([(f, n)], "source_file string, issues string")
+    for f, n in (("a", "1"), ("b", "1"), (None, "1")):
+        table.add(line(f, n))
+    before = {n for n in table.folders()}
+    ingest.replace_reviews(table, line("a", "2").union(line(None, "2")))
+    ingest.replace_reviews(table, line("a", "3"))
+    show = lambda t: sorted((r.source_file or "", r.issues) for r in t.collect())
+    assert show(table.read()) == [("", "2"), ("a", "3"), ("b", "1")] and before <= set(table.folders())
+    assert show(table.read(table.versions()[2])) == [("", "1"), ("a", "1"), ("b", "1")]
+    table.compact(keep=1)
+    assert show(table.read()) == [("", "2"), ("a", "3"), ("b", "1")] and len(table.folders()) == 1
+
+
+def test_a_batch_reads_the_buckets_it_touches(spark, tmp_path):
+    table = ingest.VersionedTable(spark, f"file://{tmp_path}/ledger", buckets=16)
+    many = spark.createDataFrame([_row(k, f"r{k}", k + 1, account=str(k % 40)) for k in range(400)], ROW)
+    ingest.ingest(table, many, ["seq"])
+    batch = with_row_keys(spark.createDataFrame([_row(3, "r3", 4, account="3"), _row(900, "new", 4, account="3")], ROW), ["seq"]).drop("occurrence")
+    fresh = ingest._fresh(table, batch, table.versions()[-1])
+    assert [r.description for r in fresh.collect()] == ["new"]
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in plan.split("\n") if "FileScan parquet" in x and "row_key" in x)
+    assert "__bucket" in scan.split("PartitionFilters: [")[1].split("]")[0]
+    joined = plan.split("LeftSemi", 1)[1]
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning(row_key" not in joined.split("FileScan parquet")[0]
+    assert ingest.ingest(table, batch.drop("row_key"), ["seq"]).count() == 401
+
+
+def test_any_order_of_batches(spark, tmp_path):
+    """A late statement redoes its own account's months and gaps; the order of arrival doesn't matter."""
+    rows = spark.createDataFrame([_row(k, f"r{k}", None, 10, 10 * (k // 3 + 1) + (5 if k == 13 else 0), account=str(k % 3), day=k + 1) for k in range(24)], ROW).withColumn("month", F.lit("2026-03"))
+    months = lambda df: chain.month_balances(df, BY, ["seq"])
+    gaps = lambda df: chain.balance_gaps(df, BY, ["seq"])
+    want = [sorted(map(str, make(rows).collect())) for make in (months, gaps)]
+    for name, order in (("up", (0, 1, 2, 3)), ("down", (3, 1, 0, 2))):
+        (tmp_path / f"land-{name}").mkdir()
+        tables = [ingest.VersionedTable(spark, f"file://{tmp_path}/{name}-{t}", buckets=4) for t in ("ledger", "months", "gaps")]
+        for k in order:
+            rows.where(F.col("seq") % 4 == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/land-{name}")
+            stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/land-{name}")
+            ingest_stream(stream, tables[0], ["seq"], f"{tmp_path}/check-{name}", derived=[(tables[1], months), (tables[2], gaps)]).awaitTermination(120)
+        got = [sorted(map(str, t.read().select(*make(rows).columns).collect())) for t, make in zip(tables[1:], (months, gaps), strict=True)]
+        assert got == want, name
+
+
 def test_stream_replays(spark, tmp_path):
     rows = spark.createDataFrame([_row(k, f"r{k}", k + 1) for k in range(20)], ROW)
     rows.repartition(3).write.parquet(f"{tmp_path}/landed")
@@ -80,27 +158,30 @@ def test_stream_replays(spark, tmp_path):
     assert table.read().count() == 20
 
 
-def _workbook(path, grid):
-    """A minimal workbook with inline strings and numbers."""
-    cell = lambda r, c, v: f'<c r="{chr(65 + c)}{r}"><v>{v}</v></c>' if isinstance(v, (int, float)) else f'<c r="{chr(65 + c)}{r}" t="inlineStr"><is><t>{v}</t></is></c>'
-    body = "".join(f'<row r="{r}">' + "".join(cell(r, c, v) for c, v in enumerate(row) if v is not None) + "</row>" for r, row in enumerate(grid, 1))
-    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
-    with zipfile.ZipFile(path, "w") as z:
-        z.writestr("xl/workbook.xml", f'<workbook {space}><sheets><sheet name="S" sheetId="1"/></sheets></workbook>')
-        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {space}><sheetData>{body}</sheetData></worksheet>")
-
-
-def test_spreadsheets(spark, tmp_path):
-    grid = [["My bank"], ["Opening balance", 100], ["Transaction Date", "Details", "Money Out", "Money In", "Running Balance"], ["2026-03-01", "shop", 30, None, 70], ["2026-03-02", "pay", None, 50, 120], ["2026-03-03", "odd", 5, None, 999], [None, "Count of rows: 3", None, None, None]]
-    _workbook(tmp_path / "a.xlsx", grid)
-    (tmp_path / "b.csv").write_bytes("Date;Narrative;Amount;Dr/Cr;Balance\n2026-03-01;\"x; y\";1 234,56;Dr;-1 234,56\n2026-03-02;z;34,56;Cr;-1 200,00\n".encode("cp1252"))
+def test_delimited_tables(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("My bank\nOpening balance,100\nTransaction Date,Details,Money Out,Money In,Running Balance\n2026-03-01,shop,30,,70\n2026-03-02,pay,,50,120\n2026-03-03,odd,5,,999\nCount of rows: 3\n")
+    (tmp_path / "b.csv").write_bytes("Date;Narrative;Amount;Dr/Cr;Balance\n2026-03-01;\"x; y\";1 234,56;Dr;-1 234,56\n2026-03-02;z \xe9;34,56;Cr;-1 200,00\n".encode("latin-1"))
     cells = files.read_cells(files.scan_folder(spark, str(tmp_path)))
     tables = files.find_tables(cells)
     rows = files.table_rows(cells, tables).withColumn("file", F.element_at(F.split("path", "/"), -1))
     above = files.opening_above(cells, tables).select(F.element_at(F.split("path", "/"), -1).alias("file"), parse_amount(F.col("opening_text")).alias("opening"))
     got = sheets.sheet_transactions(rows, ["file"], opening=above).orderBy("file", "seq").collect()
     shown = [(r.file, r.description, r.debit and float(r.debit), r.credit and float(r.credit), r.check) for r in got]
-    assert shown == [("a.xlsx", "shop", 30.0, None, ""), ("a.xlsx", "pay", None, 50.0, ""), ("a.xlsx", "odd", 5.0, None, "does_not_follow"), ("b.csv", "x; y", 1234.56, None, "no_earlier_balance"), ("b.csv", "z", None, 34.56, "")]
+    assert shown == [("a.csv", "shop", 30.0, None, ""), ("a.csv", "pay", None, 50.0, ""), ("a.csv", "odd", 5.0, None, "does_not_follow"), ("b.csv", "x; y", 1234.56, None, "no_earlier_balance"), ("b.csv", "z é", None, 34.56, "")]
+
+
+def test_quotes_in_delimited_text(spark):
+    texts = [("q", 'a;"x ""y"" ;z";1\r\n;"two\nlines";\n'), ("tab", "a\tb,c\n1\t2"), ("open", 'a,"never closed\nb,c'), ("empty", ""), ("none", None), ("bom", "\ufeffa|b")]
+    got = {(r.path, r.row_no, r.col_no): r.value for r in files.delimited_cells(spark.createDataFrame(texts, "path string, text string")).collect()}
+    assert [got["q", 1, k] for k in (1, 2, 3)] == ["a", 'x "y" ;z', "1"] and got["q", 2, 2] == "two\nlines" and got["q", 2, 3] == ""
+    assert got["tab", 1, 2] == "b,c" and got["open", 1, 2] == '"never closed\nb,c' and got["bom", 1, 1] == "a"
+    assert not any(k[0] in ("empty", "none") for k in got)
+
+
+def test_cells_that_differ(spark):
+    one = spark.createDataFrame([("a", "", 1, 1, "x"), ("a", "", 1, 2, "y"), ("a", "", 2, 1, " ")], files.CELLS)
+    other = spark.createDataFrame([("a", "", 1, 1, "x"), ("a", "", 1, 2, "z"), ("a", "", 3, 1, "w")], files.CELLS)
+    assert sorted((r.row_no, r.col_no, r.first, r.second) for r in files.differing_cells(one, other).collect()) == [(1, 2, "y", "z"), (3, 1, None, "w")]
 
 
 def test_rule_files(spark, tmp_path):
@@ -140,35 +221,6 @@ def test_reports_as_files(spark, sf_dir, tmp_path):
     assert names == ["spend"] and spark.read.option("header", "true").csv(f"{tmp_path}/spend").count() == reports.spend_by_category(ledger, BY).count()
 
 
-def _full_workbook(path):
-    """Two sheets whose parts are numbered the other way round, dates as numbers in three formats, shared strings, a truth value and an error."""
-    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
-    doc = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
-    sheet = lambda cells: f"<worksheet {main}><sheetData>{cells}</sheetData></worksheet>"
-    with zipfile.ZipFile(path, "w") as z:
-        z.writestr("xl/workbook.xml", f'<workbook {main} {doc}><sheets><sheet name="Main" sheetId="2" r:id="b"/><sheet name="Notes" sheetId="1" r:id="a"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="a" Target="worksheets/sheet1.xml"/><Relationship Id="b" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
-        z.writestr("xl/styles.xml", f'<styleSheet {main}><numFmts><numFmt numFmtId="164" formatCode="dd\\-mmm&quot;x&quot;"/><numFmt numFmtId="165" formatCode="&quot;day&quot;0.00"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>')
-        z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><r><t>Pay</t></r><r><t>ment</t></r></si><si><t>Date</t></si></sst>")
-        z.writestr("xl/worksheets/sheet1.xml", sheet('<row r="1"><c r="A1" t="inlineStr"><is><t>note</t></is></c></row>'))
-        z.writestr("xl/worksheets/sheet2.xml", sheet('<row r="1"><c r="A1" t="s"><v>1</v></c><c r="B1" t="s"><v>0</v></c></row><row r="2"><c r="A2" s="1"><v>46082</v></c><c r="B2" s="2"><v>46083.5</v></c><c r="C2" s="3"><v>46082</v></c><c r="D2" t="b"><v>1</v></c><c r="AA2" t="e"><v>#N/A</v></c></row>'))
-
-
-def test_workbook_readers(spark, tmp_path):
-    _full_workbook(tmp_path / "w.xlsx")
-    (tmp_path / "c.csv").write_text('a;"x ""y"" ;z";1\r\n;"two\nlines";\n')
-    files_ = files.scan_folder(spark, str(tmp_path))
-    first, second = files.read_cells(files_), files.read_cells(files_, second=True)
-    got = {(r.path.rpartition("/")[2], r.sheet, r.row_no, r.col_no): r.value for r in first.collect()}
-    assert got["w.xlsx", "Main", 2, 1] == "2026-03-01" and got["w.xlsx", "Main", 2, 2] == "2026-03-02 12:00"
-    assert [got["w.xlsx", "Main", 2, k] for k in (3, 4, 27)] == ["46082", "True", "#N/A"]
-    assert got["w.xlsx", "Main", 1, 2] == "Payment" and got["w.xlsx", "Notes", 1, 1] == "note"
-    assert got["c.csv", "", 1, 2] == 'x "y" ;z' and got["c.csv", "", 2, 2] == "two\nlines"
-    assert not files.differing_cells(first, second).count()
-    other = second.withColumn("value", F.when(F.col("value") == "Payment", "Paymont").otherwise(F.col("value")))
-    assert [(r.row_no, r.col_no, r.first, r.second) for r in files.differing_cells(first, other).collect()] == [(1, 2, "Payment", "Paymont")]
-
-
 def test_header_by_alias(spark):
     cells = lambda path, *rows: [(path, "", r, c, v) for r, row in enumerate(rows, 1) for c, v in enumerate(row, 1)]
     made = cells("a", ["Bank", "of it"], ["Posting  Date", "Description of entry", "Debit (R)", "Credit (R)", "Balance"]) + cells("b", ["Date", "Description", "Debit Credit", "Balance"])
