@@ -7,15 +7,17 @@ calibrated on labelled rows that neither has seen, a third logistic model combin
 the two calibrated views, and all documents are scored in one pass. Toxic labels are
 a second target, learned in the same way and the same passes; its text view holds the
 words that tell toxic labelled rows from others, counted in Spark. Features are
-computed once and stored in the shared folder for the rounds. The labelled rows are
-a bounded sample, chosen by a hash of the id; the bound is a parameter.
+computed once and stored in the shared folder for the rounds; each model is fitted in a
+task, and the driver holds weights alone. The labelled rows are a bounded sample,
+chosen by a hash of the id; the bound is a parameter.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -146,22 +148,11 @@ class Logistic:
 
 
 class CoTrained:
-    """Two views, calibrated and combined; threshold is the least probability that is kept."""
+    """Two views, calibrated and combined; threshold is the least probability that is kept. It holds models alone, no rows."""
 
-    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, fold: np.ndarray, per_round: int):
-        """Labelled rows; those of fold 0 are kept for calibration."""
-        self.views, self.y, self.known, self.held, self.per_round = (text, meta), y.astype(float), fold != 0, fold == 0, per_round
-        self.handed: list[list[tuple[np.ndarray, float]]] = [[], []]
-        self.share = float(self.y[self.known].mean())
-        self.fit()
-
-    @property
-    def n_pseudo(self) -> list[int]:
-        return [len(x) for x in self.handed]
-
-    def fit(self) -> None:
-        more = [(np.array([x for x, _ in h], np.float32).reshape(len(h), v.shape[1]), [g for _, g in h]) for h, v in zip(self.handed, self.views, strict=True)]
-        self.models = [Logistic(np.concatenate([v[self.known], x]), np.concatenate([self.y[self.known], g])) for v, (x, g) in zip(self.views, more, strict=True)]
+    def __init__(self, share: float, per_round: int):
+        """share: of good rows among those that are learned from."""
+        self.share, self.per_round, self.models, self.n_handed = share, per_round, [], [0, 0]
 
     def wanted(self) -> list[tuple[int, float, float, int]]:
         """(view, class, how sure at least, how many rows at most) of what is handed over in a round."""
@@ -172,17 +163,13 @@ class CoTrained:
                 out.append((k, good, 1 - (1 - SURE) * min(1.0, 2 * (1 - most)), max(1, int(self.per_round * most))))
         return out
 
-    def calibrate(self) -> None:
-        use = self.held if len(set(self.y[self.held].tolist())) == 2 else self.known
-        y = self.y[use]
-        raw = np.column_stack([m.logit(v[use]) for m, v in zip(self.models, self.views, strict=True)])
+    def calibrate(self, raw: np.ndarray, y: np.ndarray) -> None:
+        """raw: both views' logits of rows kept back, a row each."""
         self.platt = [Logistic(raw[:, [k]], y, l2=0.1) for k in range(2)]
         both = np.column_stack([p.logit(raw[:, [k]]) for k, p in enumerate(self.platt)])
         self.joint = Logistic(both, y, l2=0.1)
         good = np.sort(self.joint.proba(both)[y == 1])
         self.threshold = float(min(0.5, good[int(len(good) * LOST)]))
-        self.n_handed = self.n_pseudo
-        self.views, self.handed = (), [[], []]  # what is sent to the tasks holds no rows
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raw = [m.logit(v)[:, None] for m, v in zip(self.models, (text, meta), strict=True)]
@@ -284,6 +271,67 @@ def _surest(batches: Iterator[pa.RecordBatch], trained, used) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sure), g, np.int32)), pa.array(sure), *part.columns], names=["g", "sure", "key", "text", "told", "meta"])
 
 
+#: What a model is fitted on: its number (two for each target: text, metadata), the round that a row is from, the row's hash, its class and its columns.
+_FITTED_ON = pa.schema([("model", pa.int32()), ("part", pa.int32()), ("doc", pa.int64()), ("good", pa.float64()), ("x", pa.binary())])
+_FITTED_DDL = "model int, part int, doc long, good double, x binary"
+
+
+def _view_of(model: int, text: np.ndarray, told: np.ndarray, meta: np.ndarray) -> np.ndarray:
+    return meta if model % 2 else text if model < 2 else _toxic_view(text, told)
+
+
+def _rows_for(model: int, part: int, doc: np.ndarray, good: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    n = len(doc)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, model, np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(doc), pa.array(good.astype(float)), pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())], schema=_FITTED_ON)
+
+
+def _labels(batch: pa.RecordBatch, target: int) -> np.ndarray:
+    """1 for rows that are to stay, 0 for those that are to go, -1 for those of which that isn't known."""
+    return np.array([-1 if v is None else int(v == 1 - target) for v in batch.column("yt"[target]).to_pylist()], int)
+
+
+def _from_labelled(batches: Iterator[pa.RecordBatch], targets: list[int]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        views, doc = _matrices(batch), np.asarray(batch.column("doc"))
+        for target in targets:
+            label = _labels(batch, target)
+            known = label >= 0
+            for model in (2 * target, 2 * target + 1):
+                yield _rows_for(model, 0, doc[known], label[known], _view_of(model, *views)[known])
+
+
+def _from_handed(batches: Iterator[pa.RecordBatch], part: int, taken: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """taken: of each group (target, view, class) the keys of the rows that its view hands to the other one."""
+    for batch in batches:
+        views, key, group = _matrices(batch), np.asarray(batch.column("key")), np.asarray(batch.column("g"))
+        for g, keys in taken.items():
+            some = (group == g) & np.isin(key, keys)
+            model = g // 4 * 2 + 1 - g // 2 % 2
+            yield _rows_for(model, part, key[some], np.full(some.sum(), g % 2), _view_of(model, *views)[some])
+
+
+def _fitted(rows: pa.Table) -> pa.Table:
+    """The model of the group's rows, which labelled_rows and what was handed over bound."""
+    rows = rows.sort_by([("part", "ascending"), ("doc", "ascending"), ("good", "ascending"), ("x", "ascending")])
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(rows.num_rows, -1)
+    model = Logistic(x, np.asarray(rows.column("good")))
+    hand_back()
+    return pa.table([rows.column("model")[:1].cast(pa.int32()), pa.array([pickle.dumps(model)], pa.binary())], ["model", "fitted"])
+
+
+def _logits(batches: Iterator[pa.RecordBatch], models: list[list[Logistic] | None]) -> Iterator[pa.RecordBatch]:
+    """(target, doc, held, good, text, meta): both views' logits of labelled rows."""
+    for batch in batches:
+        views, doc = _matrices(batch), np.asarray(batch.column("doc"))
+        held = (doc.view(np.uint64) >> np.uint64(7) & np.uint64(3)) == 0
+        for target, fitted in enumerate(models):
+            if fitted:
+                label = _labels(batch, target)
+                known = label >= 0
+                raw = [m.logit(_view_of(2 * target + k, *views)[known]) for k, m in enumerate(fitted)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(known.sum(), target, np.int32)), pa.array(doc[known]), pa.array(held[known]), pa.array(label[known]), *map(pa.array, raw)], ["target", "doc", "held", "good", "text", "meta"])
+
+
 def _apply(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     m: Classifier = model.value
     for block in blocks(batches, "__text", TEXT_BYTES):
@@ -317,48 +365,54 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = rows.join(F.broadcast(y), F.col("__doc") == F.col("__id"), "left").drop("__doc", "__id")
     where = shared_dir(spark)
     features = written(rows.mapInArrow(partial(_stored_features, vocab=vocab), _FEATURES), where, "features")
-    got = features.where("y is not null or t is not null").dropDuplicates(["doc"]).orderBy("doc").limit(2 * labelled_rows).toArrow().sort_by([("doc", "ascending"), ("text", "ascending")])  # bounded by labelled_rows
-    fold = np.asarray(got["doc"].combine_chunks()).view(np.uint64) >> np.uint64(7) & np.uint64(3)
-    text, told, meta = _matrices(got)
-
-    def begin(column: str, view: np.ndarray, good: int) -> CoTrained | None:
-        label = np.array([-1 if v is None else int(v == good) for v in got[column].to_pylist()], int)
-        known = label >= 0
-        if any(not (known & (fold != 0) & (label == c)).any() for c in (0, 1)):
-            return None
-        return CoTrained(view[known], meta[known], label[known], fold[known], per_round)
-
-    trained = [begin("y", text, 1), begin("t", _toxic_view(text, told), 0)] if got.num_rows else [None, None]
-    del got, text, told, meta
-    hand_back()
+    labelled = features.where("y is not null or t is not null").dropDuplicates(["doc"]).orderBy("doc").limit(2 * labelled_rows)
+    labelled = written(labelled, where, "labelled")
+    learned = labelled.where(F.shiftrightunsigned("doc", 7).bitwiseAND(F.lit(3)) != 0)
+    counts = learned.agg(*[F.count_if(F.col(c) == v) for c, v in (("y", 0), ("y", 1), ("t", 1), ("t", 0))]).first()
+    trained = [CoTrained(counts[k + 1] / (counts[k] + counts[k + 1]), per_round) if min(counts[k], counts[k + 1]) else None for k in (0, 2)]
+    targets = [k for k, m in enumerate(trained) if m]
+    handed: list[DataFrame] = []
+
+    def fit() -> None:
+        """Each model in a task of its own; the driver gets their weights."""
+        rows = [learned.mapInArrow(partial(_from_labelled, targets=targets), _FITTED_DDL), *handed]
+        for r in reduce(DataFrame.union, rows).groupBy("model").applyInArrow(_fitted, "model int, fitted binary").orderBy("model").collect():
+            trained[r.model // 2].models[r.model % 2 :] = [pickle.loads(r.fitted)]
+
+    if targets:
+        fit()
     used: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
     ddl = "g int, sure double, key long, text binary, told binary, meta binary"
-    for _ in range(rounds if any(trained) else 0):
-        light = spark.sparkContext.broadcast([m and (m.models, m.wanted()) for m in trained])  # without the labelled rows
+    for turn in range(rounds if targets else 0):
+        light = spark.sparkContext.broadcast([m and (m.models, m.wanted()) for m in trained])
         best = features.mapInArrow(partial(_surest, trained=light, used=used), ddl)
         place = Window.partitionBy("g").orderBy(F.col("sure").desc(), "key")
-        best = best.dropDuplicates(["g", "key"]).withColumn("place", F.row_number().over(place)).where(F.col("place") <= per_round).toArrow()  # eight groups of per_round rows at most
-        best = best.sort_by([("g", "ascending"), ("place", "ascending")])
-        group, keys, place = (np.asarray(best[c].combine_chunks()) for c in ("g", "key", "place"))
-        text, told, meta = _matrices(best)
-        for target, model in enumerate(trained):
-            if model is None:
-                continue
-            for k, good, _, n in model.wanted():
-                other = meta if k == 0 else text if target == 0 else _toxic_view(text, told)
-                rows_of = np.flatnonzero((group == target * 4 + k * 2 + int(good)) & (place <= n))
-                rows_of = rows_of[~np.isin(keys[rows_of], used[target])]
-                model.handed[1 - k] += [(other[i], good) for i in rows_of.tolist()]
-                used[target] = np.concatenate([used[target], keys[rows_of]])
-            model.fit()
+        best = best.dropDuplicates(["g", "key"]).withColumn("place", F.row_number().over(place)).where(F.col("place") <= per_round)
+        best = written(best, where, f"handed-{turn}")
+        told = best.select("g", "place", "key").toArrow().sort_by([("g", "ascending"), ("place", "ascending")])  # eight groups of per_round rows at most
+        group, places, keys = (np.asarray(told[c].combine_chunks()) for c in ("g", "place", "key"))
+        taken: dict[int, np.ndarray] = {}
+        for target in targets:
+            for k, good, _, n in trained[target].wanted():
+                g = target * 4 + k * 2 + int(good)
+                mine = keys[(group == g) & (places <= n)]
+                taken[g] = mine[~np.isin(mine, used[target])]
+                used[target] = np.concatenate([used[target], taken[g]])
+                trained[target].n_handed[1 - k] += len(taken[g])
+        handed.append(best.mapInArrow(partial(_from_handed, part=turn + 1, taken=taken), _FITTED_DDL))
+        fit()
         light.destroy()
         hand_back()
+    if targets:
+        raw = labelled.mapInArrow(partial(_logits, models=[m and m.models for m in trained]), "target int, doc long, held boolean, good long, text double, meta double").toArrow()  # bounded by labelled_rows
+        raw = raw.sort_by([("target", "ascending"), ("doc", "ascending"), ("text", "ascending")])
+        target, held, good, text, meta = (np.asarray(raw[c].combine_chunks()) for c in ("target", "held", "good", "text", "meta"))
+        for k in targets:
+            use = (target == k) & held if len(set(good[(target == k) & held].tolist())) == 2 else (target == k) & ~held
+            trained[k].calibrate(np.column_stack([text[use], meta[use]]), good[use].astype(float))
     remove(spark, where)
-    for model in trained:
-        if model is not None:
-            model.calibrate()
     hand_back()
-    return Classifier(*trained, vocab) if any(trained) else None
+    return Classifier(*trained, vocab) if targets else None
 
 
 def classify(docs: DataFrame, model: Classifier | None, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", keep_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
