@@ -52,6 +52,11 @@ def append(ledger: DataFrame, batch: DataFrame, order: list[str]) -> DataFrame:
     return ledger.unionByName(fresh, allowMissingColumns=True)
 
 
+def newest(items: DataFrame, n: int = VERSIONS_KEPT, time: str = "modified") -> DataFrame:
+    """The n that changed last; of those that changed together the first by their other columns."""
+    return items.orderBy(F.col(time).desc(), *[c for c in items.columns if c != time]).limit(n)
+
+
 class VersionedTable:
     """A table of folders of rows; a version is a small file that lists them, so that adding rows writes these alone.
 

@@ -11,10 +11,11 @@ what it costs once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import telling_words
+from .ingest import MOST_FOLDERS, VersionedTable
 
 #: Least similarity, least share of the winner, neighbours.
 SIMILAR, AGREED, NEIGHBOURS = 0.4, 0.75, 7
@@ -28,6 +29,40 @@ def _vectors(rows: DataFrame, df: DataFrame, size: DataFrame) -> DataFrame:
     return w.withColumn("v", F.col("t") / F.sqrt(F.sum(F.col("t") * F.col("t")).over(Window.partitionBy("id")))).select("id", "word", "v", "df", "size")
 
 
+def word_counts(descriptions: DataFrame) -> DataFrame:
+    """(word, n): in how many of the texts a word stands; with no word, how many texts have any."""
+    texts = descriptions.select(F.array_distinct(telling_words(F.col("description"))).alias("w")).where(F.size("w") > 0)
+    every = F.concat(F.array(F.lit(None).cast("string")), F.col("w"))
+    return texts.select(F.explode(every).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+class WordIndex:
+    """What the learner knows, kept beside a ledger and growing with it: how many texts hold each word, and the rows that a person categorised.
+
+    A batch adds its own counts, and the rows that it teaches take the place of
+    older ones of the same id; no description is read twice.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.counts, self.taught = VersionedTable(spark, f"{path}/counts"), VersionedTable(spark, f"{path}/taught")
+
+    def add(self, descriptions: DataFrame) -> None:
+        """descriptions of new rows, taught or not, each of them once."""
+        self.counts.add(word_counts(descriptions))
+        if len(self.counts.folders()) > MOST_FOLDERS:
+            self.counts.save(self.counts.read().groupBy("word").agg(F.sum("n").alias("n")))
+
+    def teach(self, examples: DataFrame) -> None:
+        """examples: id, description, money_in, category; without a category the row teaches no longer."""
+        rows = examples.select("id", "description", "money_in", "category")
+        self.taught.replace(rows.where("category is not null"), "id", gone=rows)
+
+    def suggest(self, queries: DataFrame) -> DataFrame:
+        """As suggest_categories, of all that was added and taught."""
+        n = self.counts.read().groupBy("word").agg(F.sum("n").alias("df"))
+        return _suggest(queries, self.taught.read(), n.where("word is not null"), n.where("word is null").select(F.col("df").alias("size")))
+
+
 def suggest_categories(queries: DataFrame, examples: DataFrame, others: DataFrame) -> DataFrame:
     """(id, category, n_alike, example_id, similarity) for the queries that get one.
 
@@ -40,16 +75,18 @@ def suggest_categories(queries: DataFrame, examples: DataFrame, others: DataFram
     category of most weight wins with 3/4 of it. Ties: the smaller example id,
     then the category first in the alphabet.
     """
-    corpus = examples.select("description").unionByName(others.select("description"))
+    n = word_counts(examples.select("description").unionByName(others.select("description")))
+    return _suggest(queries, examples, n.where("word is not null").withColumnRenamed("n", "df"), n.where("word is null").select(F.col("n").alias("size")))
+
+
+def _suggest(queries: DataFrame, examples: DataFrame, df: DataFrame, size: DataFrame) -> DataFrame:
+    """df: word, df. size: one row, how many texts there are."""
     key = F.array_join(F.array_sort(telling_words(F.col("description"))), " ")
     asked = queries.select("id", "description", "money_in", key.alias("key"))
     queries = asked.groupBy("key", "money_in").agg(F.min("id").alias("id"), F.min_by("description", "id").alias("description"))
     kind = ["key", "money_in", "category"]
     ranked = examples.select("id", "description", "money_in", "category", key.alias("key")).withColumn("n", F.row_number().over(Window.partitionBy(*kind).orderBy("id")))
     examples = ranked.where(F.col("n") <= NEIGHBOURS).groupBy(*kind).agg(F.min("id").alias("id"), F.min_by("description", "id").alias("description"), F.collect_list("id").alias("ids"))
-    texts = corpus.select(F.array_distinct(telling_words(F.col("description"))).alias("w")).where(F.size("w") > 0)
-    size = texts.agg(F.count(F.lit(1)).alias("size"))  # one row
-    df = texts.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     q, e = _vectors(queries, df, size), _vectors(examples, df, size)
     rarest = F.min("df").over(Window.partitionBy("id"))
     keys = q.withColumn("r", rarest).where((F.col("df") == F.col("r")) & (F.col("df") <= F.col("size") / 2) & (F.col("df") > 0)).select(F.col("id").alias("q"), "word")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .learn import suggest_categories
+from .learn import WordIndex, suggest_categories
 from .rules import Category, categorize, money_in, uncategorised, vat_default
 
 BY_RULE, BY_HAND, SUGGESTED = "Rule", "Set by you", "Suggested"
@@ -26,12 +26,29 @@ def reapply_rules(ledger: DataFrame, categories: list[Category]) -> DataFrame:
     return out.drop("category_source", "suggested_category").withColumnRenamed("__s", "category_source").withColumn("suggested_category", F.lit(None).cast("string"))
 
 
-def suggest_for_open(ledger: DataFrame, id_col: str = "row_key") -> DataFrame:
-    """Uncategorised rows get what the rows categorised by hand suggest; rules' categories never teach."""
+def _taught() -> Column:
+    return F.coalesce((F.col("category_source") == BY_HAND) & ~uncategorised(F.col("category")), F.lit(False))
+
+
+def teach_index(index: WordIndex, rows: DataFrame, id_col: str = "row_key", new: bool = True) -> None:
+    """Rows go into the stored index: their words, if they are new, and those that a person has categorised as examples."""
+    if new:
+        index.add(rows.select("description"))
+    category = F.when(_taught(), F.col("category"))
+    index.teach(rows.select(F.col(id_col).alias("id"), "description", money_in(F.col("credit")).alias("money_in"), category.alias("category")))
+
+
+def suggest_for_open(ledger: DataFrame, id_col: str = "row_key", index: WordIndex | None = None) -> DataFrame:
+    """Uncategorised rows get what the rows categorised by hand suggest; rules' categories never teach.
+
+    index: what has been added batch by batch; without one the ledger is read for it.
+    """
     rows = ledger.withColumn("money_in", money_in(F.col("credit"))).withColumn("id", F.col(id_col))
-    taught = (F.col("category_source") == BY_HAND) & ~uncategorised(F.col("category"))
-    taught = F.coalesce(taught, F.lit(False))
-    found = suggest_categories(rows.where(uncategorised(F.col("category"))).select("id", "description", "money_in"), rows.where(taught).select("id", "description", "money_in", "category"), rows.where(~taught).select("description"))
+    asked = rows.where(uncategorised(F.col("category"))).select("id", "description", "money_in")
+    if index is None:
+        found = suggest_categories(asked, rows.where(_taught()).select("id", "description", "money_in", "category"), rows.where(~_taught()).select("description"))
+    else:
+        found = index.suggest(asked)
     found = found.select(F.col("id").alias(id_col), F.col("category").alias("__c"))
     out = ledger.join(found, id_col, "left")
     out = out.withColumn("suggested_category", F.coalesce("__c", "suggested_category")).withColumn("category_source", F.when(F.col("__c").isNotNull(), SUGGESTED).otherwise(F.col("category_source")))

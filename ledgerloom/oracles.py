@@ -191,6 +191,22 @@ WITH {LEDGER}, {_vat_months("month")}
 SELECT month, unnest(['1', '2 / 3', '4', '13', '15', '19', '20']) AS field,
        unnest([iv * 10000, (income - iv) * 10000, vi, vi, ve, ve, vi - ve]) AS amount FROM vm
 """
+VAT_RETURN_BY_PERIOD = f"""
+WITH {LEDGER}, {_vat_months("month")}, d AS (SELECT *, (month || '-01')::DATE AS d FROM vm),
+e AS (SELECT *, CASE WHEN month(d) % 2 = 1 THEN d ELSE d + INTERVAL 1 MONTH END AS e FROM d),
+p AS (SELECT e, sum(income)::BIGINT AS income, sum(iv)::BIGINT AS iv, sum(ev)::BIGINT AS ev FROM e GROUP BY e),
+-- 3/23 of an amount, half up; no amount lies between.
+c AS (SELECT *, (sign(iv)::BIGINT * ((abs(iv) * 6 + 23) // 46))::BIGINT AS vi, (sign(ev)::BIGINT * ((abs(ev) * 6 + 23) // 46))::BIGINT AS ve, (sign(iv - ev)::BIGINT * ((abs(iv - ev) * 6 + 23) // 46))::BIGINT AS pay FROM p)
+SELECT strftime(e - INTERVAL 1 MONTH, '%b %Y') || ' - ' || strftime(e, '%b %Y') AS label, strftime(e, '%Y-%m') AS end_month,
+       unnest(['1', '2 / 3', '4', '13', '15', '19', '20']) AS field, unnest([iv, income - iv, vi, vi, ve, ve, pay]) AS amount FROM c
+"""
+RANGE_OF_MONTHS = f"""
+WITH {LEDGER} SELECT account, month, {MOVES} FROM ledger WHERE month BETWEEN '1994-03' AND '1996-08' GROUP BY ROLLUP (account, month)
+"""
+VAT_REGISTRATION = f"""
+WITH {LEDGER} SELECT category, CASE WHEN type IN ('income', 'expense') AND category NOT LIKE '%(uncategorised)' THEN 'Yes' ELSE 'No' END AS registered, 'No' AS other, count(*) AS n FROM ledger GROUP BY ALL
+"""
+NEWEST_FILES = "SELECT o_orderkey AS name, o_orderdate::DATE::VARCHAR AS modified FROM orders ORDER BY o_orderdate::DATE DESC, o_orderkey LIMIT 30"
 VAT_SUMMARY = f"""
 WITH {LEDGER}, {_vat_months("month")}
 SELECT month, income - expenses AS difference, income * 10000 - vi AS income_excl, expenses * 10000 - ve AS expenses_excl,
@@ -373,6 +389,11 @@ SELECT account, problems, computed::BIGINT AS computed_closing, lb AS last_balan
        CASE WHEN problems = '' AND n_flagged = 0 THEN 'APPROVED' ELSE 'REVIEW_REQUIRED' END AS status FROM st JOIN f USING (account)
 """
 
+REVIEW_LINES = f"""
+WITH {LEDGER}, {_ASSESS}, f AS (SELECT account, count(*) FILTER (reasons <> '') AS n_flagged, count(*) AS n FROM rw GROUP BY account)
+SELECT account, tc::BIGINT AS total_credits, td::BIGINT AS total_debits, computed::BIGINT AS computed_closing, lb AS last_balance, f.n AS rows, n_flagged AS rows_to_review,
+       CASE WHEN problems = '' AND n_flagged = 0 THEN 'APPROVED' ELSE 'REVIEW_REQUIRED' END AS status, replace(problems, ';', '; ') AS issues FROM st JOIN f USING (account)
+"""
 CHOOSE_READING = """
 WITH r AS (SELECT l_orderkey, l_linenumber AS reading, sum(l_partkey % 3)::BIGINT AS n_problems, sum(l_suppkey % 4)::BIGINT AS n_flagged, count(*) AS n_rows FROM lineitem GROUP BY ALL)
 SELECT l_orderkey, reading::BIGINT AS reading, n_problems, n_flagged, n_rows FROM r
@@ -505,6 +526,17 @@ c AS (SELECT account, row_no, unnest([1, 2, 3, 4]) AS col_no,
       unnest([seq::VARCHAR, CASE WHEN seq % 3 = 0 THEN description || mark || ' "x"' || chr(10) || seq ELSE description END, {_text("a")}, '']) AS value FROM n)
 SELECT account AS path, row_no, col_no::BIGINT AS col_no, value FROM c
 """
+RULE_TABLE = """
+WITH r AS (SELECT p_partkey * 7919 % 100003 AS rule_order, p_brand AS rule, lower(substr(p_name, 3, p_partkey % 12)) AS needle, p_partkey % 3 AS way FROM part WHERE p_partkey % 12 > 0),
+t AS (SELECT p_partkey, lower(p_name || ' ' || p_type) AS text, CASE WHEN p_size > 25 THEN 1 ELSE 2 END AS way FROM part),
+m AS (SELECT t.p_partkey, min((rule_order, rule)) AS best FROM t JOIN r ON contains(t.text, r.needle) AND r.needle <> '' AND r.way IN (0, t.way) GROUP BY t.p_partkey)
+SELECT t.p_partkey, best[1] AS rule_order, best[2] AS rule FROM t LEFT JOIN m USING (p_partkey)
+"""
+BANK_FACTS = f"""
+WITH {_PRINTED}, s AS (SELECT account, coalesce(sum(debit), 0)::BIGINT AS d, coalesce(sum(credit), 0)::BIGINT AS c, arg_max(b, line_no) AS last, min(date) AS lo, max(date) AS hi FROM pr GROUP BY account)
+SELECT account, ['Harbour', 'Summit', NULL][account::INT % 3 + 1] AS bank, '62' || lpad(account, 9, '0') AS account_number, lo::VARCHAR AS period_start, hi::VARCHAR AS period_end,
+       d AS all_debits, c AS all_credits, last AS closings FROM s
+"""
 WORD_LINES = """
 WITH p AS (SELECT p_partkey // 40 AS page, p_partkey % 40 AS line, p_name FROM part)
 SELECT page, row_number() OVER (PARTITION BY page ORDER BY line) AS line_no, p_name AS text FROM p
@@ -550,6 +582,11 @@ ORACLES = {
     "spend_by_category": SPEND_BY_CATEGORY,
     "vat_by_month": VAT_BY_MONTH,
     "vat_return": VAT_RETURN,
+    "vat_return_by_period": VAT_RETURN_BY_PERIOD,
+    "range_of_months": RANGE_OF_MONTHS,
+    "vat_registration": VAT_REGISTRATION,
+    "newest_files": NEWEST_FILES,
+    "review_lines": REVIEW_LINES,
     "vat_summary": VAT_SUMMARY,
     "vat_net_lineitem": VAT_NET_LINEITEM,
     "month_vat_sheet": MONTH_VAT_SHEET,
@@ -590,6 +627,8 @@ ORACLES = {
     "listed_lines": LISTED_LINES,
     "run_stats": RUN_STATS,
     "delimited_cells": DELIMITED_CELLS,
+    "rule_table": RULE_TABLE,
+    "bank_facts": BANK_FACTS,
     "word_lines": WORD_LINES,
     "printed_figures": PRINTED_FIGURES,
     "ledger_names": LEDGER_NAMES,

@@ -15,6 +15,7 @@ from ..operators.assess import assess, choose_reading, confirm_by_second, finali
 from ..operators.chain import pages_missing
 from ..operators.layout import read_unknown
 from ..operators.lines import LineFormat, cut_lines, read_lines
+from ..operators.rule_table import bank_patterns
 from ..operators.rules import UNMAPPED, Category, categorize, detect_bank, match_client, vat_default
 from ..schema import as_ledger
 from ..sources.stored import stored
@@ -34,6 +35,9 @@ class Patterns:
     closing: tuple[str, ...] = (rf"(?i)closing balance:?\s*{_FIGURE}",)
     banks: tuple[tuple[str, tuple[str, ...]], ...] = ()
     clients: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    #: Tables of banks' needles and of patterns by bank (see rule_table), in the place of the lists above.
+    bank_table: DataFrame | None = None
+    pattern_table: DataFrame | None = None
 
 
 def _first(patterns: tuple[str, ...], order: str) -> Column:
@@ -59,23 +63,38 @@ def with_totals(statements: DataFrame, rows: DataFrame, by: list[str]) -> DataFr
 
 
 def statement_facts(lines: DataFrame, by: list[str], order: str = "line_no", patterns: Patterns = Patterns()) -> DataFrame:
-    """(by, account_number, period_start, period_end, all printed totals, closings, missing_pages, bank, client), one aggregation over the lines."""
-    closing = [F.when(F.col("text").rlike(p), parse_amount(F.regexp_extract("text", p, 1))) for p in patterns.closing]
+    """(by, account_number, period_start, period_end, all printed totals, closings, missing_pages, bank, client).
+
+    With tables of patterns the bank that a statement names has its own first, then come
+    those of all banks; else one aggregation over the lines with the same list for every bank.
+    """
     hit = lambda rules, of: F.min(F.coalesce(*[F.when(of == name, F.struct(F.lit(k).alias("k"), F.lit(name).alias("v"))) for k, (name, _) in enumerate(rules)], F.lit(None)))["v"]
     nothing = F.first(F.lit(None).cast("string"))
-    got = lines.groupBy(*by).agg(
-        F.nullif(F.regexp_replace(_first(patterns.account, order), r"\D", ""), F.lit("")).alias("account_number"),
-        _first(patterns.period, order).alias("statement_period"),
-        *[_every(getattr(patterns, n)).alias(f"all_{n}") for n in ("debits", "credits", "fees")],
-        F.array_compact(F.collect_list(F.coalesce(*closing))).alias("closings"),
-        (hit(patterns.banks, detect_bank(F.col("text"), list(patterns.banks))) if patterns.banks else nothing).alias("bank"),
-        (hit(patterns.clients, match_client([F.col("text")], list(patterns.clients))) if patterns.clients else nothing).alias("__client"),
-    )
+    client = (hit(patterns.clients, match_client([F.col("text")], list(patterns.clients))) if patterns.clients else nothing).alias("__client")
+    totals = ("debits", "credits", "fees")
+    if patterns.pattern_table is not None:
+        found = bank_patterns(lines, by, order, patterns.bank_table, patterns.pattern_table)
+        values = lambda field: F.coalesce(F.try_element_at("found", F.lit(field)), F.array().cast("array<string>"))
+        amounts = lambda field: F.array_compact(F.transform(values(field), parse_amount))
+        got = found.select(
+            *by, F.get(values("account"), F.lit(0)).alias("account_number"), F.get(values("period"), F.lit(0)).alias("statement_period"),
+            *[F.transform(amounts(n), lambda x: F.abs(x)).alias(f"all_{n}") for n in totals], amounts("closing").alias("closings"), "bank",
+        )
+        got = got.join(lines.groupBy(*by).agg(client), by)
+    else:
+        closing = [F.when(F.col("text").rlike(p), parse_amount(F.regexp_extract("text", p, 1))) for p in patterns.closing]
+        got = lines.groupBy(*by).agg(
+            _first(patterns.account, order).alias("account_number"),
+            _first(patterns.period, order).alias("statement_period"),
+            *[_every(getattr(patterns, n)).alias(f"all_{n}") for n in totals],
+            F.array_compact(F.collect_list(F.coalesce(*closing))).alias("closings"),
+            (hit(patterns.banks, detect_bank(F.col("text"), list(patterns.banks))) if patterns.banks else nothing).alias("bank"),
+            client,
+        )
     span = period_range(F.col("statement_period"))
     got = got.select(
-        *by, "account_number", "statement_period", span["start"].alias("period_start"), span["end"].alias("period_end"),
-        "all_debits", "all_credits", "all_fees",
-        F.lit(None).cast(MONEY).alias("printed_closing"), "closings", "bank", F.coalesce("__client", F.lit(UNMAPPED)).alias("client"),
+        *by, F.nullif(F.regexp_replace("account_number", r"\D", ""), F.lit("")).alias("account_number"), "statement_period", span["start"].alias("period_start"), span["end"].alias("period_end"),
+        *[f"all_{n}" for n in totals], F.lit(None).cast(MONEY).alias("printed_closing"), "closings", "bank", F.coalesce("__client", F.lit(UNMAPPED)).alias("client"),
     )
     return got.join(pages_missing(lines, by), by).withColumnRenamed("missing", "missing_pages")
 

@@ -9,9 +9,11 @@ from .functions import dates, figures, keys, money, text
 from .functions.keys import with_row_keys
 from .functions.money import cents
 from .operators import assess, chain, ingest, layout, learn, lifecycle, lines, rules, sheets
+from .operators import rule_table as rule_tables
 from .plans import periods, reports, statements
 from .sources import files
 from .sources.demo import BY, CATEGORIES, ORDER, order_ledger
+from .sources.stored import shared_folder
 
 
 def _c(*names: str) -> list:
@@ -134,6 +136,40 @@ def vat_return(spark, sf):
     return out.select("month", "field", _exact("amount"))
 
 
+def vat_return_by_period(spark, sf):
+    """The return over two months, to the cent."""
+    rows = order_ledger(spark, sf).withColumn("account", F.lit("all"))
+    out = reports.vat_return_by_period(rows, BY, periods.vat_periods(rows, "A"))
+    return out.select("label", "end_month", "field", *_c("amount"))
+
+
+def range_of_months(spark, sf):
+    """Totals of the months of a range that a person gives, the last one first."""
+    rows = periods.in_months(order_ledger(spark, sf), "1996-08", "1994-03")
+    return reports.monthly_totals(rows, BY).select("account", "month", *_c("money_in", "money_out", "net"), "transactions", "to_review")
+
+
+def vat_registration(spark, sf):
+    """The VAT that categories carry for a client that is registered, and for one that is not."""
+    cats = [*CATEGORIES[:1], rules.Category("Rent", rules.EXPENSE, ("purchase 1", "purchase 4"), vat_if_registered=True), *CATEGORIES[2:]]
+    rows = order_ledger(spark, sf)
+    default = lambda yes: rules.vat_default(F.col("category"), rules.for_vat_registration(cats, yes))
+    return rows.groupBy("category", default(True).alias("registered"), default(False).alias("other")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def newest_files(spark, sf):
+    """The thirty files that changed last."""
+    files_ = _read(spark, sf, "orders").select(F.col("o_orderkey").alias("name"), F.to_date("o_orderdate").alias("modified"))
+    return ingest.newest(files_).select("name", F.col("modified").cast("string").alias("modified"))
+
+
+def review_lines(spark, sf):
+    """A line for each statement: its figures, its rows and those to review, its issues."""
+    rows, s = _statements(spark, sf)
+    out = reports.review_lines(rows, s, BY)
+    return out.select("account", *_c("total_credits", "total_debits", "computed_closing", "last_balance"), "rows", "rows_to_review", "status", "issues")
+
+
 def vat_summary(spark, sf):
     out = reports.vat_summary(order_ledger(spark, sf).withColumn("account", F.lit("all")), BY)
     return out.select("month", *_c("difference"), _exact("income_excl"), _exact("expenses_excl"), _exact("difference_excl"))
@@ -178,6 +214,47 @@ def categorize_first_match(spark, sf):
     return p.select("p_partkey", found.alias("category"))
 
 
+def rule_table(spark, sf):
+    """A rule for each part, a piece of its name being the needle, over the names of all parts; the first that takes the row's direction."""
+    p = _read(spark, sf, "part")
+    way = F.get(F.array(F.lit("any"), F.lit("in"), F.lit("out")), (F.col("p_partkey") % 3).cast("int"))
+    rules_ = p.select((F.col("p_partkey") * 7919 % 100003).alias("rule_order"), F.col("p_brand").alias("rule"), F.substr("p_name", F.lit(3), (F.col("p_partkey") % 12).cast("int")).alias("needle"), way.alias("way"))
+    rows = p.select("p_partkey", F.concat_ws(" ", F.upper("p_name"), "p_type").alias("description"), (F.col("p_size") > 25).alias("money_in"))
+    return rule_tables.first_rules(rows, rules_, "description", "money_in").select("p_partkey", "rule_order", "rule")
+
+
+#: Fixed values of bank_facts: what its banks call themselves, and how each prints what a statement says about itself.
+BANK_NAMES = ((1, "Harbour", "harbour mutual"), (2, "Summit", "summit trust"), (2, "Summit", "summit.example"))
+BANK_PATTERNS = (
+    ("Harbour", "debits", 1, r"(?i)^money out in all (-?R?[\d,.]+)$"), ("Harbour", "credits", 1, r"(?i)^money in in all (-?R?[\d,.]+)$"), ("Harbour", "period", 1, r"(?i)^from (.+ to .+)$"),
+    ("Summit", "debits", 1, r"(?i)^no\. of payments \d+ (-?[\d,.]+)$"), ("Summit", "credits", 1, r"(?i)^no\. of deposits \d+ (-?[\d,.]+)$"),
+    (None, "debits", 1, r"(?i)^total debits:? (-?[\d,.]+)$"), (None, "credits", 1, r"(?i)^total credits:? (-?[\d,.]+)$"),
+    (None, "account", 1, r"(?i)^account(?: number)?:? ([\d ]+)$"), (None, "period", 1, r"(?i)^statement period:? (.+ to .+)$"), (None, "closing", 1, r"(?i)^closing balance:? (-?[\d,.]+)$"),
+)
+
+
+def bank_facts(spark, sf):
+    """What statements of three banks print about themselves, each in its own words, and in those of all banks what the bank has no words for."""
+    o = _printable(spark, sf)
+    zero = F.lit(0).cast("decimal(18,2)")
+    s = o.groupBy("account").agg(F.coalesce(F.sum("debit"), zero).alias("d"), F.coalesce(F.sum("credit"), zero).alias("c"), F.count("debit").alias("nd"), F.count("credit").alias("nc"), F.max_by("b", "line_no").alias("last"), F.min("date").alias("lo"), F.max("date").alias("hi"))
+    k = F.col("account").cast("int") % 3
+    span = F.concat(F.date_format("lo", "dd/MM/yyyy"), F.lit(" to "), F.date_format("hi", "dd/MM/yyyy"))
+    say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    d, c = _shown(F.col("d")), _shown(F.col("c"))
+    wrong = say("Total Debits: 1.00")  # not what Harbour and Summit call it
+    first = F.array(F.lit("HARBOUR Mutual Bank Limited"), wrong, say("Money out in all R", d), say("Money in in all R", c), say("From ", span), say("Statement Period: 01/01/1990 to 02/01/1990"))
+    second = F.array(F.lit("www.summit.example"), wrong, say("No. of payments ", F.col("nd").cast("string"), " ", d), say("No. of deposits ", F.col("nc").cast("string"), " ", c), say("Statement Period: ", span), F.lit(""))
+    third = F.array(F.lit("Some bank"), say("Total Debits: ", d), say("Total Credits: ", c), say("Statement Period: ", span), F.lit("Money out in all R1.00"), F.lit(""))
+    text = F.concat(F.when(k == 0, first).when(k == 1, second).otherwise(third), F.array(say("Account: 62 ", F.lpad("account", 9, "0")), say("Closing Balance: ", _shown(F.col("last")))))
+    lines_ = s.select("account", F.posexplode(text).alias("line_no", "text"))
+    banks = spark.createDataFrame(list(BANK_NAMES), "rule_order int, rule string, needle string")
+    patterns = spark.createDataFrame(list(BANK_PATTERNS), "bank string, field string, priority int, pattern string")
+    out = statements.statement_facts(lines_, BY, patterns=statements.Patterns(bank_table=banks, pattern_table=patterns))
+    one = lambda name: cents(F.get(F.col(name), F.lit(0))).alias(name)
+    return out.select("account", "bank", "account_number", F.col("period_start").cast("string").alias("period_start"), F.col("period_end").cast("string").alias("period_end"), one("all_debits"), one("all_credits"), one("closings"))
+
+
 def report_categories(spark, sf):
     out = rules.report_categories(order_ledger(spark, sf).withColumn("category", F.when(F.col("seq") % 17 == 0, "Manual").otherwise(F.col("category"))), CATEGORIES)
     return out.select("category", "type", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("rank")).cast("bigint").alias("place"))
@@ -257,10 +334,13 @@ def rand_format(spark, sf):
 
 
 def learned_category(spark, sf):
-    """A fifth of the rows is taught; every other row is asked for."""
+    """A fifth of the rows is taught; every other row is asked for. What is known grows in three batches."""
     p = _read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", F.translate("p_brand", "#0123456789", "_abcdefghij")).alias("description"), (F.col("p_size") > 25).alias("money_in"), F.concat(F.lit("C"), (F.col("p_size") % 3).cast("string")).alias("category"))
-    taught = p.where("id % 5 = 0")
-    return learn.suggest_categories(p.where("id % 5 <> 0"), taught, p.where("id % 5 > 1").select("description")).select("id", "category", "n_alike", "example_id", F.round(F.col("similarity") * 1_000_000).cast("bigint").alias("similarity"))
+    index = learn.WordIndex(spark, shared_folder(spark))
+    for k in range(3):
+        index.add(p.where((F.col("id") % 3 == k) & (F.col("id") % 5 != 1)).select("description"))
+        index.teach(p.where((F.col("id") % 3 == k) & (F.col("id") % 5 == 0)))
+    return index.suggest(p.where("id % 5 <> 0")).select("id", "category", "n_alike", "example_id", F.round(F.col("similarity") * 1_000_000).cast("bigint").alias("similarity"))
 
 
 def category_lifecycle(spark, sf):
@@ -584,8 +664,8 @@ QUERIES = {
     for f in (
         monthly_summary, monthly_total_rollup, monthly_table, balance_breaks, workbook_gaps, opening_closing, flag_duplicates, flag_date_order,
         confirm_groups, page_segments, missing_pages, income_statement_pivot, cash_flow, cash_flow_total, category_breakdown, spend_by_category,
-        vat_by_month, vat_return, vat_summary, vat_net_lineitem, month_vat_sheet, period_summary, vat_periods_ab, overview, money_chart,
-        categorize_first_match, report_categories, row_key_dedup, file_registry, mixed_accounts, parse_amount_formats, parse_date_formats,
+        vat_by_month, vat_return, vat_return_by_period, range_of_months, vat_registration, newest_files, review_lines, vat_summary, vat_net_lineitem, month_vat_sheet, period_summary, vat_periods_ab, overview, money_chart,
+        categorize_first_match, rule_table, bank_facts, report_categories, row_key_dedup, file_registry, mixed_accounts, parse_amount_formats, parse_date_formats,
         fiscal_calendar, same_words, telling_words, garbled_figures, rand_format, learned_category, category_lifecycle, assess_rows,
         assess_statements, choose_reading, compare_readings, read_lines, unknown_layouts, statement_styles, statement_ledger, sheet_rows, delimited_cells, word_lines, printed_figures, ledger_names,
         session_stats, dominant_category, second_reading, line_formats, printed_totals, vat_return_total, vat_summary_total,
