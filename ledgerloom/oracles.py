@@ -414,7 +414,7 @@ UNION ALL SELECT account, 2 * place + 1, day, debit + more, credit + more, unass
 _PRINTED = _ledger("false") + """,
 q AS (SELECT *, row_number() OVER w AS line_no, (sum(net) OVER w)::BIGINT AS b, seq % 101 = 0 AND count(*) FILTER (seq % 101 = 0) OVER w = 1 AS wrong
       FROM ledger WINDOW w AS (PARTITION BY account ORDER BY date, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-pr AS (SELECT account, line_no, date, month, description, debit, credit, category, vat, b, coalesce(credit, debit) AS a, wrong, seq % 13 = 0 AND NOT wrong AS lost,
+pr AS (SELECT account, seq, line_no, date, month, description, debit, credit, category, vat, b, coalesce(credit, debit) AS a, wrong, seq % 13 = 0 AND NOT wrong AS lost,
               CASE WHEN wrong THEN b + 100 WHEN seq % 13 <> 0 THEN b END AS printed FROM q)
 """
 READ_LINES = f"""
@@ -537,6 +537,19 @@ WITH {_PRINTED}, s AS (SELECT account, coalesce(sum(debit), 0)::BIGINT AS d, coa
 SELECT account, ['Harbour', 'Summit', NULL][account::INT % 3 + 1] AS bank, '62' || lpad(account, 9, '0') AS account_number, lo::VARCHAR AS period_start, hi::VARCHAR AS period_end,
        d AS all_debits, c AS all_credits, last AS closings FROM s
 """
+PAGED_TABLES = f"""
+WITH {_PRINTED},
+x AS (SELECT *, account::INT % 3 AS k, (line_no - 1) // 4 AS page, (line_no - 1) % 4 + 1 AS place FROM pr)
+SELECT account AS path, page, place + CASE WHEN page = 0 OR k = 2 THEN 1 ELSE 0 END AS row_no, date::VARCHAR AS day,
+       CASE WHEN seq % 5 = 0 THEN '(no description)' ELSE description END AS description, debit, credit, b AS balance
+FROM x WHERE seq % 11 <> 0 AND (k <> 1 OR page = 0)
+"""
+SPLIT_STATEMENTS = f"""
+WITH {_PRINTED}, p AS (SELECT account, (line_no - 1) // 3 AS page, line_no FROM pr),
+l AS (SELECT account, page, line_no FROM p UNION ALL SELECT DISTINCT account, page, 0 FROM p WHERE page % 2 = 0),
+n AS (SELECT *, max(page // 2) OVER (PARTITION BY account) + 1 AS n FROM l)
+SELECT account, page, line_no, account || CASE WHEN n > 1 THEN ' (statement ' || (page // 2 + 1) || ' of ' || n || ')' ELSE '' END AS statement FROM n
+"""
 WORD_LINES = """
 WITH p AS (SELECT p_partkey // 40 AS page, p_partkey % 40 AS line, p_name FROM part)
 SELECT page, row_number() OVER (PARTITION BY page ORDER BY line) AS line_no, p_name AS text FROM p
@@ -629,6 +642,8 @@ ORACLES = {
     "delimited_cells": DELIMITED_CELLS,
     "rule_table": RULE_TABLE,
     "bank_facts": BANK_FACTS,
+    "paged_tables": PAGED_TABLES,
+    "split_statements": SPLIT_STATEMENTS,
     "word_lines": WORD_LINES,
     "printed_figures": PRINTED_FIGURES,
     "ledger_names": LEDGER_NAMES,

@@ -5,14 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_key, period_range
 from ..functions.money import MONEY, parse_amount
 from ..functions.text import garbled_figures
 from ..operators.assess import assess, choose_reading, confirm_by_second, finalize, printed_total
-from ..operators.chain import pages_missing
+from ..operators.chain import page_segments, pages_missing
 from ..operators.layout import read_unknown
 from ..operators.lines import LineFormat, cut_lines, read_lines
 from ..operators.rule_table import bank_patterns
@@ -114,6 +114,20 @@ def all_readings(lines: DataFrame, formats: list[LineFormat], by: list[str], ord
     return reduce(DataFrame.unionByName, rows), reduce(DataFrame.unionByName, heads)
 
 
+def split_statements(lines: DataFrame, by: list[str], page: str = "page", order: str = "line_no", patterns: Patterns = Patterns()) -> DataFrame:
+    """Adds statement: a file's name, and where its pages print several periods, which of them a line is of.
+
+    by: one column, the file. A page that prints another period than the one last
+    printed begins a new statement; pages without one belong to that before.
+    """
+    (name,) = by
+    pages = lines.groupBy(name, page).agg(_first(patterns.period, order).alias("period"))
+    parts = page_segments(pages, by, [page])
+    n = F.max("segment").over(Window.partitionBy(name)) + 1
+    part = F.concat(F.col(name).cast("string"), F.when(n > 1, F.concat(F.lit(" (statement "), (F.col("segment") + 1).cast("string"), F.lit(" of "), n.cast("string"), F.lit(")"))).otherwise(""))
+    return lines.join(parts.select(name, page, part.alias("statement")), [name, page])
+
+
 def process_statements(lines: DataFrame, formats: list[LineFormat], categories: list[Category], by: list[str], order: str = "line_no", patterns: Patterns = Patterns(), second: DataFrame | None = None, one_reading: bool = False) -> tuple[DataFrame, DataFrame]:
     """(ledger, statements): the lines of any number of statements as a checked and categorised ledger.
 

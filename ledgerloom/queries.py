@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -618,6 +620,36 @@ def delimited_cells(spark, sf):
     return files.delimited_cells(texts).select("path", "row_no", "col_no", "value")
 
 
+def paged_tables(spark, sf):
+    """Tables cut from print, four rows a page: headers on the first page, on each page, or on the first with a page of another table after it; amounts with a sign, or a column for each way."""
+    o = _printable(spark, sf)
+    k, signed, n = F.col("account").cast("int") % 3, F.col("account").cast("int") % 2 == 0, F.col("line_no") - 1
+    page = F.floor(n / 4)
+    head = (page == 0) | (k == 2)
+    blank = F.col("seq") % 11 == 0
+    said = F.when(F.col("seq") % 5 == 0, " ").otherwise(F.col("description"))
+    one = F.when(blank, "").otherwise(_shown(F.when(F.col("is_in"), F.col("a")).otherwise(-F.col("a"))))
+    day = F.date_format("date", "dd/MM/yyyy")
+    values = F.when(signed, F.array(day, said, one, _shown(F.col("b")))).otherwise(F.array(day, said, F.when(F.col("is_in") | blank, "").otherwise(_shown(-F.col("a"))), F.when(F.col("is_in") & ~blank, _shown(F.col("a"))).otherwise(""), _shown(F.col("b"))))
+    shown_page = F.when((k == 1) & (page > 0), page + 1).otherwise(page)
+    rows = o.select("account", shown_page.alias("page"), (n % 4 + 1 + head.cast("int")).alias("row_no"), values.alias("v"))
+    titles = F.when(signed, F.array(*map(F.lit, ("Date", "Narrative", "Amount", "Balance")))).otherwise(F.array(*map(F.lit, ("Posting date", "Details", "Debit", "Credit", "Balance"))))
+    heads = o.where(head).select("account", shown_page.alias("page"), F.lit(1).alias("row_no"), titles.alias("v")).distinct()
+    other = o.where(k == 1).select("account", F.lit(1).alias("page"), F.lit(1).alias("row_no"), F.array(F.lit("Summary"), F.lit("12.00")).alias("v")).distinct()
+    every = reduce(lambda a, b: a.unionByName(b), [x.select("account", F.col("page").cast("long").alias("page"), F.col("row_no").cast("long").alias("row_no"), "v") for x in (rows, heads, other)])
+    cells = every.select(F.col("account").alias("path"), "page", "row_no", F.posexplode("v").alias("c", "value")).select("path", "page", "row_no", (F.col("c") + 1).cast("long").alias("col_no"), "value")
+    out = files.paged_transactions(files.paged_rows(cells))
+    return out.select("path", "page", "row_no", F.col("date").cast("string").alias("day"), "description", *_c("debit", "credit", "balance"))
+
+
+def split_statements(spark, sf):
+    """Files of several statements: of every two pages the first one prints the period."""
+    o = _printable(spark, sf).withColumn("page", F.floor((F.col("line_no") - 1) / 3).cast("long"))
+    printed = o.select("account", "page", F.col("line_no").cast("long").alias("line_no"), F.lit("a row").alias("text"))
+    head = o.where("page % 2 = 0").select("account", "page", F.lit(0).cast("long").alias("line_no"), F.concat(F.lit("Statement Period: 01/01/"), (F.col("page") + 1990).cast("string"), F.lit(" to 31/12/"), (F.col("page") + 1990).cast("string")).alias("text")).distinct()
+    return statements.split_statements(printed.unionByName(head), BY).select("account", "page", "line_no", "statement")
+
+
 def word_lines(spark, sf):
     """Words with boxes, a part's name a line, put together again."""
     p = _read(spark, sf, "part").select(F.floor(F.col("p_partkey") / 40).cast("bigint").alias("page"), (F.col("p_partkey") % 40).alias("line"), F.posexplode(F.split("p_name", " ")).alias("k", "text"))
@@ -667,7 +699,7 @@ QUERIES = {
         vat_by_month, vat_return, vat_return_by_period, range_of_months, vat_registration, newest_files, review_lines, vat_summary, vat_net_lineitem, month_vat_sheet, period_summary, vat_periods_ab, overview, money_chart,
         categorize_first_match, rule_table, bank_facts, report_categories, row_key_dedup, file_registry, mixed_accounts, parse_amount_formats, parse_date_formats,
         fiscal_calendar, same_words, telling_words, garbled_figures, rand_format, learned_category, category_lifecycle, assess_rows,
-        assess_statements, choose_reading, compare_readings, read_lines, unknown_layouts, statement_styles, statement_ledger, sheet_rows, delimited_cells, word_lines, printed_figures, ledger_names,
+        assess_statements, choose_reading, compare_readings, read_lines, unknown_layouts, statement_styles, statement_ledger, sheet_rows, delimited_cells, paged_tables, split_statements, word_lines, printed_figures, ledger_names,
         session_stats, dominant_category, second_reading, line_formats, printed_totals, vat_return_total, vat_summary_total,
         category_breakdown_month, entry_lines, listed_lines, run_stats,
     )
