@@ -185,12 +185,15 @@ def row_sums(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where that setting is absent (a local session, as in tests) one is made in the temp folder.
+    Where that setting is absent one is made in the temp folder, for a local session as in
+    tests; on a cluster that is an error, as executors share no such folder.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = base.get() if base.isDefined() else None
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)

@@ -321,7 +321,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     What a cut brings together is searched again until the text has no phrase
     left. Rows, columns and clean texts stay as they are; nulls stay null, rows
-    that repeat are cut each. An empty benchmark cuts nothing.
+    that repeat are cut each. An empty benchmark cuts nothing, an empty table stays one;
+    a text of any length is searched whole, and other columns pass as they are, whatever
+    their names. Spans that tie or overlap are one.
     """
     phrases = phrase_blocks(benchmark, item_id, item_text, size, block_words)
     return docs.mapInArrow(partial(_clean, phrases=phrases, text=text_col), docs.schema)

@@ -95,6 +95,8 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id",
     Rows that repeat an id with the same vector count once. With fewer than k
     other rows, there are fewer neighbours; empty tables find none and give none.
     Vectors of any length are codes of as many segments. Other columns are not used.
+    A task holds one block of the index and one of queries: 200,000 codes and their k + 1 ids,
+    and for each segment an order of these and a table of 65,536 values.
 
     Queries and distinct codes meet in blocks of bounded size, of which each pair
     is a group of its own; there are at least as many blocks of queries as keep the

@@ -166,7 +166,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     labels found. score is 1 for a base phrase and else the best share of a
     notice's words in place, 0 for none. A null or empty text has no words and no
     labels; repeated rows each get their own result; an empty table gives an empty
-    result; other columns are not used. Two passes: document frequencies of the
+    result; other columns are not used. Texts of any length are looked at whole, in
+    blocks of some megabytes. Of templates that fit equally well each gives its label;
+    labels are sorted, so that ties don't show. Two passes: document frequencies of the
     template words (a bounded list of rows reaches the driver), then the scan.
     """
     spark = docs.sparkSession

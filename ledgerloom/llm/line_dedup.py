@@ -43,7 +43,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null text: no lines, text null. Empty text: one empty line. A null id is an id
     that comes first. Rows that repeat an id with the same text count as one
     document and all get its result; rows that repeat an id with other texts are
-    ordered by a hash of the text. Other columns of docs are not used, and those
+    ordered by a hash of the text. An empty table gives an empty result; a text of any
+    length is cut into lines in its row, and only hashes of windows are shuffled. Other columns of docs are not used, and those
     in keep not looked at; whatever their names, they cannot clash with inner ones.
     """
     more = F.struct(*[F.col(c).alias(f"k{k}") for k, c in enumerate(keep)]) if keep else F.lit(0)

@@ -126,7 +126,9 @@ def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     are one. Null and empty texts are one piece of 0 words, so that no row is
     lost. Rows that repeat are packed each, as members of one cluster. Ties: by
     size, then by a hash of the id, then by piece; among bins, the tightest, of
-    those the one that got this residual first. The result depends on the rows
+    those the one that got this residual first. An empty table has no bins; a text of
+    any length is as many pieces as it needs, dealt over the groups by 64; other columns
+    are not used. The result depends on the rows
     and not on their partitions.
     """
     text = F.col(text_col)

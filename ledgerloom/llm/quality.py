@@ -421,7 +421,9 @@ def classify(docs: DataFrame, model: Classifier | None, text_col: str = "text",
     p_text, p_meta and p_good tell good quality, p_safe that the text is not toxic.
 
     Null and empty texts are scored as texts of no characters; null metadata are
-    values of their own. Without a model all probabilities are 1 and all rows
+    values of their own. An empty table gives an empty one; a text of any length is whole,
+    in blocks of a megabyte or its own size; a row whose probability ties with the threshold
+    is kept; other columns are not used. Without a model all probabilities are 1 and all rows
     kept; likewise for a label that could not be learned. Repeated rows each get their own, equal, result.
     """
     names = [F.col(c).alias(f"c{k}") for k, c in enumerate(keep_cols)]

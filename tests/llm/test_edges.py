@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import language, lm, quality
 from ledgerloom.llm.decontaminate import contamination, decontaminate
+from ledgerloom.llm.exact_dedup import exact_dedup
 from ledgerloom.llm.hamming import exact_top_k
 from ledgerloom.llm.jaccard import jaccard_groups
 from ledgerloom.llm.licenses import license_scan
 from ledgerloom.llm.line_dedup import line_dedup
 from ledgerloom.llm.packing import best_fit_packing
+from ledgerloom.llm.ranked import ranked_search
 from ledgerloom.llm.substring_dedup import substring_dedup
 
 ITEMS = [(1, "one two three"), (1, "cc by cc"), (2, None), (3, "")]
@@ -37,11 +39,14 @@ OPERATORS = {
     "jaccard": lambda s, d: jaccard_groups(d),
     "contamination": lambda s, d: contamination(d, _benchmark(s)),
     "clean": lambda s, d: decontaminate(d.select(*DDL.replace(",", "").split()[::2]), _benchmark(s)),
+    "cut beside clashing columns": lambda s, d: decontaminate(d, _benchmark(s)).select("doc_id", "text"),
+    "exact": lambda s, d: exact_dedup(d),
+    "ranked": lambda s, d: ranked_search(d, _benchmark(s, [(1, "one"), (1, "cc by cc"), (2, None), (3, "w1 w2 W3 Zoë")])),
     "lm": lambda s, d: lm.score(d, lm.train(d)),
     "quality": lambda s, d: quality.classify(d, quality.train(d, _labels(s), labelled_rows=100)),
 }
-#: A row for each input row (packing has a row for each piece).
-EACH = set(OPERATORS) - {"packing"}
+#: A row for each input row (packing has a row for each piece, ranked some for each item).
+EACH = set(OPERATORS) - {"packing", "ranked"}
 
 
 def _rows(df):
@@ -68,7 +73,7 @@ def test_empty_table(name, spark):
 def test_nothing_but_nulls(name, spark):
     rows = [(None, None, None, None)] * 3
     got = _rows(OPERATORS[name](spark, table(spark, rows)))
-    assert sum(got.values()) == 3
+    assert sum(got.values()) == (0 if name == "ranked" else 3)
 
 
 def test_line_dedup_results(spark):
@@ -102,6 +107,11 @@ def test_top_k_ties_and_few_rows(spark):
     assert not exact_top_k(v([]), v([])).count()
 
 
+def test_top_k_of_nothing_but_nulls(spark):
+    rows = spark.createDataFrame([(None, None), (1, None), (None, [1.0])], "vec_id long, embedding array<double>")
+    assert not exact_top_k(clashing(rows), rows).count()
+
+
 def test_top_k_in_blocks(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     asked = rows.where("vec_id % 5 = 0")
