@@ -429,6 +429,15 @@ x AS (SELECT *, NOT lost AND NOT wrong AS good, coalesce(bool_or(NOT lost AND NO
 SELECT account, 2 * line_no AS seq, date::VARCHAR AS day, description, CASE WHEN good OR later OR marked THEN debit END AS debit, CASE WHEN good OR later OR marked THEN credit END AS credit,
        CASE WHEN NOT (good OR later OR marked) THEN a END AS unassigned, printed AS balance, good OR lost AND later AS confirmed FROM x
 """
+YEARLESS_DATES = f"""
+WITH {_PRINTED}, s AS (SELECT *, account || '-' || year(date) AS s FROM pr)
+SELECT s, 2 * row_number() OVER w AS seq, date::VARCHAR AS day, debit, credit, NULL::BIGINT AS unassigned, (sum(coalesce(credit, 0) - coalesce(debit, 0)) OVER w)::BIGINT AS balance, true AS confirmed
+FROM s WINDOW w AS (PARTITION BY s ORDER BY line_no)
+"""
+CLIENT_OF_FILES = """
+SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'Acme' WHEN c_mktsegment = 'BUILDING' THEN 'Builders' WHEN c_mktsegment IN ('HOUSEHOLD', 'FURNITURE') THEN 'Homes'
+                       WHEN contains(c_name, '9') THEN 'Nines' ELSE 'UNMAPPED_CLIENT' END AS client FROM customer
+"""
 STATEMENT_STYLES = f"""
 WITH {_PRINTED}, s AS (SELECT account, account::INT % 5 AS k, max(greatest(a, abs(printed))) AS most,
   count(*) FILTER (day(date) > 12) AS days FROM pr GROUP BY account)
@@ -449,14 +458,14 @@ SELECT account AS statement_id, 2 * (line_no + 9) AS seq, debit, credit, NULL::B
 """
 LINE_FORMATS = f"""
 WITH {_PRINTED},
-f AS (SELECT * EXCLUDE (lost), account::INT % 5 AS k, CASE WHEN account::INT % 5 = 2 AND line_no % 11 = 0 THEN 500 ELSE 0 END AS fee FROM pr),
+f AS (SELECT * EXCLUDE (lost), account::INT % 8 AS k, CASE WHEN account::INT % 8 IN (2, 7) AND line_no % 11 = 0 THEN 500 ELSE 0 END AS fee FROM pr),
 g AS (SELECT *, (b - sum(fee) OVER (PARTITION BY account ORDER BY line_no))::BIGINT AS bb, k = 0 AND line_no % 13 = 1 AND line_no > 1 AS lost,
-             CASE WHEN k = 1 THEN strftime(date, '%d %b') ELSE strftime(date, '%d/%m/%Y') END AS date_text FROM f)
-SELECT account, 4 * line_no AS seq, date_text, description || CASE WHEN k = 1 THEN ' no' WHEN k = 0 AND line_no % 7 = 0 THEN ' ref X' || line_no ELSE '' END AS description,
+             CASE WHEN k IN (1, 6) THEN strftime(date, '%d %b') ELSE strftime(date, '%d/%m/%Y') END AS date_text FROM f)
+SELECT account, 4 * line_no AS seq, date_text, description || CASE WHEN k IN (1, 5, 7) THEN ' no' WHEN k = 0 AND line_no % 7 = 0 THEN ' ref X' || line_no ELSE '' END AS description,
        CASE WHEN NOT lost THEN debit END AS debit, CASE WHEN NOT lost THEN credit END AS credit, CASE WHEN lost THEN a END AS unassigned, CASE WHEN fee = 0 THEN bb END AS balance
 FROM g WHERE NOT (k = 0 AND line_no % 13 = 0)
 UNION ALL
-SELECT account, 4 * line_no + 1, date_text, 'Fee: ' || description, fee, NULL, NULL, bb FROM g WHERE fee > 0
+SELECT account, 4 * line_no + 1, date_text, 'Fee: ' || description || CASE WHEN k = 7 THEN ' no' ELSE '' END, fee, NULL, NULL, bb FROM g WHERE fee > 0
 """
 PRINTED_TOTALS = """
 WITH o AS (SELECT o_custkey AS account, CASE WHEN o_orderkey % 7 < 2 THEN round(o_totalprice * 100)::BIGINT END AS c FROM orders),
@@ -627,6 +636,8 @@ ORACLES = {
     "compare_readings": COMPARE_READINGS,
     "read_lines": READ_LINES,
     "unknown_layouts": UNKNOWN_LAYOUTS,
+    "yearless_dates": YEARLESS_DATES,
+    "client_of_files": CLIENT_OF_FILES,
     "statement_styles": STATEMENT_STYLES,
     "statement_ledger": STATEMENT_LEDGER,
     "sheet_rows": SHEET_ROWS,

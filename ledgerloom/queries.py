@@ -15,7 +15,7 @@ from .operators import rule_table as rule_tables
 from .plans import periods, reports, statements
 from .sources import files
 from .sources.demo import BY, CATEGORIES, ORDER, order_ledger
-from .sources.stored import shared_folder
+from .sources.stored import shared_folder, stored
 
 
 def _c(*names: str) -> list:
@@ -471,6 +471,26 @@ def unknown_layouts(spark, sf):
     return rows.select("account", "seq", F.col("date").cast("string").alias("day"), "description", *_c("debit", "credit", "unassigned", "balance"), "confirmed")
 
 
+def yearless_dates(spark, sf):
+    """An account's years as statements that print days and months alone; the period says the year."""
+    o = _printable(spark, sf).withColumn("s", F.concat_ws("-", "account", F.year("date").cast("string")))
+    w = Window.partitionBy("s").orderBy("line_no")
+    o = o.withColumn("n", F.row_number().over(w).cast("bigint")).withColumn("rb", F.sum(F.when(F.col("is_in"), F.col("a")).otherwise(-F.col("a"))).over(w).cast("decimal(18,2)"))
+    printed = o.select("s", F.col("n").alias("line_no"), F.concat_ws(" ", F.date_format("date", "d MMM"), "description", _shown(F.col("a")), _shown(F.col("rb"))).alias("text"))
+    ends = o.select("s", F.year("date").alias("y")).distinct()
+    head = ends.select("s", F.lit(0).cast("bigint").alias("line_no"), F.lit("Balance brought forward 0.00").alias("text"))
+    bounds = ends.select("s", F.make_date("y", F.lit(1), F.lit(1)).alias("period_start"), F.make_date("y", F.lit(12), F.lit(31)).alias("period_end"))
+    rows, _ = layout.read_unknown(printed.unionByName(head), ["s"], bounds=bounds)
+    return rows.select("s", "seq", F.col("date").cast("string").alias("day"), *_c("debit", "credit", "unassigned", "balance"), "confirmed")
+
+
+def client_of_files(spark, sf):
+    """Whose file it is, by what stands in its sender, subject or name; the first client counts."""
+    c = _read(spark, sf, "customer").select("c_custkey", F.concat(F.lit("From: "), "c_mktsegment").alias("sender"), F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("Statement of Acme "), F.col("c_custkey").cast("string"))).alias("subject"), "c_name")
+    clients = [("Acme", ("acme",)), ("Builders", ("BUILDING",)), ("Nobody", ()), ("Homes", ("household", "furniture")), ("Nines", ("9",))]
+    return c.select("c_custkey", rules.match_client([F.col("sender"), F.col("subject"), F.col("c_name")], clients).alias("client"))
+
+
 def statement_styles(spark, sf):
     """How each of those statements prints figures and dates."""
     return layout.statement_styles(_layouts(spark, sf), BY)
@@ -510,14 +530,17 @@ def second_reading(spark, sf):
     return ledger.select("statement_id", "seq", *_c("debit", "credit", "unassigned", "balance"), "status", F.array_join("reasons", ";").alias("reasons"))
 
 
-#: What the statements of line_formats look like, by account % 5.
-FORMATS = (lines.LineFormat(), lines.LineFormat(thousands=" ", year=False), lines.LineFormat(fee_column=True), lines.LineFormat(trailing_column=True), lines.LineFormat(unmarked_is_debit=True))
+#: What the statements of line_formats look like, by account % 8.
+FORMATS = (
+    lines.LineFormat(), lines.LineFormat(thousands=" ", year=False), lines.LineFormat(fee_column=True), lines.LineFormat(trailing_column=True), lines.LineFormat(unmarked_is_debit=True),
+    lines.LineFormat(thousands=" "), lines.LineFormat(year=False, trailing_column=True, unmarked_is_debit=True), lines.LineFormat(thousands=" ", fee_column=True),
+)
 
 
 def line_formats(spark, sf):
-    """Statements in five formats read back: blanks in thousands and no years, fees, a column behind, Cr and Dr marks; in the first, descriptions that go on, and every 13th line without a balance."""
-    o = _printable(spark, sf).withColumn("k", F.col("account").cast("int") % 5)
-    o = o.withColumn("fee", F.when((F.col("k") == 2) & (F.col("line_no") % 11 == 0), 5).otherwise(0).cast("decimal(18,2)"))
+    """Statements in eight formats read back: blanks in thousands, no years, fees, a column behind, Cr and Dr marks; in the first, descriptions that go on, and every 13th line without a balance."""
+    o = _printable(spark, sf).withColumn("k", F.col("account").cast("int") % 8)
+    o = o.withColumn("fee", F.when(F.col("k").isin(2, 7) & (F.col("line_no") % 11 == 0), 5).otherwise(0).cast("decimal(18,2)"))
     o = o.withColumn("b", (F.col("b") - F.sum("fee").over(Window.partitionBy("account").orderBy("line_no"))).cast("decimal(18,2)"))
     day, b = F.date_format("date", "dd/MM/yyyy"), _shown(F.col("b"))
     amount, none = _shown(F.col("a")), F.lit(None).cast("string")
@@ -527,15 +550,18 @@ def line_formats(spark, sf):
         .when(F.col("k") == 1, F.concat_ws(" ", F.date_format("date", "dd MMM"), "description", F.lit("no"), F.translate(amount, ",", " "), F.translate(b, ",", " ")))
         .when(F.col("k") == 2, F.concat_ws(" ", day, "description", amount, F.when(F.col("fee") > 0, F.concat(_shown(F.col("fee")), F.lit("*"))), b))
         .when(F.col("k") == 3, F.concat_ws(" ", day, "description", amount, b, F.lit("0.00")))
-        .otherwise(F.concat_ws(" ", day, "description", F.when(F.col("credit").isNotNull(), F.concat(amount, F.lit("Cr"))).otherwise(amount), marked(_shown(F.abs("b")), F.col("b") >= 0)))
+        .when(F.col("k") == 4, F.concat_ws(" ", day, "description", F.when(F.col("credit").isNotNull(), F.concat(amount, F.lit("Cr"))).otherwise(amount), marked(_shown(F.abs("b")), F.col("b") >= 0)))
+        .when(F.col("k") == 5, F.concat_ws(" ", day, "description", F.lit("no"), F.translate(amount, ",", " "), F.translate(b, ",", " ")))
+        .when(F.col("k") == 6, F.concat_ws(" ", F.date_format("date", "dd MMM"), "description", F.when(F.col("credit").isNotNull(), F.concat(amount, F.lit("Cr"))).otherwise(amount), marked(_shown(F.abs("b")), F.col("b") >= 0), F.lit("3.00")))
+        .otherwise(F.concat_ws(" ", day, "description", F.lit("no"), F.translate(amount, ",", " "), F.when(F.col("fee") > 0, F.concat(_shown(F.col("fee")), F.lit("*"))), F.translate(b, ",", " ")))
     )
     wrapped = F.when((F.col("k") == 0) & (F.col("line_no") % 7 == 0) & (F.col("line_no") % 13 != 0), F.concat(F.lit("ref X"), F.col("line_no").cast("string"))).otherwise(none)
     printed = o.select("account", "k", (F.col("line_no") * 2).cast("bigint").alias("line_no"), F.array_compact(F.array(text_of, wrapped)).alias("t"))
     printed = printed.select("account", "k", "line_no", F.posexplode("t").alias("more", "text")).select("account", "k", (F.col("line_no") + F.col("more")).alias("line_no"), "text")
     head = o.select("account", "k").distinct().select("account", "k", F.lit(0).cast("bigint").alias("line_no"), F.lit("Opening Balance: 0.00").alias("text"))
-    every, out = printed.unionByName(head), None
+    every, out = stored(lines.cut_lines(printed.unionByName(head), ["account", "k"])), None
     for k, fmt in enumerate(FORMATS):
-        rows = lines.read_lines(every.where(F.col("k") == k).drop("k"), fmt, BY)[0]
+        rows = lines.read_lines(every.where(F.col("k") == k), fmt, BY)[0]
         out = rows if out is None else out.unionByName(rows)
     return out.select("account", "seq", "date_text", "description", *_c("debit", "credit", "unassigned", "balance"))
 
@@ -699,7 +725,7 @@ QUERIES = {
         vat_by_month, vat_return, vat_return_by_period, range_of_months, vat_registration, newest_files, review_lines, vat_summary, vat_net_lineitem, month_vat_sheet, period_summary, vat_periods_ab, overview, money_chart,
         categorize_first_match, rule_table, bank_facts, report_categories, row_key_dedup, file_registry, mixed_accounts, parse_amount_formats, parse_date_formats,
         fiscal_calendar, same_words, telling_words, garbled_figures, rand_format, learned_category, category_lifecycle, assess_rows,
-        assess_statements, choose_reading, compare_readings, read_lines, unknown_layouts, statement_styles, statement_ledger, sheet_rows, delimited_cells, paged_tables, split_statements, word_lines, printed_figures, ledger_names,
+        assess_statements, choose_reading, compare_readings, read_lines, unknown_layouts, yearless_dates, client_of_files, statement_styles, statement_ledger, sheet_rows, delimited_cells, paged_tables, split_statements, word_lines, printed_figures, ledger_names,
         session_stats, dominant_category, second_reading, line_formats, printed_totals, vat_return_total, vat_summary_total,
         category_breakdown_month, entry_lines, listed_lines, run_stats,
     )
