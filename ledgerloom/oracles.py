@@ -543,7 +543,7 @@ SELECT t.p_partkey, best[1] AS rule_order, best[2] AS rule FROM t LEFT JOIN m US
 """
 BANK_FACTS = f"""
 WITH {_PRINTED}, s AS (SELECT account, coalesce(sum(debit), 0)::BIGINT AS d, coalesce(sum(credit), 0)::BIGINT AS c, arg_max(b, line_no) AS last, min(date) AS lo, max(date) AS hi FROM pr GROUP BY account)
-SELECT account, ['Harbour', 'Summit', NULL][account::INT % 3 + 1] AS bank, '62' || lpad(account, 9, '0') AS account_number, lo::VARCHAR AS period_start, hi::VARCHAR AS period_end,
+SELECT account, ['Quayside', 'Ridgeway', NULL][account::INT % 3 + 1] AS bank, '62' || lpad(account, 9, '0') AS account_number, lo::VARCHAR AS period_start, hi::VARCHAR AS period_end,
        d AS all_debits, c AS all_credits, last AS closings FROM s
 """
 PAGED_TABLES = f"""

@@ -226,10 +226,10 @@ def rule_table(spark, sf):
 
 
 #: Fixed values of bank_facts: what its banks call themselves, and how each prints what a statement says about itself.
-BANK_NAMES = ((1, "Harbour", "harbour mutual"), (2, "Summit", "summit trust"), (2, "Summit", "summit.example"))
+BANK_NAMES = ((1, "Quayside", "quayside savings"), (2, "Ridgeway", "ridgeway trust"), (2, "Ridgeway", "ridgeway.example"))
 BANK_PATTERNS = (
-    ("Harbour", "debits", 1, r"(?i)^money out in all (-?R?[\d,.]+)$"), ("Harbour", "credits", 1, r"(?i)^money in in all (-?R?[\d,.]+)$"), ("Harbour", "period", 1, r"(?i)^from (.+ to .+)$"),
-    ("Summit", "debits", 1, r"(?i)^no\. of payments \d+ (-?[\d,.]+)$"), ("Summit", "credits", 1, r"(?i)^no\. of deposits \d+ (-?[\d,.]+)$"),
+    ("Quayside", "debits", 1, r"(?i)^money out in all (-?R?[\d,.]+)$"), ("Quayside", "credits", 1, r"(?i)^money in in all (-?R?[\d,.]+)$"), ("Quayside", "period", 1, r"(?i)^from (.+ to .+)$"),
+    ("Ridgeway", "debits", 1, r"(?i)^no\. of payments \d+ (-?[\d,.]+)$"), ("Ridgeway", "credits", 1, r"(?i)^no\. of deposits \d+ (-?[\d,.]+)$"),
     (None, "debits", 1, r"(?i)^total debits:? (-?[\d,.]+)$"), (None, "credits", 1, r"(?i)^total credits:? (-?[\d,.]+)$"),
     (None, "account", 1, r"(?i)^account(?: number)?:? ([\d ]+)$"), (None, "period", 1, r"(?i)^statement period:? (.+ to .+)$"), (None, "closing", 1, r"(?i)^closing balance:? (-?[\d,.]+)$"),
 )
@@ -244,9 +244,9 @@ def bank_facts(spark, sf):
     span = F.concat(F.date_format("lo", "dd/MM/yyyy"), F.lit(" to "), F.date_format("hi", "dd/MM/yyyy"))
     say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
     d, c = _shown(F.col("d")), _shown(F.col("c"))
-    wrong = say("Total Debits: 1.00")  # not what Harbour and Summit call it
-    first = F.array(F.lit("HARBOUR Mutual Bank Limited"), wrong, say("Money out in all R", d), say("Money in in all R", c), say("From ", span), say("Statement Period: 01/01/1990 to 02/01/1990"))
-    second = F.array(F.lit("www.summit.example"), wrong, say("No. of payments ", F.col("nd").cast("string"), " ", d), say("No. of deposits ", F.col("nc").cast("string"), " ", c), say("Statement Period: ", span), F.lit(""))
+    wrong = say("Total Debits: 1.00")  # not what Quayside and Ridgeway call it
+    first = F.array(F.lit("QUAYSIDE Savings Limited"), wrong, say("Money out in all R", d), say("Money in in all R", c), say("From ", span), say("Statement Period: 01/01/1990 to 02/01/1990"))
+    second = F.array(F.lit("www.ridgeway.example"), wrong, say("No. of payments ", F.col("nd").cast("string"), " ", d), say("No. of deposits ", F.col("nc").cast("string"), " ", c), say("Statement Period: ", span), F.lit(""))
     third = F.array(F.lit("Some bank"), say("Total Debits: ", d), say("Total Credits: ", c), say("Statement Period: ", span), F.lit("Money out in all R1.00"), F.lit(""))
     text = F.concat(F.when(k == 0, first).when(k == 1, second).otherwise(third), F.array(say("Account: 62 ", F.lpad("account", 9, "0")), say("Closing Balance: ", _shown(F.col("last")))))
     lines_ = s.select("account", F.posexplode(text).alias("line_no", "text"))
