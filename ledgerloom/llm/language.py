@@ -2,16 +2,20 @@
 
 Letters are lower-cased; every run of other characters is one blank. Spark counts
 the n-grams of each language over all training texts (tasks combine their own
-counts first); lower orders are continuation counts of the higher one. All
-languages share one sorted array of hashed n-grams for each order, with a row of
-log probabilities for each language beside it, so that a position takes one binary
-search whatever the number of languages. The predicted language has the lowest
-cross-entropy a character.
+counts first); lower orders are continuation counts of the higher one, and each order
+is joined with its contexts and with the order below, whose probabilities it is
+interpolated with. All languages share the sorted arrays of hashed n-grams of an order,
+cut into shards of equal hash ranges, with a row of log probabilities for each language
+beside them, so that a position takes one binary search whatever the number of
+languages. Shards are files of the shared folder, written by tasks and memory-mapped by
+workers; the driver holds the languages, their discounts and the sizes of the shards.
+The predicted language has the lowest cross-entropy a character.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache, partial
 
 import numpy as np
@@ -19,9 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mixed, text_buffer
+from .common import blocks, clear, mixed, parts_for, remove, shared_dir, text_buffer, written
+from .files import mapped, write_array
 
 ORDER = 4
+#: Bytes of the keys and log probabilities of a shard.
+SHARD_BYTES = 32 << 20
 #: Bytes of text that a task looks at at once.
 TEXT_BYTES = 1 << 20
 UNKNOWN = "und"
@@ -100,54 +107,62 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out()
 
 
+def _of_range(h: np.ndarray, shards: int) -> np.ndarray:
+    """Shards of equal ranges of 64-bit hashes."""
+    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+@dataclass
+class Sharded:
+    """Where the sorted hashes of n-grams (or contexts) are, and their rows of one float a language."""
+
+    path: str
+    sizes: list[int]
+    width: int
+
+    def __len__(self) -> int:
+        return sum(self.sizes)
+
+    def _shard(self, s: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.asarray(mapped(f"{self.path}-keys-{s}.bin", "<u8")), np.asarray(mapped(f"{self.path}-rows-{s}.bin", "<f4")).reshape(-1, self.width)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each hash's row (zeros where it has none), and whether it has one."""
+        rows, known = np.zeros((len(h), self.width), np.float32), np.zeros(len(h), bool)
+        shard = _of_range(h, len(self.sizes)) if len(self.sizes) > 1 else np.zeros(len(h), np.int64)
+        order = np.argsort(shard, kind="stable")
+        ends = np.searchsorted(shard[order], np.arange(len(self.sizes) + 1))
+        for s, n in enumerate(self.sizes):
+            some = order[ends[s] : ends[s + 1]]
+            if not n or not len(some):
+                continue
+            keys, values = self._shard(s)
+            at = np.minimum(np.searchsorted(keys, h[some]), n - 1)
+            known[some] = hit = keys[at] == h[some]
+            rows[some] = np.where(hit[:, None], values[at], 0)
+        return rows, known
+
+
+@dataclass
 class Model:
-    """Log probabilities of the n-grams of orders 1 to ORDER in all languages."""
-
-    def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int):
-        self.langs, self.order = langs, order
-        keys, at = np.unique(gram, return_inverse=True)
-        counts = np.zeros((len(keys), len(langs)))
-        np.add.at(counts, (at, lang), n)
-        levels = [(keys, counts)]
-        for k in range(order - 1, 0, -1):
-            keys, counts = levels[-1]
-            low, at = np.unique(keys & np.uint64((1 << 16 * k) - 1), return_inverse=True)
-            c = np.zeros((len(low), len(langs)))
-            np.add.at(c, at, counts > 0)
-            levels.append((low, c))
-        p = np.full((1, len(langs)), 1 / (len(levels[-1][0]) + 1))
-        self.floor = np.log(p)
-        self.tables = []
-        before = np.zeros(1, np.uint64)
-        for k, (keys, c) in enumerate(reversed(levels), 1):
-            ctx, at = np.unique(keys >> np.uint64(16), return_inverse=True) if k > 1 else (np.zeros(1, np.uint64), np.zeros(len(keys), np.int64))
-            once, twice = (c == 1).sum(0), (c == 2).sum(0)
-            d = np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.5)
-            d = np.clip(d, 0.05, 0.95)
-            total, kinds = np.zeros((len(ctx), len(langs))), np.zeros((len(ctx), len(langs)))
-            np.add.at(total, at, c)
-            np.add.at(kinds, at, c > 0)
-            gamma = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
-            lower = p[np.searchsorted(before, keys & np.uint64((1 << 16 * (k - 1)) - 1))]
-            p = np.where(total[at] > 0, np.maximum(c - d, 0) / np.maximum(total[at], 1), 0.0) + gamma[at] * lower
-            before = keys
-            self.tables.append((*_sorted(keys, np.log(p)), *_sorted(ctx, np.log(gamma))))
+    """Log probabilities of the n-grams of orders 1 to `order` in all languages, and the log weights of their contexts; small, whatever the corpus."""
+
+    langs: list[str]
+    order: int
+    floor: float
+    tables: list[tuple[Sharded, Sharded]]
 
     def log_probs(self, code: np.ndarray, k: int | None = None) -> np.ndarray:
         """A row of natural logs for each packed n-gram."""
         k = self.order if k is None else k
         if k == 0:
-            return np.repeat(self.floor, len(code), 0).astype(np.float32)
-        keys, p, ctx, gamma = self.tables[k - 1]
+            return np.full((len(code), len(self.langs)), self.floor, np.float32)
+        grams, contexts = self.tables[k - 1]
         code = code & np.uint64((1 << 16 * k) - 1)
-        h = mixed(code)
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        out = p[at]
-        miss = np.flatnonzero(keys[at] != h)
+        out, known = grams.find(mixed(code))
+        miss = np.flatnonzero(~known)
         if len(miss):
-            h = mixed(code[miss] >> np.uint64(16))
-            at = np.minimum(np.searchsorted(ctx, h), len(ctx) - 1)
-            out[miss] = np.where((ctx[at] == h)[:, None], gamma[at], 0) + self.log_probs(code[miss], k - 1)
+            out[miss] = contexts.find(mixed(code[miss] >> np.uint64(16)))[0] + self.log_probs(code[miss], k - 1)
         return out
 
     def entropies(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -157,14 +172,65 @@ class Model:
         sums = np.zeros((len(n), len(self.langs)))
         if len(code):
             full = np.flatnonzero(n)
-            sums[full] = -np.add.reduceat(self.log_probs(code), rows[:-1][full], axis=0, dtype=np.float64)
+            kinds, at = np.unique(code, return_inverse=True)
+            sums[full] = -np.add.reduceat(self.log_probs(kinds)[at], rows[:-1][full], axis=0, dtype=np.float64)
         return sums / np.maximum(n, 1)[:, None], n
 
 
-def _sorted(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = mixed(keys)
+def _dense(col: pa.Array, width: int) -> np.ndarray:
+    return np.asarray(col.flatten(), dtype=float).reshape(-1, width)
+
+
+def _doubles(col: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(text_buffer(col)[0].tobytes(), "<f8").reshape(-1, width)
+
+
+def _bytes(rows: np.ndarray) -> pa.Array:
+    size = rows.shape[1] * rows.itemsize
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
+
+
+def _gamma(total: np.ndarray, kinds: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The weight of the order below; all of it where a language has not seen the context."""
+    return np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
+
+
+def _interpolated(batches: Iterator[pa.RecordBatch], d: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(gram, p): of n-grams with their counts, their contexts' and the order below, one probability a language."""
+    for b in batches:
+        n, total, kinds = (_dense(b.column(c), len(d)) for c in ("n", "total", "kinds"))
+        p = np.maximum(n - d, 0) / np.maximum(total, 1) + _gamma(total, kinds, d) * _doubles(b.column("lower"), len(d))
+        yield pa.RecordBatch.from_arrays([b.column("gram"), _bytes(p)], names=["gram", "p"])
+
+
+def _weights(batches: Iterator[pa.RecordBatch], d: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(gram, p): of contexts, the weight that each language gives to the order below."""
+    for b in batches:
+        total, kinds = (_dense(b.column(c), len(d)) for c in ("total", "kinds"))
+        yield pa.RecordBatch.from_arrays([b.column("context"), _bytes(_gamma(total, kinds, d))], names=["gram", "p"])
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        h = mixed(np.asarray(b.column("gram")).view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(_of_range(h, shards)), pa.array(h.view(np.int64)), b.column("p")], names=["shard", "hash", "p"])
+
+
+def _write_shard(rows: pa.Table, path: str, width: int) -> pa.Table:
+    shard = rows["shard"][0].as_py()
+    h = np.asarray(rows["hash"]).view(np.uint64)
     order = np.argsort(h)
-    return h[order], rows[order].astype(np.float32)
+    p = np.concatenate([_doubles(c, width) for c in rows["p"].chunks])
+    write_array(f"{path}-keys-{shard}.bin", h[order])
+    write_array(f"{path}-rows-{shard}.bin", np.log(p[order]).astype("<f4"))
+    return pa.table({"shard": [shard], "n": [len(h)]})
+
+
+def _sharded(rows: DataFrame, path: str, width: int, shards: int) -> Sharded:
+    """The arrays of rows (gram, p), written by tasks, a shard each."""
+    dealt = rows.mapInArrow(partial(_dealt, shards=shards), "shard long, hash long, p binary").repartition(shards, "shard")
+    sizes = dict(dealt.groupBy("shard").applyInArrow(lambda t: _write_shard(t, path, width), "shard long, n long").collect())
+    return Sharded(path, [sizes.get(s, 0) for s in range(shards)], width)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model, limits: dict | None) -> Iterator[pa.RecordBatch]:
@@ -190,22 +256,49 @@ def held_out(id_col: str, parts: int, part: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == part
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model | None:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shard_bytes: int = SHARD_BYTES) -> Model | None:
     """The model of all rows with a text and a language, of the same order whatever their number; None where no such row has a letter.
 
-    The counts are collected and the model is built on the driver.
+    Counts, contexts and probabilities are tables in the shared folder, removed once the
+    arrays are written. A context or a suffix is followed or preceded by one alphabet at most, so
+    that no key of the joins is hot. Languages are labels, and as many as a row of floats can hold.
     """
+    spark = docs.sparkSession
+    where = shared_dir(spark)
     rows = docs.select(F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang")).where("__text is not null and __lang is not null")
-    got = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    if not got.num_rows:
+    found = written(rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), where, "found")
+    langs = sorted(r.lang for r in found.select("lang").distinct().collect())
+    if not langs:
+        remove(spark, where)
         return None
-    lang = got["lang"].combine_chunks().dictionary_encode()
-    lang = lang.combine_chunks() if isinstance(lang, pa.ChunkedArray) else lang
-    names = np.array(lang.dictionary.to_pylist(), object).astype(str)
-    order = np.argsort(names)
-    at = np.argsort(order)[np.asarray(lang.indices)]
-    gram = np.asarray(got["gram"].combine_chunks()).view(np.uint64)
-    return Model([str(x) for x in names[order]], at, gram, np.asarray(got["n"].combine_chunks()), ORDER)
+    width = len(langs)
+    each = lambda value: F.array(*[value(i) for i in range(width)])
+    of = lambda i: F.get("n", F.lit(i))
+    levels = {ORDER: written(found.groupBy("gram").agg(each(lambda i: F.sum(F.when(F.col("lang") == langs[i], F.col("n")).otherwise(0))).alias("n")), where, f"counts-{ORDER}")}
+    for k in range(ORDER - 1, 0, -1):
+        suffix = F.col("gram").bitwiseAND(F.lit((1 << 16 * k) - 1)).alias("gram")
+        levels[k] = written(levels[k + 1].groupBy(suffix).agg(each(lambda i: F.count_if(of(i) > 0)).alias("n")), where, f"counts-{k}")
+    flat = 1 / (levels[1].count() + 1)
+    tables, below = [], None
+    for k in range(1, ORDER + 1):
+        few = levels[k].agg(*[each(lambda i, x=x: F.count_if(of(i) == x)) for x in (1, 2)], F.count(F.lit(1))).first()
+        once, twice = np.array(few[:2], float)
+        d = np.clip(np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.5), 0.05, 0.95)
+        context = F.shiftrightunsigned("gram", 16).alias("context") if k > 1 else F.lit(0).cast("long").alias("context")
+        around = levels[k].groupBy(context).agg(each(lambda i: F.sum(of(i))).alias("total"), each(lambda i: F.count_if(of(i) > 0)).alias("kinds"))
+        seen = levels[k].select("gram", "n", context)
+        if below is None:
+            seen = seen.withColumn("lower", F.lit(np.full(width, flat, "<f8").tobytes()))
+        else:
+            lower = below.select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
+            seen = seen.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 16 * (k - 1)) - 1))).join(lower, "suffix")
+        joined = seen.join(around, "context").select("gram", "n", "total", "kinds", "lower")
+        below = written(joined.mapInArrow(partial(_interpolated, d=d), "gram long, p binary"), where, f"p-{k}")
+        weights = around.mapInArrow(partial(_weights, d=d), "gram long, p binary")
+        shards = parts_for(few[2] * (8 + 4 * width), shard_bytes)  # contexts are fewer than n-grams
+        tables.append(tuple(_sharded(x, f"{where}/arrays/{name}-{k}", width, shards) for x, name in ((below, "grams"), (weights, "contexts"))))
+    clear(spark, where, ("arrays",))
+    return Model(langs, ORDER, float(np.log(flat)), tables)
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", calibration: DataFrame | None = None) -> DataFrame:

@@ -21,6 +21,17 @@ def test_order_does_not_fall(spark):
     assert len(model.tables[-1][0]) > 4_000_000
 
 
+def test_many_shards_are_one_model(spark):
+    """Shards of some hundred n-grams each score as one array does."""
+    r = np.random.default_rng(5)
+    docs = table(spark, [(k, "".join(r.choice(list("abcdefgh "), 200)), "en" if k % 2 else "fr") for k in range(20)] + [(50, None, "en"), (51, "ça", None)])
+    whole, cut = language.train(docs), language.train(docs, shard_bytes=8000)
+    assert len(whole.tables[-1][0].sizes) == 1 < len(cut.tables[-1][0].sizes)
+    assert [[len(x) for x in t] for t in whole.tables] == [[len(x) for x in t] for t in cut.tables]
+    scored = [sorted(tuple(r) for r in language.identify(docs, m).collect()) for m in (whole, cut)]
+    assert scored[0] == scored[1] and {r[0] for r in scored[0]} == {*range(20), 50, 51}
+
+
 def test_all_rows_calibrate(spark):
     assert language.calibration_rows(spark.range(30_000).withColumnRenamed("id", "doc_id")).count() == 30_000
 
