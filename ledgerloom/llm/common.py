@@ -61,6 +61,21 @@ def hand_back() -> None:
         trim(0)
 
 
+#: Bytes of an Arrow batch that goes to a worker: about a block of text.
+BATCH_BYTES = 3 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to workers in batches of BATCH_BYTES or one row, for the rest of the session.
+
+    Spark's own limit is 64 MB a batch, held by the executor, doubled while it grows, and held
+    by the worker too, for each task. Which rows there are does not change. A smaller limit stays.
+    """
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_KEY)) > BATCH_BYTES:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about max_bytes of text, so that memory doesn't follow the batch."""
     for batch in batches:

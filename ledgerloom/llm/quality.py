@@ -104,8 +104,8 @@ def meta_features(source: list, lang: list, n_chars: list) -> np.ndarray:
     return out
 
 
-def _features(block: pa.RecordBatch, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return *text_features(block.column("__text"), vocab), meta_features(*(block.column(c).to_pylist() for c in ("__source", "__lang", "__n")))
+def _features(block: pa.RecordBatch, vocab: np.ndarray, text: str = "__text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return *text_features(block.column(text), vocab), meta_features(*(block.column(c).to_pylist() for c in ("__source", "__lang", "__n")))
 
 
 def _toxic_view(text: np.ndarray, told: np.ndarray) -> np.ndarray:
@@ -210,6 +210,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word, at = np.unique(np.concatenate([w for w, _, _ in kept]), return_inverse=True)
         n, t = (np.bincount(at, np.concatenate([x[k] for x in kept]), len(word)).astype(np.int64) for k in (1, 2))
         yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n), pa.array(t)], names=["word", "n", "n_toxic"])
+        kept = word = at = None
+    hand_back()
 
 
 def telling_words(rows: DataFrame, most: int = TELLING_WORDS, least_far: float = TELLING_FAR) -> np.ndarray:
@@ -266,9 +268,13 @@ def _surest(batches: Iterator[pa.RecordBatch], trained, used) -> Iterator[pa.Rec
                 order = np.lexsort((key_all, -sure_all))
                 order = order[np.sort(np.unique(key_all[order], return_index=True)[1])][:n]
                 best[g] = (sure_all[order], key_all[order], rows.take(pa.array(order)).combine_chunks())
+        batch = text = told = meta = views = rows = None  # else held while the next batch comes
+    hand_back()
     for g, (sure, _, rows) in best.items():
         for part in rows.to_batches():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sure), g, np.int32)), pa.array(sure), *part.columns], names=["g", "sure", "key", "text", "told", "meta"])
+    best = rows = part = None
+    hand_back()
 
 
 #: What a model is fitted on: its number (two for each target: text, metadata), the round that a row is from, the row's hash, its class and its columns.
@@ -298,6 +304,8 @@ def _from_labelled(batches: Iterator[pa.RecordBatch], targets: list[int]) -> Ite
             known = label >= 0
             for model in (2 * target, 2 * target + 1):
                 yield _rows_for(model, 0, doc[known], label[known], _view_of(model, *views)[known])
+        batch = views = None
+    hand_back()
 
 
 def _from_handed(batches: Iterator[pa.RecordBatch], part: int, taken: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -308,15 +316,27 @@ def _from_handed(batches: Iterator[pa.RecordBatch], part: int, taken: dict[int,
             some = (group == g) & np.isin(key, keys)
             model = g // 4 * 2 + 1 - g // 2 % 2
             yield _rows_for(model, part, key[some], np.full(some.sum(), g % 2), _view_of(model, *views)[some])
+        batch = views = None
+    hand_back()
 
 
-def _fitted(rows: pa.Table) -> pa.Table:
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The model of the group's rows, which labelled_rows and what was handed over bound."""
-    rows = rows.sort_by([("part", "ascending"), ("doc", "ascending"), ("good", "ascending"), ("x", "ascending")])
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(rows.num_rows, -1)
-    model = Logistic(x, np.asarray(rows.column("good")))
+    some, x = [], []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        some.append(batch.select(["model", "part", "doc", "good"]))
+        x.append(np.frombuffer(text_buffer(batch.column("x"))[0], np.float32).reshape(batch.num_rows, -1).copy())
+        batch = None
+    rows, x = pa.Table.from_batches(some), np.concatenate(x)
+    part, doc, good = (rows.column(c).to_numpy() for c in ("part", "doc", "good"))
+    order = np.lexsort((good, doc, part))  # a row's hash comes once with each part
+    model = Logistic(x[order], good[order])
+    found = pa.RecordBatch.from_arrays([rows.column("model")[:1].combine_chunks().cast(pa.int32()), pa.array([pickle.dumps(model)], pa.binary())], names=["model", "fitted"])
+    some = x = rows = part = doc = good = order = model = None
     hand_back()
-    return pa.table([rows.column("model")[:1].cast(pa.int32()), pa.array([pickle.dumps(model)], pa.binary())], ["model", "fitted"])
+    yield found
 
 
 def _logits(batches: Iterator[pa.RecordBatch], models: list[list[Logistic] | None]) -> Iterator[pa.RecordBatch]:
@@ -330,12 +350,14 @@ def _logits(batches: Iterator[pa.RecordBatch], models: list[list[Logistic] | Non
                 known = label >= 0
                 raw = [m.logit(_view_of(2 * target + k, *views)[known]) for k, m in enumerate(fitted)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(known.sum(), target, np.int32)), pa.array(doc[known]), pa.array(held[known]), pa.array(label[known]), *map(pa.array, raw)], ["target", "doc", "held", "good", "text", "meta"])
+        batch = views = None
+    hand_back()
 
 
-def _apply(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def _apply(batches: Iterator[pa.RecordBatch], model, text: str) -> Iterator[pa.RecordBatch]:
     m: Classifier = model.value
-    for block in blocks(batches, "__text", TEXT_BYTES):
-        got = m.score(*_features(block, m.vocab))
+    for block in blocks(batches, text, TEXT_BYTES):
+        got = m.score(*_features(block, m.vocab, text))
         yield pa.RecordBatch.from_arrays([*(block.column(c) for c in block.schema.names if not c.startswith("__")), *map(pa.array, got)], names=[*(c for c in block.schema.names if not c.startswith("__")), "__p_text", "__p_meta", "__p_good", "__p_safe", "__keep"])
 
 
@@ -376,7 +398,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def fit() -> None:
         """Each model in a task of its own; the driver gets their weights."""
         rows = [learned.mapInArrow(partial(_from_labelled, targets=targets), _FITTED_DDL), *handed]
-        for r in reduce(DataFrame.union, rows).groupBy("model").applyInArrow(_fitted, "model int, fitted binary").orderBy("model").collect():
+        for r in sorted(reduce(DataFrame.union, rows).groupBy("model").applyInArrow(_fitted, "model int, fitted binary").collect(), key=lambda r: r.model):
             trained[r.model // 2].models[r.model % 2 :] = [pickle.loads(r.fitted)]
 
     if targets:
@@ -430,7 +452,9 @@ def classify(docs: DataFrame, model: Classifier | None, text_col: str = "text",
     back = [F.col(f"c{k}").alias(c) for k, c in enumerate(keep_cols)]
     if model is None:
         return docs.select(*keep_cols, F.lit(1.0).alias("p_text"), F.lit(1.0).alias("p_meta"), F.lit(1.0).alias("p_good"), F.lit(1.0).alias("p_safe"), F.lit(True).alias("keep"))
-    base = _view(docs, text_col, source_col, lang_col, chars_col, *names)
+    base, text = _view(docs, text_col, source_col, lang_col, chars_col, *names), "__text"
+    if text_col in keep_cols:  # once is enough
+        base, text = base.drop("__text"), f"c{keep_cols.index(text_col)}"
     ddl = StructType([*base.schema.fields[: len(names)], *(StructField(f"__{c}", DoubleType()) for c in ("p_text", "p_meta", "p_good", "p_safe")), StructField("__keep", BooleanType())])
-    scored = base.mapInArrow(partial(_apply, model=docs.sparkSession.sparkContext.broadcast(model)), ddl)
+    scored = base.mapInArrow(partial(_apply, model=docs.sparkSession.sparkContext.broadcast(model), text=text), ddl)
     return scored.select(*back, F.col("__p_text").alias("p_text"), F.col("__p_meta").alias("p_meta"), F.col("__p_good").alias("p_good"), F.col("__p_safe").alias("p_safe"), F.col("__keep").alias("keep"))
