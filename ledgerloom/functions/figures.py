@@ -9,6 +9,8 @@ structs, so a line costs no Python.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,12 +30,17 @@ _CUT = "\u0001"
 
 
 DIGITS = "0123456789"
+#: Words without digits of which bare_word would take nothing off.
+_NO_FIGURE = r"^(?![-(RZ])[^0-9]*[^0-9*)rR-]\z"
 
 
 def bare_word(w: Column) -> Column:
     """A word without its marks: what stood before and after, its core, and the core's shape with a 9 for each digit."""
-    front = F.ltrim(F.regexp_replace(F.ltrim(w, F.lit("(-")), "^(" + "|".join(reversed(CURRENCIES)) + ")", ""), F.lit("-"))
-    back = lambda f: F.rtrim(F.regexp_replace(F.rtrim(f, F.lit("*")), "(?i)(" + "|".join(SIDES) + ")$", ""), F.lit(")-"))
+    # Most words begin and end with none of the marks, which is told by one character.
+    starts = F.substr(w, F.lit(1), F.lit(1)).isin("(", "-", *sorted({c[0] for c in CURRENCIES}))
+    front = F.when(starts, F.ltrim(F.regexp_replace(F.ltrim(w, F.lit("(-")), "^(" + "|".join(reversed(CURRENCIES)) + ")", ""), F.lit("-"))).otherwise(w)
+    ends = lambda f: F.substr(f, F.lit(-1), F.lit(1)).isin("*", ")", "-", *sorted({x for c in SIDES for x in (c[-1], c[-1].upper())}))
+    back = lambda f: F.when(ends(f), F.rtrim(F.regexp_replace(F.rtrim(f, F.lit("*")), "(?i)(" + "|".join(SIDES) + ")$", ""), F.lit(")-"))).otherwise(f)
 
     def parts(x: Column) -> Column:
         f, c = x["f"], x["c"]
@@ -48,11 +55,13 @@ def bare_word(w: Column) -> Column:
 
 
 def _whole(shape: Column, mark: str, other: str) -> Column:
-    """For a shape that ends in this decimal mark and two digits: false without groups of thousands, true with; null if it is no figure."""
-    groups = F.split(F.substr(shape, F.lit(1), F.length(shape) - 3), "[" + other + "]")
-    nines = lambda g: (g != "") & (F.translate(g, "9", "") == "")
-    in_threes = (F.length(groups[0]) <= 3) & F.forall(F.slice(groups, 2, 99), lambda g: g == "999")
-    return F.when(shape.endswith(mark + "99") & nines(groups[0]) & ((F.size(groups) == 1) | in_threes), F.size(groups) > 1)
+    """Whether a shape is digits, in groups of three by the other mark or without, then this decimal mark and two digits."""
+    return shape.endswith(mark + "99") & shape.rlike(rf"^(?:9+|9{{1,3}}(?:[{other}]999)+)[{mark}]99\z")
+
+
+def plain_words(text: Column) -> Column:
+    """The words of a line, cut at blanks."""
+    return F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+")
 
 
 def words_of(text: Column) -> Column:
@@ -63,14 +72,18 @@ def words_of(text: Column) -> Column:
     """
 
     def one(w: Column) -> Column:
+        def cells(before: Column, after: Column, core: Column, shape: Column, mark: Column, grouped: Column) -> Column:
+            return F.struct(w.alias("word"), before.alias("before"), after.alias("after"), core.alias("core"), shape.alias("shape"), mark.alias("mark"), grouped.alias("grouped"))
+
         def told(x: Column) -> Column:
-            point, comma = _whole(x["shape"], ".", ","), _whole(x["shape"], ",", ".")
-            mark = F.when(point.isNotNull(), ".").when(comma.isNotNull(), ",")
-            return F.struct(w.alias("word"), x["before"].alias("before"), x["after"].alias("after"), x["core"].alias("core"), x["shape"].alias("shape"), mark.alias("mark"), F.coalesce(point, comma).alias("grouped"))
+            mark = F.when(_whole(x["shape"], ".", ","), ".").when(_whole(x["shape"], ",", "."), ",")
+            return let(mark, lambda m: cells(x["before"], x["after"], x["core"], x["shape"], m, F.when(m == ".", x["shape"].contains(",")).when(m == ",", x["shape"].contains("."))))
 
-        return let(bare_word(w), told)
+        nothing = F.lit("")
+        bare = cells(nothing, nothing, w, w, F.lit(None).cast("string"), F.lit(None).cast("boolean"))
+        return F.when(w.rlike(_NO_FIGURE), bare).otherwise(let(bare_word(w), told))
 
-    return F.transform(F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+"), one)
+    return F.transform(plain_words(text), one)
 
 
 def lattice(words: Column) -> Column:
@@ -178,49 +191,53 @@ def dates_of(text: Column) -> Column:
     month was misread; year where none is printed. The two differ only for kinds
     of which day and month may stand the other way round.
     """
-    unit = lambda t: F.struct(t.try_cast("int").alias("n"), F.length(t).alias("size"), F.when(t.rlike("^[A-Za-z]"), month_number(t)).alias("name"))
-    head = lambda k: let(date_head(text, k), lambda h: F.struct(h["raw"].alias("raw"), F.transform(h["u"], unit).alias("u"), h["g"].alias("g")))
-
-    def parted(rule: Column, gap: Column) -> Column:
-        return F.when(rule == "no slash", ~gap.contains("/")).when(rule == "one mark", gap.isin("/", ".", "-")).when(rule == "marks", gap.rlike("^[-,. ]{1,2}$")).otherwise(gap == "/")
 
     def real(d: Column, m: Column, y: Column, raw: Column) -> Column:
-        # Without a year the 29th of February is a day.
-        there = F.try_to_date(F.concat_ws("-", F.coalesce(y, F.lit(2000)).cast("string"), m.cast("string"), d.cast("string")), "yyyy-M-d").isNotNull()
+        # Without a year the 29th of February is a day. No parser is asked: what is no date would be an exception each time.
+        of = F.coalesce(y, F.lit(2000))
+        leap = (of % 4 == 0) & ((of % 100 != 0) | (of % 400 == 0))
+        last = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+        there = m.between(1, 12) & d.between(F.lit(1), last) & of.between(1000, 9999)
         return F.struct(raw.alias("raw"), F.when(there, d).alias("day"), F.when(there, m).alias("month"), y.alias("year"))
 
-    def as_kind(heads: Column, k: Column) -> Column:
+    def as_kind(letters: str) -> Column:
+        gaps = _gaps(letters)
+
         def read(h: Column) -> Column:
-            at = lambda place: F.get(h["u"], k[place])
-            month = F.when(k["named"], at("m")["name"]).when(at("m")["size"] <= 2, at("m")["n"])
-            year = F.when(at("y")["name"].isNull() & ((at("y")["size"] == 4) | ((at("y")["size"] == 2) & ~k["full"])), F.when(at("y")["n"] < 100, at("y")["n"] + 2000).otherwise(at("y")["n"]))
-            gaps = parted(k["g1"], h["g"][0]) & ((k["size"] == 2) | parted(k["g2"], F.get(h["g"], F.lit(1))))
-            fits = gaps & (at("d")["size"] <= 2) & at("d")["n"].isNotNull() & month.isNotNull() & ((k["y"] < 0) | year.isNotNull())
-            return F.struct(fits.alias("fits"), at("d")["n"].alias("d"), month.alias("m"), F.when(k["y"] >= 0, year).alias("y"), h["raw"].alias("raw"))
+            at = lambda letter: F.get(h["u"], F.lit(letters.index(letter)))
+            number = lambda t: t.try_cast("int")
+            month = F.when(at("N").rlike("^[A-Za-z]"), month_number(at("N"))) if "N" in letters else F.when(F.length(at("M")) <= 2, number(at("M")))
+            year = F.lit(None).cast("int")
+            if "Y" in letters:
+                sizes = (4,) if letters in ("YMD", "NDY") else (2, 4)
+                year = F.when(F.length(at("Y")).isin(*sizes), let(number(at("Y")), lambda n: F.when(n < 100, n + 2000).otherwise(n)))
+            parted = reduce(Column.__and__, [F.get(h["g"], F.lit(k)).rlike(f"^{g}$") for k, g in enumerate(gaps)])
+            return F.struct(parted.alias("parted"), F.when(F.length(at("D")) <= 2, number(at("D"))).alias("d"), month.alias("m"), year.alias("y"), h["raw"].alias("raw"))
 
         def both(x: Column) -> Column:
             plain = real(x["d"], x["m"], x["y"], x["raw"])
-            return F.when(x["fits"], F.struct(plain.alias("day_first"), F.when(k["swaps"], real(x["m"], x["d"], x["y"], x["raw"])).otherwise(plain).alias("month_first")))
+            other = real(x["m"], x["d"], x["y"], x["raw"]) if letters in ("DMY", "DM") else plain
+            fits = x["parted"] & x["d"].isNotNull() & x["m"].isNotNull() & (F.lit("Y" not in letters) | x["y"].isNotNull())
+            return F.when(fits, F.struct(plain.alias("day_first"), other.alias("month_first")))
 
-        return let(let(F.element_at(heads, k["size"] - 1), read), both)
+        # A pattern that every date of the kind fits; the head is cut for those lines alone.
+        years = r"\d{4}" if letters in ("YMD", "NDY") else r"(?:\d{4}|\d{2})"
+        unit = {"D": r"\d{1,2}", "M": r"\d{1,2}", "N": "[A-Za-z]{3,9}", "Y": years}
+        shape = "".join(unit[letter] + gap for letter, gap in zip(letters, [*gaps, ""], strict=True))
+        return F.when(text.rlike(rf"^\W{{0,3}}{shape}(?=\s|$)"), let(let(date_head(text, len(letters)), read), both))
 
-    kinds = F.array(*[_kind(letters) for letters in DATE_KINDS.values()])
-    return let(F.array(head(2), head(3)), lambda heads: F.transform(kinds, lambda k: as_kind(heads, k)))
+    return F.array(*[as_kind(letters) for letters in DATE_KINDS.values()])
 
 
-def _kind(letters: str) -> Column:
-    """Where a kind has its units, and what may stand between them."""
-    named = "N" in letters
+def _gaps(letters: str) -> list[str]:
+    """What may stand between a kind's units, as patterns."""
 
     def gap(pair: str) -> str:
         if "N" in pair:
-            return "no slash"
-        return "marks" if named else "one mark" if len(letters) == 3 else "slash"
+            return "[-., ]{0,2}"
+        return "[-,. ]{1,2}" if "N" in letters else "[-/.]" if len(letters) == 3 else "/"
 
-    place = {"d": letters.index("D"), "m": letters.index("N" if named else "M"), "y": letters.find("Y"), "size": len(letters)}
-    gaps = {"g1": gap(letters[:2]), "g2": gap(letters[1:])}
-    flags = {"named": named, "full": letters in ("YMD", "NDY"), "swaps": letters in ("DMY", "DM")}
-    return F.struct(*[F.lit(v).alias(k) for k, v in (place | gaps | flags).items()])
+    return [gap(letters[k : k + 2]) for k in range(len(letters) - 1)]
 
 
 def date_parts(text: Column, kind: str, month_first: bool = False) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,7 +33,9 @@ def telling_words(description: Column) -> Column:
 
 def garbled_figures(text: Column) -> Column:
     """Figures of which a scan has made letters: words with one point and two places after it whose characters are digits, commas and letters that look like digits, some of each."""
-    bare = F.transform(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: bare_word(w)["core"])
+    # Words that cannot be one are left out before their marks are taken off.
+    some = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w.contains(".") & w.rlike(f"[{LOOKALIKES}a]") & w.rlike("[0-9]"))
+    bare = F.transform(some, lambda w: bare_word(w)["core"])
     shape = lambda w: F.translate(w, DIGITS + LOOKALIKES, "9" * len(DIGITS) + "a" * len(LOOKALIKES))
 
     def mixed(s: Column) -> Column:
@@ -52,7 +55,8 @@ def page_numbers(text: Column) -> Column:
         pages = F.transform(at, lambda i: F.struct(number(i + 1).alias("page"), number(i + 3).alias("of")))
         return F.filter(pages, lambda p: (p["page"] > 0) & (p["page"] <= p["of"]) & (p["of"] < 1000))
 
-    return let(F.split(apart, "[^a-z0-9]+"), all_)
+    named = reduce(Column.__or__, [F.lower(text).contains(w) for w in PAGE_WORDS])
+    return F.when(named, let(F.split(apart, "[^a-z0-9]+"), all_)).otherwise(F.array().cast("array<struct<page:int,of:int>>"))
 
 
 def missing_pages(pages: Column) -> Column:

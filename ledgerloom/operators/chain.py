@@ -199,10 +199,16 @@ def skipped_lines(lines: DataFrame, by: list[str], order: list[str]) -> DataFram
 
 def pages_missing(pages: DataFrame, by: list[str], text: str = "text") -> DataFrame:
     """(by, missing): page numbers that 'page k of n' says there are and no page has."""
-    found = pages.groupBy(*by).agg(F.flatten(F.collect_list(page_numbers(F.col(text)))).alias("p"))
+    found = pages.groupBy(*by).agg(pages_found(text).alias("p"))
     return found.select(*by, missing_pages(F.col("p")).alias("missing"))
 
 
+def pages_found(text: str = "text") -> Column:
+    """All that a group's texts say about pages, as one aggregate."""
+    found = page_numbers(F.col(text))
+    return F.flatten(F.collect_list(F.when(F.size(found) > 0, found)))
+
+
 def reference_numbers(rows: DataFrame, by: list[str], order: list[str], prefix: Column) -> DataFrame:
     """Adds reference: the prefix and a number from 01 in each group."""
     n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))

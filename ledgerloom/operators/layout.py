@@ -8,17 +8,20 @@ the balance, line after line, statement by statement (see beam).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_in_period
-from ..functions.figures import DATE_KINDS, token_sign
-from ..functions.money import from_cents
+from ..functions.figures import DATE_KINDS, plain_words, token_sign
+from ..functions.money import cents, from_cents
 from ..functions.text import phrases_pattern
 from ..sources.stored import stored
-from .beam import read_statement
+from .beam import read_statements
 from .chain import continuation_lines, link_entry_lines, listed_lines, stands_alone
 from .lines import cut_lines
+from .whole import by_statement
 
 MONEY = "decimal(18,2)"
 #: Phrases of lines that open a balance, of those that close one, of those that are no transactions, and of headings of lists.
@@ -46,23 +49,32 @@ def statement_styles(lines: DataFrame, by: list[str], order: str = "line_no") ->
 
 def styles_of(parsed: DataFrame, by: list[str]) -> DataFrame:
     """statement_styles of parsed lines, and whether a statement groups thousands by a mark."""
+    return _styles(parsed.groupBy(*by).agg(*[c.alias(n) for n, c in _style_counts().items()]), [F.col(c) for c in by])
+
+
+def _style_counts() -> dict[str, Column]:
+    """What is counted over a statement's lines to tell its style."""
     with_mark = lambda m: F.size(F.filter("tokens", lambda t: t["mark"] == m))
     has = F.size("tokens") > 0
     some = lambda test: F.when(test, 1).otherwise(0)
     as_kind = lambda k: F.col("dates")[list(DATE_KINDS).index(k)]
     first, second = (lambda k: as_kind(k)["day_first"]["day"]), (lambda k: as_kind(k)["month_first"]["day"])
-    counts = parsed.groupBy(*by).agg(
-        F.sum(with_mark(".")).alias("points"),
-        F.sum(with_mark(",")).alias("commas"),
-        F.count_if(F.exists("tokens", lambda t: t["joined"].isNotNull())).alias("spaces"),
-        F.count_if(F.exists("tokens", lambda t: t["grouped"])).alias("n_grouped"),
-        *[F.count_if(has & (as_kind(k).isNotNull() if k in _DAY_MONTH else first(k).isNotNull())).alias(f"n_{k}") for k in DATE_KINDS],
-        F.sum(sum((some(has & first(k).isNull() & second(k).isNotNull()) for k in _DAY_MONTH), F.lit(0))).alias("months"),
-        F.sum(sum((some(has & (first(k) > 12)) for k in _DAY_MONTH), F.lit(0))).alias("days"),
-    )
+    return {
+        "points": F.sum(with_mark(".")),
+        "commas": F.sum(with_mark(",")),
+        "spaces": F.count_if(F.exists("tokens", lambda t: t["joined"].isNotNull())),
+        "n_grouped": F.count_if(F.exists("tokens", lambda t: t["grouped"])),
+        **{f"n_{k}": F.count_if(has & (as_kind(k).isNotNull() if k in _DAY_MONTH else first(k).isNotNull())) for k in DATE_KINDS},
+        "months": F.sum(sum((some(has & first(k).isNull() & second(k).isNotNull()) for k in _DAY_MONTH), F.lit(0))),
+        "days": F.sum(sum((some(has & (first(k) > 12)) for k in _DAY_MONTH), F.lit(0))),
+    }
+
+
+def _styles(counts: DataFrame, kept: list[Column]) -> DataFrame:
+    """kept and the style that the counts say."""
     best = F.array_max(F.array(*[F.struct(F.col(f"n_{k}").alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("kind")) for i, k in enumerate(DATE_KINDS)]))
     return counts.select(
-        *by,
+        *kept,
         F.when(F.col("commas") > F.col("points"), ",").otherwise(".").alias("decimal"),
         ((F.col("spaces") > 0) & (F.col("n_grouped") == 0)).alias("spaced"),
         F.when(best["n"] > 0, best["kind"]).alias("kind"),
@@ -71,17 +83,23 @@ def styles_of(parsed: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def _styled(parsed: DataFrame, styles: DataFrame, by: list[str], order: str) -> DataFrame:
-    """(by, order, text, words, at, after, tokens): the date of the statement's kind that a line begins with, the first word after it, and the figures behind with what the statement allows."""
+def _styled(parsed: DataFrame, by: list[str], order: str) -> DataFrame:
+    """(by, order, text, words, decimal, kind, at, after, tokens): the date of the statement's kind that a line begins with, the first word after it, and the figures behind with what the statement allows."""
     kinds = F.array(*[F.lit(k) for k in DATE_KINDS])
-    p = parsed.join(styles.select(*by, "decimal", "kind", "month_first", "grouped"), by)
+    # Counted over windows that all later ones share, so that a statement's lines are shuffled and sorted once.
+    counts = parsed.select("*", *[c.over(_whole(by, order)).alias(f"{n}") for n, c in _style_counts().items()])
+    p = _styles(counts, [F.col(c) for c in (*by, order, "text", "words", "tokens", "dates")])
     p = p.withColumn("at", F.get("dates", F.array_position(kinds, F.col("kind")).cast("int") - 1))
     p = p.withColumn("at", F.when(F.col("month_first"), F.col("at.month_first")).otherwise(F.col("at.day_first")))
     p = p.withColumn("after", F.coalesce(F.size(F.split("at.raw", r"\s+")), F.lit(0)))
     behind = lambda x: x["first"] >= F.col("after")
     of_style = F.filter("tokens", lambda t: (t["mark"] == F.col("decimal")) & behind(t))
     joined = lambda t: F.when(~F.col("grouped") & behind(t["joined"]), t["joined"])
-    return p.select(*by, order, "text", "words", "at", "after", F.transform(of_style, lambda t: t.withField("joined", joined(t))).alias("tokens"))
+    return p.select(*by, order, "text", "words", "decimal", "kind", "at", "after", F.transform(of_style, lambda t: t.withField("joined", joined(t))).alias("tokens"))
+
+
+def _whole(by: list[str], order: str) -> WindowSpec:
+    return Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def _values(tokens: Column) -> Column:
@@ -107,13 +125,12 @@ def read_unknown(lines: DataFrame, by: list[str], order: str = "line_no", bounds
     statement without dated lines of figures has no rows.
     """
     parsed = lines if "tokens" in lines.columns else stored(cut_lines(lines, by, order))
-    styles = styles_of(parsed, by)
     n = F.size("tokens")
-    p = _styled(parsed, styles, by, order)
+    p = _styled(parsed.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in by])), by, order)
     p = link_entry_lines(p.withColumn("line_date", F.col("at")).withColumn("n_figures", n), by, [order], said="words").drop("line_date", "n_figures")
-    is_head, is_close = F.col("text").rlike(OPENING), F.col("text").rlike(CLOSING)
+    p = p.withColumn("is_head", F.col("text").rlike(OPENING)).withColumn("is_close", F.col("text").rlike(CLOSING))
     dated = F.col("entry_date").isNotNull()
-    row = (n > 0) & ~is_head & ~is_close & ~F.col("text").rlike(NO_ROW)
+    row = (n > 0) & ~F.col("is_head") & ~F.col("is_close") & ~F.col("text").rlike(NO_ROW)
     p = p.withColumn("row", row).withColumn("dated", dated).withColumn("single", row & dated & (n == 1)).withColumn("is_heading", F.col("text").rlike(LIST_HEADING)).withColumn("is_blank", F.lit(False))
     p = listed_lines(p, by, [order])
     p = continuation_lines(p.withColumn("said", F.when(F.col("row") & dated, "").otherwise(F.col("text"))).withColumn("is_row", F.col("row") & dated).withColumn("is_blocked", stands_alone(F.col("text")) | F.col("is_heading")), by, [order], LONGEST, MORE_LINES, "said")
@@ -122,20 +139,33 @@ def read_unknown(lines: DataFrame, by: list[str], order: str = "line_no", bounds
     sign = token_sign(F.try_element_at("tokens", F.lit(1)))
     marks = lambda c: F.exists("tokens", lambda t: t[c])
     on_row = F.col("row") & dated
-    heads = p.groupBy(*by).agg(
-        F.coalesce(F.min_by(_values(F.col("tokens")), F.when(is_head & (n > 0) & (F.col("seen") == 0), F.col(order))), F.array().cast(f"array<{MONEY}>")).alias("openings"),
-        F.array_distinct(F.flatten(F.collect_list(F.when(is_close & (n > 0), _values(F.col("tokens")))))).alias("closings"),
-        F.count_if(on_row & (sign == 1)).alias("n_cr"),
-        F.count_if(on_row & (sign == -1)).alias("n_dr"),
-        (F.max(F.when(on_row, marks("marked_in"))) & ~F.max(F.when(on_row, marks("out")))).alias("flips"),
-    )
-    convention = F.when((F.col("n_cr") > 0) & (F.col("n_dr") == 0), -1).when((F.col("n_dr") > 0) & (F.col("n_cr") == 0), 1)
-    heads = heads.select(*by, "openings", "closings", convention.alias("unmarked"), F.coalesce("flips", F.lit(False)).alias("flips"))
-    keep = [*by, order, "text", "words", "entry_date", "after", "entry_said", "full_description"]
-    p = p.where("row").select(*keep, "dated", "listed", "tokens").join(heads, by)
-    kinds = dict(p.dtypes)
+    about = {
+        "openings": F.min_by(_values(F.col("tokens")), F.when(F.col("is_head") & (n > 0) & (F.col("seen") == 0), F.col(order))),
+        "closings": F.collect_list(F.when(F.col("is_close") & (n > 0), _values(F.col("tokens")))),
+        "n_cr": F.count_if(on_row & (sign == 1)),
+        "n_dr": F.count_if(on_row & (sign == -1)),
+        "n_in": F.count_if(on_row & marks("marked_in")),
+        "n_out": F.count_if(on_row & marks("out")),
+    }
+    p = p.select("*", *[c.over(_whole(by, order)).alias(f"__{name}") for name, c in about.items()])
+    p = p.withColumn("__openings", F.coalesce("__openings", F.array().cast(f"array<{MONEY}>"))).withColumn("__closings", F.array_distinct(F.flatten("__closings")))
+    convention = F.when((F.col("__n_cr") > 0) & (F.col("__n_dr") == 0), -1).when((F.col("__n_dr") > 0) & (F.col("__n_cr") == 0), 1)
+    # What the search needs are small numbers; of many figures the last five can be columns.
+    in_cents = lambda c: F.transform(c, cents)
+    last = F.when(n > 5, F.slice("tokens", F.greatest(n - 4, F.lit(1)), F.lit(5))).otherwise(F.col("tokens"))
+    figure = lambda t, j: F.struct(
+        t["first"].alias("first"), cents(t["value"]).alias("value"), token_sign(t).cast("tinyint").alias("sign"),
+        j["first"].alias("joined_first"), cents(j["value"]).alias("joined_value"), F.when(j["out"], -1).when(t["marked_in"], 1).cast("tinyint").alias("joined_sign"),
+    )
+    entry = F.array_join(F.slice("entry_said", F.size(F.split("entry_date.raw", r"\s+")) + 1, 1 << 20), " ")
+    keep = [*by, order, "text", "entry_date", "after", "entry", "full_description"]
+    given = p.where("row").select(
+        *by, order, "text", "entry_date", "after", entry.alias("entry"), "full_description", "dated", "listed", F.transform(last, lambda t: figure(t, t["joined"])).alias("tokens"),
+        convention.alias("unmarked"), ((F.col("__n_in") > 0) & (F.col("__n_out") == 0)).alias("flips"), in_cents("__openings").alias("openings"), in_cents("__closings").alias("closings"),
+    )
+    kinds = dict(given.dtypes)
     added = "amount long, first_word int, fee long, balance long, way int, confirmed boolean, ambiguous boolean, start long"
-    rows = p.groupBy(*by).applyInArrow(lambda t: read_statement(t, order, keep), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", " + added)
+    rows = by_statement(given, by, [order], lambda t, starts: read_statements(t, starts, keep), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", " + added)
     if bounds is not None:
         rows = rows.join(bounds.select(*by, "period_start", "period_end"), by, "left")
         guess = date_in_period(F.col("entry_date.day"), F.col("entry_date.month"), F.col("period_start"), F.col("period_end"))
@@ -143,9 +173,8 @@ def read_unknown(lines: DataFrame, by: list[str], order: str = "line_no", bounds
         guess = F.lit(None).cast("date")
     made = F.try_to_date(F.concat_ws("-", F.col("entry_date.year").cast("string"), F.col("entry_date.month").cast("string"), F.col("entry_date.day").cast("string")), "yyyy-M-d")
     day = F.when(F.col("entry_date.day").isNotNull(), F.when(F.col("entry_date.year").isNotNull(), made).otherwise(guess))
-    own = F.array_join(F.slice("words", F.col("after") + 1, F.greatest(F.col("first_word") - F.col("after"), F.lit(0))), " ")
-    entry = F.array_join(F.slice("entry_said", F.size(F.split("entry_date.raw", r"\s+")) + 1, 1 << 20), " ")
-    said = F.concat_ws(" ", *[F.nullif(F.trim(x), F.lit("")) for x in (F.when(F.col("entry_said").isNotNull() & (own == ""), entry), own, F.col("full_description"))])
+    own = F.array_join(F.slice(plain_words(F.col("text")), F.col("after") + 1, F.greatest(F.col("first_word") - F.col("after"), F.lit(0))), " ")
+    said = F.concat_ws(" ", *[F.nullif(F.trim(x), F.lit("")) for x in (F.when(own == "", F.col("entry")), own, F.col("full_description"))])
     money = lambda c: from_cents(F.col(c))
     rows = rows.select(*by, order, "text", "confirmed", "ambiguous", "way", "start", day.alias("date"), F.col("entry_date.raw").alias("date_text"), F.coalesce(F.nullif(said, F.lit("")), F.lit("(no description)")).alias("description"), *[money(c).alias(c) for c in ("amount", "fee", "balance")])
     size, none = F.col("amount"), F.lit(None).cast(MONEY)
@@ -157,6 +186,7 @@ def read_unknown(lines: DataFrame, by: list[str], order: str = "line_no", bounds
     out = out.select(*by, (F.col(order) * 2 + F.col("r.sub")).cast("bigint").alias("seq"), "date", "date_text", "r.description", "r.debit", "r.credit", "r.unassigned", "r.balance", "evidence", "confirmed", "ambiguous", "start")
     out = stored(out)
     found = out.groupBy(*by).agg(F.max(money("start")).alias("start"), F.count(F.lit(1)).alias("n_rows"), F.count_if("confirmed").alias("n_confirmed"))
-    statements = styles.select(*by, "decimal", "kind").join(heads.select(*by, F.get("openings", F.lit(-1) + F.size("openings")).alias("printed"), "closings"), by, "left").join(found, by, "left")
+    heads = p.groupBy(*by).agg(F.first("__openings").alias("openings"), F.first("__closings").alias("closings"))
+    statements = styles_of(parsed, by).select(*by, "decimal", "kind").join(heads.select(*by, F.get("openings", F.lit(-1) + F.size("openings")).alias("printed"), "closings"), by, "left").join(found, by, "left")
     zero = F.lit(0).cast("bigint")
     return out.drop("start"), statements.select(*by, "decimal", "kind", F.coalesce("start", "printed").alias("opening"), F.coalesce("closings", F.array().cast(f"array<{MONEY}>")).alias("closings"), F.coalesce("n_rows", zero).alias("n_rows"), F.coalesce("n_confirmed", zero).alias("n_confirmed"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date
-from ..functions.figures import dates_of, lattice, read_as, words_of
+from ..functions.figures import dates_of, lattice, plain_words, read_as, words_of
 from ..functions.let import let
 from .chain import continuation_lines, skipped_lines, stands_alone
 
@@ -73,8 +73,7 @@ def cut_lines(lines: DataFrame, by: list[str], order: str = "line_no") -> DataFr
     """(by, order, text, words, tokens, dates): each line cut once, for every reader; lines that are so already stay as they are."""
     if {"words", "tokens", "dates"} <= set(lines.columns):
         return lines
-    p = lines.select(*by, order, "text", words_of(F.col("text")).alias("words"))
-    return p.select(*by, order, "text", F.transform("words", lambda w: w["word"]).alias("words"), lattice(F.col("words")).alias("tokens"), dates_of(F.col("text")).alias("dates"))
+    return lines.select(*by, order, "text", plain_words(F.col("text")).alias("words"), lattice(words_of(F.col("text"))).alias("tokens"), dates_of(F.col("text")).alias("dates"))
 
 
 def read_lines(lines: DataFrame, fmt: LineFormat, by: list[str], order: str = "line_no") -> tuple[DataFrame, DataFrame]:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import month_key, period_range
 from ..functions.money import MONEY, parse_amount
-from ..functions.text import garbled_figures
+from ..functions.text import garbled_figures, missing_pages
 from ..operators.assess import assess, choose_reading, confirm_by_second, finalize, printed_total
-from ..operators.chain import page_segments, pages_missing
+from ..operators.chain import page_segments, pages_found
 from ..operators.layout import read_unknown
 from ..operators.lines import LineFormat, cut_lines, read_lines
 from ..operators.rule_table import bank_patterns
@@ -80,7 +80,7 @@ def statement_facts(lines: DataFrame, by: list[str], order: str = "line_no", pat
             *by, F.get(values("account"), F.lit(0)).alias("account_number"), F.get(values("period"), F.lit(0)).alias("statement_period"),
             *[F.transform(amounts(n), lambda x: F.abs(x)).alias(f"all_{n}") for n in totals], amounts("closing").alias("closings"), "bank",
         )
-        got = got.join(lines.groupBy(*by).agg(client), by)
+        got = got.join(lines.groupBy(*by).agg(client, pages_found().alias("__pages")), by)
     else:
         closing = [F.when(F.col("text").rlike(p), parse_amount(F.regexp_extract("text", p, 1))) for p in patterns.closing]
         got = lines.groupBy(*by).agg(
@@ -90,18 +90,22 @@ def statement_facts(lines: DataFrame, by: list[str], order: str = "line_no", pat
             F.array_compact(F.collect_list(F.coalesce(*closing))).alias("closings"),
             (hit(patterns.banks, detect_bank(F.col("text"), list(patterns.banks))) if patterns.banks else nothing).alias("bank"),
             client,
+            pages_found().alias("__pages"),
         )
     span = period_range(F.col("statement_period"))
     got = got.select(
         *by, F.nullif(F.regexp_replace("account_number", r"\D", ""), F.lit("")).alias("account_number"), "statement_period", span["start"].alias("period_start"), span["end"].alias("period_end"),
         *[f"all_{n}" for n in totals], F.lit(None).cast(MONEY).alias("printed_closing"), "closings", "bank", F.coalesce("__client", F.lit(UNMAPPED)).alias("client"),
+        missing_pages(F.col("__pages")).alias("missing_pages"),
     )
-    return got.join(pages_missing(lines, by), by).withColumnRenamed("missing", "missing_pages")
+    # A statement without a name is none.
+    return got.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in by]))
 
 
 def all_readings(lines: DataFrame, formats: list[LineFormat], by: list[str], order: str = "line_no", bounds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, heads) of each format and of the reader of unknown layouts, told apart by `reading`."""
-    lines = stored(cut_lines(lines, by, order))
+    cut = cut_lines(lines, by, order)
+    lines = cut if cut is lines else stored(cut)
     rows, heads = [], []
     columns = [*by, "seq", "date", "date_text", "description", "debit", "credit", "unassigned", "balance", "evidence"]
     for k, fmt in enumerate(formats):
@@ -140,6 +144,8 @@ def process_statements(lines: DataFrame, formats: list[LineFormat], categories:
     problems, then the fewest flagged rows, then the most rows is kept. Nothing is
     corrected; what cannot be confirmed has reasons and is to be reviewed.
     """
+    # Where lines come from may be work too: all that is read here is read from the lines as they are cut.
+    lines = stored(cut_lines(lines, by, order))
     facts = stored(statement_facts(lines, by, order, patterns))
     rows, heads = all_readings(lines, formats, by, order, facts)
     keys = [*by, "reading"]
