@@ -9,12 +9,14 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.stored import stored
 from .chain import balance_chain, flag_date_order, flag_duplicates
+from .whole import by_statement
 
 APPROVED, REVIEW = "APPROVED", "REVIEW_REQUIRED"
 #: Confidence of confirmed rows, of confirmed rows of a scan, and of the others.
@@ -144,16 +146,20 @@ def aligned(first: list[str], second: list[str]) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
-def _align(first: pa.Table, second: pa.Table, order: list[str]) -> pa.Table:
-    """Both sides' rows with side, equal ones once, as first has them."""
-    by_order = [(c, "ascending") for c in order]
-    first, second = (t.sort_by(by_order) if t.num_rows else t for t in (first, second))
-    pairs = aligned(first.column("__key").to_pylist(), second.column("__key").to_pylist())
-    both = {a for a, _ in pairs}
-    more = sorted(set(range(second.num_rows)) - {b for _, b in pairs})
-    out = first.append_column("side", pa.array(["both" if k in both else "first" for k in range(first.num_rows)], pa.string()))
-    extra = second.take(pa.array(more, pa.int64())).append_column("side", pa.array(["second"] * len(more), pa.string()))
-    return pa.concat_tables([out, extra.cast(out.schema)]).drop_columns(["__key"])
+def _align(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+    """Both sides' rows of whole statements with side, equal ones once, as the first has them; of a statement the first side's rows come first."""
+    keys, first = rows.column("__key").to_pylist(), rows.column("__side").to_numpy() == 0
+    side = np.where(first, 0, 2)
+    keep = np.ones(len(keys), bool)
+    for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
+        cut = begin + int(np.count_nonzero(first[begin:end]))
+        pairs = aligned(keys[begin:cut], keys[cut:end])
+        if pairs:
+            a, b = zip(*pairs, strict=True)
+            side[np.array(a) + begin] = 1
+            keep[np.array(b) + cut] = False
+    names = pa.array(["first", "both", "second"]).take(pa.array(side))
+    return rows.append_column("side", names).drop_columns(["__key", "__side"]).filter(pa.array(keep))
 
 
 def align_readings(first: DataFrame, second: DataFrame, by: list[str], order: list[str], figures: list[str]) -> DataFrame:
@@ -161,15 +167,15 @@ def align_readings(first: DataFrame, second: DataFrame, by: list[str], order: li
 
     Rows are equal if all figures are, nulls too; a row that the second reading has
     in another place is not the same one (it is on both sides then). order names a row of
-    its statement. One shuffle of each side by statement, of these columns alone.
+    its statement. One shuffle of both sides by statement, of these columns alone; statements are aligned many in a batch.
     """
     # Nulls must meet nulls: every figure is compared as text with a mark for null.
     key = F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("\0")) for f in figures]).alias("__key")
     columns = [*by, *order, *figures]
     kinds = dict(first.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", side string"
-    a, b = (df.select(*[F.col(c).cast(kinds[c]).alias(c) for c in columns], key) for df in (first, second))
-    return a.groupBy(*by).cogroup(b.groupBy(*by)).applyInArrow(lambda x, y: _align(x, y, order), schema)
+    a, b = (df.select(*[F.col(c).cast(kinds[c]).alias(c) for c in columns], key, F.lit(k).alias("__side")) for k, df in enumerate((first, second)))
+    return by_statement(a.unionByName(b), by, ["__side", *order], _align, schema)
 
 
 def compare_readings(first: DataFrame, second: DataFrame, by: list[str], order: list[str], figures: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import beam
+from ledgerloom.operators import assess, beam
 from ledgerloom.operators.lines import LineFormat
 from ledgerloom.operators.whole import whole_statements
 from ledgerloom.plans import statements
@@ -75,3 +75,16 @@ def test_lines_are_made_once(spark):
     ledger, _ = statements.process_statements(lines, [LineFormat()], CATEGORIES, ["statement"], one_reading=True)
     assert [(str(r.debit or ""), str(r.credit or ""), r.status) for r in ledger.orderBy("seq").collect()] == [("10.00", "", "APPROVED"), ("", "20.00", "APPROVED")]
     assert made.value == len(text)
+
+
+def test_statements_are_aligned_many_at_once():
+    """Of a batch each statement is compared with its own second reading alone: equal, differing, read once, found by the second only."""
+    sides = {"same": ("ab", "ab"), "differs": ("abc", "axc"), "once": ("ab", ""), "more": ("", "a"), "swapped": ("ab", "ba")}
+    rows = [(s, key, k) for s, both in sides.items() for k, keys in enumerate(both) for key in keys]
+    table = pa.table({"s": [r[0] for r in rows], "__key": [r[1] for r in rows], "__side": pa.array([r[2] for r in rows], pa.int32())})
+    starts = np.cumsum([0, *[len(a) + len(b) for a, b in sides.values()]])[:-1]
+    got = assess._align(table, starts)
+    assert list(zip(got.column("s").to_pylist(), got.column("side").to_pylist(), strict=True)) == [
+        ("same", "both"), ("same", "both"), ("differs", "both"), ("differs", "first"), ("differs", "both"), ("differs", "second"),
+        ("once", "first"), ("once", "first"), ("more", "second"), ("swapped", "first"), ("swapped", "both"), ("swapped", "second"),
+    ]
